@@ -41,7 +41,7 @@ SERIES_ATTRS = ["item_id", "dept_id", "cat_id", "store_id", "state_id"]
 
 
 def raw_sales(t: Tables) -> DataFrame:
-    """Line items with the retail hierarchy of the stand-in panel."""
+    """Line items with the retail hierarchy of the stand-in panel; ``amount`` is in cents."""
     brand = F.substring("p_brand", 7, 10).cast("int")
     return (
         t.lineitem.select("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
@@ -61,7 +61,7 @@ def raw_sales(t: Tables) -> DataFrame:
             .alias("state_id"),
             F.col("l_shipdate").cast("date").alias("dt"),
             F.col("l_quantity").alias("sold"),
-            F.col("l_extendedprice").alias("amount"),
+            F.round(F.col("l_extendedprice") * 100).alias("amount"),
         )
     )
 
@@ -84,7 +84,7 @@ raw AS (
          'CAT_' || CAST((CAST(substr(p_brand, 7) AS INTEGER) + 4) // 5 AS VARCHAR) AS cat_id,
          r_name AS store_id,
          CASE WHEN r_name IN ('AMERICA', 'EUROPE') THEN 'WEST' ELSE 'EAST' END AS state_id,
-         CAST(l_shipdate AS DATE) AS dt, l_quantity AS sold, l_extendedprice AS amount
+         CAST(l_shipdate AS DATE) AS dt, l_quantity AS sold, round(l_extendedprice * 100) AS amount
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
   JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 days AS (

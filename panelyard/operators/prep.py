@@ -155,3 +155,17 @@ def group_statistic(df: DataFrame, keys: Sequence[str], **stats) -> DataFrame:
     """Per-group aggregates on every row (J7): aggregate, then join back."""
     aggs = [col.alias(name) for name, col in stats.items()]
     return attach(df, df.groupBy(*keys).agg(*aggs), keys)
+
+
+def input_checks(df: DataFrame) -> DataFrame:
+    """Per column: numeric, integer, and free of negative values (P10)."""
+    aggs, rows = [], []
+    for f in df.schema:
+        numeric = isinstance(f.dataType, T.NumericType)
+        whole = isinstance(f.dataType, T.IntegralType)
+        low = F.min(f.name) if numeric else F.min(F.lit(None).cast("double"))
+        aggs.append((low >= 0).alias(f.name))
+        rows.append(F.struct(F.lit(f.name).alias("column_name"), F.lit(numeric).alias("is_numeric"),
+                             F.lit(whole).alias("is_integer"),
+                             F.coalesce(F.col(f.name), F.lit(False)).alias("non_negative")))
+    return df.agg(*aggs).select(F.inline(F.array(*rows)))
