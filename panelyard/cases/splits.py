@@ -14,14 +14,14 @@ RANKED = """WITH k AS (SELECT o_orderkey, row_number() OVER (ORDER BY md5(CAST(o
 
 
 @case("t1_train_test", RANKED + """
-SELECT o_orderkey, CASE WHEN p <= floor(0.7 * n) THEN 'train' ELSE 'test' END AS split FROM k""")
+SELECT o_orderkey, CASE WHEN p <= floor(0.7e0 * n) THEN 'train' ELSE 'test' END AS split FROM k""")
 def _(spark, sf):
     return split.train_test(Tables(spark, sf).orders, "o_orderkey", 70, 30, 1).select("o_orderkey", "split")
 
 
 @case("t2_train_val_test", RANKED + """
-SELECT o_orderkey, CASE WHEN p <= floor(0.7 * n) THEN 'train'
-  WHEN p <= n - ceil(0.5 * (n - floor(0.7 * n))) THEN 'val' ELSE 'test' END AS split FROM k""")
+SELECT o_orderkey, CASE WHEN p <= floor(0.7e0 * n) THEN 'train'
+  WHEN p <= n - ceil(0.5 * (n - floor(0.7e0 * n))) THEN 'val' ELSE 'test' END AS split FROM k""")
 def _(spark, sf):
     return split.train_val_test(Tables(spark, sf).orders, "o_orderkey", seed=1).select("o_orderkey", "split")
 
@@ -56,7 +56,7 @@ def _(spark, sf):
 
 
 @case("t6_chronological_fraction", f"WITH {TAXI_SQL} SELECT hour, "
-      "CASE WHEN i < CAST(floor(0.7 * n) AS BIGINT) THEN 'train' ELSE 'val' END AS split FROM numbered")
+      "CASE WHEN i < CAST(floor(0.7e0 * n) AS BIGINT) THEN 'train' ELSE 'val' END AS split FROM numbered")
 def _(spark, sf):
     return split.chronological_fraction(taxi(Tables(spark, sf)), ["hour"]).select("hour", "split")
 

@@ -15,7 +15,7 @@ LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 def taxi(t: Tables):
     """Hourly mean of the event values (in whole cents, so sums are exact)."""
-    return t.events.groupBy(F.date_trunc("hour", F.col("ts")).alias("hour")).agg(
+    return t.events.groupBy(F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz").alias("hour")).agg(
         F.avg(F.round(F.col("value") * 100)).alias("value"))
 
 
@@ -185,12 +185,11 @@ def _(spark, sf):
 
 
 @case("n2_tukey_fences", """
-WITH q AS (SELECT quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.75) AS q3 FROM lineitem)
-SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice FROM lineitem CROSS JOIN q
-WHERE l_extendedprice < q1 - 0.5 * (q3 - q1) OR l_extendedprice > q3 + 0.5 * (q3 - q1)""")
+WITH q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events)
+SELECT event_id, value FROM events CROSS JOIN q
+WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)""")
 def _(spark, sf):
-    return profile.tukey_outliers(Tables(spark, sf).lineitem, "l_extendedprice", 0.5).select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
+    return profile.tukey_outliers(Tables(spark, sf).events, "value").select("event_id", "value")
 
 
 # --- encodings ----------------------------------------------------------------------------------
@@ -344,14 +343,14 @@ def _(spark, sf):
 
 @case("f_math_functions", """
 SELECT c_custkey, round_even(c_acctbal, 0) + 0e0 AS nearest, greatest(c_acctbal, 0e0) AS clipped, abs(c_acctbal) AS magnitude,
-  round(sqrt(abs(c_acctbal)), 6) + 0e0 AS root, round(c_acctbal / nullif(c_nationkey, 0), 4) + 0e0 AS share,
+  round(sqrt(abs(c_acctbal)), 6) + 0e0 AS root, round(c_acctbal / nullif(c_nationkey, 0), 8) + 0e0 AS share,
   round(sin(c_nationkey), 6) + 0e0 AS s, round(cos(c_nationkey), 6) + 0e0 AS c FROM customer""")
 def _(spark, sf):
     x = F.col("c_acctbal")
     return Tables(spark, sf).customer.select(
         "c_custkey", (F.rint(x) + F.lit(0.0)).alias("nearest"), F.greatest(x, F.lit(0.0)).alias("clipped"),
         F.abs(x).alias("magnitude"), C.stable_round(F.sqrt(F.abs(x)), 6).alias("root"),
-        C.stable_round(F.try_divide(x, F.col("c_nationkey")), 4).alias("share"),
+        C.stable_round(F.try_divide(x, F.col("c_nationkey")), 8).alias("share"),
         C.stable_round(F.sin("c_nationkey"), 6).alias("s"), C.stable_round(F.cos("c_nationkey"), 6).alias("c"))
 
 
@@ -431,7 +430,7 @@ def _(spark, sf):
 WITH k AS (SELECT o_custkey, row_number() OVER (ORDER BY md5(CAST(o_custkey AS VARCHAR) || '|42')) AS p,
   count(*) OVER () AS n FROM (SELECT DISTINCT o_custkey FROM orders))
 SELECT o_orderkey, o_custkey FROM orders
-WHERE o_custkey IN (SELECT o_custkey FROM k WHERE p <= greatest(1, CAST(floor(n * 0.6) AS BIGINT)))""")
+WHERE o_custkey IN (SELECT o_custkey FROM k WHERE p <= greatest(1, CAST(floor(n * 0.6e0) AS BIGINT)))""")
 def _(spark, sf):
     return sampling.keep_share_of_keys(Tables(spark, sf).orders, "o_custkey", 0.6, 42).select("o_orderkey", "o_custkey")
 

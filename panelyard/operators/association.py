@@ -289,12 +289,13 @@ def quantile_bins(df: DataFrame, cols: Sequence[str], bins: int = 10, suffix="_b
     """Bin number = how many inner quantile edges lie below the value."""
     probs = [i / bins for i in range(1, bins)]
     edges = {row["column"]: row["q"] for row in exact_quantiles(df, cols, probs, **options).collect()}
-    out = {}
-    for c in cols:
-        inner = F.array(*[F.lit(e) for e in sorted(set(edges[c]))])
-        below = F.size(F.filter(inner, lambda e, c=c: e < F.col(c)))
-        out[f"{c}{suffix}"] = F.when(F.col(c).isNotNull(), below)
-    return df.withColumns(out)
+
+    def bin_of(c: str) -> Column:
+        inner = F.array(*[F.lit(e) for e in edges[c]])
+        below = F.size(F.filter(inner, lambda edge: edge < F.col(c)))
+        return F.when(F.col(c).isNotNull(), below)
+
+    return df.withColumns({f"{c}{suffix}": bin_of(c) for c in cols})
 
 
 def mixed_mutual_information(df: DataFrame, discrete: Sequence[str], continuous: Sequence[str],

@@ -48,8 +48,11 @@ def _mean_back(n: int, shift: int, need: int) -> Column:
     return F.when((known >= need) & (known > 0), total / known)
 
 
-def day_features(state: DataFrame, series="id", value="sold", encodings=True) -> DataFrame:
-    """The panel features of the state's current day, under the names of ``panel_features``."""
+def day_features(state: DataFrame, series="id", value="sold", groups=ENCODINGS) -> DataFrame:
+    """The panel features of the state's current day, under the names of ``panel_features``.
+
+    ``groups`` are the group means to compute; each is one small aggregate over the series rows.
+    """
     feats = {value: _back(0)}
     feats |= {f"{value}_lag_{k}": _back(k) for k in LAGS}
     feats |= {f"{value}_robustlag_{k}": _mean_back(max(1, int(k * 0.5)), k, 1) for k in ROBUST_LAGS}
@@ -59,45 +62,41 @@ def day_features(state: DataFrame, series="id", value="sold", encodings=True) ->
         size >= 14, F.array_max(F.slice("__hist", F.greatest(size - 13, F.lit(1)), 14)))
     feats[f"{value}_avg_expanding"] = F.try_divide("__sum", "__count")
     out = state.withColumns(feats)
-    if not encodings:
-        return out
-    base = state.select(series, *sorted({c for cols in ENCODINGS.values() for c in cols}),
-                        "__sum", "__count")
-    for name, cols in ENCODINGS.items():
+    for name, cols in groups.items():
         mean = F.try_divide(F.sum("__sum"), F.sum("__count")).alias(f"{value}_avg_{name}")
-        out = out.join(base.groupBy(*cols).agg(mean), list(cols), "left")
+        out = out.join(state.groupBy(*cols).agg(mean), list(cols), "left")
     own = F.try_divide("__sum", "__count")
-    out = out.withColumn(f"{value}_daily_deviation_from_avg", own - F.col(f"{value}_avg_item"))
+    if "item" in groups:
+        out = out.withColumn(f"{value}_daily_deviation_from_avg", own - F.col(f"{value}_avg_item"))
     return out.withColumn(
         f"{value}_daily_deviation_from_avg_30d", own - F.col(f"{value}_avg_30d"))
 
 
 def recursive_forecast(panel: DataFrame, predict: Callable[[DataFrame], DataFrame], start_day: int,
                        steps: int, series="id", attrs: Sequence[str] = (), value="sold", day="d",
-                       look_back: int = LOOK_BACK + 1, encodings=True,
-                       stage_every: int = 4) -> DataFrame:
+                       look_back: int = LOOK_BACK + 1, groups=ENCODINGS) -> DataFrame:
     """Predict day by day: rows (series, d, sold_next_day) for ``steps`` days from ``start_day``.
 
     ``predict`` adds a ``prediction`` column to a frame of one-day features and keeps the other
     columns. The prediction is clipped at 0, rounded half to even and becomes the next day's
-    value. The steps depend on each other; the state is staged every few steps to cut lineage.
+    value. The steps depend on each other, so each is one job over the series rows; its state is
+    staged, which keeps the plan of every step the same size. ``groups`` limits the group means to
+    those the model reads.
     """
     state = stage(initial_state(panel, series, attrs, start_day, look_back, value, day), "state")
     columns = state.columns
-    for step in range(1, steps + 1):
-        feats = day_features(state, series, value, encodings)
+    for _ in range(steps):
+        feats = day_features(state, series, value, groups)
         said = predict(feats).withColumn("__next", clip_round(F.col("prediction").cast("double")))
         longer = F.concat("__hist", F.array("__next"))
-        state = said.select(
+        state = stage(said.select(
             *[c for c in columns if c not in ("__hist", "__sum", "__count", "__out", day)],
             F.when(F.size("__hist") < look_back, longer)
             .otherwise(F.slice(longer, 2, look_back)).alias("__hist"),
             (F.col("__sum") + F.col("__next")).alias("__sum"),
             (F.col("__count") + 1).alias("__count"),
             F.concat("__out", F.array("__next")).alias("__out"),
-            (F.col(day) + 1).alias(day))
-        if step % stage_every == 0 or step == steps:
-            state = stage(state, "state")
+            (F.col(day) + 1).alias(day)), "state")
     return state.select(series, *attrs, F.posexplode("__out").alias("__i", f"{value}_next_day")).select(
         series, *attrs, (F.col("__i") + F.lit(start_day)).cast("int").alias(day),
         f"{value}_next_day")

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from panelyard.plans.staging import stage
 
 _SLOT = "__slot"
-_PART = "__part"
-_POS = "__pos"
+_PART = "__slot_part"
+_POS = "__slot_pos"
 
 
 def _range_slots(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
