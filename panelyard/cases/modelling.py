@@ -153,16 +153,21 @@ forecast AS (SELECT id, CAST(n - 28 + i AS INTEGER) AS d, p AS sold_next_day FRO
 """
 
 
-def _weekly_forecast(t: Tables):
+def _history(t: Tables):
     df, n = sales_panel(t)
-    rows = stage(df.select("id", *SERIES_ATTRS, "d", "sold"), "panel")
-    said = forecast.recursive_forecast(rows, forecast.moving_average_model(7), n - 28, 28, "id", groups={})
-    return rows, n, said
+    return stage(df.select("id", *SERIES_ATTRS, "d", "sold"), "panel"), n
 
 
 @case("l12_recursive_forecast", FORECAST_SQL + "SELECT id, d, sold_next_day FROM forecast")
 def _(spark, sf):
-    return _weekly_forecast(Tables(spark, sf))[2]
+    df, n = sales_panel(Tables(spark, sf))
+    return forecast.expression_forecast(df, lambda f: f["sold_avg_7d"], n - 28, 28)
+
+
+@case("l12_recursive_forecast_by_day", FORECAST_SQL + "SELECT id, d, sold_next_day FROM forecast")
+def _(spark, sf):
+    rows, n = _history(Tables(spark, sf))
+    return forecast.recursive_forecast(rows, forecast.moving_average_model(7), n - 28, 28, groups={})
 
 
 FEATURES = ["sold", "sold_lag_1", "sold_lag_7", "sold_lag_30", "sold_robustlag_7", "sold_avg_7d", "sold_avg_30d",
@@ -171,14 +176,28 @@ FEATURES = ["sold", "sold_lag_1", "sold_lag_7", "sold_lag_30", "sold_robustlag_7
 
 @case("l12_recursive_forecast_model")
 def _(spark, sf):
-    df, n = sales_panel(Tables(spark, sf))
-    rows = stage(df.select("id", *SERIES_ATTRS, "d", "sold"), "panel")
+    rows, n = _history(Tables(spark, sf))
     feats = panel.panel_features(rows, series_rows=n).filter(F.col("d") < n - 28).fillna(0.0)
     model = models.ModelSpec("ridge", FEATURES, "sold_next_day").fit(feats)
     return forecast.recursive_forecast(rows, forecast.mllib_model(model), n - 28, 28, "id", SERIES_ATTRS,
                                        groups={"item": panel.ENCODINGS["item"]})
 
 
+OWN = [c for c in FEATURES if c not in ("sold_avg_item", "sold_daily_deviation_from_avg")]
+
+
+@case("l12_forecast_linear_expression")
+def _(spark, sf):
+    """A fitted linear model folded over the horizon in one job."""
+    rows, n = _history(Tables(spark, sf))
+    feats = panel.add_expanding_mean(panel.add_window_features(rows))
+    feats = feats.withColumn("sold_next_day", panel.lead_target("sold", ["id"]))
+    feats = feats.filter(F.col("d") < n - 28).select(*OWN, "sold_next_day").fillna(0.0)
+    fitted = models.ModelSpec("ridge", OWN, "sold_next_day").fit(feats).stages[-1]
+    said = forecast.linear_expression(dict(zip(OWN, fitted.coefficients)), fitted.intercept)
+    return forecast.expression_forecast(rows, said, n - 28, 28)
+
+
 # --- scores -----------------------------------------------------------------------------------------
 
 

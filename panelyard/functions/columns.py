@@ -81,3 +81,11 @@ def clip_round(col: Column) -> Column:
 def stable_round(col: Column, digits: int) -> Column:
     """Round and turn -0.0 into 0.0."""
     return F.round(col, digits) + F.lit(0.0)
+
+
+def safe_corr(a: str, b: str) -> Column:
+    """Pearson correlation over complete pairs, null for constant columns (``corr`` raises on
+    them in ANSI mode)."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
+    return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y)))

@@ -17,10 +17,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelyard.functions.columns import safe_corr
 from panelyard.functions.special import chi2_tail_udf, f_tail_udf
 from panelyard.operators.encode import standard_scale
 from panelyard.operators.prep import require_counts, require_numeric
 from panelyard.plans import (
+    attach,
     exact_quantiles,
     stage,
     with_row,
@@ -44,7 +46,7 @@ def pearson(df: DataFrame, cols: Sequence[str], target: str | None = None) -> Da
     targets = [target] if target else list(cols)
     wanted = sorted({tuple(sorted((a, b))) for a in cols for b in targets})
     wide = df.agg(*[
-        F.coalesce(F.nanvl(F.corr(a, b), F.lit(0.0)), F.lit(0.0)).alias(f"{a}|{b}")
+        F.coalesce(safe_corr(a, b), F.lit(0.0)).alias(f"{a}|{b}")
         for a, b in wanted])
     return _pair_rows(wide, [
         (a, b, F.col(f"`{min(a, b)}|{max(a, b)}`")) for a in cols for b in targets])
@@ -138,7 +140,7 @@ def f_classif(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
 def f_regression(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
     """F = r^2 / (1 - r^2) * (n - 2) and p (K4)."""
     require_numeric(df, [*cols, target])
-    wide = df.agg(*[F.struct(F.corr(c, target).alias("r"),
+    wide = df.agg(*[F.struct(safe_corr(c, target).alias("r"),
                              F.count(F.when(F.col(c).isNotNull() & F.col(target).isNotNull(), 1))
                              .alias("n")).alias(c) for c in cols])
     long = wide.select(F.inline(F.array(*[
@@ -321,15 +323,14 @@ def seasonal_cycles(df: DataFrame, order: str, value: str, series: Sequence[str]
     rounds of short transforms (N = A * B), so no task holds a whole series.
     """
     series = list(series)
-    df = df.select(*series, order, F.col(value).cast("double").alias(value))
-    sizes = stage(df.groupBy(*series).agg(F.count("*").alias("n_points")), "sizes")
+    df = stage(df.select(*series, order, F.col(value).cast("double").alias(value)), "series")
+    sizes = df.groupBy(*series).agg(F.count("*").alias("n_points"))
     longest = sizes.agg(F.max("n_points")).first()[0] or 0
     if longest <= max_points:
-        out = _one_round(df, order, value, series)
-    else:
-        out = _two_rounds(df, sizes, order, value, series, longest)
+        return _one_round(df, order, value, series)
+    out = stage(_two_rounds(df, sizes, order, value, series), "cycles")
     total = out.groupBy(*series).agg(F.sum("amplitude").alias("__total"))
-    out = out.join(stage(total, "power"), series) if series else with_row(out, stage(total, "power"))
+    out = attach(out, total, series) if series else with_row(out, total)
     share = F.try_divide("amplitude", F.col("__total"))
     return out.withColumn("share", share).drop("__total")
 
@@ -343,25 +344,27 @@ def _one_round(df: DataFrame, order: str, value: str, series: list[str]) -> Data
     def transform(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values(order)[value].to_numpy(dtype=float)
         k = np.arange(1, len(x) // 2 + 1)
-        out = pd.DataFrame({"k": k, "period": len(x) / k,
-                            "amplitude": np.abs(np.fft.rfft(x))[1:]})
+        power = np.abs(np.fft.rfft(x))[1:]
+        total = power.sum()
+        out = pd.DataFrame({"k": k, "period": len(x) / k, "amplitude": power,
+                            "share": power / total if total else None})
         for c in series:
             out[c] = pdf[c].iloc[0]
-        return out[[*series, "k", "period", "amplitude"]]
+        return out[[*series, "k", "period", "amplitude", "share"]]
 
-    schema = _schema(df, series, "k bigint, period double, amplitude double")
+    schema = _schema(df, series, "k bigint, period double, amplitude double, share double")
     return df.groupBy(*series).applyInPandas(transform, schema)
 
 
-def _two_rounds(df: DataFrame, sizes: DataFrame, order: str, value: str, series: list[str],
-                longest: int) -> DataFrame:
+def _two_rounds(df: DataFrame, sizes: DataFrame, order: str, value: str,
+                series: list[str]) -> DataFrame:
     placed = with_series_position(df, series, [order], "t")
         # Per series N = a * b with the largest divisor a <= sqrt(N); a prime N has a = 1.
     divisor = F.array_max(F.filter(
         F.sequence(F.lit(1), F.floor(F.sqrt("n_points")).cast("bigint")),
         lambda i: F.col("n_points") % i == 0))
-    lengths = stage(sizes.select(*series, "n_points", divisor.alias("a")), "lengths")
-    placed = placed.join(lengths, series) if series else with_row(placed, lengths)
+    lengths = sizes.select(*series, "n_points", divisor.alias("a"))
+    placed = attach(placed, lengths, series) if series else with_row(placed, lengths)
     placed = stage(placed.withColumn("r", F.col("t") % F.col("a")), "placed")
     spread, prime = placed.filter("a > 1"), placed.filter("a = 1")
 

@@ -32,36 +32,52 @@ def initial_state(panel: DataFrame, series: str, attrs: Sequence[str], start_day
     ).withColumn("__out", F.array().cast("array<double>")).withColumn(day, F.lit(start_day))
 
 
-def _back(k: int) -> Column:
-    """Value ``k`` rows before the current one, null before the start of the history."""
-    return F.get("__hist", F.size("__hist") - 1 - k)
-
-
-def _mean_back(n: int, shift: int, need: int) -> Column:
-    """Mean of up to ``n`` values ending ``shift`` rows back; null below ``need`` values."""
-    size = F.size("__hist")
-    end = size - shift
-    start = F.greatest(end - n, F.lit(0))
-    part = F.slice("__hist", start + 1, F.greatest(end - start, F.lit(0)))
-    total = F.aggregate(part, F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
-    known = F.size(F.filter(part, lambda v: v.isNotNull()))
-    return F.when((known >= need) & (known > 0), total / known)
-
-
-def day_features(state: DataFrame, series="id", value="sold", groups=ENCODINGS) -> DataFrame:
+class History:
+    """Expressions over one series' state: value array (oldest first), running sum and count."""
+
+    def __init__(self, values: Column, total: Column, count: Column):
+        self.values, self.total, self.count = values, total, count
+
+    def back(self, k: int) -> Column:
+        """Value ``k`` rows before the current one, null before the start of the history."""
+        return F.get(self.values, F.size(self.values) - 1 - k)
+
+    def mean(self, n: int, shift: int = 0, need: int = 1) -> Column:
+        """Mean of up to ``n`` values ending ``shift`` rows back; null below ``need`` values."""
+        end = F.size(self.values) - shift
+        start = F.greatest(end - n, F.lit(0))
+        part = F.slice(self.values, start + 1, F.greatest(end - start, F.lit(0)))
+        zero = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"))
+        known = F.aggregate(
+            part, zero,
+            lambda a, v: F.struct((a["s"] + F.coalesce(v, F.lit(0.0))).alias("s"),
+                                  (a["n"] + v.isNotNull().cast("int")).alias("n")),
+            lambda a: F.when(a["n"] >= F.lit(max(need, 1)), a["s"] / a["n"]))
+        return known
+
+    def maximum(self, n: int) -> Column:
+        size = F.size(self.values)
+        return F.when(size >= n, F.array_max(
+            F.slice(self.values, F.greatest(size - (n - 1), F.lit(1)), n)))
+
+    def features(self, value="sold") -> dict[str, Column]:
+        """The features that need only the series itself, named as in ``panel_features``."""
+        out = {value: self.back(0)}
+        out |= {f"{value}_lag_{k}": self.back(k) for k in LAGS}
+        out |= {f"{value}_robustlag_{k}": self.mean(max(1, int(k * 0.5)), k) for k in ROBUST_LAGS}
+        out |= {f"{value}_avg_{n}d": self.mean(n, 0, n) for n in ROLLING}
+        out[f"{value}_max_14d"] = self.maximum(14)
+        out[f"{value}_avg_expanding"] = F.try_divide(self.total, self.count)
+        return out
+
+
+def day_features(state: DataFrame, value="sold", groups=ENCODINGS) -> DataFrame:
     """The panel features of the state's current day, under the names of ``panel_features``.
 
     ``groups`` are the group means to compute; each is one small aggregate over the series rows.
     """
-    feats = {value: _back(0)}
-    feats |= {f"{value}_lag_{k}": _back(k) for k in LAGS}
-    feats |= {f"{value}_robustlag_{k}": _mean_back(max(1, int(k * 0.5)), k, 1) for k in ROBUST_LAGS}
-    feats |= {f"{value}_avg_{n}d": _mean_back(n, 0, n) for n in ROLLING}
-    size = F.size("__hist")
-    feats[f"{value}_max_14d"] = F.when(
-        size >= 14, F.array_max(F.slice("__hist", F.greatest(size - 13, F.lit(1)), 14)))
-    feats[f"{value}_avg_expanding"] = F.try_divide("__sum", "__count")
-    out = state.withColumns(feats)
+    history = History(F.col("__hist"), F.col("__sum"), F.col("__count"))
+    out = state.withColumns(history.features(value))
     for name, cols in groups.items():
         mean = F.try_divide(F.sum("__sum"), F.sum("__count")).alias(f"{value}_avg_{name}")
         out = out.join(state.groupBy(*cols).agg(mean), list(cols), "left")
@@ -72,6 +88,49 @@ def day_features(state: DataFrame, series="id", value="sold", groups=ENCODINGS)
         f"{value}_daily_deviation_from_avg_30d", own - F.col(f"{value}_avg_30d"))
 
 
+def expression_forecast(panel: DataFrame, model: Callable[[dict[str, Column]], Column],
+                        start_day: int, steps: int, series="id", attrs: Sequence[str] = (),
+                        value="sold", day="d", look_back: int = LOOK_BACK + 1) -> DataFrame:
+    """Recursive forecast by a model that is an expression of the series' own features.
+
+    Such a model needs no job per day: the steps are folded over the state array, so the whole
+    horizon is one pass over the series rows. Same result as ``recursive_forecast``.
+    """
+    state = initial_state(panel, series, attrs, start_day, look_back, value, day)
+    begin = F.struct(F.col("__hist").alias("h"), F.col("__sum").cast("double").alias("s"),
+                     F.col("__count").alias("n"), F.col("__out").alias("o"))
+
+    def one_day(acc: Column, _: Column) -> Column:
+        features = History(acc["h"], acc["s"], acc["n"]).features(value)
+        said = F.array(clip_round(model(features).cast("double")))
+        # The prediction is computed once and bound by a one-element transform.
+        return F.transform(said, lambda p: F.struct(
+            F.when(F.size(acc["h"]) < look_back, F.concat(acc["h"], F.array(p)))
+            .otherwise(F.concat(F.slice(acc["h"], 2, look_back - 1), F.array(p))).alias("h"),
+            (acc["s"] + p).alias("s"), (acc["n"] + F.lit(1)).alias("n"),
+            F.concat(acc["o"], F.array(p)).alias("o")))[0]
+
+    said = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), begin, one_day, lambda acc: acc["o"])
+    return _forecast_rows(state.withColumn("__out", said), series, attrs, start_day, value, day)
+
+
+def _forecast_rows(state: DataFrame, series, attrs, start_day, value, day) -> DataFrame:
+    name = f"{value}_next_day"
+    return state.select(series, *attrs, F.posexplode("__out").alias("__i", name)).select(
+        series, *attrs, (F.col("__i") + F.lit(start_day)).cast("int").alias(day), name)
+
+
+def linear_expression(coefficients: dict[str, float], intercept: float):
+    """A fitted linear model as an expression; missing features count as 0."""
+    def model(features: dict[str, Column]) -> Column:
+        total = F.lit(float(intercept))
+        for name, weight in coefficients.items():
+            total = total + F.lit(float(weight)) * F.coalesce(features[name], F.lit(0.0))
+        return total
+
+    return model
+
+
 def recursive_forecast(panel: DataFrame, predict: Callable[[DataFrame], DataFrame], start_day: int,
                        steps: int, series="id", attrs: Sequence[str] = (), value="sold", day="d",
                        look_back: int = LOOK_BACK + 1, groups=ENCODINGS) -> DataFrame:
@@ -86,7 +145,7 @@ def recursive_forecast(panel: DataFrame, predict: Callable[[DataFrame], DataFram
     state = stage(initial_state(panel, series, attrs, start_day, look_back, value, day), "state")
     columns = state.columns
     for _ in range(steps):
-        feats = day_features(state, series, value, groups)
+        feats = day_features(state, value, groups)
         said = predict(feats).withColumn("__next", clip_round(F.col("prediction").cast("double")))
         longer = F.concat("__hist", F.array("__next"))
         state = stage(said.select(
@@ -97,14 +156,13 @@ def recursive_forecast(panel: DataFrame, predict: Callable[[DataFrame], DataFram
             (F.col("__count") + 1).alias("__count"),
             F.concat("__out", F.array("__next")).alias("__out"),
             (F.col(day) + 1).alias(day)), "state")
-    return state.select(series, *attrs, F.posexplode("__out").alias("__i", f"{value}_next_day")).select(
-        series, *attrs, (F.col("__i") + F.lit(start_day)).cast("int").alias(day),
-        f"{value}_next_day")
+    return _forecast_rows(state, series, attrs, start_day, value, day)
 
 
 def moving_average_model(window: int = 7, value="sold") -> Callable[[DataFrame], DataFrame]:
     """A model without parameters: tomorrow is the mean of the last ``window`` days."""
-    return lambda df: df.withColumn("prediction", _mean_back(window, 0, 1))
+    history = History(F.col("__hist"), F.col("__sum"), F.col("__count"))
+    return lambda df: df.withColumn("prediction", history.mean(window))
 
 
 def mllib_model(model) -> Callable[[DataFrame], DataFrame]:

@@ -55,28 +55,24 @@ def dense_panel(
     """Every series on every day; days without a sale get 0.
 
     ``sales`` may hold any number of rows per (series, day): they are summed first, with map-side
-    combine, so a series that holds a third of the raw rows is a few thousand rows after it. The
-    observed days then travel to their series in one exchange and the empty days are generated
-    behind it, so the shuffle carries the sparse rows only. Everything downstream that is
-    partitioned by ``series`` reuses this exchange.
+    combine, so a series that holds a third of the raw rows is at most one row per day after it.
+    Those sums are staged, so the raw rows are read once however often the panel is used. They
+    travel to their series in one exchange, and each observed day then spells out the empty days
+    up to the next one. Everything downstream that is partitioned by ``series`` reuses the
+    exchange, and no empty row is ever shuffled.
     """
     last = days.count()
-    observed = sales.groupBy(series, *attrs, day).agg(F.sum(value).alias(value))
-    cell = F.struct(F.col(day), F.col(value))
-    empty = F.transform(
-        F.sequence(F.lit(1), F.lit(last)),
-        lambda i: F.struct(i.cast("int").alias(day), F.lit(0.0).alias(value)),
-    )
-    return (
-        observed.withColumn(value, F.col(value).cast("double"))
-        .repartition(series)
-        .groupBy(series, *attrs)
-        .agg(F.collect_list(cell).alias("__cells"))
-        .select(series, *attrs, F.inline(F.concat("__cells", empty)))
-        .groupBy(series, *attrs, day)
-        .agg(F.sum(value).alias(value))
-        .join(days, day)
-    )
+    observed = stage(
+        sales.groupBy(series, *attrs, day).agg(F.sum(value).cast("double").alias(value)), "observed")
+    w = Window.partitionBy(series).orderBy(day)
+    first = F.when(F.lag(day).over(w).isNull(), F.lit(1)).otherwise(F.col(day))
+    until = F.coalesce(F.lead(day).over(w) - 1, F.lit(last))
+    spread = observed.withColumns({"__first": first, "__until": until})
+    grid = spread.select("*", F.explode(F.sequence("__first", "__until")).alias("__day"))
+    return grid.select(
+        series, *attrs, F.col("__day").alias(day),
+        F.when(F.col("__day") == F.col(day), F.col(value)).otherwise(0.0).alias(value),
+    ).join(days, day)
 
 
 def extend_horizon(panel: DataFrame, series: Sequence[str], attrs: Sequence[str],
@@ -316,12 +312,21 @@ def panel_features(df: DataFrame, value="sold", series="id", order="d",
         out = add_expanding_mean(out, value, (series,), order)
         out = out.withColumn(f"{value}_next_day", lead_target(value, (series,), order))
         out = backfill(out, filled_columns(value), (series,), order)
-        out = attach(out, series_profile(df, value, series, ENCODINGS, fit_filter), [series])
-        out = add_deviations(out, value, 30, (series,), order)
-        return out.drop(f"{value}_avg_id")
+        return _with_group_means(out, series_profile(df, value, series, ENCODINGS, fit_filter),
+                                 value, series)
     return long_panel_features(df, value, series, order, fit_filter)
 
 
+def _with_group_means(df: DataFrame, profile: DataFrame, value: str, series: str) -> DataFrame:
+    """Encodings and deviations. The rolling mean is backward-filled already and the series mean
+    is constant, so the deviation needs no fill of its own."""
+    own = F.col(f"{value}_avg_id")
+    return attach(df, profile, [series]).withColumns({
+        f"{value}_daily_deviation_from_avg": own - F.col(f"{value}_avg_item"),
+        f"{value}_daily_deviation_from_avg_30d": own - F.col(f"{value}_avg_30d"),
+    }).drop(f"{value}_avg_id")
+
+
 # --- very long series -------------------------------------------------------------------------
 
 
@@ -401,10 +406,5 @@ def long_panel_features(df: DataFrame, value="sold", series="id", order="d",
     out = chunked(placed, position, LOOK_BACK, features, 1, chunk)
     out = carried_expanding_mean(out, value, series, position, chunk)
     out = carry_back(out, filled_columns(value), series, position, chunk)
-    out = attach(out, series_profile(df, value, series, ENCODINGS, fit_filter), [series])
-    own = F.col(f"{value}_avg_id")
-    out = out.withColumn(f"{value}_daily_deviation_from_avg", own - F.col(f"{value}_avg_item"))
-    name = f"{value}_daily_deviation_from_avg_30d"
-    out = out.withColumn(name, own - F.col(f"{value}_avg_30d"))
-    # The rolling mean was filled already, so only a series shorter than its window stays null.
-    return out.drop(position, f"{value}_avg_id")
+    profile = series_profile(df, value, series, ENCODINGS, fit_filter)
+    return _with_group_means(out, profile, value, series).drop(position)
