@@ -1,4 +1,7 @@
-"""Panel window features."""
+"""Panel window features.
+
+Sales are whole numbers, so sums are exact and means compare without rounding.
+"""
 
 from __future__ import annotations
 
@@ -40,9 +43,9 @@ def raw_sql(cols: dict[str, str]) -> str:
     return ", ".join(f"{e} AS {c}" for c, e in cols.items())
 
 
-def with_fill(cols: dict[str, str], digits: int | None = 6) -> str:
+def with_fill(cols: dict[str, str]) -> str:
     """Window columns first, then the backward fill, over the panel."""
-    out = [rsql(filled(c), c, digits) if digits else f"{filled(c)} AS {c}" for c in cols]
+    out = [f"{filled(c)} AS {c}" for c in cols]
     return (f"WITH {PANEL_SQL}, w AS (SELECT id, d, {raw_sql(cols)} FROM panel)\n"
             f"SELECT id, d, {', '.join(out)} FROM w")
 
@@ -51,7 +54,7 @@ def _panel(spark, sf):
     return sales_panel(Tables(spark, sf))[0]
 
 
-@case("w1_lags", with_fill(LAG_COLS, None))
+@case("w1_lags", with_fill(LAG_COLS))
 def _(spark, sf):
     df = panel.backfill(panel.add_lags(_panel(spark, sf)), list(LAG_COLS))
     return df.select("id", "d", *LAG_COLS)
@@ -60,25 +63,25 @@ def _(spark, sf):
 @case("w2_robust_lags", with_fill(ROBUST_COLS))
 def _(spark, sf):
     df = panel.backfill(panel.add_robust_lags(_panel(spark, sf)), list(ROBUST_COLS))
-    return df.select("id", "d", *[r(c) for c in ROBUST_COLS])
+    return df.select("id", "d", *ROBUST_COLS)
 
 
 @case("w3_rolling_means", with_fill(ROLLING_COLS))
 def _(spark, sf):
     df = panel.backfill(panel.add_rolling_means(_panel(spark, sf)), list(ROLLING_COLS))
-    return df.select("id", "d", *[r(c) for c in ROLLING_COLS])
+    return df.select("id", "d", *ROLLING_COLS)
 
 
-@case("w4_rolling_max", with_fill(MAX_COLS, None))
+@case("w4_rolling_max", with_fill(MAX_COLS))
 def _(spark, sf):
     df = panel.backfill(panel.add_rolling_max(_panel(spark, sf)), list(MAX_COLS))
     return df.select("id", "d", *MAX_COLS)
 
 
-@case("w5_expanding_mean", f"WITH {PANEL_SQL} SELECT id, d, " + rsql(
-    f"avg(sold) {frame('UNBOUNDED PRECEDING', 'CURRENT ROW')}", "sold_avg_expanding") + " FROM panel")
+@case("w5_expanding_mean", f"WITH {PANEL_SQL} SELECT id, d, "
+      f"avg(sold) {frame('UNBOUNDED PRECEDING', 'CURRENT ROW')} AS sold_avg_expanding FROM panel")
 def _(spark, sf):
-    return panel.add_expanding_mean(_panel(spark, sf)).select("id", "d", r("sold_avg_expanding"))
+    return panel.add_expanding_mean(_panel(spark, sf)).select("id", "d", "sold_avg_expanding")
 
 
 @case("w6_lead_target", f"WITH {PANEL_SQL} SELECT id, d, coalesce(lead(sold) {W}, 0e0) AS sold_next_day FROM panel")
@@ -100,8 +103,7 @@ def mean_sql(cols) -> str:
 @case("w8_deviations", f"WITH {PANEL_SQL}, w AS (SELECT id, d, {mean_sql(['id'])} AS own, "
       f"{mean_sql(['item_id'])} AS item, {rolling_sql(30)} AS m30 FROM panel), "
       "v AS (SELECT id, d, own - item AS a, own - m30 AS b FROM w) SELECT id, d, "
-      + rsql("a", "sold_daily_deviation_from_avg") + ", "
-      + rsql(filled("b"), "sold_daily_deviation_from_avg_30d") + " FROM v")
+      f"a AS sold_daily_deviation_from_avg, {filled('b')} AS sold_daily_deviation_from_avg_30d FROM v")
 def _(spark, sf):
     from panelyard.plans import attach
 
@@ -109,7 +111,7 @@ def _(spark, sf):
     out = panel.add_rolling_means(df, windows=(30,))
     out = attach(out, panel.series_profile(df), ["id"])
     return panel.add_deviations(out).select(
-        "id", "d", r("sold_daily_deviation_from_avg"), r("sold_daily_deviation_from_avg_30d"))
+        "id", "d", "sold_daily_deviation_from_avg", "sold_daily_deviation_from_avg_30d")
 
 
 def _slope_sql(window: int, every: int) -> str:
@@ -145,20 +147,19 @@ def _(spark, sf):
 
 
 @case("e2_mean_encodings", f"WITH {PANEL_SQL} SELECT id, d, " + ", ".join(
-    rsql(mean_sql(cols), f"sold_avg_{name}") for name, cols in ENCODINGS.items()) + " FROM panel")
+    f"{mean_sql(cols)} AS sold_avg_{name}" for name, cols in ENCODINGS.items()) + " FROM panel")
 def _(spark, sf):
     df = panel.add_mean_encodings(_panel(spark, sf))
-    return df.select("id", "d", *[r(f"sold_avg_{n}") for n in ENCODINGS])
+    return df.select("id", "d", *[f"sold_avg_{n}" for n in ENCODINGS])
 
 
 @case("e2_mean_encodings_train_only", f"WITH {PANEL_SQL}, m AS (SELECT max(d) - 28 AS cut FROM days) "
       "SELECT id, d, " + ", ".join(
-          rsql(f"avg(CASE WHEN d <= cut THEN sold END) OVER (PARTITION BY {', '.join(cols)})",
-               f"sold_avg_{name}") for name, cols in ENCODINGS.items()) + " FROM panel CROSS JOIN m")
+          f"avg(CASE WHEN d <= cut THEN sold END) OVER (PARTITION BY {', '.join(cols)}) AS sold_avg_{name}" for name, cols in ENCODINGS.items()) + " FROM panel CROSS JOIN m")
 def _(spark, sf):
     df, n = sales_panel(Tables(spark, sf))
     df = panel.add_mean_encodings(df, fit_filter=F.col("d") <= n - 28)
-    return df.select("id", "d", *[r(f"sold_avg_{n}") for n in ENCODINGS])
+    return df.select("id", "d", *[f"sold_avg_{n}" for n in ENCODINGS])
 
 
 FILLED = {**LAG_COLS, **ROBUST_COLS, **ROLLING_COLS, **MAX_COLS}
@@ -173,18 +174,16 @@ ALL_SQL = (
     + f", coalesce(lead(sold) {W}, 0e0) AS sold_next_day FROM panel), "
     + "f AS (SELECT id, d, sold, own, " + ", ".join(f"{filled(c)} AS {c}" for c in FILLED) + ", "
     + ", ".join(f"sold_avg_{n}" for n in ENCODINGS) + ", sold_avg_expanding, sold_next_day FROM w) "
-    + "SELECT id, d, sold, " + ", ".join(rsql(c, c) for c in FILLED) + ", "
-    + ", ".join(rsql(f"sold_avg_{n}", f"sold_avg_{n}") for n in ENCODINGS) + ", "
-    + rsql("sold_avg_expanding", "sold_avg_expanding") + ", " + rsql("sold_next_day", "sold_next_day")
-    + ", " + rsql("own - sold_avg_item", "sold_daily_deviation_from_avg") + ", "
-    + rsql("own - sold_avg_30d", "sold_daily_deviation_from_avg_30d") + " FROM f")
+    + "SELECT id, d, sold, " + ", ".join(FILLED) + ", " + ", ".join(f"sold_avg_{n}" for n in ENCODINGS)
+    + ", sold_avg_expanding, sold_next_day, own - sold_avg_item AS sold_daily_deviation_from_avg, "
+    + "own - sold_avg_30d AS sold_daily_deviation_from_avg_30d FROM f")
 
 
 @case("w_all_panel_features", ALL_SQL)
 def _(spark, sf):
     df, n = sales_panel(Tables(spark, sf))
     out = panel.panel_features(df, series_rows=n)
-    return out.select("id", "d", "sold", *[r(c) for c in [*FILLED, *OTHER]])
+    return out.select("id", "d", "sold", *FILLED, *OTHER)
 
 
 @case("w_all_long_series", ALL_SQL)
@@ -192,4 +191,4 @@ def _(spark, sf):
     """The same features by the chunked way for very long series."""
     df, _ = sales_panel(Tables(spark, sf))
     out = panel.long_panel_features(df.select("id", *SERIES_ATTRS, "d", "sold"), chunk=700)
-    return out.select("id", "d", "sold", *[r(c) for c in [*FILLED, *OTHER]])
+    return out.select("id", "d", "sold", *FILLED, *OTHER)

@@ -17,7 +17,7 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str, by: Sequence[
                        **options) -> DataFrame:
     """MAE, MSE, RMSE, RMSE / IQR(predictions), R2 and the R2 of the mean predictor (V1).
 
-    NRMSE is null when the predictions have no spread.
+    Predictions without spread give an infinite NRMSE (null when the error is 0 as well).
     """
     by = list(by)
     error = F.col(actual) - F.col(predicted)
@@ -31,7 +31,8 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str, by: Sequence[
         F.when(F.col("mse") == 0, 1.0).otherwise(0.0))
     return out.select(
         *by, "n", "mae", "mse", F.sqrt("mse").alias("rmse"),
-        F.try_divide(F.sqrt("mse"), spread).alias("nrmse"), r2.alias("r2"),
+        F.when((spread == 0) & (F.col("mse") > 0), F.lit(float("inf")))
+        .otherwise(F.try_divide(F.sqrt("mse"), spread)).alias("nrmse"), r2.alias("r2"),
         F.when(F.col("__var") > 0, 0.0).otherwise(1.0).alias("bsl_r2"))
 
 
