@@ -16,6 +16,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from panelyard.cases import load_cases  # noqa: E402
+from panelyard.plans import release  # noqa: E402
 from panelyard.session import local_session  # noqa: E402
 
 HEADLINE = [
@@ -59,6 +60,7 @@ def main() -> None:
         seconds[name] = round(statistics.median(taken), 3)
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(seconds.values()), 3),
                       "unit": "sec", "queries": seconds, "sf": Path(folder).name.removeprefix("sf")}))
+    release(spark)
     spark.stop()
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["tables", "windows", "summaries", "splits", "statistics", "modelling", "sequences"]
+MODULES = ["tables", "windows", "summaries", "splits", "statistics", "modelling", "sequences", "worked"]
 
 
 def load_cases():

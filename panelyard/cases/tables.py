@@ -119,7 +119,8 @@ def _(spark, sf):
     folder = new_path(spark, "folder")
     for name, df in [("sales", monthly_wide(t)[0]), ("prices", prices(t)), ("calendar", calendar(t))]:
         df.write.option("header", True).csv(f"{folder}/{name}.csv")
-    loaded = sources.load_panel_folder(spark, folder, "sales.csv", "prices.csv", "calendar.csv")
+    loaded = sources.load_panel_folder(spark, folder, "sales.csv", "prices.csv", "calendar.csv",
+                                       value_type="double")
     measure = {"sales": "sold", "prices": "sell_price", "calendar": "d"}
     out = None
     for name, df in loaded.items():

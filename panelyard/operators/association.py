@@ -80,7 +80,9 @@ def spearman(df: DataFrame, cols: Sequence[str], target: str | None = None) -> D
     if not full:
         return _pair_rows(df.sparkSession.range(1), [
             (a, b, F.lit(0.0)) for a in cols for b in targets])
-    ranks = stage(average_ranks(rows, sorted(full), "__w"), "ranks")
+    # One folder per column, so the ranks of a column with few values are broadcast on their own
+    # size whatever the other columns hold.
+    ranks = stage(average_ranks(rows, sorted(full), "__w"), "ranks", "column")
     middle = (total + 1) / 2.0
     for c in sorted(full):
         own = ranks.filter(F.col("column") == c).select(
@@ -183,7 +185,8 @@ def complete_columns(df: DataFrame, cols: Sequence[str]) -> list[str]:
     return [c for c in cols if row[c] == 0]
 
 
-def _category_rows(df: DataFrame, cols: Sequence[str], keep: Sequence[str]) -> DataFrame:
+def category_rows(df: DataFrame, cols: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """Rows (*keep, column_name, level): one per row and category column."""
     pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("level"))
                       for c in cols])
     return df.select(*keep, F.inline(pairs))
@@ -200,7 +203,7 @@ def chi2_independence(df: DataFrame, target: str, cols: Sequence[str]) -> DataFr
     # Merged first: the table of distinct tuples is what gets unpivoted.
     merged = df.groupBy(target, *usable).agg(F.count("*").alias("w"))
     cells = stage(
-        _category_rows(merged, usable, [target, "w"])
+        category_rows(merged, usable, [target, "w"])
         .groupBy("column_name", "level", target).agg(F.sum("w").alias("o")), "cells")
     rows = cells.groupBy("column_name", "level").agg(F.sum("o").alias("r"))
     classes = cells.groupBy("column_name", target).agg(F.sum("o").alias("c"))
@@ -230,7 +233,7 @@ def anova_by_category(df: DataFrame, target: str, cols: Sequence[str]) -> DataFr
     df = df.filter(F.col(target).isNotNull())
     usable = complete_columns(df, [c for c in cols if c != target])
     groups = stage(
-        _category_rows(df, usable, [target]).groupBy("column_name", "level").agg(
+        category_rows(df, usable, [target]).groupBy("column_name", "level").agg(
             F.count("*").alias("n"), F.avg(target).alias("mean"), F.var_pop(target).alias("var")),
         "groups")
     return _f_from_groups(groups, ["column_name"]).select(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -87,14 +87,15 @@ def batch_min_max(df: DataFrame, col: str, order: Sequence[str], batch_rows: int
     parameters of the first batch when fitting is frozen (E11)."""
     indexed = with_global_index(df, order, "__idx")
     indexed = indexed.withColumn("batch", F.floor(F.col("__idx") / batch_rows).cast("bigint"))
-    ranges = indexed.groupBy("batch").agg(
-        F.min(col).cast("double").alias("__lo"), F.max(col).cast("double").alias("__hi"))
     if keep_fitting:
-        out = attach(indexed, ranges, ["batch"])
+        # A batch never has more than ``batch_rows`` rows, so a window per batch is bounded.
+        w = Window.partitionBy("batch")
+        low, high = F.min(col).over(w).cast("double"), F.max(col).over(w).cast("double")
     else:
-        first = ranges.filter("batch = 0").first()
-        low, high = (first["__lo"], first["__hi"]) if first else (None, None)
-        out = indexed.withColumn("__lo", F.lit(low)).withColumn("__hi", F.lit(high))
+        first = indexed.filter("batch = 0").agg(
+            F.min(col).cast("double"), F.max(col).cast("double")).first()
+        low, high = F.lit(first[0]), F.lit(first[1])
+    out = indexed.withColumn("__lo", low).withColumn("__hi", high)
     width = F.col("__hi") - F.col("__lo")
     scaled = (F.col(col) - F.col("__lo")) / F.when(width == 0, 1.0).otherwise(width)
     return out.withColumn(f"{col}{suffix}", scaled).drop("__idx", "__lo", "__hi")

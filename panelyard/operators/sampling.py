@@ -10,12 +10,21 @@ from pyspark.sql import functions as F
 from panelyard.plans import attach, hash_cut, hash_key, with_global_index
 
 
+# Samples up to this size are gathered as one sorted top-k.
+MAX_TOP = 100_000
+
+
 def every_kth(df: DataFrame, order: Sequence[str], size: int) -> DataFrame:
-    """Rows 0, step, 2*step, ... with step = max(1, N // size), at most ``size`` rows (M1)."""
+    """Rows 0, step, 2*step, ... with step = max(1, N // size), at most ``size`` rows (M1).
+
+    ``order`` must be a total order without nulls. Only its columns are sorted; the sampled keys
+    then pick their rows.
+    """
     step = max(1, df.count() // size)
     i = F.col("__idx")
-    indexed = with_global_index(df, order, "__idx")
-    return indexed.filter((F.pmod(i, F.lit(step)) == 0) & (i < step * size)).drop("__idx")
+    indexed = with_global_index(df.select(*order), order, "__idx")
+    keys = indexed.filter((F.pmod(i, F.lit(step)) == 0) & (i < step * size)).drop("__idx")
+    return attach(df, keys, order, "left_semi")
 
 
 def keys_per_group(df: DataFrame, group: str, key: str, n: int, seed=0) -> DataFrame:
@@ -44,8 +53,14 @@ def keep_share_of_keys(df: DataFrame, key: str, rate: float, seed=42) -> DataFra
 
 
 def random_rows(df: DataFrame, key: str | Sequence[str], n: int, seed=0) -> DataFrame:
-    """``n`` random rows (M4, V8)."""
-    return df.withColumn("__h", hash_key(key, seed)).orderBy("__h").limit(n).drop("__h")
+    """``n`` random rows (M4, V8): a top-k by hash, or a cut in hash order for large samples."""
+    hashed = df.withColumn("__h", hash_key(key, seed))
+    if n <= MAX_TOP:
+        return hashed.orderBy("__h").limit(n).drop("__h")
+    rows = hashed.count()
+    if n >= rows:
+        return df
+    return hashed.filter(F.col("__h") <= hash_cut(hashed, "__h", [n])[0]).drop("__h")
 
 
 def passthrough(df: DataFrame) -> DataFrame:

@@ -11,7 +11,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.plans import hash_cut, hash_cuts_by, hash_key, stage, with_global_index
+from panelyard.plans import (
+    hash_cut,
+    hash_cuts_by,
+    hash_key,
+    stage,
+    with_global_index,
+    with_running_total,
+)
 
 
 def _labelled(h: Column, cuts: Sequence[str], labels: Sequence) -> Column:
@@ -61,10 +68,18 @@ def k_fold(df: DataFrame, key, k: int, seed=0) -> DataFrame:
     return hashed.withColumn("fold", _labelled(F.col("__h"), cuts, list(range(k)))).drop("__h")
 
 
-def stratified_k_fold(df: DataFrame, key, label: str, k: int, seed=0) -> DataFrame:
-    """Adds ``fold`` with the class shares kept in every fold (T4)."""
+def stratified_k_fold(df: DataFrame, key, label: str, k: int, seed=0,
+                      max_classes: int = 200) -> DataFrame:
+    """Adds ``fold`` with the class shares kept in every fold (T4).
+
+    A few classes are cut in hash order one by one; beyond ``max_classes`` the rows are ranked
+    inside their class with distributed running totals.
+    """
     hashed = df.withColumn("__h", hash_key(key, seed))
-    sizes = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
+    classes = df.groupBy(label).agg(F.count("*").alias("count"))
+    if classes.limit(max_classes + 1).count() > max_classes:
+        return _folds_by_rank(hashed, classes, label, k)
+    sizes = {r[label]: r["count"] for r in classes.collect()}
     rows = hash_cuts_by(hashed, "__h", label, {c: fold_ends(n, k) for c, n in sizes.items()})
     if not rows:
         return hashed.withColumn("fold", F.lit(0)).drop("__h")
@@ -80,6 +95,19 @@ def stratified_k_fold(df: DataFrame, key, label: str, k: int, seed=0) -> DataFra
     return out.withColumn("fold", beyond).drop("__h", "__c", "__cuts")
 
 
+def _folds_by_rank(hashed: DataFrame, classes: DataFrame, label: str, k: int) -> DataFrame:
+    ranked = with_running_total(hashed, [label], ["__h"], F.lit(1).cast("bigint"), "__p")
+    same = F.col(f"r.{label}").eqNullSafe(F.col(f"c.{label}"))
+    sized = ranked.alias("r").join(stage(classes, "classes").alias("c"), same).select("r.*", "c.count")
+    # Same sizes as ``fold_ends``: the first n mod k folds hold one more row.
+    small, larger = F.floor(F.col("count") / k), F.col("count") % k
+    p = F.col("__p") - 1
+    head = larger * (small + 1)
+    fold = F.when(p < head, F.floor(p / (small + 1))).otherwise(
+        larger + F.floor(F.try_divide(p - head, small)))
+    return sized.withColumn("fold", fold.cast("int")).drop("__h", "__p", "count")
+
+
 def panel_split(df: DataFrame, train_end: int, val_end: int, look_back: int,
                 day="d") -> dict[str, DataFrame]:
     """Chronological split of a panel (T5). The test features reach ``look_back`` days back, so
@@ -96,11 +124,20 @@ def panel_split(df: DataFrame, train_end: int, val_end: int, look_back: int,
 
 
 def chronological_fraction(df: DataFrame, order: Sequence[str], share=0.7) -> DataFrame:
-    """Adds ``split``: the first int(share * N) rows 'train', the rest 'val' (T6)."""
-    indexed = stage(with_global_index(df, order, "__idx"), "indexed")
-    cut = int(share * indexed.count())
-    part = F.when(F.col("__idx") < cut, "train").otherwise("val")
-    return indexed.withColumn("split", part).drop("__idx")
+    """Adds ``split``: the first int(share * N) rows 'train', the rest 'val' (T6).
+
+    ``order`` must be a total order without nulls. Only its columns are sorted, to find the last
+    training row; the split itself is a comparison with that row.
+    """
+    indexed = with_global_index(df.select(*order), order, "__idx")
+    cut = int(share * df.count())
+    last = indexed.filter(F.col("__idx") == cut - 1).drop("__idx").first()
+    if last is None:
+        return df.withColumn("split", F.lit("val"))
+    kinds = dict(df.dtypes)
+    edge = F.struct(*[F.lit(last[c]).cast(kinds[c]).alias(c) for c in order])
+    part = F.when(F.struct(*order) <= edge, "train").otherwise("val")
+    return df.withColumn("split", part)
 
 
 def predefined_split(train: DataFrame, val: DataFrame) -> DataFrame:

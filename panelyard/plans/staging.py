@@ -31,8 +31,19 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, tag: str = "staged") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back."""
+def stage(df: DataFrame, tag: str = "staged", partition_by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    With ``partition_by`` a filter on that column prunes files, and the size Catalyst sees is
+    that of the files left.
+    """
     path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    writer = df.write if partition_by is None else df.write.partitionBy(partition_by)
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete this application's staged tables; frames that read them are unusable afterwards."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -8,6 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelyard.analyses import credit, retail
 from panelyard.catalogue import Catalogue
 from panelyard.operators import encode, metrics, models, panel, sampling, split
 from panelyard.plans import stage
@@ -23,7 +24,11 @@ def default_catalogue() -> Catalogue:
     book.register("prepare_codes", encode.category_codes)
     book.register("prepare_mode", encode.impute_mode)
     book.register("prepare_median", encode.impute_median)
+    book.register("prepare_credit", credit.prepare)
+    book.register("prepare_retail", retail.prepare)
+    book.register("features_retail", retail.features)
     book.register("features_panel", panel.panel_features)
+    book.register("split_panel", split.panel_split)
     book.register("split_train_test", split.train_test)
     book.register("split_train_val_test", split.train_val_test)
     book.register("subsample_keys", sampling.keep_share_of_keys)

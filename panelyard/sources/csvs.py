@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -38,17 +41,29 @@ def load_series(spark: SparkSession, path: str, value: str = "value") -> DataFra
     return df.withColumn(value, F.col(value).try_cast("double"))
 
 
+# Column types of the price and calendar tables; other columns are text.
+PRICE_TYPES = {"wm_yr_wk": "int", "sell_price": "double"}
+CALENDAR_TYPES = {"date": "date", "wm_yr_wk": "int", "wday": "int", "month": "int", "year": "int"}
+
+
+def _read_typed(spark: SparkSession, path: str, type_of: Callable[[str], str]) -> DataFrame:
+    """A CSV table with types given by column name; only the header line is read for it."""
+    names = spark.read.option("header", True).csv(path).columns
+    schema = ", ".join(f"`{c}` {type_of(c)}" for c in names)
+    return spark.read.option("header", True).schema(schema).csv(path)
+
+
 def load_panel_folder(spark: SparkSession, folder: str, sales: str, prices: str, calendar: str,
                       horizon: int = 0, keys_per_category: int | None = None,
-                      seed: int = 0) -> dict[str, DataFrame]:
+                      seed: int = 0, value_type: str = "int") -> dict[str, DataFrame]:
     """The three tables of a retail panel (S3), with the wide sales melted right after the scan.
 
     ``horizon`` appends that many empty future days per series (S4); ``keys_per_category`` keeps
     a random set of items per category for trial runs (M2).
     """
     base = folder.rstrip("/")
-    wide = _read(spark, f"{base}/{sales}", None)
-    price = _read(spark, f"{base}/{prices}", None)
+    wide = _read_typed(spark, f"{base}/{sales}", lambda c: value_type if re.match(r"d_\d+", c) else "string")
+    price = _read_typed(spark, f"{base}/{prices}", lambda c: PRICE_TYPES.get(c, "string"))
     if keys_per_category is not None:
         wide = keys_per_group(wide, "cat_id", "item_id", keys_per_category, seed)
         price = price.join(wide.select("item_id").distinct(), "item_id", "left_semi")
@@ -60,4 +75,5 @@ def load_panel_folder(spark: SparkSession, folder: str, sales: str, prices: str,
         future = wide.select(*ids).withColumn(
             "d", F.explode(F.array(*[F.lit(f"d_{last + i + 1}") for i in range(horizon)])))
         long = long.unionByName(future.withColumn("sold", F.lit(0).cast(dict(long.dtypes)["sold"])))
-    return {"sales": long, "prices": price, "calendar": _read(spark, f"{base}/{calendar}", None)}
+    return {"sales": long, "prices": price, "calendar": _read_typed(
+        spark, f"{base}/{calendar}", lambda c: CALENDAR_TYPES.get(c, "int" if c.startswith("snap") else "string"))}

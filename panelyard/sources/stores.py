@@ -15,8 +15,9 @@ _BUCKET = "day_bucket"
 def save_features(df: DataFrame, path: str, day: str = "d", bucket_days: int = 365) -> None:
     """Write features as parquet, partitioned by a day bucket so day filters prune files."""
     bucket = F.floor(F.col(day) / bucket_days).cast("int")
-    # Spread over the series as well, so one bucket is written by many tasks.
-    df.withColumn(_BUCKET, bucket).write.partitionBy(_BUCKET).mode("overwrite").parquet(path)
+    # Rebalancing splits large buckets over tasks and keeps small ones in one file each.
+    placed = df.withColumn(_BUCKET, bucket).hint("rebalance", F.col(_BUCKET))
+    placed.write.partitionBy(_BUCKET).mode("overwrite").parquet(path)
 
 
 def load_features(spark: SparkSession, path: str, first_day: int | None = None,

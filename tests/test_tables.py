@@ -189,6 +189,20 @@ def test_stratified_folds_keep_class_shares(spark):
         **{(f, 1): 2 for f in range(5)}, **{(f, 0): 18 for f in range(5)}}
 
 
+def test_many_classes_take_the_ranked_way(spark):
+    df = spark.range(230).withColumn("y", (F.col("id") % 7).cast("int"))
+    a = split.stratified_k_fold(df, "id", "y", 4, 2)
+    b = split.stratified_k_fold(df, "id", "y", 4, 2, max_classes=3)
+    assert a.exceptAll(b).count() == 0 and b.count() == 230
+
+
+def test_large_random_samples(spark, monkeypatch):
+    a = sampling.random_rows(spark.range(500), "id", 120, 5)
+    monkeypatch.setattr(sampling, "MAX_TOP", 10)
+    b = sampling.random_rows(spark.range(500), "id", 120, 5)
+    assert a.exceptAll(b).count() == 0 and b.count() == 120
+
+
 def test_splits_do_not_depend_on_partitioning(spark):
     a = split.train_test(spark.range(500).repartition(3), "id", 60, 40, 1)
     b = split.train_test(spark.range(500).repartition(11), "id", 60, 40, 1)
