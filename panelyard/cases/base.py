@@ -40,9 +40,8 @@ class Tables:
 SERIES_ATTRS = ["item_id", "dept_id", "cat_id", "store_id", "state_id"]
 
 
-def raw_sales(t: Tables) -> DataFrame:
-    """Line items with the retail hierarchy of the stand-in panel; ``amount`` is in cents."""
-    brand = F.substring("p_brand", 7, 10).cast("int")
+def line_sales(t: Tables) -> DataFrame:
+    """Line items by item (brand) and store (region); ``amount`` is in cents."""
     return (
         t.lineitem.select("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
         .join(t.part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
@@ -52,13 +51,8 @@ def raw_sales(t: Tables) -> DataFrame:
               F.col("s_nationkey") == F.col("n_nationkey"))
         .join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
         .select(
-            F.concat("p_brand", F.lit("_"), "r_name").alias("id"),
             F.col("p_brand").alias("item_id"),
-            F.concat(F.lit("DEPT_"), F.floor((2 * brand + 3) / 5).cast("string")).alias("dept_id"),
-            F.concat(F.lit("CAT_"), F.floor((brand + 4) / 5).cast("string")).alias("cat_id"),
             F.col("r_name").alias("store_id"),
-            F.when(F.col("r_name").isin("AMERICA", "EUROPE"), "WEST").otherwise("EAST")
-            .alias("state_id"),
             F.col("l_shipdate").cast("date").alias("dt"),
             F.col("l_quantity").alias("sold"),
             F.round(F.col("l_extendedprice") * 100).alias("amount"),
@@ -66,15 +60,32 @@ def raw_sales(t: Tables) -> DataFrame:
     )
 
 
+def with_hierarchy(df: DataFrame) -> DataFrame:
+    """The series id and the retail hierarchy, all given by item and store."""
+    brand = F.substring("item_id", 7, 10).cast("int")
+    west = F.col("store_id").isin("AMERICA", "EUROPE")
+    return df.withColumns({
+        "id": F.concat("item_id", F.lit("_"), "store_id"),
+        "dept_id": F.concat(F.lit("DEPT_"), F.floor((2 * brand + 3) / 5).cast("string")),
+        "cat_id": F.concat(F.lit("CAT_"), F.floor((brand + 4) / 5).cast("string")),
+        "state_id": F.when(west, "WEST").otherwise("EAST"),
+    })
+
+
+def raw_sales(t: Tables) -> DataFrame:
+    """Line items with the whole hierarchy."""
+    return with_hierarchy(line_sales(t))
+
+
 def day_list(t: Tables) -> DataFrame:
     return P.day_table(t.lineitem.select(F.col("l_shipdate").cast("date").alias("dt")), "dt")
 
 
 def sales_panel(t: Tables) -> tuple[DataFrame, int]:
     """The dense panel and its number of days."""
-    days = day_list(t)
-    sales = raw_sales(t).join(days, "dt").select("id", *SERIES_ATTRS, "d", "sold")
-    return P.dense_panel(sales, days, "id", SERIES_ATTRS, "sold"), days.count()
+    observed = with_hierarchy(P.observed_days(line_sales(t), "item_id", ["store_id"], "dt", "sold"))
+    days = P.day_table(observed, "dt")
+    return P.dense_panel(observed, days, "id", SERIES_ATTRS, "sold"), days.count()
 
 
 PANEL_SQL = """

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from panelyard.operators.profile import describe
-from panelyard.plans import hash_key
+from panelyard.plans import hash_key, spread_small
 
 EULER_GAMMA = 0.5772156649015329
 
@@ -105,12 +105,13 @@ def score_forest(df: DataFrame, forest: dict, name="score") -> DataFrame:
         x = np.column_stack([s.to_numpy(dtype=float) for s in series])
         model = shared.value
         rows, total = np.arange(len(x)), np.zeros(len(x))
+        flat, width = x.ravel(), x.shape[1]
         for feature, cut, left, right, end in model["trees"]:
             at = np.zeros(len(x), dtype=np.int64)
             open_rows = rows[feature[at] >= 0]
             while len(open_rows):
                 node = at[open_rows]
-                goes_left = x[open_rows, feature[node]] <= cut[node]
+                goes_left = flat[open_rows * width + feature[node]] <= cut[node]
                 at[open_rows] = np.where(goes_left, left[node], right[node])
                 open_rows = open_rows[feature[at[open_rows]] >= 0]
             total += end[at]
@@ -123,7 +124,7 @@ def score_forest(df: DataFrame, forest: dict, name="score") -> DataFrame:
 def isolation_forest(df: DataFrame, key, cols: Sequence[str], trees=100, sample=256,
                      seed=0) -> DataFrame:
     """Adds ``score`` and ``outlier`` (1 when the score is above 0.5)."""
-    scored = score_forest(df, fit_forest(df, key, cols, trees, sample, seed))
+    scored = score_forest(spread_small(df), fit_forest(df, key, cols, trees, sample, seed))
     return scored.withColumn("outlier", (F.col("score") > 0.5).cast("int"))
 
 

@@ -36,34 +36,36 @@ CHUNK = 1 << 16
 # --- building -------------------------------------------------------------------------------
 
 
-def day_table(dates: DataFrame, date_col: str, day: str = "d") -> DataFrame:
+def observed_days(sales: DataFrame, series: str, attrs: Sequence[str], date: str,
+                  value: str) -> DataFrame:
+    """Sum of ``value`` per series and date, staged.
+
+    The raw rows are read once, here, and combined map-side: a series that holds a third of them
+    is at most one row per day afterwards.
+    """
+    total = F.sum(value).cast("double").alias(value)
+    return stage(sales.groupBy(series, *attrs, date).agg(total), "observed")
+
+
+def day_table(dates: DataFrame, date: str, day: str = "d") -> DataFrame:
     """Distinct dates numbered from 1. At most one row per calendar date, so ranking them in
     one task is bounded whatever the size of the fact table."""
-    unique = dates.select(date_col).distinct()
-    rank = F.row_number().over(Window.orderBy(date_col)).cast("int")
+    unique = dates.select(date).distinct()
+    rank = F.row_number().over(Window.orderBy(date)).cast("int")
     return stage(unique.withColumn(day, rank), "days")
 
 
-def dense_panel(
-    sales: DataFrame,
-    days: DataFrame,
-    series: str,
-    attrs: Sequence[str],
-    value: str,
-    day: str = "d",
-) -> DataFrame:
+def dense_panel(observed: DataFrame, days: DataFrame, series: str, attrs: Sequence[str], value: str,
+                date: str = "dt", day: str = "d") -> DataFrame:
     """Every series on every day; days without a sale get 0.
 
-    ``sales`` may hold any number of rows per (series, day): they are summed first, with map-side
-    combine, so a series that holds a third of the raw rows is at most one row per day after it.
-    Those sums are staged, so the raw rows are read once however often the panel is used. They
-    travel to their series in one exchange, and each observed day then spells out the empty days
-    up to the next one. Everything downstream that is partitioned by ``series`` reuses the
-    exchange, and no empty row is ever shuffled.
+    ``observed`` has one row per series and date (``observed_days``), ``days`` numbers the dates
+    (``day_table``). The observed rows travel to their series in one exchange, and each then
+    spells out the empty days up to the next one. Everything downstream that is partitioned by
+    ``series`` reuses the exchange, and no empty row is ever shuffled.
     """
     last = days.count()
-    observed = stage(
-        sales.groupBy(series, *attrs, day).agg(F.sum(value).cast("double").alias(value)), "observed")
+    observed = observed.join(days, date).drop(date)
     w = Window.partitionBy(series).orderBy(day)
     first = F.when(F.lag(day).over(w).isNull(), F.lit(1)).otherwise(F.col(day))
     until = F.coalesce(F.lead(day).over(w) - 1, F.lit(last))

@@ -219,7 +219,8 @@ def test_isolation_forest_finds_planted_outliers(spark, n):
     x[:3] = [[9, 9], [-9, 8], [10, -9]]
     df = spark.createDataFrame(pd.DataFrame({"key": np.arange(n), "a": x[:, 0], "b": x[:, 1]}))
     out = outliers.isolation_forest(df, "key", ["a", "b"], trees=50, sample=128).toPandas()
-    assert set(out.nlargest(3, "score")["key"]) == {0, 1, 2}
+    planted = out["key"] < 3
+    assert out.loc[planted, "score"].min() >= out.loc[~planted, "score"].max() - 1e-12
     assert out.loc[out["key"] < 3, "outlier"].eq(1).all()
     assert out["score"].between(0, 1).all() and out["outlier"].mean() < 0.5
 

@@ -104,10 +104,11 @@ def test_slope(sdf, frame, every):
 
 def test_dense_panel_fills_every_day(spark):
     sales = spark.createDataFrame(
-        [("a", "x", 2, 3.0), ("a", "x", 2, 1.0), ("b", "y", 1, 2.0), ("b", "y", 5, 4.0)],
-        "id string, item string, d int, sold double")
-    days = spark.createDataFrame([(i,) for i in range(1, 6)], "d int")
-    rows = panel.dense_panel(sales, days, "id", ["item"], "sold").collect()
+        [("a", "x", 12, 3.0), ("a", "x", 12, 1.0), ("b", "y", 11, 2.0), ("b", "y", 15, 4.0)],
+        "id string, item string, dt int, sold double")
+    days = panel.day_table(spark.range(11, 16).select(F.col("id").cast("int").alias("dt")), "dt")
+    observed = panel.observed_days(sales, "id", ["item"], "dt", "sold")
+    rows = panel.dense_panel(observed, days, "id", ["item"], "sold").collect()
     got = {(r["id"], r["d"]): r["sold"] for r in rows}
     assert len(rows) == 10
     assert {k: v for k, v in got.items() if v} == {("a", 2): 4.0, ("b", 1): 2.0, ("b", 5): 4.0}
@@ -115,9 +116,10 @@ def test_dense_panel_fills_every_day(spark):
 
 def test_dense_panel_moves_sparse_rows_once(spark):
     """After the staged sums one exchange serves the panel and all windows on it."""
-    sales = spark.createDataFrame([("a", "x", 2, 3.0)], "id string, item string, d int, sold double")
+    sales = spark.createDataFrame([("a", "x", 2, 3.0)], "id string, item string, dt int, sold double")
     days = panel.day_table(spark.range(5).select(F.col("id").cast("int").alias("dt")), "dt")
-    out = panel.add_lags(panel.dense_panel(sales, days, "id", ["item"], "sold"), lags=(1, 2))
+    observed = panel.observed_days(sales, "id", ["item"], "dt", "sold")
+    out = panel.add_lags(panel.dense_panel(observed, days, "id", ["item"], "sold"), lags=(1, 2))
     text = out._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange hashpartitioning(id") == 1
 
