@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelyard.functions import columns as C
-from panelyard.operators import association, encode, panel, profile, reshape, split
+from panelyard.operators import association, encode, forecast, metrics, panel, profile, reshape, split
+from panelyard.operators.models import ModelSpec, predict
+from panelyard.plans import stage
 
 EVENTS = ["event_name_1", "event_type_1", "event_name_2", "event_type_2"]
 CATEGORIES = ["item_id", "dept_id", "cat_id", "store_id", "state_id"]
@@ -47,6 +49,36 @@ def parts(df: DataFrame, train_end: int = 1911, val_end: int = 1940, look_back:
     return split.panel_split(df, train_end, val_end, look_back)
 
 
+def forecast_and_score(df: DataFrame, spec: ModelSpec, train_end: int, last_known_day: int, horizon: int,
+                       series_rows: int | None = None) -> DataFrame:
+    """Fit on the training days, predict the validation days in one pass and the horizon day by
+    day, and score all three: rows (score, value).
+
+    Nothing after ``last_known_day`` reaches the features; the sales of the horizon are only used
+    as truth.
+    """
+    past = stage(df.filter(F.col("d") <= last_known_day).select("id", *CATEGORIES, "d", "sold"), "past")
+    # The target of the last known day lies in the horizon.
+    rows = panel.panel_features(past, series_rows=series_rows).filter(F.col("d") < last_known_day)
+    rows = stage(rows.fillna(0.0), "features")
+    model = spec.fit(rows.filter(F.col("d") <= train_end))
+    seen = predict(model, rows, ["id", "d", spec.label]).select(
+        F.when(F.col("d") <= train_end, "train").otherwise("val").alias("split"),
+        F.col(spec.label).alias("actual"), C.clip_round(F.col("prediction")).alias("predicted"))
+    groups = {n: cols for n, cols in panel.ENCODINGS.items()
+              if f"sold_avg_{n}" in spec.features
+              or (n == "item" and "sold_daily_deviation_from_avg" in spec.features)}
+    said = forecast.recursive_forecast(past, forecast.mllib_model(model), last_known_day, horizon,
+                                       "id", CATEGORIES, groups=groups)
+    truth = df.filter(F.col("d") > last_known_day).select(
+        "id", (F.col("d") - 1).alias("d"), F.col("sold").alias("actual"))
+    ahead = said.join(truth, ["id", "d"]).select(
+        F.lit("test").alias("split"), "actual", F.col("sold_next_day").alias("predicted"))
+    scored = stage(seen.unionByName(ahead), "scored")
+    table = metrics.regression_metrics(scored, "actual", "predicted", ["split"])
+    return metrics.score_table(table, "split", metrics.REGRESSION)
+
+
 def explore(df: DataFrame, store: str, date: str = "date") -> dict[str, DataFrame]:
     """The tables behind the figures of the sales exploration."""
     revenue = F.sum(F.col("sold") * F.col("sell_price")).alias("total_revenue")

@@ -36,9 +36,32 @@ def _(spark, sf):
     return _fit_predict(spark, sf, "linear_regression", features=["l_quantity"]).withColumn("prediction", r("prediction", 3))
 
 
-@case("l1_linear_regression_all")
+def _det(rows) -> str:
+    (a, b, c), (d, e, f), (g, h, i) = rows
+    return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+
+def least_squares_sql() -> str:
+    """Normal equations of the three housing features by Cramer's rule, on centred columns."""
+    cov = {(a, b): f"covar_pop({a}, {b})" for a in HOUSE for b in [*HOUSE, "l_extendedprice"]}
+    named = ", ".join(f"{v} AS c{i}" for i, v in enumerate(cov.values()))
+    at = {k: f"c{i}" for i, k in enumerate(cov)}
+    matrix = [[at[(a, b)] for b in HOUSE] for a in HOUSE]
+    right = [at[(a, "l_extendedprice")] for a in HOUSE]
+    weights = []
+    for j in range(3):
+        swapped = [[right[i] if k == j else matrix[i][k] for k in range(3)] for i in range(3)]
+        weights.append(f"{_det(swapped)} / {_det(matrix)} AS w{j}")
+    line = " + ".join(f"w{j} * ({c} - m{j})" for j, c in enumerate(HOUSE))
+    means = ", ".join(f"avg({c}) AS m{j}" for j, c in enumerate(HOUSE))
+    return (f"WITH c AS (SELECT {named}, {means}, avg(l_extendedprice) AS my FROM lineitem), "
+            f"w AS (SELECT {', '.join(weights)}, m0, m1, m2, my FROM c) "
+            f"SELECT {', '.join(KEY)}, round(my + {line}, 3) + 0e0 AS prediction FROM lineitem CROSS JOIN w")
+
+
+@case("l1_linear_regression_all", least_squares_sql())
 def _(spark, sf):
-    return _fit_predict(spark, sf, "linear_regression")
+    return _fit_predict(spark, sf, "linear_regression").withColumn("prediction", r("prediction", 3))
 
 
 RIDGE_SQL = """

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from panelyard.analyses import anomaly, credit as credit_analysis, retail
 from panelyard.cases.base import SERIES_ATTRS, Tables, case, r, sales_panel
+from panelyard.cases.modelling import FEATURES
 from panelyard.cases.sequences import WINDOWS_SQL
 from panelyard.cases.summaries import MODE_SQL, taxi
 from panelyard.cases.tables import CALENDAR_SQL, CREDIT_SQL, PRICED_SQL, calendar, credit, prices
 from panelyard.cases.windows import W, filled
+from panelyard.operators.models import ModelSpec
 from panelyard.plans import stage
 
 
@@ -55,6 +57,13 @@ def _(spark, sf):
     return out.select("id", "item_id", "state_id", "event_name_1", "d", "snap", "sold", "sold_lag_7", "sold_next_day")
 
 
+@case("x2_retail_forecast_and_score")
+def _(spark, sf):
+    df, n = sales_panel(Tables(spark, sf))
+    spec = ModelSpec("ridge", FEATURES, "sold_next_day")
+    return retail.forecast_and_score(df, spec, n - 57, n - 7, 7, n)
+
+
 @case("x2_retail_explore")
 def _(spark, sf):
     """Row counts of all exploration tables."""

@@ -236,7 +236,7 @@ def test_feature_store_prunes_buckets(spark):
 
 
 def test_panel_folder(spark):
-    folder = new_path(spark, "m5")
+    folder = new_path(spark, "retail")
     wide = spark.createDataFrame(
         [(f"{i}_{c}", f"i{i}", c, i, i + 1) for i in range(6) for c in ("A", "B")],
         "id string, item_id string, cat_id string, d_1 int, d_2 int")
