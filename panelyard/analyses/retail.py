@@ -69,7 +69,7 @@ def forecast_and_score(df: DataFrame, spec: ModelSpec, train_end: int, last_know
               if f"sold_avg_{n}" in spec.features
               or (n == "item" and "sold_daily_deviation_from_avg" in spec.features)}
     said = forecast.recursive_forecast(past, forecast.mllib_model(model), last_known_day, horizon,
-                                       "id", CATEGORIES, groups=groups)
+                                       "id", CATEGORIES, groups=groups, features=spec.features)
     truth = df.filter(F.col("d") > last_known_day).select(
         "id", (F.col("d") - 1).alias("d"), F.col("sold").alias("actual"))
     ahead = said.join(truth, ["id", "d"]).select(

@@ -190,7 +190,8 @@ def _(spark, sf):
 @case("l12_recursive_forecast_by_day", FORECAST_SQL + "SELECT id, d, sold_next_day FROM forecast")
 def _(spark, sf):
     rows, n = _history(Tables(spark, sf))
-    return forecast.recursive_forecast(rows, forecast.moving_average_model(7), n - 28, 28, groups={})
+    return forecast.recursive_forecast(rows, forecast.moving_average_model(7), n - 28, 28, groups={},
+                                       features=[])
 
 
 FEATURES = ["sold", "sold_lag_1", "sold_lag_7", "sold_lag_30", "sold_robustlag_7", "sold_avg_7d", "sold_avg_30d",
@@ -203,7 +204,8 @@ def _(spark, sf):
     feats = panel.panel_features(rows, series_rows=n).filter(F.col("d") < n - 28).fillna(0.0)
     model = models.ModelSpec("ridge", FEATURES, "sold_next_day").fit(feats)
     return forecast.recursive_forecast(rows, forecast.mllib_model(model), n - 28, 28, "id", SERIES_ATTRS,
-                                       groups={"item": panel.ENCODINGS["item"]})
+                                       groups={"item": panel.ENCODINGS["item"]},
+                                       features=FEATURES)
 
 
 OWN = [c for c in FEATURES if c not in ("sold_avg_item", "sold_daily_deviation_from_avg")]

@@ -71,21 +71,26 @@ class History:
         return out
 
 
-def day_features(state: DataFrame, value="sold", groups=ENCODINGS) -> DataFrame:
+def state_features(value="sold") -> dict[str, Column]:
+    """The series' own features as expressions over the state columns."""
+    return History(F.col("__hist"), F.col("__sum"), F.col("__count")).features(value)
+
+
+def day_features(state: DataFrame, value="sold", groups=ENCODINGS,
+                 own_features: dict[str, Column] | None = None) -> DataFrame:
     """The panel features of the state's current day, under the names of ``panel_features``.
 
     ``groups`` are the group means to compute; each is one small aggregate over the series rows.
     """
-    history = History(F.col("__hist"), F.col("__sum"), F.col("__count"))
-    out = state.withColumns(history.features(value))
+    out = state.withColumns(state_features(value) if own_features is None else own_features)
     for name, cols in groups.items():
         mean = F.try_divide(F.sum("__sum"), F.sum("__count")).alias(f"{value}_avg_{name}")
         out = out.join(state.groupBy(*cols).agg(mean), list(cols), "left")
     own = F.try_divide("__sum", "__count")
-    if "item" in groups:
-        out = out.withColumn(f"{value}_daily_deviation_from_avg", own - F.col(f"{value}_avg_item"))
-    return out.withColumn(
-        f"{value}_daily_deviation_from_avg_30d", own - F.col(f"{value}_avg_30d"))
+    for name, base in (("", f"{value}_avg_item"), ("_30d", f"{value}_avg_30d")):
+        if base in out.columns:
+            out = out.withColumn(f"{value}_daily_deviation_from_avg{name}", own - F.col(base))
+    return out
 
 
 def expression_forecast(panel: DataFrame, model: Callable[[dict[str, Column]], Column],
@@ -133,19 +138,23 @@ def linear_expression(coefficients: dict[str, float], intercept: float):
 
 def recursive_forecast(panel: DataFrame, predict: Callable[[DataFrame], DataFrame], start_day: int,
                        steps: int, series="id", attrs: Sequence[str] = (), value="sold", day="d",
-                       look_back: int = LOOK_BACK + 1, groups=ENCODINGS) -> DataFrame:
+                       look_back: int = LOOK_BACK + 1, groups=ENCODINGS,
+                       features: Sequence[str] | None = None) -> DataFrame:
     """Predict day by day: rows (series, d, sold_next_day) for ``steps`` days from ``start_day``.
 
     ``predict`` adds a ``prediction`` column to a frame of one-day features and keeps the other
     columns. The prediction is clipped at 0, rounded half to even and becomes the next day's
     value. The steps depend on each other, so each is one job over the series rows; its state is
-    staged, which keeps the plan of every step the same size. ``groups`` limits the group means to
-    those the model reads.
+    staged, which keeps the plan of every step the same size. ``groups`` and ``features`` limit the
+    group means and the series' own features to those the model reads.
     """
     state = stage(initial_state(panel, series, attrs, start_day, look_back, value, day), "state")
     columns = state.columns
+    wanted = None if features is None else {
+        *features, *([f"{value}_avg_30d"] if f"{value}_daily_deviation_from_avg_30d" in features else [])}
+    own_features = {k: v for k, v in state_features(value).items() if wanted is None or k in wanted}
     for _ in range(steps):
-        feats = day_features(state, value, groups)
+        feats = day_features(state, value, groups, own_features)
         said = predict(feats).withColumn("__next", clip_round(F.col("prediction").cast("double")))
         longer = F.concat("__hist", F.array("__next"))
         state = stage(said.select(
