@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelyard.cases.base import PANEL_SQL, Tables, case, day_list, r, rsql, sales_panel
+from panelyard.cases.base import PANEL_SQL, Tables, case, day_list, r, sales_panel
 from panelyard.cases.summaries import LINE
 from panelyard.operators import association as K
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelyard.cases.base import PANEL_SQL, Tables, case, day_list, r, raw_sales, rsql, sales_panel
-from panelyard.cases.tables import CALENDAR_SQL, CREDIT_SQL, CUSTOMER, PRICED_SQL, calendar, credit, priced_panel, _profile_sql
+from panelyard.cases.base import PANEL_SQL, Tables, case, r, raw_sales, rsql, sales_panel
+from panelyard.cases.tables import CALENDAR_SQL, CREDIT_SQL, PRICED_SQL, calendar, credit, priced_panel
 from panelyard.functions import columns as C
 from panelyard.operators import encode, prep, profile, sampling
-from panelyard.plans import attach, stage
+from panelyard.plans import stage
 
 LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
