@@ -17,6 +17,7 @@ from panelyard.plans import (
     hash_key,
     stage,
     with_global_index,
+    with_row,
     with_running_total,
 )
 
@@ -131,13 +132,11 @@ def chronological_fraction(df: DataFrame, order: Sequence[str], share=0.7) -> Da
     """
     indexed = with_global_index(df.select(*order), order, "__idx")
     cut = int(share * df.count())
-    last = indexed.filter(F.col("__idx") == cut - 1).drop("__idx").first()
-    if last is None:
-        return df.withColumn("split", F.lit("val"))
-    kinds = dict(df.dtypes)
-    edge = F.struct(*[F.lit(last[c]).cast(kinds[c]).alias(c) for c in order])
+    last = indexed.filter(F.col("__idx") == cut - 1)
+    out = with_row(df, last.select(*[F.col(c).alias(f"__last_{c}") for c in order]))
+    edge = F.struct(*[F.col(f"__last_{c}").alias(c) for c in order])
     part = F.when(F.struct(*order) <= edge, "train").otherwise("val")
-    return df.withColumn("split", part)
+    return out.select(*df.columns, part.alias("split"))
 
 
 def predefined_split(train: DataFrame, val: DataFrame) -> DataFrame:

@@ -221,6 +221,20 @@ def test_panel_split(spark):
 def test_chronological_fraction(spark):
     out = split.chronological_fraction(spark.range(10).repartition(4), ["id"], 0.7).collect()
     assert sorted(r["id"] for r in out if r["split"] == "train") == list(range(7))
+    none = split.chronological_fraction(spark.range(10), ["id"], 0.01)
+    assert none.filter("split = 'train'").count() == 0
+
+
+def test_chronological_fraction_in_another_time_zone(spark):
+    df = spark.range(10).select(
+        F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, CAST(id AS INT))").alias("h"), "id")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        out = split.chronological_fraction(df, ["h"], 0.5).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert sorted(r["id"] for r in out if r["split"] == "train") == list(range(5))
 
 
 # --- sources -----------------------------------------------------------------------------------------
