@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelyard.llm import jaccard
+from panelyard.llm import jaccard, licenses, sharding
+from panelyard.llm.license_texts import KNOWN
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,13 +28,75 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical_sql(text: str) -> str:
+    same = ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in licenses.EQUAL_WORDS.items())
+    return (f"array_to_string(list_transform(regexp_extract_all(regexp_replace(lower({text}), {quoted(licenses.COPYRIGHT)}, '', 'g'), "
+            f"'[\\p{{L}}\\p{{N}}]+'), lambda w: coalesce((MAP {{{same}}})[w], w)), ' ')")
+
+
+@case(f"""
+WITH known AS (
+  SELECT sha256({_canonical_sql("t")}) AS digest, min(l) AS license
+  FROM (VALUES {", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in KNOWN)}) v(l, t) GROUP BY 1),
+whole AS (SELECT doc_id, {_canonical_sql("coalesce(text, '')")} AS c, string_split(coalesce(text, ''), chr(10)) AS lines
+  FROM documents),
+noted AS (
+  SELECT doc_id, string_agg(license, ',' ORDER BY license) AS notices
+  FROM (SELECT doc_id, {_canonical_sql("l")} AS c FROM (SELECT doc_id, unnest(lines) AS l FROM whole))
+  JOIN known ON digest = sha256(c) GROUP BY doc_id)
+SELECT w.doc_id, CAST(CASE WHEN c = '' THEN 0 ELSE len(string_split(c, ' ')) END AS BIGINT) AS n_words,
+  sha256(c) AS text_sha256, k.license, coalesce(n.notices, '') AS notices
+FROM whole w LEFT JOIN known k ON k.digest = sha256(c) LEFT JOIN noted n ON n.doc_id = w.doc_id
+""")
+def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan(table(spark, folder, "documents"), licenses.known_licenses(spark))
+    return found.select(F.col("id").alias("doc_id"), "n_words", F.col("digest").alias("text_sha256"), "license",
+                        F.array_join("notices", ",").alias("notices"))
+
+
+SHARDS = [f"shard-{i:02d}" for i in range(32)]
+
+
+@case(f"""
+WITH RECURSIVE names AS (SELECT i, 'shard-' || lpad(CAST(i AS VARCHAR), 2, '0') AS name FROM range({len(SHARDS)}) r(i)),
+numbers AS (
+  SELECT i, CAST('0x' || substr(md5('offset:' || name), 1, 12) AS BIGINT) % {sharding.SLOTS} AS o,
+    CAST('0x' || substr(md5('skip:' || name), 1, 12) AS BIGINT) % {sharding.SLOTS - 1} + 1 AS s FROM names),
+-- s to the power of p - 2 is the inverse of s modulo a prime p
+inverse AS (
+  SELECT i, s, CAST({sharding.SLOTS - 2} AS BIGINT) AS e, s AS b, CAST(1 AS BIGINT) AS v FROM numbers
+  UNION ALL
+  SELECT i, s, e // 2, b * b % {sharding.SLOTS}, CASE WHEN e % 2 = 1 THEN v * b % {sharding.SLOTS} ELSE v END
+  FROM inverse WHERE e > 0),
+prefer AS (SELECT n.i, n.o, n.s, v.v FROM numbers n JOIN inverse v ON v.i = n.i AND v.e = 0),
+turns AS (
+  SELECT CAST(-1 AS BIGINT) AS t, range({sharding.SLOTS}) AS free, CAST(NULL AS BIGINT) AS slot
+  UNION ALL
+  SELECT t, list_filter(free, lambda x: x <> slot), slot FROM (
+    SELECT u.t + 1 AS t, u.free,
+      (p.o + p.s * list_min(list_transform(u.free,
+        lambda x: (x - p.o + {sharding.SLOTS}) * p.v % {sharding.SLOTS}))) % {sharding.SLOTS} AS slot
+    FROM turns u JOIN prefer p ON p.i = (u.t + 1) % {len(SHARDS)} WHERE len(u.free) > 0))
+SELECT doc_id, k.slot, name AS shard
+FROM (SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT)
+  % {sharding.SLOTS} AS slot FROM documents) k
+JOIN turns ON turns.slot = k.slot JOIN names ON names.i = turns.t % {len(SHARDS)}
+""")
+def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.place(table(spark, folder, "documents"), "doc_id", SHARDS).withColumnRenamed("key", "doc_id")
+
+
 @case(r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), w -> w <> '') AS w FROM documents),
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
 sets AS (
   SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' ')) END) AS s FROM words),
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s FROM words),
 shingles AS (SELECT doc_id, unnest(s) AS g FROM sets),
 shared AS (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id
