@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelyard.llm import jaccard, licenses, sharding
+from panelyard.llm import jaccard, licenses, quality, secrets, sharding, toxicity, training
 from panelyard.llm.license_texts import KNOWN
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,31 @@ FROM sets s JOIN (SELECT n, min(r) AS component_id FROM reach GROUP BY n) c ON c
 def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     found = jaccard.near_duplicates(table(spark, folder, "documents"))
     return found.toDF("doc_id", "n_shingles", "component_id")
+
+
+def _judged(found: DataFrame, of: int, held: int, least: float) -> DataFrame:
+    return found.select(F.col("id").alias("doc_id"), (training.remainder(F.col("id"), of) == held).alias("held_out"),
+                        "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+@case()
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    found = toxicity.toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"),
+                                     learn_rows=training.remainder(F.col("doc_id"), 3) != 1)
+    return _judged(found, 3, 1, 0.7)
+
+
+@case()
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    found = quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"),
+                                   learn_rows=training.remainder(F.col("doc_id"), 5) != 0)
+    return _judged(found, 5, 0, 0.3)
+
+
+@case()
+def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, folder, "documents"))
+    count = lambda k: F.expr(f"cast(size(filter(spans, s -> s.kind = {k})) as bigint)")
+    return found.select(F.col("id").alias("doc_id"), count(0).alias("n_assign"), count(1).alias("n_access"),
+                        count(2).alias("n_hex"), F.sha2(secrets.listed(kinds="s.kind < 3"), 256).alias("base_sha256"),
+                        secrets.listed().alias("spans"))

@@ -251,17 +251,59 @@ def across(rows: DataFrame, percent: int) -> DataFrame:
     right = held.select("key", deal("right_blocks").alias("j"), F.expr("explode(sequence(0, left_blocks - 1))").alias("i"), F.lit(False).alias("left"), each.alias("x"))
     both = left.select("key", "i", "j", "left", "x.*").unionByName(right.select("key", "i", "j", "left", "x.*"))
 
-    def meet(f: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        x, y = f[f.left], f[~f.left]
-        for a, ca, na, sa in zip(x["class"], x.comp, x.n, x.sketch):
-            near = y[(y.comp != ca) & may_link(y.n, na, percent)]
-            for b, nb, sb in zip(near["class"], near.n, near.sketch):
-                if bits_apart(sa, sb) * (100 + percent) <= (100 - percent) * (na + nb):
-                    out.append((min(a, b), max(a, b)))
-        return pd.DataFrame(out, columns=["a", "b"]).drop_duplicates().astype("int64")
-
-    return both.groupBy("key", "i", "j").applyInPandas(meet, "a long, b long").distinct()
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tried: set[tuple[int, int]] = set()  # pairs share many keys; each is compared once per task
+        held = None
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+        def compare(t: pa.RecordBatch) -> pa.RecordBatch:
+            k, i, j, left, name, comp, n = (t.column(c).to_numpy(zero_copy_only=False) for c in range(7))
+            new = np.r_[True, (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
+            start = np.flatnonzero(new)
+            end = np.r_[start[1:], len(k)]
+            lefts = np.add.reduceat(left.astype(np.int64), start)  # left rows come first in a group
+            found = Rows(schema)
+            rights = np.repeat(end - start - lefts, lefts)
+            begin = np.repeat(start + lefts, lefts)
+            rows = np.flatnonzero(left)
+            total = np.cumsum(rights)
+            for lo in range(0, int(total[-1]) if len(total) else 0, 1 << 20):
+                at = np.arange(lo, min(lo + (1 << 20), int(total[-1])))
+                of = np.searchsorted(total, at, side="right")
+                x, y = rows[of], begin[of] + at - (total[of] - rights[of])
+                good = (comp[x] != comp[y]) & may_link(n[x], n[y], percent)
+                x, y = x[good], y[good]
+                _, once = np.unique(mix(np.minimum(name[x], name[y]).view(U)) ^ np.maximum(name[x], name[y]).view(U),
+                                    return_index=True)
+                for p, q in zip(x[once].tolist(), y[once].tolist()):
+                    pair = (int(min(name[p], name[q])), int(max(name[p], name[q])))
+                    if pair in tried:
+                        continue
+                    if len(tried) > 1_000_000:
+                        tried.clear()
+                    tried.add(pair)
+                    apart = bits_apart(t.column(7)[p].as_py(), t.column(7)[q].as_py())
+                    if apart * (100 + percent) <= (100 - percent) * int(n[p] + n[q]):
+                        found.add(*pair)
+            return found.batch()
+
+        for batch in batches:
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            k, i, j = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+            if not len(k):
+                continue
+            # The last group may go on in the next batch; a group has a few blocks of rows at most.
+            cut = int(np.argmax((k == k[-1]) & (i == i[-1]) & (j == j[-1])))
+            held = batch.slice(cut)
+            if cut:
+                yield compare(batch.slice(0, cut))
+        if held is not None:
+            yield compare(held)
+
+    order = ["key", "i", "j", F.desc("left")]
+    dealt = both.repartition(partitions_for(rows), "key", "i", "j").sortWithinPartitions(*order)
+    return dealt.mapInArrow(meet, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
