@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelyard.llm import jaccard, licenses, quality, secrets, sharding, toxicity, training
+from panelyard.llm import jaccard, licenses, quality, secrets, sharding, substrings, toxicity, training
 from panelyard.llm.license_texts import KNOWN
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,6 +120,27 @@ def _judged(found: DataFrame, of: int, held: int, least: float) -> DataFrame:
                         "score", (F.col("score") >= least).cast("int").alias("predicted"))
 
 
+@case(r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+runs AS (
+  SELECT r, unnest(range(1, len(w) - 33)) AS i, w FROM texts WHERE len(w) >= 35),
+named AS (SELECT r, i, array_to_string(w[i:i+34], ' ') AS run FROM runs),
+again AS (SELECT run FROM named GROUP BY run HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, i + o AS j FROM named JOIN again USING (run), range(35) x(o)),
+words AS (SELECT r, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS word FROM texts),
+kept AS (
+  SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS left_text
+  FROM words ANTI JOIN gone USING (r, j) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(left_text, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (r)
+""")
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.repeated(table(spark, folder, "documents")).kept().withColumnRenamed("id", "doc_id")
+
+
 @case()
 def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     found = toxicity.toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"),
