@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelyard.llm import jaccard, licenses, quality, secrets, sharding, substrings, toxicity, training
+from panelyard.llm import jaccard, licenses, pieces, quality, secrets, sharding, substrings, toxicity, training
 from panelyard.llm.license_texts import KNOWN
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,3 +162,16 @@ def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), count(0).alias("n_assign"), count(1).alias("n_access"),
                         count(2).alias("n_hex"), F.sha2(secrets.listed(kinds="s.kind < 3"), 256).alias("base_sha256"),
                         secrets.listed().alias("spans"))
+
+
+#: The model file, read by the driver.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@case()
+def op10_sampled_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    model = pieces.model_bytes(PIECES)
+    cut = pieces.encode(table(spark, folder, "documents"), model)
+    back = pieces.decode(cut, model)
+    return back.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_pieces"), "ids",
+                       (F.sha2("text", 256) == F.col("sha256")).alias("round_trip"))

@@ -54,6 +54,24 @@ def run_hashes(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     return mix(total)
 
 
+class Prefix:
+    """Hashes of runs of any length from one pass over the parts: a polynomial modulo 2**64."""
+
+    FACTOR = U(0x9E3779B97F4A7C15)
+    INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+    def __init__(self, h: np.ndarray):
+        n = len(h)
+        self.down = np.cumprod(np.r_[U(1), np.full(n, self.INVERSE)], dtype=U)
+        up = np.cumprod(np.r_[U(1), np.full(max(0, n - 1), self.FACTOR)], dtype=U)[:n]
+        self.sums = np.r_[U(0), np.cumsum(mix(h + U(1)) * up, dtype=U)]
+
+    def runs(self, start: np.ndarray, length) -> np.ndarray:
+        """Hash of the ``length`` parts from each ``start`` on."""
+        total = (self.sums[start + length] - self.sums[start]) * self.down[start]
+        return mix(total + np.asarray(length).astype(U))
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 

@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelyard.llm.common import (U, Rows, WordHashes, keys_met_again, list_array, mix, partitions_for, run_hashes,
-                                  signed)
+from panelyard.llm.common import (U, Prefix, Rows, WordHashes, keys_met_again, list_array, mix, partitions_for,
+                                  run_hashes, signed)
 from panelyard.plans import stage
 
 #: Words of the shorter runs; edges that a slice of a text holds at most (places take 23 bits).
@@ -44,21 +44,6 @@ def least_of(x: np.ndarray, width: int) -> np.ndarray:
     return x if done == width else np.minimum(x[: len(x) - (width - done)], x[width - done:])
 
 
-class Prefix:
-    """Hashes of runs of different lengths from one pass over the words: a polynomial modulo 2**64."""
-
-    FACTOR = U(0x9E3779B97F4A7C15)
-    INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-
-    def __init__(self, h: np.ndarray):
-        n = len(h)
-        self.down = np.cumprod(np.r_[U(1), np.full(n, self.INVERSE)], dtype=U)
-        self.sums = np.r_[U(0), np.cumsum(mix(h) * np.cumprod(np.r_[U(1), np.full(n - 1, self.FACTOR)], dtype=U), dtype=U)]
-
-    def runs(self, start: np.ndarray, length) -> np.ndarray:
-        return mix(((self.sums[start + length] - self.sums[start]) * self.down[start]) + U(1) * np.asarray(length).astype(U))
-
-
 def links(h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(start, edges, minimizer, hash) of each link of a text of word hashes, in order."""
     short = run_hashes(h, SEED_WORDS)
