@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelyard.llm import jaccard, licenses, pieces, quality, secrets, sharding, substrings, toxicity, training
+from panelyard.llm import decontamination, jaccard, licenses, pieces, quality, secrets, sharding, substrings, toxicity, training
 from panelyard.llm.license_texts import KNOWN
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,3 +175,9 @@ def op10_sampled_pieces(spark: SparkSession, folder: str) -> DataFrame:
     back = pieces.decode(cut, model)
     return back.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_pieces"), "ids",
                        (F.sha2("text", 256) == F.col("sha256")).alias("round_trip"))
+
+
+@case()
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.toDF("doc_id", "item_id", "score", "first_word", "end_word")
