@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelyard.llm import decontamination, jaccard, licenses, pieces, quality, secrets, sharding, substrings, toxicity, training
+from panelyard.llm import decontamination, jaccard, licenses, pieces, pivots, quality, secrets, sharding, substrings, toxicity, training
 from panelyard.llm.license_texts import KNOWN
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,3 +181,26 @@ def op10_sampled_pieces(spark: SparkSession, folder: str) -> DataFrame:
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.toDF("doc_id", "item_id", "score", "first_word", "end_word")
+
+
+@case(r"""
+WITH RECURSIVE good AS (
+  SELECT row_number() OVER () AS r, vec_id, [CAST(x AS DOUBLE) for x in embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.r AS ra, a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.r <> b.r AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+counted AS (SELECT ra, count(*) AS n FROM links GROUP BY ra),
+pairs AS (SELECT DISTINCT a, b FROM links),
+reach AS (SELECT DISTINCT a AS n, a AS r FROM pairs UNION SELECT reach.n, pairs.b FROM reach JOIN pairs ON pairs.a = reach.r),
+least AS (SELECT n, min(r) AS component FROM reach GROUP BY n),
+every AS (SELECT row_number() OVER () AS r, vec_id FROM embeddings)
+SELECT e.vec_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_links, coalesce(l.component, e.vec_id) AS component_id,
+  e.vec_id = coalesce(l.component, e.vec_id) AS kept
+FROM every e LEFT JOIN least l ON l.n = e.vec_id
+LEFT JOIN (SELECT good.vec_id, n FROM counted JOIN good ON good.r = ra) c ON c.vec_id = e.vec_id
+""")
+def op9_embedding_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    found = pivots.near_duplicates(table(spark, folder, "embeddings")).toDF("vec_id", "n_links", "component_id")
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))

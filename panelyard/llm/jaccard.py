@@ -32,8 +32,8 @@ from panelyard.llm.components import components
 from panelyard.plans import stage
 
 DENSE, SINGLE, EMPTY = 0, 1, 2
-#: Rows of one key that meet in one call; larger groups meet block by block.
-BLOCK = 512
+#: Rows of one key that meet in one call; larger groups meet portion by portion.
+PORTION = 512
 
 
 def shingle_set(words: list[bytes], hashes: WordHashes, size: int) -> np.ndarray:
@@ -195,10 +195,9 @@ def unlike_refused(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFr
     return wide.mapInPandas(test, "a long, b long")
 
 
-def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, size: int,
-           percent: int, seed: int) -> DataFrame:
-    """The pairs of classes whose sets are alike enough, by the sets of one text each."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+def token_sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, size: int,
+               seed: int) -> DataFrame:
+    """(class, tokens) of the wanted classes, from one text each."""
     chosen = classes.join(wanted, "class").select("class", "low_id")
     texts = docs.select(F.col(id_col).cast("long").alias("low_id"), F.col(text_col).alias("text"))
     rows = texts.join(chosen, "low_id").select("class", "text")
@@ -217,7 +216,11 @@ def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, t
                     yield out.batch()
         yield out.batch()
 
-    sets = stage(rows.mapInArrow(run, "class long, tokens binary").dropDuplicates(["class"]), "sets")
+    return stage(rows.mapInArrow(run, "class long, tokens binary").dropDuplicates(["class"]), "sets")
+
+
+def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs of classes whose sets are alike enough."""
 
     def test(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -233,59 +236,75 @@ def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, t
 
 
 def across(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes that share a key but no component yet and may link.
+    """(bx, by, bits, at): pairs of classes that share a key but no component yet and may link.
 
-    ``rows``: key, class, comp, n, sketch. In each key the component with most rows is the main one; only rows outside it
-    meet the rows of the key, in blocks of bounded size, and only pairs that pass leave the task.
+    ``rows``: key, at, comp, n, sketch. ``at`` numbers the classes; 256 neighbours are a block, and a result row has one
+    bit for each pair of classes of two blocks, and the classes that occur there: no row per pair leaves a task. In each key the
+    component with most rows is the main one; only rows outside it meet the rows of the key, in portions of bounded
+    size.
     """
     per = rows.groupBy("key", "comp").agg(F.count("*").alias("m"))
     main = per.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("main"), F.sum("m").alias("all"),
                                   F.count("*").alias("comps")).where("comps > 1")
     held = rows.join(main, "key").select(
-        "key", "class", "comp", "n", "sketch", (F.col("comp") != F.col("main.comp")).alias("outer"),
-        F.expr(f"cast(ceil((all - main.m) / {BLOCK}) as int)").alias("left_blocks"),
-        F.expr(f"cast(ceil(all / {BLOCK}) as int)").alias("right_blocks"))
-    deal = lambda n: F.pmod(F.xxhash64("class"), F.col(n))
-    each = F.struct("class", "comp", "n", "sketch")
-    left = held.where("outer").select("key", deal("left_blocks").alias("i"), F.expr("explode(sequence(0, right_blocks - 1))").alias("j"), F.lit(True).alias("left"), each.alias("x"))
-    right = held.select("key", deal("right_blocks").alias("j"), F.expr("explode(sequence(0, left_blocks - 1))").alias("i"), F.lit(False).alias("left"), each.alias("x"))
-    both = left.select("key", "i", "j", "left", "x.*").unionByName(right.select("key", "i", "j", "left", "x.*"))
+        "key", "at", "comp", "n", "sketch", (F.col("comp") != F.col("main.comp")).alias("outer"),
+        F.expr(f"cast(ceil((all - main.m) / {PORTION}) as int)").alias("lefts"),
+        F.expr(f"cast(ceil(all / {PORTION}) as int)").alias("rights"))
+    deal = lambda n: F.pmod(F.xxhash64("at"), F.col(n))
+    each = [F.col(c) for c in ("at", "comp", "n", "sketch")]
+    left = held.where("outer").select("key", deal("lefts").alias("i"), F.expr("explode(sequence(0, rights - 1))").alias("j"),
+                                      F.lit(True).alias("left"), *each)
+    right = held.select("key", deal("rights").alias("j"), F.expr("explode(sequence(0, lefts - 1))").alias("i"),
+                        F.lit(False).alias("left"), *each)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tried: set[tuple[int, int]] = set()  # pairs share many keys; each is compared once per task
+        seen: dict[tuple[int, int], np.ndarray] = {}  # pairs share many keys; a task compares each once
+        good: dict[tuple[int, int], np.ndarray] = {}
         held = None
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-        def compare(t: pa.RecordBatch) -> pa.RecordBatch:
-            k, i, j, left, name, comp, n = (t.column(c).to_numpy(zero_copy_only=False) for c in range(7))
+        def flush() -> pa.RecordBatch:
+            where = list(good)
+            at = []
+            for (bx, by), bits in zip(where, good.values()):
+                at.append(np.union1d(np.flatnonzero(bits.any(1)) + (bx << 8), np.flatnonzero(bits.any(0)) + (by << 8)))
+            out = pa.RecordBatch.from_arrays(
+                [pa.array([x for x, _ in where], pa.int64()), pa.array([y for _, y in where], pa.int64()),
+                 pa.array([np.packbits(b).tobytes() for b in good.values()], pa.binary()), list_array(at, pa.int64())],
+                names=["bx", "by", "bits", "at"])
+            good.clear(), seen.clear()
+            return out
+
+        def compare(t: pa.RecordBatch) -> None:
+            k, i, j, left, at, comp, n = (t.column(c).to_numpy(zero_copy_only=False) for c in range(7))
             new = np.r_[True, (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
             start = np.flatnonzero(new)
             end = np.r_[start[1:], len(k)]
             lefts = np.add.reduceat(left.astype(np.int64), start)  # left rows come first in a group
-            found = Rows(schema)
             rights = np.repeat(end - start - lefts, lefts)
             begin = np.repeat(start + lefts, lefts)
             rows = np.flatnonzero(left)
             total = np.cumsum(rights)
             for lo in range(0, int(total[-1]) if len(total) else 0, 1 << 20):
-                at = np.arange(lo, min(lo + (1 << 20), int(total[-1])))
-                of = np.searchsorted(total, at, side="right")
-                x, y = rows[of], begin[of] + at - (total[of] - rights[of])
-                good = (comp[x] != comp[y]) & may_link(n[x], n[y], percent)
-                x, y = x[good], y[good]
-                _, once = np.unique(mix(np.minimum(name[x], name[y]).view(U)) ^ np.maximum(name[x], name[y]).view(U),
-                                    return_index=True)
+                pair = np.arange(lo, min(lo + (1 << 20), int(total[-1])))
+                of = np.searchsorted(total, pair, side="right")
+                x, y = rows[of], begin[of] + pair - (total[of] - rights[of])
+                fits = (comp[x] != comp[y]) & may_link(n[x], n[y], percent)
+                x, y = x[fits], y[fits]
+                swap = at[x] > at[y]
+                x, y = np.where(swap, y, x), np.where(swap, x, y)
+                _, once = np.unique(mix(at[x].astype(U)) ^ at[y].astype(U), return_index=True)
                 for p, q in zip(x[once].tolist(), y[once].tolist()):
-                    pair = (int(min(name[p], name[q])), int(max(name[p], name[q])))
-                    if pair in tried:
+                    where, one, two = (int(at[p]) >> 8, int(at[q]) >> 8), int(at[p]) & 255, int(at[q]) & 255
+                    if where not in seen:
+                        seen[where] = np.zeros((256, 256), bool)
+                    if seen[where][one, two]:
                         continue
-                    if len(tried) > 1_000_000:
-                        tried.clear()
-                    tried.add(pair)
+                    seen[where][one, two] = True
                     apart = bits_apart(t.column(7)[p].as_py(), t.column(7)[q].as_py())
                     if apart * (100 + percent) <= (100 - percent) * int(n[p] + n[q]):
-                        found.add(*pair)
-            return found.batch()
+                        if where not in good:
+                            good[where] = np.zeros((256, 256), bool)
+                        good[where][one, two] = True
 
         for batch in batches:
             if held is not None:
@@ -293,17 +312,53 @@ def across(rows: DataFrame, percent: int) -> DataFrame:
             k, i, j = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
             if not len(k):
                 continue
-            # The last group may go on in the next batch; a group has a few blocks of rows at most.
+            # The last group may go on in the next batch; a group has a few portions of rows at most.
             cut = int(np.argmax((k == k[-1]) & (i == i[-1]) & (j == j[-1])))
             held = batch.slice(cut)
             if cut:
-                yield compare(batch.slice(0, cut))
+                compare(batch.slice(0, cut))
+            if len(seen) > 1000:
+                yield flush()
         if held is not None:
-            yield compare(held)
+            compare(held)
+        yield flush()
 
-    order = ["key", "i", "j", F.desc("left")]
-    dealt = both.repartition(partitions_for(rows), "key", "i", "j").sortWithinPartitions(*order)
-    return dealt.mapInArrow(meet, "a long, b long").distinct()
+    both = left.unionByName(right).select("key", "i", "j", "left", "at", "comp", "n", "sketch")
+    dealt = both.repartition(partitions_for(rows), "key", "i", "j").sortWithinPartitions("key", "i", "j", F.desc("left"))
+    return dealt.mapInArrow(meet, "bx long, by long, bits binary, at array<long>")
+
+
+def linked_across(found: DataFrame, places: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among the pairs of ``across``: of each class one to every other component it reaches in a pair of blocks.
+
+    ``places``: at, class, comp. A task holds the sets of two blocks of classes.
+    """
+    tokens = found.select(F.col("bx").alias("x"), F.col("by").alias("y"), F.explode("at").alias("at")).distinct()
+    tokens = tokens.join(places, "at").join(sets, "class").select("x", "y", "at", "class", "comp", "tokens")
+
+    def test(_, pairs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros((256, 256), bool)
+        for b in pairs.bits:
+            bits |= np.unpackbits(np.frombuffer(b, np.uint8)).reshape(256, 256).astype(bool)
+        bx, by = int(pairs.bx.iloc[0]), int(pairs.by.iloc[0])
+        of = {int(a): (name, comp, np.frombuffer(t, U)) for a, name, comp, t in zip(rows["at"], rows["class"], rows.comp, rows.tokens)}
+        out = []
+        for one in np.flatnonzero(bits.any(1)).tolist():
+            name, comp, x = of[(bx << 8) + one]
+            reached = {comp}
+            others = [of[(by << 8) + two] for two in np.flatnonzero(bits[one]).tolist()]
+            sizes = np.array([len(o[2]) for o in others])
+            every = np.concatenate([o[2] for o in others])
+            at = np.minimum(np.searchsorted(x, every), len(x) - 1)
+            both = np.add.reduceat((x[at] == every).astype(np.int64), np.cumsum(sizes) - sizes)
+            for o in np.flatnonzero(100 * both >= percent * (len(x) + sizes - both)).tolist():
+                if others[o][1] not in reached:
+                    reached.add(others[o][1])
+                    out.append((name, others[o][0]))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return found.select("bx", "by", "bits").groupBy("bx", "by").cogroup(tokens.groupBy("x", "y")).applyInPandas(
+        test, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
@@ -331,25 +386,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if classes.where("o1 <> o2").isEmpty():
             break
         seed += 1
-    rest = (id_col, text_col, size, percent, seed)
     kept = rare_keys(signed_docs, classes, percent)
     # First each key's classes against its smallest one ...
     first = kept.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("top")).where("a < top")
-    stars = kept.join(first.select("key", "a"), "key").where("class <> a").select("a", F.col("class").alias("b"))
-    tried = stage(unlike_refused(stars.distinct(), classes, percent), "pairs")
-    links = stage(linked(tried, docs, classes, *rest), "linked")
-    # ... then what that left in different components.
-    comps = stage(components(links), "components")
-    info = classes.select("class", "n", "sketch").join(
-        comps.withColumnRenamed("node", "class"), "class", "left").select(
-        "class", "n", "sketch", F.coalesce("component", "class").alias("comp"))
-    apart = kept.join(first.select("key"), "key", "left_semi").join(
-        info.select("class", "comp"), "class")
+    roots = stage(kept.join(first.select("key", "a"), "key"), "roots")
+    stars = roots.where("class <> a").select("a", F.col("class").alias("b")).distinct()
+    tried = stage(unlike_refused(stars, classes, percent), "pairs")
+    sets = token_sets(roots.select("class").distinct(), docs, classes, id_col, text_col, size, seed)
+    links = stage(linked(tried, sets, percent), "linked")
+    # ... then what that left in different components, classes with the same smallest ones side by side.
+    comps = components(links).withColumnRenamed("node", "class")
+    info = classes.select("class", "n").join(
+        roots.groupBy("class").agg(F.min("a").alias("root")), "class").join(comps, "class", "left")
+    placed = info.select("class", "n", "root", F.coalesce("component", "class").alias("comp"))
+    placed = stage(placed.repartitionByRange("root", "n", "class").sortWithinPartitions("root", "n", "class").select(
+        "class", "n", "comp", F.monotonically_increasing_id().alias("at")), "places")
+    apart = roots.select("key", "class").join(placed, "class")
     open_keys = apart.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2")
-    rows = apart.select("key", "class").join(open_keys.select("key"), "key", "left_semi").join(info, "class")
-    more = stage(across(rows.select("key", "class", "comp", "n", "sketch"), percent)
-                 .join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = links.union(linked(more, docs, classes, *rest))
+    rows = apart.join(open_keys.select("key"), "key", "left_semi").join(classes.select("class", "sketch"), "class")
+    more = stage(across(rows.select("key", "at", "comp", "n", "sketch"), percent), "pairs")
+    links = links.union(linked_across(more, placed.select("at", "class", "comp"), sets, percent))
     # Links between classes become links between the ids that stand for them.
     low = classes.select("class", "low_id")
     edges = links.join(low.toDF("a", "x"), "a").join(low.toDF("b", "y"), "b").select(
