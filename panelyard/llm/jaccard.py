@@ -419,3 +419,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "class", F.coalesce("component", "low_id").alias("component"))
     return signed_docs.select("id", "n", "class").join(lowest, "class", "left").select(
         "id", "n", F.expr("if(n > 0 and id is not null, component, id)").alias("component"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that remain when one of each component of near duplicates stays: that of the smallest id.
+
+    Of rows that repeat an id the first in the order of all columns stays. Rows without words or without an id stay as they are.
+    """
+    found = near_duplicates(docs, id_col, text_col, size, percent).where("n > 0 and id is not null")
+    found = stage(found, "found")
+    # An id has one component, and is its smallest or goes with all its rows.
+    gone = found.where("id <> component").select(F.col("id").alias("__gone")).distinct()
+    twice = found.groupBy("id").agg(F.count("*").alias("m")).where("m > 1").select(F.col("id").alias("__twice"))
+    worded = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False)) & F.col(id_col).isNotNull()
+    key = F.col(id_col).cast("long")
+    left = docs.where(worded).join(gone, key == F.col("__gone"), "left_anti")
+    single = left.join(twice, key == F.col("__twice"), "left_anti")
+    several = left.join(twice, key == F.col("__twice"), "left_semi").groupBy(key.alias("__id")).agg(
+        F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")).select("row.*")
+    return docs.where(~worded).union(single).union(several)

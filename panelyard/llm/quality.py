@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from panelyard.llm import training
 from panelyard.llm.common import U, WordHashes, run_hashes
@@ -96,4 +97,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     any; an empty table gives an empty result. Other columns are not read.
     """
     rows = training.labelled_sample(docs, labels, id_col, text_col, label_col, sample, learn_rows)
-    return training.score(docs, training.fit(rows, learn, WIDTH), scorer, id_col, text_col)
+    scored = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return training.score(scored, training.fit(rows, learn, WIDTH), scorer, "text").drop("text")
+
+
+def good_texts(docs: DataFrame, labels: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text",
+               label_col: str = "quality", learn_rows: Column | None = None, sample: int = training.SAMPLE) -> DataFrame:
+    """The rows of ``docs``, as they are, whose quality score is ``least`` or more; else as ``quality_scores``."""
+    rows = training.labelled_sample(docs, labels, id_col, text_col, label_col, sample, learn_rows)
+    scored = training.score(docs, training.fit(rows, learn, WIDTH), scorer, text_col, "__quality")
+    return scored.where(F.col("__quality") >= least).drop("__quality")

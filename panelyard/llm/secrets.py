@@ -99,23 +99,30 @@ def _ratio(run: str, places: str, table: str) -> str:
         done -> done.sum / (length({run}) - 1))"""
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """(id, text, spans) for every row: its spans (start, kind, end) by start, kind (a number into KINDS) and end.
+def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE,
+               name: str = "spans") -> DataFrame:
+    """``docs`` with the spans (start, kind, end) of each row, by start, kind (a number into KINDS) and end.
 
     Pattern spans are leftmost and non-overlapping per kind; a random span overlaps none of them. Null and
-    empty texts have no span and stay as they are; null and repeated ids are rows like any other; an empty table
-    gives an empty result. Without any value in the sample random strings are taken as uniform. The rows are neither moved nor
-    merged. Other columns are not read.
+    empty texts have no span; null and repeated ids are rows like any other; an empty table gives an empty result.
+    Without any value in the sample random strings are taken as uniform. The rows are neither moved nor merged; ``name`` must be
+    a new column.
     """
     table = log_ratios(training_sample(docs, id_col, text_col, sample))
     places = "array(" + ", ".join(str(max(0, ALPHABET.find(chr(b)))) for b in range(128)) + ")"
     weights = "array(" + ", ".join(f"{x!r}D" for x in table) + ")"
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = rows.selectExpr("id", "text", f"concat({', '.join(BASE)}) AS base",
-                           f"{_spans(3, CANDIDATE, 'true')} AS runs")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(row.alias("row"), F.col(text_col).alias("text"))
+    rows = rows.selectExpr("row", "text", f"concat({', '.join(BASE)}) AS base", f"{_spans(3, CANDIDATE, 'true')} AS runs")
     judged = f"""filter(runs, r -> NOT exists(base, b -> b.start < r.end AND r.start < b.end)
         AND {_ratio("substring(text, r.start + 1, r.end - r.start)", places, weights)} >= {LEAST_RATIO}D)"""
-    return rows.selectExpr("id", "text", f"array_sort(concat(base, IF(size(runs) > 0, {judged}, runs))) AS spans")
+    return rows.selectExpr("row.*", f"array_sort(concat(base, IF(size(runs) > 0, {judged}, runs))) AS `{name}`")
+
+
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+    """(id, text, spans) for every row; see ``with_spans``. Other columns are not read."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return with_spans(rows, "id", "text", sample)
 
 
 def listed(spans: str = "spans", kinds: str = "true") -> Column:

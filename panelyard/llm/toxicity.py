@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from panelyard.llm import training
 from panelyard.llm.common import U, run_hashes
@@ -79,4 +80,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     ones, 0.5 without any; an empty table gives an empty result. Other columns are not read.
     """
     rows = training.labelled_sample(docs, labels, id_col, text_col, label_col, sample, learn_rows)
-    return training.score(docs, training.fit(rows, learn, WIDTH), scorer, id_col, text_col)
+    scored = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return training.score(scored, training.fit(rows, learn, WIDTH), scorer, "text").drop("text")

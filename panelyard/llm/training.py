@@ -14,8 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from panelyard.llm.common import Rows
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: Labelled rows that a fit takes at most, and the tasks that share them.
 SAMPLE, SHARDS = 8_000, 4
@@ -63,19 +62,17 @@ def fit(sample: DataFrame, learn: Callable[[list[str], np.ndarray], np.ndarray |
     return out
 
 
-def score(docs: DataFrame, weights: np.ndarray, scorer: Callable[[], Callable[[str, np.ndarray], float]], id_col: str,
-          text_col: str) -> DataFrame:
-    """(id, score): the probability of label 1 for every row, in [0, 1]; a null text scores as the empty one."""
+def score(docs: DataFrame, weights: np.ndarray, scorer: Callable[[], Callable[[str, np.ndarray], float]],
+          text_col: str, name: str = "score") -> DataFrame:
+    """``docs`` with the probability of label 1 of every row, in [0, 1]; a null text scores as the empty one."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
+    place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         margin, w = scorer(), shared.value
-        out = Rows(pa.schema([("id", pa.int64()), ("score", pa.float64())]))
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                z = margin(text.as_py() or "", w) + float(w[-1])
-                out.add(key, float(1 / (1 + np.exp(-np.clip(z, -500, 500)))))
-            yield out.batch()
+            z = np.array([margin(text.as_py() or "", w) for text in batch.column(place)], np.float64) + float(w[-1])
+            found = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*batch.schema.names, name])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "id long, score double")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
