@@ -102,9 +102,9 @@ class Rows:
 def list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     """One list per part, without a Python object per value; an absent part is a null list."""
     ends = np.cumsum([0 if p is None else len(p) for p in parts])
-    mask = pa.array([p is None for p in parts])
+    mask = pa.array([p is None for p in parts], pa.bool_())
     values = np.concatenate([p for p in parts if p is not None] or [np.zeros(0, np.int64)])
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(values, kind), mask=mask)
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32), pa.int32()), pa.array(values, kind), mask=mask)
 
 
 def keys_met_again(rows: DataFrame, keys: list[str], rest: list[str], partitions: int) -> DataFrame:
