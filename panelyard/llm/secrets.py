@@ -3,7 +3,7 @@
 Two first-order Markov models, of random strings and of ordinary identifiers, give each run of 20
 characters or more a log-likelihood ratio; where it exceeds a threshold per transition the run is a
 secret. Both are trained on labelled samples of a bounded number of texts: random are the values that the
-patterns find, ordinary all other runs of eight characters or more. Everything is DataFrame and SQL functions;
+patterns find, ordinary the other runs of eight characters or more whose digits, if any, stand at the end. Everything is DataFrame and SQL functions;
 positions are code points, ends exclusive.
 """
 
@@ -21,10 +21,10 @@ HEX = r"[0-9a-f]{32,}"  # a run of 32 or more; shorter ones never overlap it
 KINDS = ("assign", "access", "hex", "random")
 LEAST_VALUE, LEAST_ACCESS = 8, 16
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
-ORDINARY = r"[A-Za-z0-9+/_=-]{8,}"
+ORDINARY, NAME = r"[A-Za-z0-9+/_=-]{8,}", r"^[A-Za-z_-]+[0-9]{0,4}$"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-#: Texts in the training sample, smoothing counts, nats per transition.
-SAMPLE, SMOOTH, LEAST_RATIO = 4_000, 0.5, 0.5
+#: Texts in the training sample, weight of a character's own share in that of a transition, nats per transition.
+SAMPLE, SMOOTH, LEAST_RATIO = 4_000, 4.0, 0.5
 
 SPAN = "struct<start:int,kind:int,end:int>"
 
@@ -62,15 +62,20 @@ BASE = [
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, rows: int = SAMPLE) -> DataFrame:
     """(random, run): runs of ``rows`` texts, those with the smallest MD5 of their id."""
-    chosen = (docs.select(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("h"),
-                          F.col(text_col).alias("text"))
-              .where("text is not null").orderBy("h", "text").limit(rows))
+    texts = docs.select(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("h"),
+                        F.col(text_col).alias("text")).where("text is not null")
+    # Hashes above a bound cannot be among the smallest ones: few rows are sorted, however many there are.
+    share = (rows + 8 * math.sqrt(rows)) / max(1, docs.count())
+    if share < 1:
+        texts = texts.where(F.col("h") < F.lit(f"{int(share * (1 << 60)):015x}"))
+    chosen = texts.orderBy("h", "text").limit(rows)
     values = f"""concat(
         filter(regexp_extract_all(text, {_quoted(ASSIGN)}, 2), x -> length(x) >= {LEAST_VALUE}),
         filter(regexp_extract_all(text, {_quoted(ACCESS)}, 0), x -> length(x) >= {LEAST_ACCESS}),
         regexp_extract_all(text, {_quoted(HEX)}, 0))"""
-    rest = f"""regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(text,
-        {_quoted(ASSIGN)}, ' '), {_quoted(ACCESS)}, ' '), {_quoted(HEX)}, ' '), {_quoted(ORDINARY)}, 0)"""
+    rest = f"""filter(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(text,
+        {_quoted(ASSIGN)}, ' '), {_quoted(ACCESS)}, ' '), {_quoted(HEX)}, ' '), {_quoted(ORDINARY)}, 0),
+        x -> x RLIKE {_quoted(NAME)})"""
     one = chosen.selectExpr("true AS random", f"explode({values}) AS run")
     return one.union(chosen.selectExpr("false AS random", f"explode({rest}) AS run"))
 
@@ -83,9 +88,12 @@ def log_ratios(sample: DataFrame) -> list[float]:
     seen = {(r.random, r.pair): r.n for r in counts.collect()}  # at most two tables of the alphabet squared
     k = len(ALPHABET)
     total = {(kind, a): sum(seen.get((kind, a + b), 0) for b in ALPHABET) for kind in (True, False) for a in ALPHABET}
+    met = {(kind, b): sum(seen.get((kind, a + b), 0) for a in ALPHABET) for kind in (True, False) for b in ALPHABET}
+    every = {kind: sum(total[kind, a] for a in ALPHABET) for kind in (True, False)}
 
     def log_share(kind: bool, a: str, b: str) -> float:
-        return math.log((seen.get((kind, a + b), 0) + SMOOTH) / (total[kind, a] + SMOOTH * k))
+        alone = (met[kind, b] + 0.5) / (every[kind] + 0.5 * k)  # of the character after any other
+        return math.log((seen.get((kind, a + b), 0) + SMOOTH * alone) / (total[kind, a] + SMOOTH))
 
     return [log_share(True, a, b) - log_share(False, a, b) for a in ALPHABET for b in ALPHABET]
 

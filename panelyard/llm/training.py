@@ -7,6 +7,7 @@ share, and the driver holds ``SHARDS`` weight vectors.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,7 +37,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     known = known.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
     known = known.where("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
     # ``rows`` is a parameter: the chosen ids cannot outgrow a broadcast.
-    chosen = known.withColumn("h", F.xxhash64("id", F.lit(7))).orderBy("h", "id").limit(rows)
+    known = known.withColumn("h", F.xxhash64("id", F.lit(7)))
+    # Hashes above a bound cannot be among the smallest ones: few rows are sorted, however many there are.
+    share = (rows + 8 * math.sqrt(rows)) / max(1, known.count())
+    if share < 1:
+        known = known.where(F.col("h") < F.lit(int(share * 2.0**64) - (1 << 63)))
+    chosen = known.orderBy("h", "id").limit(rows)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
     return texts.join(F.broadcast(chosen), "id").select(F.pmod("h", F.lit(SHARDS)).cast("int").alias("shard"),
                                                         "id", "text", "label", "h")
