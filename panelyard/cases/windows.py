@@ -1,6 +1,7 @@
 """Panel window features.
 
-Sales are whole numbers, so sums are exact and means compare without rounding.
+Sales are whole numbers, so sums are exact and means compare without rounding; the ``_real`` queries
+take a seventh of them and compare rounded.
 """
 
 from __future__ import annotations
@@ -72,6 +73,17 @@ def _(spark, sf):
     return df.select("id", "d", *ROLLING_COLS)
 
 
+REAL_COLS = ROBUST_COLS | ROLLING_COLS
+
+
+@case("w2_w3_means_real", f"WITH {PANEL_SQL.replace('coalesce(daily.sold, 0e0) AS sold', 'coalesce(daily.sold, 0e0) / 7e0 AS sold')}, "
+      f"w AS (SELECT id, d, {raw_sql(REAL_COLS)} FROM panel) SELECT id, d, {', '.join(rsql(c, c) for c in REAL_COLS)} FROM w")
+def _(spark, sf):
+    df = _panel(spark, sf).withColumn("sold", F.col("sold") / F.lit(7.0))
+    df = panel.add_rolling_means(panel.add_robust_lags(df))
+    return df.select("id", "d", *[r(c) for c in REAL_COLS])
+
+
 @case("w4_rolling_max", with_fill(MAX_COLS))
 def _(spark, sf):
     df = panel.backfill(panel.add_rolling_max(_panel(spark, sf)), list(MAX_COLS))

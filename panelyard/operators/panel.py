@@ -8,12 +8,14 @@ a chunk number for very long series (``chunked``), so one series may be spread o
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelyard.plans import attach, stage, with_series_position
 
+# Look-backs, window lengths and group means of the worked retail analysis.
 LAGS = (1, 2, 3, 7, 14, 30, 100, 365)
 ROBUST_LAGS = (7, 30, 365)
 ROLLING = (7, 30, 365)
@@ -28,8 +30,6 @@ ENCODINGS = {
     "cat_store": ("cat_id", "store_id"),
     "cat_state": ("cat_id", "state_id"),
 }
-# Frames up to this many rows are summed directly; longer ones use running sums.
-DIRECT_FRAME = 32
 CHUNK = 1 << 16
 
 
@@ -114,21 +114,34 @@ def _running(df: DataFrame, value: str, keys: Sequence[str], order: str) -> Data
     )
 
 
-def _frame_mean(value: str, n: int, shift: int, keys, order, need: int) -> Column:
-    """Mean of ``n`` rows ending ``shift`` rows back, null below ``need`` non-null values.
+def _add_frame_means(df: DataFrame, value: str, frames: dict[str, tuple[int, int, int]], keys,
+                     order) -> DataFrame:
+    """Add, per name, the mean of ``n`` rows ending ``shift`` rows back, null below ``need`` values.
 
-    Frames longer than ``DIRECT_FRAME`` are differences of the running sums ``__rs``/``__rc``,
-    so their cost does not grow with ``n``.
+    ``frames`` holds (n, shift, need). Sums over 1, 2, 4, ... rows come from each other by one
+    lag, and a frame is put together from those that its length is the sum of: the work grows
+    with the logarithm of the longest frame, nothing is subtracted, and a huge or infinite value
+    is seen by the frames that hold it and by no other.
     """
     w = _forward(keys, order)
-    if n <= DIRECT_FRAME:
-        frame = w.rowsBetween(-(shift + n - 1), -shift)
-        return F.when(F.count(value).over(frame) >= need, F.avg(value).over(frame))
-    rs, rc = F.col("__rs"), F.col("__rc")
-    end_s, end_c = (rs, rc) if shift == 0 else (F.lag("__rs", shift).over(w), F.lag("__rc", shift).over(w))
-    start_s = F.coalesce(F.lag("__rs", shift + n).over(w), F.lit(0.0))
-    start_c = F.coalesce(F.lag("__rc", shift + n).over(w), F.lit(0))
-    return F.when(end_c - start_c >= need, (end_s - start_s) / (end_c - start_c))
+    back = lambda name, k: F.coalesce(F.lag(name, k).over(w), F.lit(0)) if k else F.col(name)
+    df = df.withColumns({"__s1": F.coalesce(F.col(value).cast("double"), F.lit(0.0)),
+                         "__c1": F.col(value).isNotNull().cast("int")})
+    width = 1
+    while 2 * width <= max(n for n, _, _ in frames.values()):
+        df = df.withColumns({f"__{x}{2 * width}": F.col(f"__{x}{width}") + back(f"__{x}{width}", width)
+                             for x in "sc"})
+        width *= 2
+    columns = {}
+    for name, (n, shift, need) in frames.items():
+        parts, at = {"s": [], "c": []}, shift
+        for size in (1 << b for b in range(n.bit_length()) if n >> b & 1):
+            for x, found in parts.items():
+                found.append(back(f"__{x}{size}", at))
+            at += size
+        total, count = (reduce(lambda p, q: p + q, found) for found in parts.values())
+        columns[name] = F.when(count >= max(1, need), total / count)
+    return df.withColumns(columns).drop(*[c for c in df.columns if c[:3] in ("__s", "__c") and c[3:].isdigit()])
 
 
 def add_lags(df: DataFrame, value="sold", lags=LAGS, keys=("id",), order="d") -> DataFrame:
@@ -136,28 +149,24 @@ def add_lags(df: DataFrame, value="sold", lags=LAGS, keys=("id",), order="d") ->
     return df.withColumns({f"{value}_lag_{k}": lag_value(value, k, keys, order) for k in lags})
 
 
+def _robust_frames(value: str, lags=ROBUST_LAGS, factor=0.5) -> dict[str, tuple[int, int, int]]:
+    return {f"{value}_robustlag_{k}": (max(1, int(k * factor)), k, 1) for k in lags}
+
+
+def _rolling_frames(value: str, windows=ROLLING) -> dict[str, tuple[int, int, int]]:
+    return {f"{value}_avg_{n}d": (n, 0, n) for n in windows}
+
+
 def add_robust_lags(df: DataFrame, value="sold", lags=ROBUST_LAGS, factor=0.5,
                     keys=("id",), order="d") -> DataFrame:
     """Mean of ``max(1, int(lag * factor))`` rows ending ``lag`` rows back."""
-    widths = {k: max(1, int(k * factor)) for k in lags}
-    if any(n > DIRECT_FRAME for n in widths.values()):
-        df = _running(df, value, keys, order)
-    df = df.withColumns(
-        {f"{value}_robustlag_{k}": _frame_mean(value, n, k, keys, order, 1)
-         for k, n in widths.items()}
-    )
-    return df.drop("__rs", "__rc")
+    return _add_frame_means(df, value, _robust_frames(value, lags, factor), keys, order)
 
 
 def add_rolling_means(df: DataFrame, value="sold", windows=ROLLING, keys=("id",),
                       order="d") -> DataFrame:
     """Mean over the last n rows, null until n non-null values exist."""
-    if any(n > DIRECT_FRAME for n in windows):
-        df = _running(df, value, keys, order)
-    df = df.withColumns(
-        {f"{value}_avg_{n}d": _frame_mean(value, n, 0, keys, order, n) for n in windows}
-    )
-    return df.drop("__rs", "__rc")
+    return _add_frame_means(df, value, _rolling_frames(value, windows), keys, order)
 
 
 def add_rolling_max(df: DataFrame, value="sold", n=14, keys=("id",), order="d") -> DataFrame:
@@ -185,20 +194,16 @@ def backfill(df: DataFrame, cols: Sequence[str], keys=("id",), order="d") -> Dat
 def add_slope(df: DataFrame, value="sold", window=30, every=5, keys=("id",), order="d") -> DataFrame:
     """Least-squares slope of the full window against 0..m-1 after keeping every ``every``-th
     value from its start (W9); null below two points."""
-    frame = _forward(keys, order).rowsBetween(-(window - 1), 0)
-    kept = F.filter(F.collect_list(value).over(frame), lambda _, i: i % every == 0)
-    df = df.withColumn("__kept", F.when(F.count(value).over(frame) >= window, kept))
+    w = _forward(keys, order)
     m = -(-window // every)
     mid = (m - 1) / 2.0
     spread = sum((i - mid) ** 2 for i in range(m))
     if m < 2:
-        return df.withColumn(f"{value}_slope_{window}d", F.lit(None).cast("double")).drop("__kept")
-    # The abscissa is fixed, so the slope is a dot product with constant weights.
-    weights = F.array(*[F.lit((i - mid) / spread) for i in range(m)])
-    slope = F.aggregate(
-        F.zip_with("__kept", weights, lambda y, c: y * c), F.lit(0.0), lambda acc, v: acc + v
-    )
-    return df.withColumn(f"{value}_slope_{window}d", slope).drop("__kept")
+        return df.withColumn(f"{value}_slope_{window}d", F.lit(None).cast("double"))
+    # The abscissa is fixed, so the slope is a sum of a few earlier values with constant weights.
+    terms = [F.lag(value, window - 1 - i * every).over(w) * F.lit((i - mid) / spread) for i in range(m)]
+    full = F.count(value).over(w.rowsBetween(-(window - 1), 0)) >= window
+    return df.withColumn(f"{value}_slope_{window}d", F.when(full, reduce(lambda p, q: p + q, terms)))
 
 
 def day_gap(df: DataFrame, date_col: str, keys: Sequence[str], name="gap_days") -> DataFrame:
@@ -273,15 +278,8 @@ def add_window_features(df: DataFrame, value="sold", keys=("id",), order="d") ->
     All frames share one partitioning and one sort.
     """
     df = add_lags(df, value, LAGS, keys, order)
-    df = _running(df, value, keys, order)
-    columns = {}
-    for k in ROBUST_LAGS:
-        columns[f"{value}_robustlag_{k}"] = _frame_mean(
-            value, max(1, int(k * 0.5)), k, keys, order, 1)
-    for n in ROLLING:
-        columns[f"{value}_avg_{n}d"] = _frame_mean(value, n, 0, keys, order, n)
-    df = add_rolling_max(df.withColumns(columns), value, 14, keys, order)
-    return df.drop("__rs", "__rc")
+    df = _add_frame_means(df, value, _robust_frames(value) | _rolling_frames(value), keys, order)
+    return add_rolling_max(df, value, 14, keys, order)
 
 
 def filled_columns(value="sold") -> list[str]:

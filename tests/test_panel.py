@@ -134,3 +134,28 @@ def test_encodings_fitted_on_training_days(sdf, frame):
     got = panel.add_mean_encodings(sdf, fit_filter=F.col("d") <= 300).toPandas().sort_values(["id", "d"])
     want = frame[frame["d"] <= 300].groupby("item_id")["sold"].mean()
     np.testing.assert_allclose(got["sold_avg_item"], got["item_id"].map(want))
+
+
+def test_means_of_real_huge_and_infinite_values(spark):
+    """A huge or infinite value changes the frames that hold it and no other."""
+    values = [0.1] * 900
+    values[100], values[450] = 1e17, float("inf")
+    df = spark.createDataFrame([("a", i + 1, v) for i, v in enumerate(values)], "id string, d int, sold double")
+    got = panel.add_rolling_means(panel.add_robust_lags(df)).toPandas().sort_values("d").set_index("d")
+    for n in panel.ROLLING:
+        clean = [i for i in range(n - 1, 900) if not {100, 450} & set(range(i - n + 1, i + 1))]
+        np.testing.assert_allclose(got[f"sold_avg_{n}d"].iloc[clean], 0.1, rtol=1e-12)
+        assert np.isinf(got[f"sold_avg_{n}d"].iloc[max(450, n - 1)]) and got[f"sold_avg_{n}d"].iloc[n - 2 if n > 1 else 0:n - 1].isna().all()
+    n, k = 182, 365
+    clean = [i for i in range(k, 900) if not {100, 450} & set(range(i - k - n + 1, i - k + 1))]
+    np.testing.assert_allclose(got[f"sold_robustlag_{k}"].iloc[clean], 0.1, rtol=1e-12)
+
+
+def test_means_of_random_values_match_pandas(spark):
+    rng = np.random.default_rng(4)
+    values = rng.normal(size=800) * 10.0 ** rng.integers(-3, 6, 800)
+    df = spark.createDataFrame([("a", i + 1, float(v)) for i, v in enumerate(values)], "id string, d int, sold double")
+    got = panel.add_rolling_means(df).toPandas().sort_values("d")
+    for n in panel.ROLLING:
+        want = [values[i - n + 1:i + 1].mean() if i >= n - 1 else np.nan for i in range(800)]
+        np.testing.assert_allclose(got[f"sold_avg_{n}d"], want, rtol=1e-9)
