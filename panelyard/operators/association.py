@@ -289,11 +289,10 @@ def mutual_information(df: DataFrame, cols: Sequence[str], target: str | None =
         "score", "mi")
 
 
-def quantile_bins(df: DataFrame, cols: Sequence[str], bins: int = 10, suffix="_bin",
-                  **options) -> DataFrame:
+def quantile_bins(df: DataFrame, cols: Sequence[str], bins: int = 10, suffix="_bin") -> DataFrame:
     """Bin number = how many inner quantile edges lie below the value."""
     probs = [i / bins for i in range(1, bins)]
-    edges = {row["column"]: row["q"] for row in exact_quantiles(df, cols, probs, **options).collect()}
+    edges = {row["column"]: row["q"] for row in exact_quantiles(df, cols, probs).collect()}
 
     def bin_of(c: str) -> Column:
         inner = F.array(*[F.lit(e) for e in edges[c]])

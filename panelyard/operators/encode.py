@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from panelyard.operators.profile import medians, mode_value
-from panelyard.plans import attach, with_global_index
+from panelyard.operators.profile import mode_value
+from panelyard.plans import attach, quantiles_of_counts, stage, with_global_index, with_row
 
 
 def category_mapping(df: DataFrame, col: str) -> DataFrame:
@@ -51,13 +51,20 @@ def impute_mode(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     return out.withColumn(col, F.coalesce(F.col(col), F.col(f"{col}_mode"))).drop(f"{col}_mode")
 
 
-def impute_median(df: DataFrame, col: str, series: str, **options) -> DataFrame:
-    """Fill by the median of the series, then what is left by the median of the result."""
-    own = medians(df, [col], [series], **options).select(series, F.col("median").alias("__own"))
-    out = attach(df, own, [series]).withColumn(col, F.coalesce(F.col(col), F.col("__own")))
-    out = out.drop("__own")
-    rest = medians(out, [col], **options).first()
-    return out if rest is None else out.withColumn(col, F.coalesce(F.col(col), F.lit(rest["median"])))
+def impute_median(df: DataFrame, col: str, series: str) -> DataFrame:
+    """Fill by the median of the series, then what is left by the median of the result.
+
+    The values are counted once per series; the filled values enter the second median by the
+    count of nulls they replace.
+    """
+    counted = stage(df.groupBy(series, F.col(col).cast("double").alias("__v")).agg(F.count("*").alias("__n")), "counted")
+    own = stage(quantiles_of_counts(counted, "__v", "__n", [0.5], [series]).select(
+        F.col(series).alias("__series"), F.col("q")[0].alias("__own")), "medians")
+    same = F.col(series).eqNullSafe(F.col("__series"))
+    filled = counted.join(own, same).select(F.coalesce("__v", "__own").alias("__v"), "__n")
+    rest = quantiles_of_counts(stage(filled, "counted"), "__v", "__n", [0.5], []).select(F.col("q")[0].alias("__rest"))
+    out = with_row(df.join(own, same, "left"), rest)
+    return out.withColumn(col, F.coalesce(F.col(col), F.col("__own"), F.col("__rest"))).select(*df.columns)
 
 
 def standard_scale(df: DataFrame, cols: Sequence[str], suffix="_scaled") -> DataFrame:

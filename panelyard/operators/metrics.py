@@ -13,8 +13,7 @@ from panelyard.plans import exact_quantiles, hash_key, with_row, with_running_to
 REGRESSION = ["mae", "mse", "rmse", "nrmse", "r2", "bsl_r2"]
 
 
-def regression_metrics(df: DataFrame, actual: str, predicted: str, by: Sequence[str] = (),
-                       **options) -> DataFrame:
+def regression_metrics(df: DataFrame, actual: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
     """MAE, MSE, RMSE, RMSE / IQR(predictions), R2 and the R2 of the mean predictor (V1).
 
     Predictions without spread give an infinite NRMSE (null when the error is 0 as well).
@@ -24,7 +23,7 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str, by: Sequence[
     sums = df.groupBy(*by).agg(
         F.avg(F.abs(error)).alias("mae"), F.avg(error * error).alias("mse"),
         F.var_pop(actual).alias("__var"), F.count(error).alias("n"))
-    q = exact_quantiles(df, [predicted], [0.25, 0.75], by, **options).drop("column")
+    q = exact_quantiles(df, [predicted], [0.25, 0.75], by).drop("column")
     out = _match(sums, q, by) if by else with_row(sums, q)
     spread = F.col("q")[1] - F.col("q")[0]
     r2 = F.when(F.col("__var") > 0, 1 - F.try_divide(F.col("mse"), F.col("__var"))).otherwise(
@@ -36,14 +35,13 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str, by: Sequence[
         F.when(F.col("__var") > 0, 0.0).otherwise(1.0).alias("bsl_r2"))
 
 
-def multi_target_metrics(df: DataFrame, pairs: dict[str, tuple[str, str]], by: Sequence[str] = (),
-                         **options) -> DataFrame:
+def multi_target_metrics(df: DataFrame, pairs: dict[str, tuple[str, str]], by: Sequence[str] = ()) -> DataFrame:
     """Metrics per target (name -> (actual, predicted)) and their mean as 'Aggregated' (V2)."""
     by = list(by)
     long = df.select(*by, F.inline(F.array(*[
         F.struct(F.lit(name).alias("target"), F.col(a).cast("double").alias("y"),
                  F.col(p).cast("double").alias("p")) for name, (a, p) in pairs.items()])))
-    each = regression_metrics(long, "y", "p", [*by, "target"], **options)
+    each = regression_metrics(long, "y", "p", [*by, "target"])
     mean = each.groupBy(*by).agg(
         F.sum("n").alias("n"), *[F.avg(m).alias(m) for m in REGRESSION])
     return each.unionByName(mean.withColumn("target", F.lit("Aggregated")))

@@ -128,6 +128,6 @@ def isolation_forest(df: DataFrame, key, cols: Sequence[str], trees=100, sample=
     return scored.withColumn("outlier", (F.col("score") > 0.5).cast("int"))
 
 
-def outlier_profile(flagged: DataFrame, cols: Sequence[str], **options) -> DataFrame:
+def outlier_profile(flagged: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Describe outliers and the rest apart (A8 by flag)."""
-    return describe(flagged, cols, ["outlier"], **options)
+    return describe(flagged, cols, ["outlier"])

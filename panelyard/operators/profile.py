@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.plans import attach, exact_quantiles
+from panelyard.plans import attach, exact_quantiles, with_row
 
 
 def distinct_per_group(df: DataFrame, keys: Sequence[str], col: str, name: str) -> DataFrame:
@@ -46,7 +46,7 @@ def null_counts(df: DataFrame) -> DataFrame:
     return long.withColumn("any_null", F.col("n_null") > 0)
 
 
-def describe(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), **options) -> DataFrame:
+def describe(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Count, mean, sample std, min, quartiles, max per column (A8), optionally per group."""
     by = list(by)
     moments = df.groupBy(*by).agg(*[
@@ -55,7 +55,7 @@ def describe(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), **optio
                  F.max(F.col(c).cast("double")).alias("max")).alias(c) for c in cols])
     long = moments.select(*by, F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).alias("m")) for c in cols])))
-    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], by, **options)
+    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], by)
     joined = _match(long, q, [*by, "column"])
     return joined.select(
         *by, F.col("column").alias("column_name"), "m.count", "m.mean", "m.std", "m.min",
@@ -85,9 +85,9 @@ def mode_value(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
         *by, F.col("__b.v").alias(f"{col}_mode"), (-F.col("__b.o")).alias("n"))
 
 
-def medians(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), **options) -> DataFrame:
+def medians(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Exact medians (A12): rows (*by, column, median)."""
-    q = exact_quantiles(df, cols, [0.5], by, **options)
+    q = exact_quantiles(df, cols, [0.5], by)
     return q.select(*by, "column", F.col("q")[0].alias("median"))
 
 
@@ -100,11 +100,10 @@ def shape_statistics(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                  F.col(c)["kurt"].alias("kurtosis")) for c in cols])))
 
 
-def box_statistics(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), whis=1.5,
-                   **options) -> DataFrame:
+def box_statistics(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), whis=1.5) -> DataFrame:
     """Quartiles, whiskers and fliers per column (A14), optionally per group."""
     by = list(by)
-    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], by, **options).select(
+    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], by).select(
         *by, "column", F.col("q")[0].alias("q1"), F.col("q")[1].alias("med"),
         F.col("q")[2].alias("q3"))
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x"))
@@ -121,11 +120,14 @@ def box_statistics(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), w
         F.count_if(~inside).alias("n_fliers"))
 
 
-def tukey_outliers(df: DataFrame, col: str, whis=1.5, **options) -> DataFrame:
-    """Rows outside the Tukey fences (N2). The fences are two numbers, read once."""
-    q1, q3 = exact_quantiles(df, [col], [0.25, 0.75], **options).first()["q"]
-    reach = whis * (q3 - q1)
-    return df.filter((F.col(col) < q1 - reach) | (F.col(col) > q3 + reach))
+def tukey_outliers(df: DataFrame, col: str, whis=1.5) -> DataFrame:
+    """Rows outside the Tukey fences (N2). The fences are two numbers, a scalar subquery; without
+    values there is no row outside them."""
+    q = exact_quantiles(df, [col], [0.25, 0.75]).select(F.col("q").alias("__q"))
+    low, high = F.col("__q")[0], F.col("__q")[1]
+    reach = F.lit(whis) * (high - low)
+    outside = (F.col(col) < low - reach) | (F.col(col) > high + reach)
+    return with_row(df, q).filter(outside).select(*df.columns)
 
 
 def contingency(df: DataFrame, a: str, b: str | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from panelyard.operators.panel import CHUNK, chunked
-from panelyard.plans import exact_quantiles, with_global_index, with_series_position
+from panelyard.plans import exact_quantiles, with_global_index, with_row, with_series_position
 
 
 def sliding_windows(df: DataFrame, order: Sequence[str], value: str, length: int,
@@ -68,9 +68,7 @@ def pca_reconstruction(train: DataFrame, windows: DataFrame, components: int, wi
     return windows.withColumn(name, error(F.col(window)))
 
 
-def flag_errors(errors: DataFrame, error="error", percentile=0.95, name="anomaly",
-                **options) -> DataFrame:
-    """1 where the error is above its percentile."""
-    cut = exact_quantiles(errors, [error], [percentile], **options).first()
-    threshold = cut["q"][0] if cut else None
-    return errors.withColumn(name, (F.col(error) > F.lit(threshold)).cast("int"))
+def flag_errors(errors: DataFrame, error="error", percentile=0.95, name="anomaly") -> DataFrame:
+    """1 where the error is above its percentile (A16, N5); null without any error value."""
+    cut = exact_quantiles(errors, [error], [percentile]).select(F.col("q")[0].alias("__cut"))
+    return with_row(errors, cut).withColumn(name, (F.col(error) > F.col("__cut")).cast("int")).drop("__cut")

@@ -3,7 +3,7 @@
 from panelyard.plans.attach import attach, with_row
 from panelyard.plans.hashing import hash_cut, hash_cuts_by, hash_key
 from panelyard.plans.ordering import with_global_index, with_running_total, with_series_position
-from panelyard.plans.quantiles import exact_quantiles
+from panelyard.plans.quantiles import exact_quantiles, quantiles_of_counts
 from panelyard.plans.staging import release, shared_dir, spread_small, stage
 
 __all__ = [
@@ -12,6 +12,7 @@ __all__ = [
     "hash_cut",
     "hash_cuts_by",
     "hash_key",
+    "quantiles_of_counts",
     "release",
     "shared_dir",
     "spread_small",

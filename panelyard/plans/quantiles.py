@@ -1,4 +1,8 @@
-"""Exact interpolated quantiles, with a bounded and an unbounded way."""
+"""Exact interpolated quantiles of groups of any size.
+
+Values are counted first (map-side, spread over all tasks); the counted values are then sorted by range
+and walked with distributed running totals. No task holds the values of a group, whatever their number.
+"""
 
 from __future__ import annotations
 
@@ -8,79 +12,57 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelyard.plans.ordering import with_running_total
-
-MAX_STATE = 1_000_000
+from panelyard.plans.staging import stage
 
 
-def exact_quantiles(
-    df: DataFrame,
-    cols: Sequence[str],
-    probs: Sequence[float],
-    by: Sequence[str] = (),
-    max_state: int = MAX_STATE,
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
+                    by: Sequence[str] = ()) -> DataFrame:
     """Rows ``(*by, column, q)``: ``q`` lists the linear-interpolation quantiles at ``probs``.
 
-    Spark's exact ``percentile`` keeps one counter per distinct value of a group in one task, so
-    it is used only where a first pass shows that no group has more than ``max_state`` distinct
-    values. Beyond that the distinct values are counted, sorted by range and walked with
-    distributed running totals, which has no limit on the size of a group.
+    Every group of the input has a row for each column; without any value its quantiles are
+    null. Without ``by`` the whole table is one group, an empty table too.
     """
     by, cols = list(by), list(cols)
-    data = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
-    if _largest_state(data, cols, by) <= max_state:
-        return _by_aggregate(data, cols, probs, by)
-    return _by_running_total(data, cols, probs, by)
-
-
-def _largest_state(df: DataFrame, cols: list[str], by: list[str]) -> int:
-    sketch = df.groupBy(*by).agg(*[F.approx_count_distinct(c).alias(c) for c in cols])
-    worst = sketch.agg(*[F.max(c).alias(c) for c in cols]).first()
-    return max((v or 0) for v in worst)
-
-
-def _long(df: DataFrame, cols: list[str], by: list[str], value: str) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias(value)) for c in cols])
-    return df.select(*by, F.inline(pairs))
-
-
-def _by_aggregate(
-    df: DataFrame, cols: list[str], probs: Sequence[float], by: list[str]
-) -> DataFrame:
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
-    wide = df.groupBy(*by).agg(*[F.percentile(c, wanted).alias(c) for c in cols])
-    return _long(wide, cols, by, "q")
-
-
-def _by_running_total(
-    df: DataFrame, cols: list[str], probs: Sequence[float], by: list[str]
-) -> DataFrame:
-    group = [*by, "column"]
-    counted = (
-        _long(df, cols, by, "value")
-        .filter(F.col("value").isNotNull())
-        .groupBy(*group, "value")
-        .agg(F.count("*").alias("n"))
-    )
-    walked = with_running_total(counted, group, ["value"], F.col("n"), "upto")
-    sizes = counted.groupBy(*group).agg(F.sum("n").alias("__size"))
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])
+    counted = df.select(*by, F.inline(pairs)).groupBy(*by, "column", "value").agg(F.count("*").alias("n"))
+    counted = stage(counted, "counted")
+    found = quantiles_of_counts(counted, "value", "n", probs, [*by, "column"])
+    if by:
+        return found
+    names = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in cols])).alias("column"))
+    empty = F.array(*[F.lit(None).cast("double") for _ in probs])
+    return names.join(found, "column", "left").select("column", F.coalesce("q", empty).alias("q"))
+
+
+def quantiles_of_counts(counted: DataFrame, value: str, count: str, probs: Sequence[float],
+                        by: Sequence[str]) -> DataFrame:
+    """Rows ``(*by, q)`` of a staged table of counted values; a value may have several rows.
+
+    A group with null values only has null quantiles. Without ``by`` there is one group, if any row.
+    """
+    by = list(by)
+    group = by or ["__all"]
+    rows = counted if by else counted.withColumn("__all", F.lit(0))
+    rows = rows.select(*group, F.col(value).cast("double").alias("__v"), F.col(count).alias("__n"))
+    sizes = rows.groupBy(*group).agg(
+        F.sum(F.when(F.col("__v").isNotNull(), F.col("__n"))).alias("__size"))
+    known = rows.filter(F.col("__v").isNotNull()).groupBy(*group, "__v").agg(F.sum("__n").alias("__n"))
+    walked = with_running_total(known, group, ["__v"], F.col("__n"), "__upto")
     same = F.lit(True)
     for key in group:
-        same = same & F.col(f"w.{key}").eqNullSafe(F.col(f"s.{key}"))
-    walked = walked.alias("w").join(sizes.alias("s"), same).select("w.*", "s.__size")
+        same = same & F.col(f"s.{key}").eqNullSafe(F.col(f"w.{key}"))
+    joined = sizes.alias("s").join(walked.alias("w"), same, "left").select(
+        "s.*", "w.__v", "w.__n", "w.__upto")
 
     def at(rank):
-        covers = (F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto"))
-        return F.max(F.when(covers, F.col("value")))
+        covers = (F.col("__upto") - F.col("__n") <= rank) & (rank < F.col("__upto"))
+        return F.max(F.when(covers, F.col("__v")))
 
     picks, values = [], []
     for i, p in enumerate(probs):
         place = F.lit(float(p)) * (F.col("__size") - 1)
-        picks += [
-            at(F.floor(place)).alias(f"__lo{i}"),
-            at(F.ceil(place)).alias(f"__hi{i}"),
-            F.max(place - F.floor(place)).alias(f"__f{i}"),
-        ]
-        lo, hi, frac = F.col(f"__lo{i}"), F.col(f"__hi{i}"), F.col(f"__f{i}")
-        values.append((1 - frac) * lo + frac * hi)
-    return walked.groupBy(*group).agg(*picks).select(*group, F.array(*values).alias("q"))
+        picks += [at(F.floor(place)).alias(f"__lo{i}"), at(F.ceil(place)).alias(f"__hi{i}"),
+                  F.max(place - F.floor(place)).alias(f"__f{i}")]
+        lo, hi, part = F.col(f"__lo{i}"), F.col(f"__hi{i}"), F.col(f"__f{i}")
+        values.append(F.when(lo == hi, lo).otherwise((1 - part) * lo + part * hi))
+    return joined.groupBy(*group).agg(*picks).select(*by, F.array(*values).alias("q"))

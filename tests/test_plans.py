@@ -45,11 +45,10 @@ def test_series_position(spark):
     assert (out.groupby("k").cumcount() == out["pos"]).all()
 
 
-@pytest.mark.parametrize("max_state", [0, 1_000_000])
-def test_quantiles_match_numpy_both_ways(spark, max_state):
+def test_quantiles_match_numpy(spark):
     df = skewed(spark)
     probs = [0.0, 0.1, 0.25, 0.5, 0.95, 1.0]
-    out = plans.exact_quantiles(df, ["v"], probs, ["k"], max_state=max_state).collect()
+    out = plans.exact_quantiles(df, ["v"], probs, ["k"]).collect()
     pdf = df.toPandas()
     assert len(out) == pdf["k"].nunique()
     for row in out:
@@ -57,6 +56,15 @@ def test_quantiles_match_numpy_both_ways(spark, max_state):
         np.testing.assert_allclose(row["q"], want, rtol=1e-12, atol=1e-12)
 
 
+def test_quantiles_of_nothing(spark):
+    df = spark.createDataFrame([("a", None), ("a", None), ("b", 2.0), (None, float("inf")), (None, float("inf"))], "k string, v double")
+    got = {r.k: r.q for r in plans.exact_quantiles(df, ["v"], [0.5, 0.9], ["k"]).collect()}
+    assert got == {"a": [None, None], "b": [2.0, 2.0], None: [float("inf")] * 2}
+    empty = df.limit(0)
+    assert plans.exact_quantiles(empty, ["v"], [0.5], ["k"]).count() == 0
+    assert [tuple(r) for r in plans.exact_quantiles(empty, ["v"], [0.5]).collect()] == [("v", [None])]
+
+
 def test_hash_cuts_match_a_full_sort(spark):
     n = 5000
     df = spark.range(n).select(plans.hash_key("id", 9).alias("h"))
