@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 from panelyard.plans import attach, hash_cut, hash_key, with_global_index
 
 
-# Samples up to this size are gathered as one sorted top-k.
-MAX_TOP = 100_000
-
-
 def every_kth(df: DataFrame, order: Sequence[str], size: int) -> DataFrame:
     """Rows 0, step, 2*step, ... with step = max(1, N // size), at most ``size`` rows (M1).
 
@@ -41,26 +37,22 @@ def keys_per_group(df: DataFrame, group: str, key: str, n: int, seed=0) -> DataF
 def keep_share_of_keys(df: DataFrame, key: str, rate: float, seed=42) -> DataFrame:
     """All rows of ``max(1, int(rate * number of keys))`` random keys; rate >= 1 keeps all (M3).
 
-    The chosen keys are those whose hash is below a cut, so the fact table is only filtered.
+    The chosen keys are those whose hash is below a cut, so the fact table is only filtered. Rows
+    without a key go.
     """
     if rate >= 1:
         return df
     keys = df.select(key).filter(F.col(key).isNotNull()).distinct()
     keys = keys.select(hash_key(key, seed).alias("h"))
-    keep = max(1, int(keys.count() * rate))
-    cut = hash_cut(keys, "h", [keep])[0]
-    return df.filter(hash_key(key, seed) <= cut)
+    cuts = hash_cut(keys, "h", lambda n: [max(1, int(n * rate))] if n else [])
+    return df.filter(F.col(key).isNotNull() & (hash_key(key, seed) <= F.lit(cuts[0] if cuts else "")))
 
 
 def random_rows(df: DataFrame, key: str | Sequence[str], n: int, seed=0) -> DataFrame:
-    """``n`` random rows (M4, V8): a top-k by hash, or a cut in hash order for large samples."""
+    """``n`` random rows (M4, V8), by a cut in hash order; all rows if there are no more."""
     hashed = df.withColumn("__h", hash_key(key, seed))
-    if n <= MAX_TOP:
-        return hashed.orderBy("__h").limit(n).drop("__h")
-    rows = hashed.count()
-    if n >= rows:
-        return df
-    return hashed.filter(F.col("__h") <= hash_cut(hashed, "__h", [n])[0]).drop("__h")
+    cuts = hash_cut(hashed, "__h", lambda rows: [n] if n < rows else [])
+    return hashed.filter(F.col("__h") <= F.lit(cuts[0])).drop("__h") if cuts else df
 
 
 def passthrough(df: DataFrame) -> DataFrame:

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from panelyard.plans import (
     hash_cut,
-    hash_cuts_by,
     hash_key,
     stage,
     with_global_index,
@@ -35,8 +34,7 @@ def train_test(df: DataFrame, key, train_prc=80.0, test_prc=20.0, seed=0) -> Dat
     if train_prc + test_prc != 100:
         raise ValueError("percentages must sum to 100")
     hashed = df.withColumn("__h", hash_key(key, seed))
-    n_train = math.floor(train_prc / 100 * df.count())
-    cuts = hash_cut(hashed, "__h", [n_train])
+    cuts = hash_cut(hashed, "__h", lambda n: [math.floor(train_prc / 100 * n)])
     return hashed.withColumn("split", _labelled(F.col("__h"), cuts, ["train", "test"])).drop("__h")
 
 
@@ -46,12 +44,14 @@ def train_val_test(df: DataFrame, key, train_prc=70.0, val_prc=15.0, test_prc=15
     the remainder is rounded up."""
     if train_prc + val_prc + test_prc != 100:
         raise ValueError("percentages must sum to 100")
-    n = df.count()
-    n_train = math.floor(train_prc / 100 * n)
-    share = (test_prc / 100) / (test_prc / 100 + val_prc / 100)
-    n_test = math.ceil(share * (n - n_train))
+    share = (test_prc / 100) / (test_prc / 100 + val_prc / 100) if train_prc < 100 else 0
+
+    def ends(n: int) -> list[int]:
+        n_train = math.floor(train_prc / 100 * n)
+        return [n_train, n - math.ceil(share * (n - n_train))]
+
     hashed = df.withColumn("__h", hash_key(key, seed))
-    cuts = hash_cut(hashed, "__h", [n_train, n - n_test])
+    cuts = hash_cut(hashed, "__h", ends)
     labels = ["train", "val", "test"]
     return hashed.withColumn("split", _labelled(F.col("__h"), cuts, labels)).drop("__h")
 
@@ -65,48 +65,38 @@ def fold_ends(n: int, k: int) -> list[int]:
 def k_fold(df: DataFrame, key, k: int, seed=0) -> DataFrame:
     """Adds ``fold`` 0..k-1."""
     hashed = df.withColumn("__h", hash_key(key, seed))
-    cuts = hash_cut(hashed, "__h", fold_ends(df.count(), k))
+    cuts = hash_cut(hashed, "__h", lambda n: fold_ends(n, k))
     return hashed.withColumn("fold", _labelled(F.col("__h"), cuts, list(range(k)))).drop("__h")
 
 
-def stratified_k_fold(df: DataFrame, key, label: str, k: int, seed=0,
-                      max_classes: int = 200) -> DataFrame:
+def stratified_k_fold(df: DataFrame, key, label: str, k: int, seed=0) -> DataFrame:
     """Adds ``fold`` with the class shares kept in every fold (T4).
 
-    A few classes are cut in hash order one by one; beyond ``max_classes`` the rows are ranked
-    inside their class with distributed running totals.
+    Labels and hashes are ranked inside their class with distributed running totals, once for all
+    classes; the hashes at the ends of the folds (k - 1 per class) are then joined to the rows.
+    Equal hashes on both sides of an end raise, as no cut gives the exact sizes.
     """
     hashed = df.withColumn("__h", hash_key(key, seed))
-    classes = df.groupBy(label).agg(F.count("*").alias("count"))
-    if classes.limit(max_classes + 1).count() > max_classes:
-        return _folds_by_rank(hashed, classes, label, k)
-    sizes = {r[label]: r["count"] for r in classes.collect()}
-    rows = hash_cuts_by(hashed, "__h", label, {c: fold_ends(n, k) for c, n in sizes.items()})
-    if not rows:
-        return hashed.withColumn("fold", F.lit(0)).drop("__h")
-    kind = df.schema[label].dataType.simpleString()
-    by_class: dict[object, list[str]] = {}
-    for c, _, cut in rows:
-        by_class.setdefault(c, []).append(cut)
-    # One row per class, built from values that are on the driver already.
-    table = df.sparkSession.createDataFrame(
-        list(by_class.items()), f"__c {kind}, __cuts array<string>")
-    out = hashed.join(F.broadcast(table), F.col(label).eqNullSafe(F.col("__c")), "left")
+    narrow = hashed.select(F.col(label).alias("__c"), "__h")
+    sizes = stage(narrow.groupBy("__c").agg(F.count("*").alias("__n")), "classes")
+    ranked = with_running_total(narrow, ["__c"], ["__h"], F.lit(1).cast("bigint"), "__p")
+    same = F.col("r.__c").eqNullSafe(F.col("s.__c"))
+    sized = ranked.alias("r").join(sizes.alias("s"), same).select("r.__c", "r.__h", "r.__p", "s.__n")
+    # Sizes as in ``fold_ends``: the first n mod k folds hold one more row.
+    small, larger = F.floor(F.col("__n") / k), F.col("__n") % k
+    ends = F.transform(F.sequence(F.lit(1), F.lit(k - 1)) if k > 1 else F.array().cast("array<int>"),
+                       lambda i: small * i + F.least(i.cast("bigint"), larger))
+    at_end = F.array_contains(ends, F.col("__p"))
+    after_end = F.array_contains(ends, F.col("__p") - 1)
+    cuts = stage(sized.where(at_end | after_end).groupBy("__c").agg(
+        F.array_sort(F.collect_list(F.when(at_end, F.struct("__p", "__h")))).alias("__cuts"),
+        F.collect_list(F.when(after_end, F.struct((F.col("__p") - 1).alias("__p"), F.col("__h")))).alias("__next")), "cuts")
+    if not cuts.where(F.arrays_overlap("__cuts", "__next")).isEmpty():
+        raise ValueError("the keys do not identify rows: equal hashes at the end of a fold; add a column to the key")
+    table = cuts.select("__c", F.col("__cuts")["__h"].alias("__cuts"))
+    out = hashed.join(table, F.col(label).eqNullSafe(F.col("__c")), "left")
     beyond = F.size(F.filter("__cuts", lambda cut: cut < F.col("__h")))
-    return out.withColumn("fold", beyond).drop("__h", "__c", "__cuts")
-
-
-def _folds_by_rank(hashed: DataFrame, classes: DataFrame, label: str, k: int) -> DataFrame:
-    ranked = with_running_total(hashed, [label], ["__h"], F.lit(1).cast("bigint"), "__p")
-    same = F.col(f"r.{label}").eqNullSafe(F.col(f"c.{label}"))
-    sized = ranked.alias("r").join(stage(classes, "classes").alias("c"), same).select("r.*", "c.count")
-    # Same sizes as ``fold_ends``: the first n mod k folds hold one more row.
-    small, larger = F.floor(F.col("count") / k), F.col("count") % k
-    p = F.col("__p") - 1
-    head = larger * (small + 1)
-    fold = F.when(p < head, F.floor(p / (small + 1))).otherwise(
-        larger + F.floor(F.try_divide(p - head, small)))
-    return sized.withColumn("fold", fold.cast("int")).drop("__h", "__p", "count")
+    return out.withColumn("fold", F.when(F.col("__cuts").isNull(), 0).otherwise(beyond)).drop("__h", "__c", "__cuts")
 
 
 def panel_split(df: DataFrame, train_end: int, val_end: int, look_back: int,

@@ -2,77 +2,91 @@
 
 A cut "the first m rows of that order" is the predicate ``hash <= cut``. The cut value is found
 by counting hash prefixes (at most 16**4 counters per pass, combined map-side) and narrowing
-until the prefix that holds rank m is small. No row is shuffled or ranked.
+until the prefix that holds rank m has few rows or is a whole hash. No row is shuffled or ranked.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_DIGITS = 4
+_DIGITS, _WHOLE = 4, 32
+#: Hashes that are read to the driver at once.
 _SMALL = 20_000
 
 
 def hash_key(key: str | Sequence[str], seed: int | str) -> Column:
-    """md5 of ``key|seed`` as 32 hex digits; the key columns must identify a row."""
+    """md5 of ``key|seed`` as 32 hex digits; the key columns must identify a row.
+
+    Different keys give different texts: separators inside a value are escaped and a null is
+    marked.
+    """
     cols = [key] if isinstance(key, str) else list(key)
-    return F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in cols], F.lit(str(seed))))
 
+    def text(c: str) -> Column:
+        escaped = F.replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+        return F.coalesce(escaped, F.lit("\\N"))
+
+    return F.md5(F.concat_ws("|", *[text(c) for c in cols], F.lit(str(seed))))
+
+
+def _tied(rank: int) -> ValueError:
+    return ValueError(f"the keys do not identify rows: several rows share the hash at rank {rank}, "
+                      "so no cut gives the exact size; add a column to the key")
 
-def _nth(df: DataFrame, hashed: str, ranks: Sequence[int]) -> dict[int, str]:
-    """Hash values at the given 1-based ranks."""
-    wanted = {rank: ("", rank) for rank in ranks}
+
+def _nth(df: DataFrame, hashed: str, ranks_of: Callable[[int], Sequence[int]]) -> tuple[list[int], dict[int, str]]:
+    """The wanted ranks, given the number of rows, and the hash at each positive one."""
     found: dict[int, str] = {}
+    ranks: list[int] | None = None
+    wanted = {0: ("", 0)}
     while wanted:
         prefixes = sorted({prefix for prefix, _ in wanted.values()})
-        width = len(prefixes[0]) + _DIGITS
-        pool = df
-        if prefixes != [""]:
-            pool = df.filter(F.substring(hashed, 1, len(prefixes[0])).isin(prefixes))
-        counts = pool.groupBy(F.substring(hashed, 1, width).alias("p")).count().collect()
-        tally = sorted((r["p"], r["count"]) for r in counts)
+        width = min(len(prefixes[0]) + _DIGITS, _WHOLE)
+        pool = df if prefixes == [""] else df.filter(F.substring(hashed, 1, len(prefixes[0])).isin(prefixes))
+        tally = sorted((r["p"], r["count"]) for r in
+                       pool.groupBy(F.substring(hashed, 1, width).alias("p")).count().collect())
+        if ranks is None:  # the first pass counts all rows
+            ranks = list(ranks_of(sum(n for _, n in tally)))
+            wanted = {rank: ("", rank) for rank in ranks if rank > 0}
         narrowed = {}
         for rank, (prefix, left) in wanted.items():
             for bucket, n in tally:
-                if not bucket.startswith(prefix):
-                    continue
-                if left <= n:
-                    narrowed[rank] = (bucket, left, n)
-                    break
-                left -= n
+                if bucket.startswith(prefix):
+                    if left <= n:
+                        narrowed[rank] = (bucket, left, n)
+                        break
+                    left -= n
+            else:
+                raise ValueError(f"rank {rank} is beyond the number of rows")
+        if width == _WHOLE:
+            for rank, (bucket, left, n) in narrowed.items():
+                if left < n:
+                    raise _tied(rank)
+                found[rank] = bucket
+            break
         small = {r: v for r, v in narrowed.items() if v[2] <= _SMALL}
+        members: dict[str, list[str]] = {}
         if small:
             buckets = sorted({v[0] for v in small.values()})
-            rows = (
-                df.filter(F.substring(hashed, 1, width).isin(buckets)).select(hashed).collect()
-            )
-            members: dict[str, list[str]] = {}
-            for row in rows:
+            for row in df.filter(F.substring(hashed, 1, width).isin(buckets)).select(hashed).collect():
                 members.setdefault(row[0][:width], []).append(row[0])
-            for rank, (bucket, left, _) in small.items():
-                found[rank] = sorted(members[bucket])[left - 1]
+        for rank, (bucket, left, _) in small.items():
+            order = sorted(members[bucket])
+            if left < len(order) and order[left - 1] == order[left]:
+                raise _tied(rank)
+            found[rank] = order[left - 1]
         wanted = {r: (v[0], v[1]) for r, v in narrowed.items() if r not in small}
-    return found
-
-
-def hash_cut(df: DataFrame, hashed: str, ranks: Sequence[int]) -> list[str]:
-    """Cut values for the ranks; rank 0 or less gives an empty string (nothing is below it)."""
-    hashes = df.select(hashed)
-    real = sorted({r for r in ranks if r > 0})
-    found = _nth(hashes, hashed, real) if real else {}
-    return [found[r] if r > 0 else "" for r in ranks]
-
-
-def hash_cuts_by(
-    df: DataFrame, hashed: str, by: str, ranks: dict[object, Sequence[int]]
-) -> list[tuple[object, int, str]]:
-    """Cut values per value of ``by`` (a class label): rows (label, position, cut)."""
-    rows = []
-    for label, wanted in ranks.items():
-        same = F.col(by).isNull() if label is None else F.col(by) == F.lit(label)
-        for i, cut in enumerate(hash_cut(df.filter(same), hashed, wanted)):
-            rows.append((label, i, cut))
-    return rows
+    return ranks or [], found
+
+
+def hash_cut(df: DataFrame, hashed: str, ranks: Sequence[int] | Callable[[int], Sequence[int]]) -> list[str]:
+    """Cut values for the ranks, which may be a function of the number of rows (counted on the way).
+
+    Rank 0 or less gives an empty string (nothing is below it). A cut between rows of equal hash
+    cannot be exact and raises.
+    """
+    known, found = _nth(df.select(hashed), hashed, ranks if callable(ranks) else lambda _: ranks)
+    return [found[r] if r > 0 else "" for r in known]

@@ -188,18 +188,49 @@ def test_stratified_folds_keep_class_shares(spark):
         **{(f, 1): 2 for f in range(5)}, **{(f, 0): 18 for f in range(5)}}
 
 
-def test_many_classes_take_the_ranked_way(spark):
-    df = spark.range(230).withColumn("y", (F.col("id") % 7).cast("int"))
-    a = split.stratified_k_fold(df, "id", "y", 4, 2)
-    b = split.stratified_k_fold(df, "id", "y", 4, 2, max_classes=3)
-    assert a.exceptAll(b).count() == 0 and b.count() == 230
-
-
-def test_large_random_samples(spark, monkeypatch):
+def test_folds_of_many_small_and_null_classes(spark):
+    df = spark.range(700).withColumn("y", F.when(F.col("id") % 11 > 0, F.col("id") % 301))
+    out = split.stratified_k_fold(df, "id", "y", 4, 2)
+    assert out.count() == 700 and out.columns == ["id", "y", "fold"]
+    sizes = {}
+    for r in out.groupBy("y", "fold").count().collect():
+        sizes.setdefault(r["y"], [0] * 4)[r["fold"]] = r["count"]
+    for n in sizes.values():
+        assert n == [sum(n) // 4 + (i < sum(n) % 4) for i in range(4)]
+    assert {r["fold"] for r in split.stratified_k_fold(df, "id", "y", 1).collect()} == {0}
+    assert split.stratified_k_fold(df.limit(0), "id", "y", 4).count() == 0
+
+
+def test_random_rows(spark):
     a = sampling.random_rows(spark.range(500), "id", 120, 5)
-    monkeypatch.setattr(sampling, "MAX_TOP", 10)
-    b = sampling.random_rows(spark.range(500), "id", 120, 5)
+    b = sampling.random_rows(spark.range(500).repartition(9), "id", 120, 5)
     assert a.exceptAll(b).count() == 0 and b.count() == 120
+    assert sampling.random_rows(spark.range(5), "id", 9).count() == 5
+    assert sampling.random_rows(spark.range(0), "id", 9).count() == 0
+
+
+def test_equal_keys_are_refused_where_a_cut_needs_them_apart(spark):
+    same = spark.range(30_000).select(F.lit(1).alias("k"))
+    with pytest.raises(ValueError, match="identify"):
+        split.train_test(same, "k")
+    with pytest.raises(ValueError, match="identify"):
+        split.stratified_k_fold(same.withColumn("y", F.lit(0)), "k", "y", 3)
+    few = spark.createDataFrame([(1,), (1,), (2,), (2,)], "k int")
+    assert sorted(r["count"] for r in split.train_test(few, "k", 50, 50).groupBy("split").count().collect()) == [2, 2]
+
+
+def test_empty_tables_are_split_and_sampled(spark):
+    df = spark.range(0)
+    assert split.train_test(df, "id").count() == split.k_fold(df, "id", 3).count() == 0
+    assert split.train_val_test(df, "id").count() == sampling.keep_share_of_keys(df, "id", 0.5).count() == 0
+
+
+def test_different_keys_have_different_hashes(spark):
+    from panelyard.plans import hash_key
+
+    rows = [("a", None), (None, "a"), ("a|b", "c"), ("a", "b|c"), ("a\\", "b"), ("a", "\\b"), ("\\N", None), (None, "\\N"), (None, None)]
+    df = spark.createDataFrame(rows, "x string, y string")
+    assert df.select(hash_key(["x", "y"], 0).alias("h")).distinct().count() == len(rows)
 
 
 def test_splits_do_not_depend_on_partitioning(spark):
