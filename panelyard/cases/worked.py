@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelyard import runner
 from panelyard.analyses import anomaly, credit as credit_analysis, retail
 from panelyard.cases.base import SERIES_ATTRS, Tables, case, r, sales_panel
-from panelyard.cases.modelling import FEATURES
+from panelyard.cases.modelling import FEATURES, FORECAST_SQL
 from panelyard.cases.sequences import WINDOWS_SQL
 from panelyard.cases.summaries import MODE_SQL, taxi
 from panelyard.cases.tables import CALENDAR_SQL, CREDIT_SQL, PRICED_SQL, calendar, credit, prices
 from panelyard.cases.windows import W, filled
+from panelyard.operators import metrics, panel as P
 from panelyard.operators.models import ModelSpec
 from panelyard.plans import stage
 
@@ -64,6 +66,27 @@ def _(spark, sf):
     return retail.forecast_and_score(df, spec, n - 57, n - 7, 7, n)
 
 
+RUN_SQL = FORECAST_SQL.rstrip() + """,
+y AS (SELECT id, d, lead(sold) OVER (PARTITION BY id ORDER BY d) AS y FROM panel),
+s AS (SELECT f.sold_next_day AS p, y.y FROM forecast f JOIN y ON y.id = f.id AND y.d = f.d),
+m2 AS (SELECT avg(abs(y - p)) AS mae, avg(pow(y - p, 2)) AS mse, sqrt(avg(pow(y - p, 2))) AS rmse,
+  sqrt(avg(pow(y - p, 2))) / (quantile_cont(p, 0.75) - quantile_cont(p, 0.25)) AS nrmse,
+  1 - avg(pow(y - p, 2)) / var_pop(y) AS r2, 0e0 AS bsl_r2 FROM s)
+"""
+
+
+@case("x2_run_panel", RUN_SQL + "\nUNION ALL ".join(
+    f"SELECT '{c}_test' AS score, round({c}, 5) + 0e0 AS value FROM m2" for c in metrics.REGRESSION))
+def _(spark, sf):
+    """The whole run: chronological split, a forecast of 28 days that feeds on itself, scores."""
+    df, n = sales_panel(Tables(spark, sf))
+    rows = df.withColumn("sold_next_day", P.lead_target("sold", ["id"])).filter(F.col("d") < n)
+    scores = runner.run(spark, {
+        "label": "sold_next_day", "split": ("split_panel", {"train_end": n - 57, "val_end": n - 29}),
+        "predict": ("predict_recursive", {"start_day": n - 28, "steps": 28})}, data=rows)
+    return scores.select("score", r("value", 5))
+
+
 @case("x2_retail_explore")
 def _(spark, sf):
     """Row counts of all exploration tables."""

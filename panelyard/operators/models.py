@@ -278,7 +278,10 @@ def random_search(df: DataFrame, spec: ModelSpec, n_draws: int = 5, fold_col: st
     rng = np.random.default_rng(seed)
     draws = [{k: draw(rng) for k, draw in dists.items()} for _ in range(n_draws)]
     rows = stage(df.select(*spec.features, spec.label, fold_col), "search")
-    folds = [1] if predefined else sorted(r[0] for r in rows.select(fold_col).distinct().collect())
+    present = sorted(r[0] for r in rows.select(fold_col).distinct().collect())
+    folds = [1] if predefined else present
+    if not set(folds) <= set(present) or len(present) < 2:
+        raise ValueError("a search needs rows to train on and rows to validate on")
 
     def run(task):
         i, fold = task

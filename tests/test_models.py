@@ -311,3 +311,31 @@ def test_run_classification_with_validation_split(spark, df):
 def test_unknown_stage(spark, df):
     with pytest.raises(ValueError):
         run(spark, {"key": "key", "stages": [("nope", {})]}, data=df)
+
+
+def test_search_needs_validation_rows(spark, df):
+    config = {"key": "key", "model": "ridge", "features": COLS, "label": "y", "hparams": {"ridge__alpha": "uniform(0, 1)"}}
+    with pytest.raises(ValueError, match="validation"):
+        run(spark, config, data=df)
+
+
+def test_run_subsamples_reloads_and_evaluates_by_name(spark, df):
+    out = new_path(spark, "run")
+    config = {"key": "key", "model": "ridge", "features": COLS, "label": "y", "output": out,
+              "subsample": ("subsample_keys", {"key": "key", "rate": 0.5}), "evaluate": ("evaluate_regression", {})}
+    first = {r["score"]: r["value"] for r in run(spark, config, data=df).collect()}
+    again = run(spark, {"key": "key", "label": "y", "reload": f"{out}/models/run"}, data=df)
+    assert {r["score"]: r["value"] for r in again.collect()} == pytest.approx(first)
+    with pytest.raises(ValueError, match="no stage"):
+        run(spark, {**config, "evaluate": "nope"}, data=df)
+
+
+def test_run_panel_with_a_model(spark):
+    rows = [("a" if i < 60 else "b", i % 60 + 1, float(i % 7)) for i in range(120)]
+    data = spark.createDataFrame(rows, "id string, d int, sold double")
+    data = panel.add_lags(data, lags=(7,)).withColumn("sold_next_day", panel.lead_target("sold", ["id"])).fillna(0.0)
+    scores = run(spark, {
+        "model": "ridge", "features": ["sold", "sold_lag_7"], "label": "sold_next_day",
+        "split": ("split_panel", {"train_end": 40, "val_end": 49}),
+        "predict": ("predict_recursive", {"start_day": 50, "steps": 10, "features": ["sold", "sold_lag_7"]})}, data=data)
+    assert {r["score"] for r in scores.collect()} >= {"mae_train", "mae_val", "mae_test"}
