@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelyard.operators.profile import _match
-from panelyard.plans import exact_quantiles, hash_key, with_row, with_running_total
+from panelyard.plans import exact_quantiles, hash_key, stage, with_row, with_running_total
 
 REGRESSION = ["mae", "mse", "rmse", "nrmse", "r2", "bsl_r2"]
 
@@ -126,16 +126,24 @@ def uniform(key, seed) -> Column:
 
 
 def stratified_guess(df: DataFrame, actual: str, key, seed=42, name="guess") -> DataFrame:
-    """Random labels drawn with the class shares (V5); classes are counted once."""
-    counts = sorted((r[actual], r["count"]) for r in
-                    df.filter(F.col(actual).isNotNull()).groupBy(actual).count().collect())
-    total = sum(n for _, n in counts)
-    u = uniform(key, seed)
-    out, upto = F.lit(counts[-1][0]), total
-    for label, n in reversed(counts[:-1]):
-        upto -= counts[[c for c, _ in counts].index(label) + 1][1]
-        out = F.when(u < F.lit(upto / total), F.lit(label)).otherwise(out)
-    return df.withColumn(name, out)
+    """Random labels drawn with the class shares (V5); null where no row has a class.
+
+    Each class owns a stretch of [0, 1) as long as its share. The stretches are cut at as many
+    even steps as there are classes, so a row finds its class by a join on the step, whatever the
+    number of classes.
+    """
+    counts = stage(df.filter(F.col(actual).isNotNull()).groupBy(F.col(actual).alias("__c")).agg(
+        F.count("*").alias("__n")), "classes")
+    classes, total = counts.agg(F.count("*"), F.sum("__n")).first()
+    steps = max(1, classes)
+    walked = with_running_total(counts, [], ["__c"], F.col("__n"), "__upto")
+    low, high = (F.col("__upto") - F.col("__n")) / F.lit(total), F.col("__upto") / F.lit(total)
+    owned = walked.select("__c", low.alias("__low"), high.alias("__high"))
+    owned = owned.withColumn("__step", F.explode(F.sequence(
+        F.floor(F.col("__low") * steps), F.least(F.ceil(F.col("__high") * steps), F.lit(steps)) - 1)))
+    drawn = df.withColumn("__u", uniform(key, seed)).withColumn("__s", F.floor(F.col("__u") * steps))
+    met = (F.col("__s") == F.col("__step")) & (F.col("__u") >= F.col("__low")) & (F.col("__u") < F.col("__high"))
+    return drawn.join(stage(owned, "stretches"), met, "left").select(*df.columns, F.col("__c").alias(name))
 
 
 def baseline_auc(df: DataFrame, actual: str, key, seed=42) -> DataFrame:

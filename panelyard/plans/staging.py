@@ -7,6 +7,7 @@ files are under ``spark.sql.autoBroadcastJoinThreshold`` and shuffled otherwise.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,11 +17,11 @@ _LOCAL_FOLDER: list[tempfile.TemporaryDirectory] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only where one process does all the work."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return f"{base.rstrip('/')}/panelyard/{spark.sparkContext.applicationId}"
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):  # one machine, one process
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
     if not _LOCAL_FOLDER:
         _LOCAL_FOLDER.append(tempfile.TemporaryDirectory(prefix="panelyard-"))

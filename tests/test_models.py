@@ -339,3 +339,13 @@ def test_run_panel_with_a_model(spark):
         "split": ("split_panel", {"train_end": 40, "val_end": 49}),
         "predict": ("predict_recursive", {"start_day": 50, "steps": 10, "features": ["sold", "sold_lag_7"]})}, data=data)
     assert {r["score"] for r in scores.collect()} >= {"mae_train", "mae_val", "mae_test"}
+
+
+def test_stratified_guess_of_many_classes(spark):
+    df = spark.range(4000).withColumn("y", F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.col("id")))
+    got = metrics.stratified_guess(df, "y", "id")
+    assert got.count() == 4000 and got.where("guess is null").count() == 0
+    assert 1850 < got.where("guess = 0").count() < 2150
+    assert got.select("guess").distinct().count() > 1000
+    none = metrics.stratified_guess(df.withColumn("y", F.lit(None).cast("int")), "y", "id")
+    assert none.count() == none.where("guess is null").count() == 4000
