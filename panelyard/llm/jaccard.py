@@ -94,6 +94,34 @@ def bits_apart(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
+class Sketches:
+    """Parity bits of many rows, by length, for comparing many pairs at once."""
+
+    def __init__(self, raw: list[bytes]):
+        self.size = np.array([len(r) for r in raw])
+        self.row = np.zeros(len(raw), np.int64)
+        self.bits: dict[int, np.ndarray] = {}
+        for size in np.unique(self.size).tolist():
+            here = np.flatnonzero(self.size == size)
+            self.row[here] = np.arange(len(here))
+            self.bits[size] = np.frombuffer(b"".join([raw[i] for i in here.tolist()]), U).reshape(len(here), -1)
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Differing bits of each pair, the longer sketch folded."""
+        out = np.zeros(len(x), np.int64)
+        both = np.stack([self.size[x], self.size[y]], axis=1)
+        for p, q in np.unique(both, axis=0).tolist():
+            here = np.flatnonzero((both[:, 0] == p) & (both[:, 1] == q))
+            short = min(p, q) // 8
+            a, b = (self.bits[k].reshape(len(self.bits[k]), -1, short) for k in (p, q))
+            a, b = np.bitwise_xor.reduce(a, axis=1), np.bitwise_xor.reduce(b, axis=1)
+            step = max(1, (1 << 20) // short)
+            for lo in range(0, len(here), step):
+                part = here[lo:lo + step]
+                out[part] = np.bitwise_count(a[self.row[x[part]]] ^ b[self.row[y[part]]]).sum(axis=1)
+        return out
+
+
 SIGNED = "id long, n long, class long, other long, counts array<int>, keys array<long>, sketch binary"
 
 
@@ -258,19 +286,14 @@ def across(rows: DataFrame, percent: int) -> DataFrame:
                         F.lit(False).alias("left"), *each)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[int, int], np.ndarray] = {}  # pairs share many keys; a task compares each once
-        good: dict[tuple[int, int], np.ndarray] = {}
+        seen: dict[int, np.ndarray] = {}  # pairs share many keys; a task compares each once
+        good: dict[int, np.ndarray] = {}
         held = None
 
         def flush() -> pa.RecordBatch:
-            where = list(good)
-            at = []
-            for (bx, by), bits in zip(where, good.values()):
-                at.append(np.union1d(np.flatnonzero(bits.any(1)) + (bx << 8), np.flatnonzero(bits.any(0)) + (by << 8)))
             out = pa.RecordBatch.from_arrays(
-                [pa.array([x for x, _ in where], pa.int64()), pa.array([y for _, y in where], pa.int64()),
-                 pa.array([np.packbits(b).tobytes() for b in good.values()], pa.binary()), list_array(at, pa.int64())],
-                names=["bx", "by", "bits", "at"])
+                [pa.array([code >> 31 for code in good], pa.int64()), pa.array([code & 0x7FFFFFFF for code in good], pa.int64()),
+                 pa.array([np.packbits(b).tobytes() for b in good.values()], pa.binary())], names=["bx", "by", "bits"])
             good.clear(), seen.clear()
             return out
 
@@ -284,6 +307,7 @@ def across(rows: DataFrame, percent: int) -> DataFrame:
             begin = np.repeat(start + lefts, lefts)
             rows = np.flatnonzero(left)
             total = np.cumsum(rights)
+            sketches = Sketches(t.column(7).to_pylist())
             for lo in range(0, int(total[-1]) if len(total) else 0, 1 << 20):
                 pair = np.arange(lo, min(lo + (1 << 20), int(total[-1])))
                 of = np.searchsorted(total, pair, side="right")
@@ -293,18 +317,22 @@ def across(rows: DataFrame, percent: int) -> DataFrame:
                 swap = at[x] > at[y]
                 x, y = np.where(swap, y, x), np.where(swap, x, y)
                 _, once = np.unique(mix(at[x].astype(U)) ^ at[y].astype(U), return_index=True)
-                for p, q in zip(x[once].tolist(), y[once].tolist()):
-                    where, one, two = (int(at[p]) >> 8, int(at[q]) >> 8), int(at[p]) & 255, int(at[q]) & 255
-                    if where not in seen:
-                        seen[where] = np.zeros((256, 256), bool)
-                    if seen[where][one, two]:
-                        continue
-                    seen[where][one, two] = True
-                    apart = bits_apart(t.column(7)[p].as_py(), t.column(7)[q].as_py())
-                    if apart * (100 + percent) <= (100 - percent) * int(n[p] + n[q]):
-                        if where not in good:
-                            good[where] = np.zeros((256, 256), bool)
-                        good[where][one, two] = True
+                x, y = x[once], y[once]
+                blocks = ((at[x] >> 8) << 31) | (at[y] >> 8)
+                cell = ((at[x] & 255) << 8) | (at[y] & 255)
+                order = np.argsort(blocks, kind="stable")
+                ends = np.flatnonzero(np.diff(blocks[order], append=-1))
+                first = 0
+                for end in ends.tolist():
+                    mine = order[first:end + 1]
+                    first = end + 1
+                    code = int(blocks[mine[0]])
+                    done = seen.setdefault(code, np.zeros(1 << 16, bool))
+                    mine = mine[~done[cell[mine]]]
+                    done[cell[mine]] = True
+                    near = sketches.apart(x[mine], y[mine]) * (100 + percent) <= (100 - percent) * (n[x[mine]] + n[y[mine]])
+                    if near.any():
+                        good.setdefault(code, np.zeros(1 << 16, bool))[cell[mine[near]]] = True
 
         for batch in batches:
             if held is not None:
@@ -325,7 +353,18 @@ def across(rows: DataFrame, percent: int) -> DataFrame:
 
     both = left.unionByName(right).select("key", "i", "j", "left", "at", "comp", "n", "sketch")
     dealt = both.repartition(partitions_for(rows), "key", "i", "j").sortWithinPartitions("key", "i", "j", F.desc("left"))
-    return dealt.mapInArrow(meet, "bx long, by long, bits binary, at array<long>")
+    found = dealt.mapInArrow(meet, "bx long, by long, bits binary").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(256)))
+
+    def either(f: pd.DataFrame) -> pd.DataFrame:
+        bits = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in f.bits], axis=0)
+        cells = np.unpackbits(bits).reshape(256, 256)
+        at = np.union1d(np.flatnonzero(cells.any(1)) + (f.bx.iloc[0] << 8), np.flatnonzero(cells.any(0)) + (f.by.iloc[0] << 8))
+        return pd.DataFrame({"bx": f.bx[:1], "by": f.by[:1], "bits": [bits.tobytes()], "at": [at]})
+
+    # What many tasks say of two blocks comes together in two steps, a few hundred rows each.
+    kind = "bx long, by long, bits binary, at array<long>"
+    some = found.groupBy("bx", "by", "part").applyInPandas(either, kind)
+    return some.groupBy("bx", "by").applyInPandas(either, kind)
 
 
 def linked_across(found: DataFrame, places: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -333,7 +372,7 @@ def linked_across(found: DataFrame, places: DataFrame, sets: DataFrame, percent:
 
     ``places``: at, class, comp. A task holds the sets of two blocks of classes.
     """
-    tokens = found.select(F.col("bx").alias("x"), F.col("by").alias("y"), F.explode("at").alias("at")).distinct()
+    tokens = found.select(F.col("bx").alias("x"), F.col("by").alias("y"), F.explode("at").alias("at"))
     tokens = tokens.join(places, "at").join(sets, "class").select("x", "y", "at", "class", "comp", "tokens")
 
     def test(_, pairs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:

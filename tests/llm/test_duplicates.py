@@ -71,6 +71,13 @@ def test_sketches_never_exceed_the_difference():
         assert jaccard.bits_apart(jaccard.parity_bits(x), jaccard.parity_bits(y)) <= len(np.setxor1d(x, y))
 
 
+def test_pairs_at_once_are_pairs_one_by_one():
+    rng = np.random.default_rng(4)
+    raw = [jaccard.parity_bits(np.unique(rng.integers(0, 2**63, rng.integers(1, 500)).astype(np.uint64))) for _ in range(60)]
+    x, y = rng.integers(0, 60, 500), rng.integers(0, 60, 500)
+    assert jaccard.Sketches(raw).apart(x, y).tolist() == [jaccard.bits_apart(raw[a], raw[b]) for a, b in zip(x, y)]
+
+
 def test_one_of_each_keeps_columns(spark):
     rows = awkward_texts(random.Random(4))
     docs = documents(spark, rows)
