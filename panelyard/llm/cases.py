@@ -155,7 +155,59 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     return _judged(found, 5, 0, 0.3)
 
 
-@case()
+_PARTS = [(0, secrets.ASSIGN, 2), (1, secrets.ACCESS, 0), (2, secrets.HEX, 0), (3, secrets.CANDIDATE, 0)]
+_ALPHABET = quoted(secrets.ALPHABET)
+
+
+@case(f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({" UNION ALL ".join(
+    f"SELECT r, {kind} AS kind, string_split_regex(text, {quoted(p)}) AS p, regexp_extract_all(text, {quoted(p)}, 0) AS m, "
+    f"regexp_extract_all(text, {quoted(p)}, {group}) AS v FROM docs" for kind, p, group in _PARTS)}),
+each AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM found),
+placed AS (
+  SELECT r, kind, m[i] AS s, v[i] AS v, CAST(list_sum(list_transform(p[1:i], lambda x: len(x)))
+    + coalesce(list_sum(list_transform(m[1:i-1], lambda x: len(x))), 0) AS BIGINT) AS a FROM each),
+spans AS (
+  SELECT r, kind, a, a + len(s) AS z, s FROM placed
+  WHERE kind >= 2 OR kind = 0 AND len(v) >= {secrets.LEAST_VALUE} OR kind = 1 AND len(s) >= {secrets.LEAST_ACCESS}),
+base AS (SELECT * FROM spans WHERE kind < 3),
+runs AS (SELECT * FROM spans c WHERE kind = 3 AND NOT EXISTS (
+  SELECT 1 FROM base b WHERE b.r = c.r AND b.a < c.z AND c.a < b.z)),
+sample AS (
+  SELECT text FROM documents WHERE text IS NOT NULL ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), text LIMIT {secrets.SAMPLE}),
+words AS (
+  SELECT true AS random, unnest(list_filter(regexp_extract_all(text, {quoted(secrets.ASSIGN)}, 2),
+    lambda x: len(x) >= {secrets.LEAST_VALUE})) AS run FROM sample
+  UNION ALL SELECT true, unnest(list_filter(regexp_extract_all(text, {quoted(secrets.ACCESS)}, 0),
+    lambda x: len(x) >= {secrets.LEAST_ACCESS})) FROM sample
+  UNION ALL SELECT true, unnest(regexp_extract_all(text, {quoted(secrets.HEX)}, 0)) FROM sample
+  UNION ALL SELECT false, unnest(list_filter(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(text,
+    {quoted(secrets.ASSIGN)}, ' ', 'g'), {quoted(secrets.ACCESS)}, ' ', 'g'), {quoted(secrets.HEX)}, ' ', 'g'),
+    {quoted(secrets.ORDINARY)}, 0), lambda x: regexp_matches(x, {quoted(secrets.NAME)}))) FROM sample),
+pairs AS (SELECT random, substr(run, i, 2) AS pair FROM (SELECT random, run, unnest(range(1, len(run))) AS i FROM words)
+  WHERE regexp_matches(pair, '^[A-Za-z0-9+/_=.-]{{2}}$')),
+counted AS (SELECT random, pair, count(*) AS n FROM pairs GROUP BY ALL),
+letters AS (SELECT substr({_ALPHABET}, i, 1) AS c FROM range(1, {len(secrets.ALPHABET) + 1}) t(i)),
+kinds AS (SELECT unnest([true, false]) AS random),
+grid AS (
+  SELECT k.random, x.c AS a, y.c AS b, coalesce(n, 0) AS n FROM kinds k CROSS JOIN letters x CROSS JOIN letters y
+  LEFT JOIN counted c ON c.random = k.random AND c.pair = x.c || y.c),
+shares AS (
+  SELECT random, a, b, ln((n + {secrets.SMOOTH}e0 * (sum(n) OVER (PARTITION BY random, b) + 0.5e0)
+    / (sum(n) OVER (PARTITION BY random) + 0.5e0 * {len(secrets.ALPHABET)})) / (sum(n) OVER (PARTITION BY random, a) + {secrets.SMOOTH}e0)) AS l
+  FROM grid),
+ratios AS (SELECT x.a || x.b AS pair, x.l - y.l AS l FROM shares x JOIN shares y ON x.a = y.a AND x.b = y.b AND x.random AND NOT y.random),
+scored AS (
+  SELECT r, 3 AS kind, a, z FROM (SELECT r, a, z, s, unnest(range(1, len(s))) AS i FROM runs) u JOIN ratios ON pair = substr(s, i, 2)
+  GROUP BY r, a, z, s HAVING sum(l) / (len(s) - 1) >= {secrets.LEAST_RATIO}e0),
+every AS (SELECT r, kind, a, z FROM base UNION ALL SELECT r, kind, a, z FROM scored),
+named AS (SELECT *, [{", ".join(quoted(k) for k in secrets.KINDS)}][kind + 1] || ':' || a || ':' || z AS label FROM every)
+SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  sha256(coalesce(string_agg(label, ',' ORDER BY a, kind, z) FILTER (kind < 3), '')) AS base_sha256,
+  coalesce(string_agg(label, ',' ORDER BY a, kind, z), '') AS spans
+FROM docs LEFT JOIN named USING (r) GROUP BY r, doc_id
+""")
 def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, folder, "documents"))
     count = lambda k: F.expr(f"cast(size(filter(spans, s -> s.kind = {k})) as bigint)")
