@@ -89,8 +89,8 @@ class Pieces:
 class Lattices:
     """The filtered lattices of runs, all at once.
 
-    A node is a place in a run that some piece ends at, numbered by offset and run. Its entries are these pieces; an
-    entry's ``keys`` is its node's number plus the summed shares up to it, ``before`` the node that the piece starts
+    A node is a place in a run that some piece ends at, numbered by offset and run. Its entries, from ``first`` on, are these
+    pieces: ``upto`` is the sum of a node's shares up to an entry, ``before`` the node that the piece starts
     from (-1: the start of the run), ``ids`` the piece, or minus the code point of a character that has none.
     """
 
@@ -142,9 +142,9 @@ class Lattices:
             reach[lo:lo + width] = sums
             lo += width
         summed = np.cumsum(share)
-        base = np.r_[0.0, summed][first]
-        self.keys = np.repeat(np.arange(n), counts) + np.minimum(summed - np.repeat(base, counts), 1.0)
-        self.keys[first + counts - 1] = np.arange(n) + 1.0
+        self.upto = summed - np.repeat(np.r_[0.0, summed][first], counts)
+        self.upto[first + counts - 1] = 1.0
+        self.first = first
         self.ends = node[ends - 1]
 
 
@@ -167,9 +167,12 @@ class Sampler:
         steps = []
         while len(open_):
             draw = mix(seeds[open_] + (U(len(steps)) * np.ones(1, U)) * U(0xD1B54A32D192ED03)) >> U(11)
-            # Keys are known to about 1e-9; a draw that close to the next node must not cross over.
-            u = np.minimum(draw.astype(np.float64) * 2.0**-53, 1 - 1e-8)
-            entry = np.searchsorted(lattices.keys, state + u, side="right")
+            u = draw.astype(np.float64) * 2.0**-53
+            entry = lattices.first[state]
+            late = np.flatnonzero(u >= lattices.upto[entry])
+            while len(late):  # nodes have few entries
+                entry[late] += 1
+                late = late[u[late] >= lattices.upto[entry[late]]]
             steps.append((open_, lattices.ids[entry]))
             count[open_] += 1
             state = lattices.before[entry]
@@ -231,12 +234,11 @@ class Sampler:
         return [np.concatenate(p) if p else np.zeros(0, np.int32) for p in out]
 
 
-def _packed(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that one holds a bounded number of characters (or a single row)."""
+def _packed(batches: Iterator[pa.RecordBatch], sizes) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that the sizes of one's rows add up to a bounded number (or it is a single row)."""
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0)
         start, held = 0, 0
-        for i, size in enumerate(sizes.to_pylist()):
+        for i, size in enumerate(pc.fill_null(sizes(batch), 0).to_pylist()):
             if held and held + size > CHARACTERS:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
@@ -260,7 +262,7 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(Pieces(shared.value, theta))
-        for batch in _packed(batches, 1):
+        for batch in _packed(batches, lambda b: pc.binary_length(b.column(1))):
             texts = batch.column(1).to_pylist()
             ids = sampler.encode([t or "" for t in texts], batch.column(0).to_pylist())
             ids = [None if t is None else i for t, i in zip(texts, ids)]
@@ -279,18 +281,22 @@ def decode(rows: DataFrame, model: bytes, ids_col: str = "ids", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = Pieces(shared.value).bytes
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                texts = []
-                for ids in part.column(place):
-                    if not ids.is_valid:
-                        texts.append(None)
-                        continue
-                    text = b"".join(map(raw.__getitem__, ids.values.to_numpy().tolist()))
-                    texts.append(text[1:].decode())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())],
-                                                 names=[*part.schema.names, text_col])
+        size = np.array([len(b) for b in raw], np.int64)
+        place_of, data = np.cumsum(size) - size, np.frombuffer(b"".join(raw), np.uint8)
+        for batch in _packed(batches, lambda b: pc.list_value_length(b.column(place))):
+            ids = batch.column(place)
+            count = pc.fill_null(pc.list_value_length(ids), 0).to_numpy()
+            flat = ids.flatten().to_numpy()
+            ends = np.cumsum(size[flat])
+            at = np.repeat(place_of[flat] - (ends - size[flat]), size[flat]) + np.arange(ends[-1] if len(ends) else 0)
+            to = np.r_[0, ends][np.r_[0, np.cumsum(count)]]  # where each text starts and ends
+            full = np.flatnonzero(np.diff(to))
+            text = np.delete(data[at], to[full])  # the blank in front
+            to -= np.r_[0, np.cumsum(np.diff(to) > 0)]
+            texts = pa.Array.from_buffers(pa.large_string(), batch.num_rows,
+                                          [None, pa.py_buffer(to.astype(np.int64)), pa.py_buffer(text)]).cast(pa.string())
+            texts = pc.if_else(pc.is_valid(ids), texts, pa.scalar(None, pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, text_col])
 
     kept = rows.drop(text_col)
     if len(kept.columns) != len(rows.columns):
