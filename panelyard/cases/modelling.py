@@ -88,7 +88,7 @@ def _(spark, sf):
 
 @case("l4_random_forest")
 def _(spark, sf):
-    return _fit_predict(spark, sf, "random_forest", {"random_forest__n_estimators": 10, "random_forest__max_depth": 6})
+    return _fit_predict(spark, sf, "random_forest", {"random_forest__n_estimators": 100, "random_forest__max_depth": 6})
 
 
 @case("l5_hist_boosting")
@@ -104,12 +104,12 @@ def _(spark, sf):
 @case("l6_light_boosting_classifier")
 def _(spark, sf):
     t = Tables(spark, sf)
-    df = prep.align(t.documents.select("doc_id", "lang", "source", "n_chars"),
-                    t.labels.select("doc_id", F.col("quality").cast("double").alias("quality")), ["doc_id"])
-    df = encode.category_codes(df, ["lang", "source"])
+    docs = t.documents.select("doc_id", "lang", "source", "n_chars")
+    docs = encode.category_codes(docs, ["lang", "source"])
+    known = prep.align(docs, t.labels.select("doc_id", F.col("quality").cast("double").alias("quality")), ["doc_id"])
     spec = models.ModelSpec("light_boosting_classifier", ["lang_code", "source_code", "n_chars"], "quality",
                             hparams={"light_boosting_classifier__n_estimators": 10}, seed=0)
-    return models.predict(spec.fit(df), df).select("doc_id", "quality", "prediction")
+    return models.predict(spec.fit(known), docs).select("doc_id", "prediction")
 
 
 @case("l7_scaled_linear", ONE_FEATURE_SQL)
@@ -130,7 +130,7 @@ def _(spark, sf):
     df = split.k_fold(housing(Tables(spark, sf)), KEY, 3, 0)
     spec = models.ModelSpec("ridge", HOUSE, "l_extendedprice", ["standard_scaler"],
                             {"ridge__alpha": "loguniform(1e-2, 1e3)"}, 0)
-    return models.random_search(df, spec, 3, seed=0)[0]
+    return models.random_search(df, spec, 5, seed=0)[0]
 
 
 @case("l9_random_search_predefined")
@@ -138,7 +138,7 @@ def _(spark, sf):
     df = split.train_val_test(housing(Tables(spark, sf)), KEY, seed=0)
     rows = split.predefined_split(df.filter("split = 'train'"), df.filter("split = 'val'"))
     spec = models.ModelSpec("ridge", HOUSE, "l_extendedprice", (), {"ridge__alpha": "uniform(0, 100)"}, 0)
-    return models.random_search(rows, spec, 3, predefined=True, seed=0)[0]
+    return models.random_search(rows, spec, 5, predefined=True, seed=0)[0]
 
 
 @case("l10_batch_predict", ONE_FEATURE_SQL.replace("SELECT l_orderkey", """
@@ -371,7 +371,7 @@ def _(spark, sf):
     return run(spark, {
         "key": KEY, "model": "ridge", "features": HOUSE, "label": "l_extendedprice",
         "transformers": ["standard_scaler"], "hparams": {"ridge__alpha": "loguniform(0.01, 100)"},
-        "split": ("split_train_val_test", {}), "draws": 2, "seed": 0, "output": new_path(spark, "run"),
+        "split": ("split_train_val_test", {}), "draws": 5, "seed": 0, "output": new_path(spark, "run"),
     }, data=housing(Tables(spark, sf)))
 
 

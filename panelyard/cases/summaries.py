@@ -297,7 +297,7 @@ def _(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
     df = encode.min_max_scale(Tables(spark, sf).lineitem, LINE[:3], "")
-    out = encode.random_fourier(df, LINE[:3], 16, 1.0, 0)
+    out = encode.random_fourier(df, LINE[:3], 100, 1.0, 0)
     return out.select(*KEY, vector_to_array("rff").alias("rff"))
 
 

@@ -63,7 +63,7 @@ def _(spark, sf):
 def _(spark, sf):
     df, n = sales_panel(Tables(spark, sf))
     spec = ModelSpec("ridge", FEATURES, "sold_next_day")
-    return retail.forecast_and_score(df, spec, n - 57, n - 7, 7, n)
+    return retail.forecast_and_score(df, spec, n - 57, n - 28, 28, n)
 
 
 RUN_SQL = FORECAST_SQL.rstrip() + """,
