@@ -26,7 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
         if not small:
             both = both.union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("low"))
-        least = least.select("u", F.least("u", "low").alias("low"))
+        # A table of its own, so that the join can split the neighbours of a hub.
+        least = stage(least.select("u", F.least("u", "low").alias("low")), "least")
         moved = both.join(least, "u")
         if small:
             out = moved.select(F.col("v").alias("a"), F.col("low").alias("b"))

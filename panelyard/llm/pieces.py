@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from panelyard.llm.common import Prefix, U, list_array, mix
 
@@ -251,55 +252,64 @@ def model_bytes(path: str) -> bytes:
         return file.read()
 
 
+class Decoder:
+    """Texts of many lists of ids at once."""
+
+    def __init__(self, pieces: Pieces):
+        raw = pieces.bytes
+        self.size = np.array([len(b) for b in raw], np.int64)
+        self.place, self.data = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(raw), np.uint8)
+
+    def texts(self, flat: np.ndarray, count: np.ndarray) -> pa.Array:
+        """One text for each ``count`` of the ids in ``flat``, without the blank in front."""
+        size = self.size[flat]
+        ends = np.cumsum(size)
+        at = np.repeat(self.place[flat] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+        to = np.r_[0, ends][np.r_[0, np.cumsum(count)]]  # where each text starts and ends
+        text = np.delete(self.data[at], to[:-1][np.diff(to) > 0])
+        to = to - np.r_[0, np.cumsum(np.diff(to) > 0)]
+        return pa.Array.from_buffers(pa.large_string(), len(count),
+                                     [None, pa.py_buffer(to.astype(np.int64)), pa.py_buffer(text)]).cast(pa.string())
+
+
 def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", theta: float = THETA) -> DataFrame:
-    """(id, ids, sha256): the sampled pieces of every row, one row per input row, and the SHA-256 of its text.
+    """(id, ids, round_trip): the sampled pieces of every row, one row per input row.
 
-    A null text has null ids and a null hash, an empty one no id. Rows with equal keys and texts are cut alike; null keys share a
-    seed of their own. Long texts are sampled whole, in bounded portions. An empty table gives an empty
-    result; other columns are not read. ``model`` is the content of a model file, a fixed size that is sent to the tasks.
+    ``round_trip`` says that the ids, decoded again, give the row's text. A null text has null ids and a null flag, an empty one no
+    id. Rows with equal keys and texts are cut alike; null keys share a seed of their own. Long texts are sampled whole, in bounded
+    portions. An empty table gives an empty result; other columns are not read. ``model`` is the content of a model file, a
+    fixed size that is sent to the tasks.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(Pieces(shared.value, theta))
+        pieces = Pieces(shared.value, theta)
+        sampler, decoder = Sampler(pieces), Decoder(pieces)
         for batch in _packed(batches, lambda b: pc.binary_length(b.column(1))):
             texts = batch.column(1).to_pylist()
             ids = sampler.encode([t or "" for t in texts], batch.column(0).to_pylist())
+            back = decoder.texts(np.concatenate(ids) if ids else np.zeros(0, np.int64), np.array([len(i) for i in ids], np.int64))
             ids = [None if t is None else i for t, i in zip(texts, ids)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), list_array(ids, pa.int32()), batch.column(2)],
-                                             names=["id", "ids", "sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), list_array(ids, pa.int32()), pc.equal(back, batch.column(1))],
+                                             names=["id", "ids", "round_trip"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
-                       F.sha2(F.col(text_col), 256).alias("sha256"))
-    return rows.mapInArrow(run, "id long, ids array<int>, sha256 string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "id long, ids array<int>, round_trip boolean")
 
 
 def decode(rows: DataFrame, model: bytes, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
     """``rows`` with the text of their ids; null ids give a null text, no id the empty one."""
+    if text_col in rows.columns:
+        raise ValueError(f"rows have a column named {text_col}")
     shared = rows.sparkSession.sparkContext.broadcast(model)
     place = rows.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = Pieces(shared.value).bytes
-        size = np.array([len(b) for b in raw], np.int64)
-        place_of, data = np.cumsum(size) - size, np.frombuffer(b"".join(raw), np.uint8)
+        decoder = Decoder(Pieces(shared.value))
         for batch in _packed(batches, lambda b: pc.list_value_length(b.column(place))):
             ids = batch.column(place)
-            count = pc.fill_null(pc.list_value_length(ids), 0).to_numpy()
-            flat = ids.flatten().to_numpy()
-            ends = np.cumsum(size[flat])
-            at = np.repeat(place_of[flat] - (ends - size[flat]), size[flat]) + np.arange(ends[-1] if len(ends) else 0)
-            to = np.r_[0, ends][np.r_[0, np.cumsum(count)]]  # where each text starts and ends
-            full = np.flatnonzero(np.diff(to))
-            text = np.delete(data[at], to[full])  # the blank in front
-            to -= np.r_[0, np.cumsum(np.diff(to) > 0)]
-            texts = pa.Array.from_buffers(pa.large_string(), batch.num_rows,
-                                          [None, pa.py_buffer(to.astype(np.int64)), pa.py_buffer(text)]).cast(pa.string())
+            texts = decoder.texts(ids.flatten().to_numpy(), pc.fill_null(pc.list_value_length(ids), 0).to_numpy())
             texts = pc.if_else(pc.is_valid(ids), texts, pa.scalar(None, pa.string()))
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, text_col])
 
-    kept = rows.drop(text_col)
-    if len(kept.columns) != len(rows.columns):
-        raise ValueError(f"rows have a column named {text_col}")
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + f", `{text_col}` string"
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(text_col, StringType())]))

@@ -161,6 +161,8 @@ def compacted(parts: DataFrame) -> DataFrame:
         (F.count("after") == F.count("*")).alias("always_out"), F.min("after").alias("out1"), F.max("after").alias("out2"))
     known = known.select("link", F.expr("always_in and in1 = in2").alias("one_in"),
                          F.expr("always_out and out1 = out2").alias("one_out"))
+    # A table of its own, so that the join can split the rows of a link that occurs everywhere.
+    known = stage(known, "known")
     rows = step.select("class", "start", "edges", "link", "before").join(known, "link")
     joined = F.col("one_in") & F.coalesce(F.lag("one_out").over(by), F.lit(False)) & F.col("before").isNotNull()
     runs = rows.withColumn("head", F.when(joined, 0).otherwise(1))

@@ -322,6 +322,7 @@ def test_round_trip(spark, empty, model):
     cut = pieces.encode(docs, model)
     back = pieces.decode(cut, model).collect()
     assert Counter((r.id, r.text) for r in back) == Counter(rows)
+    assert all(r.round_trip is (None if r.text is None else True) for r in back)
     assert pieces.decode(pieces.encode(empty, model), model).count() == 0
     # The same cuts whatever the partitions, batches and portions.
     again = Counter((r.id, tuple(r.ids or ())) for r in pieces.encode(docs.repartition(5), model).collect())
