@@ -353,7 +353,7 @@ def across(rows: DataFrame, percent: int) -> DataFrame:
 
     both = left.unionByName(right).select("key", "i", "j", "left", "at", "comp", "n", "sketch")
     dealt = both.repartition(partitions_for(rows), "key", "i", "j").sortWithinPartitions("key", "i", "j", F.desc("left"))
-    found = dealt.mapInArrow(meet, "bx long, by long, bits binary").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(256)))
+    found = dealt.mapInArrow(meet, "bx long, by long, bits binary").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(16)))
 
     def either(f: pd.DataFrame) -> pd.DataFrame:
         bits = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in f.bits], axis=0)
