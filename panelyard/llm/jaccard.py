@@ -286,13 +286,13 @@ def across(rows: DataFrame, percent: int) -> DataFrame:
                         F.lit(False).alias("left"), *each)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, np.ndarray] = {}  # pairs share many keys; a task compares each once
-        good: dict[int, np.ndarray] = {}
+        seen: dict[tuple[int, int], np.ndarray] = {}  # pairs share many keys; a task compares each once
+        good: dict[tuple[int, int], np.ndarray] = {}
         held = None
 
         def flush() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays(
-                [pa.array([code >> 31 for code in good], pa.int64()), pa.array([code & 0x7FFFFFFF for code in good], pa.int64()),
+                [pa.array([bx for bx, _ in good], pa.int64()), pa.array([by for _, by in good], pa.int64()),
                  pa.array([np.packbits(b).tobytes() for b in good.values()], pa.binary())], names=["bx", "by", "bits"])
             good.clear(), seen.clear()
             return out
@@ -308,6 +308,9 @@ def across(rows: DataFrame, percent: int) -> DataFrame:
             rows = np.flatnonzero(left)
             total = np.cumsum(rights)
             sketches = Sketches(t.column(7).to_pylist())
+            # A place has up to 63 bits, so pairs are named by the numbers of places and blocks in this batch.
+            places, place = np.unique(at, return_inverse=True)
+            names, block = np.unique(at >> 8, return_inverse=True)
             for lo in range(0, int(total[-1]) if len(total) else 0, 1 << 20):
                 pair = np.arange(lo, min(lo + (1 << 20), int(total[-1])))
                 of = np.searchsorted(total, pair, side="right")
@@ -316,9 +319,9 @@ def across(rows: DataFrame, percent: int) -> DataFrame:
                 x, y = x[fits], y[fits]
                 swap = at[x] > at[y]
                 x, y = np.where(swap, y, x), np.where(swap, x, y)
-                _, once = np.unique(mix(at[x].astype(U)) ^ at[y].astype(U), return_index=True)
+                _, once = np.unique(place[x] * len(places) + place[y], return_index=True)
                 x, y = x[once], y[once]
-                blocks = ((at[x] >> 8) << 31) | (at[y] >> 8)
+                blocks = block[x] * len(names) + block[y]
                 cell = ((at[x] & 255) << 8) | (at[y] & 255)
                 order = np.argsort(blocks, kind="stable")
                 ends = np.flatnonzero(np.diff(blocks[order], append=-1))
@@ -326,7 +329,7 @@ def across(rows: DataFrame, percent: int) -> DataFrame:
                 for end in ends.tolist():
                     mine = order[first:end + 1]
                     first = end + 1
-                    code = int(blocks[mine[0]])
+                    code = int(names[block[x[mine[0]]]]), int(names[block[y[mine[0]]]])
                     done = seen.setdefault(code, np.zeros(1 << 16, bool))
                     mine = mine[~done[cell[mine]]]
                     done[cell[mine]] = True

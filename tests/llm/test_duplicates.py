@@ -63,6 +63,19 @@ def test_large_group_of_loose_copies(spark):
     assert Counter((r.id, r.n, r.component) for r in found) == expected_groups(rows)
 
 
+def test_pairs_of_blocks_in_many_partitions(spark):
+    """Places of 200 partitions: pairs keep their classes, whatever bits their numbers take."""
+    base = np.sort(np.random.default_rng(7).integers(0, 2**63, 100).astype(np.uint64))
+    tokens = [np.delete(base, i) for i in range(12)]
+    at = [(p << 33) + p % 3 * 300 for p in (0, 1, 2, 63, 64, 65, 66, 127, 128, 129, 198, 199)]
+    rows = [(1, a, p % 2, 99, bytearray(jaccard.parity_bits(t))) for p, (a, t) in enumerate(zip(at, tokens))]
+    found = jaccard.across(spark.createDataFrame(rows, "key long, at long, comp long, n long, sketch binary"), 80)
+    places = spark.createDataFrame([(a, p, p % 2) for p, a in enumerate(at)], "at long, class long, comp long").repartition(200, "at")
+    sets = spark.createDataFrame([(p, bytearray(t.tobytes())) for p, t in enumerate(tokens)], "class long, tokens binary")
+    got = Counter((r.a, r.b) for r in jaccard.linked_across(found, places, sets, 80).collect())
+    assert got == Counter((a, b) for a in range(12) for b in range(a + 1, 12, 2))
+
+
 def test_sketches_never_exceed_the_difference():
     rng = np.random.default_rng(3)
     for _ in range(200):
