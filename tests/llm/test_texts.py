@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelyard.llm import cases, decontamination, licenses, pieces, quality, secrets, sharding, toxicity, training
+from panelyard.llm import cases, common, decontamination, licenses, pieces, quality, secrets, sharding, toxicity, training
 from panelyard.llm.license_texts import ISC, MIT
 from tests.llm.helpers import COLUMNS, awkward_texts, documents, sentence
 
@@ -219,6 +219,29 @@ def test_passages_are_found_as_by_full_alignment(spark, empty):
     assert decontamination.clean_texts(docs, benchmark.limit(0)).count() == len(rows)
 
 
+def test_no_alignment_is_missed():
+    """Substitutions, gaps and insertions at rates up to the threshold, and words that stand alone between insertions."""
+    rng, hashes, found = random.Random(10), common.WordHashes(), 0
+    texts = [sentence(rng, rng.randrange(3, 60), 60) for _ in range(80)]
+    docs = []
+    for i, text in enumerate(texts):
+        words = text.split()
+        copies = [edited(rng, text, share) for share in (0.15, 0.2, 0.25, 0.3, 0.33)]
+        copies += [" ".join(w if k % 4 != j else "changed" for k, w in enumerate(words)) for j in range(4)]
+        copies += [" ".join(f"{w} extra" for w in words), " ".join(w for k, w in enumerate(words) if k % 4)]
+        docs += [(i, f"{sentence(rng, 30, 60)} {c} {sentence(rng, 30, 60)}") for c in copies]
+    # Counts as if intact seeds were common and those that no text holds rare.
+    seeds = np.unique(np.concatenate([decontamination.pair_hashes(hashes.of(decontamination.words_of(d)), g) for _, d in docs for g in (1, 2)]))
+    for counts in (np.zeros(0, np.uint64), np.zeros(0, np.int64)), (seeds, np.ones(len(seeds), np.int64)):
+        items = decontamination.Items(list(range(len(texts))), texts, counts, 0.5)
+        for i, doc in docs:
+            best = plain_score(texts[i].split(), doc.split()) / (2 * len(texts[i].split()))
+            got = items.hits(doc, hashes, 0.5).get(i, (0.0,))[0]
+            assert got == (best if best >= 0.5 else 0.0)
+            found += got > 0
+    assert found > 1000
+
+
 def test_blocks_of_items_change_nothing(spark, monkeypatch):
     rng = random.Random(9)
     items = [(i, sentence(rng, 20, 3000)) for i in range(9)]
