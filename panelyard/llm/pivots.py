@@ -1,6 +1,7 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-Reference vectors (pivots) are taken from the data; a vector is described by its ``NEAREST`` closest pivots. Inverted lists, one
+Reference vectors (pivots) are taken from the data; a vector is described by its closest pivots, ``NEAREST`` or as many more as
+``nearest_for`` finds necessary: the more pivots there are, the fewer of them are close to both vectors of a pair. Inverted lists, one
 for each pivot, bring vectors together that share a pivot; a pair is retrieved if it shares ``SHARED`` of them or more, and
 verified by its cosine in double precision. Pivots grow with the square root of the number of vectors, and so do the lists.
 
@@ -22,6 +23,8 @@ from panelyard.llm.components import components
 from panelyard.plans import stage
 
 NEAREST, SHARED, PIVOTS_PER_ROOT, LEAST_PIVOTS = 8, 3, 1.5, 32
+#: Pairs at the threshold that are tried on the pivots, and the share of them that must be retrieved.
+TRIED, RECALL = 1000, 0.97
 #: Vectors of a block, and pairs that are compared at once.
 BLOCK, AT_ONCE = 1024, 1 << 18
 
@@ -55,14 +58,44 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def in_lists(classes: DataFrame, pivots: np.ndarray) -> DataFrame:
+def nearest_for(pivots: np.ndarray, cosine: float, need: int) -> int:
+    """How many closest pivots describe a vector, so that ``RECALL`` of the pairs with just this cosine share ``need`` of them.
+
+    Tried on pairs of a pivot, itself left out of the count, and a vector beside it: in any direction, and towards another pivot,
+    as vectors of few directions lie beside each other.
+    """
+    many = len(pivots)
+    if many <= need:
+        return many
+    rng = np.random.default_rng(0)
+    worst = min(NEAREST, many)
+    x = pivots[:TRIED]
+    for z in rng.normal(size=x.shape), pivots[rng.integers(0, many, len(x))]:
+        z = z - (z * x).sum(axis=1, keepdims=True) * x
+        z = z / np.maximum(np.sqrt((z * z).sum(axis=1, keepdims=True)), 1e-12)
+        y = cosine * x + np.sqrt(max(0.0, 1 - cosine * cosine)) * z
+        wanted = []
+        for lo in range(0, len(x), 64):
+            place = np.zeros((len(x[lo:lo + 64]), many), np.int64)
+            for side in x, y:
+                far = -(side[lo:lo + 64] @ pivots.T)
+                far[np.arange(len(far)), np.arange(lo, lo + len(far))] = np.inf
+                rank = np.empty_like(place)
+                np.put_along_axis(rank, np.argsort(far, axis=1, kind="stable"), np.arange(many)[None, :], axis=1)
+                place = np.maximum(place, rank)
+            wanted.append(np.partition(place, need - 1, axis=1)[:, need - 1] + 1)
+        wanted = np.sort(np.concatenate(wanted))
+        worst = max(worst, int(wanted[int(np.ceil(RECALL * len(wanted))) - 1]))
+    return worst
+
+
+def in_lists(classes: DataFrame, pivots: np.ndarray, near_count: int, need: int) -> DataFrame:
     """(pivot, class, n, vec, near): each class in the lists in which it can meet a partner.
 
-    ``near`` has one bit for each pivot. Whoever shares ``SHARED`` pivots shares one that both do not have among their last
-    SHARED - 1, so these lists are left out.
+    ``near`` has one bit for each pivot. Whoever shares ``need`` pivots shares one that both do not have among their last
+    need - 1, so these lists are left out.
     """
     shared = classes.sparkSession.sparkContext.broadcast(pivots)
-    near_count = min(NEAREST, len(pivots))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
@@ -74,7 +107,7 @@ def in_lists(classes: DataFrame, pivots: np.ndarray) -> DataFrame:
                 bits = np.zeros((len(x), -(-len(p) // 64) * 64), np.uint8)
                 np.put_along_axis(bits, near, 1, axis=1)
                 bits = np.packbits(bits, axis=1, bitorder="little")
-                lists = near[:, : max(1, near_count - SHARED + 1)]
+                lists = near[:, : max(1, near_count - need + 1)]
                 rows = np.repeat(np.arange(len(x)), lists.shape[1])
                 take = pa.array(rows)
                 yield pa.RecordBatch.from_arrays(
@@ -118,7 +151,7 @@ def meet(cosine: float, shared: int):
         step = max(1, AT_ONCE // max(1, len(right)))
         for lo in range(0, len(left), step):
             a = left[lo:lo + step]
-            count = np.zeros((len(a), len(right)), np.uint8)
+            count = np.zeros((len(a), len(right)), np.uint16)
             first = np.ones((len(a), len(right)), bool)
             for w in range(near.shape[1]):
                 count += np.bitwise_count(near[a, w][:, None] & near[right, w][None, :])
@@ -170,7 +203,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     chosen = [r.vec for r in classes.orderBy(F.xxhash64("vec"), "vec").limit(wanted).select("vec").collect()]
     if chosen:
         need = min(shared, NEAREST, len(chosen))
-        listed = stage(in_lists(classes, unit(matrix(chosen))), "lists")
+        points = unit(matrix(chosen))
+        listed = stage(in_lists(classes, points, nearest_for(points, cosine, need), need), "lists")
         blocks = listed.groupBy("pivot").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("blocks"))
         placed = listed.join(F.broadcast(blocks), "pivot")  # a row for each pivot
         placed = placed.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))

@@ -216,6 +216,20 @@ def test_recall_at_the_threshold(spark):
     assert found.agg(F.sum("n_links")).first()[0] >= 0.9 * 2 * len(a)
 
 
+@pytest.mark.parametrize("many, width", [(32, 64), (335, 64), (1500, 64), (4743, 64), (4743, 128), (15000, 64), (1500, 8), (1500, 2)])
+def test_nearest_pivots_grow_with_their_number(many, width):
+    """Pivots of up to 100 million vectors: pairs with a cosine of exactly 0.9 share enough of them."""
+    rng = np.random.default_rng(many + width)
+    p, x, z = (rng.normal(size=(n, width)) for n in (many, 1000, 1000))
+    p, x = pivots.unit(p), pivots.unit(x)
+    y = 0.9 * x + np.sqrt(0.19) * pivots.unit(z - (z * x).sum(1, keepdims=True) * x)
+    near = pivots.nearest_for(p, 0.9, pivots.SHARED)
+    a, b = (np.argsort(-(v @ p.T), axis=1)[:, :near] for v in (x, y))
+    recall = np.mean([len(np.intersect1d(i, j)) >= pivots.SHARED for i, j in zip(a, b)])
+    print(many, width, near, recall)
+    assert recall >= 0.9 and near >= min(many, pivots.NEAREST)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], COLUMNS)
     assert jaccard.near_duplicates(docs).count() == 0
