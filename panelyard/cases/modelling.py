@@ -93,12 +93,12 @@ def _(spark, sf):
 
 @case("l5_hist_boosting")
 def _(spark, sf):
-    return _fit_predict(spark, sf, "hist_boosting", {"hist_boosting__max_iter": 10})
+    return _fit_predict(spark, sf, "hist_boosting")
 
 
 @case("l6_light_boosting_regressor")
 def _(spark, sf):
-    return _fit_predict(spark, sf, "light_boosting_regressor", {"light_boosting_regressor__n_estimators": 10})
+    return _fit_predict(spark, sf, "light_boosting_regressor")
 
 
 @case("l6_light_boosting_classifier")
@@ -107,8 +107,7 @@ def _(spark, sf):
     docs = t.documents.select("doc_id", "lang", "source", "n_chars")
     docs = encode.category_codes(docs, ["lang", "source"])
     known = prep.align(docs, t.labels.select("doc_id", F.col("quality").cast("double").alias("quality")), ["doc_id"])
-    spec = models.ModelSpec("light_boosting_classifier", ["lang_code", "source_code", "n_chars"], "quality",
-                            hparams={"light_boosting_classifier__n_estimators": 10}, seed=0)
+    spec = models.ModelSpec("light_boosting_classifier", ["lang_code", "source_code", "n_chars"], "quality", seed=0)
     return models.predict(spec.fit(known), docs).select("doc_id", "prediction")
 
 

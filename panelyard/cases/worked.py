@@ -87,17 +87,21 @@ def _(spark, sf):
     return scores.select("score", r("value", 5))
 
 
-@case("x2_retail_explore")
-def _(spark, sf):
-    """Row counts of all exploration tables."""
-    rows, _ = retail_rows(Tables(spark, sf))
+def all_rows(tables):
+    """(name, row): the rows of all tables, each as JSON with its nulls."""
     out = None
-    for name, table in retail.explore(rows, "ASIA").items():
-        row = table.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+    for name, table in tables.items():
+        row = table.select(F.lit(name).alias("name"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row"))
         out = row if out is None else out.unionByName(row)
     return out
 
 
+@case("x2_retail_explore")
+def _(spark, sf):
+    rows, _ = retail_rows(Tables(spark, sf))
+    return all_rows(retail.explore(rows, "ASIA"))
+
+
 @case("x2_credit_prepare", "WITH" + CREDIT_SQL + MODE_SQL.format(by="", part="") + """,
 f AS (SELECT id, coalesce(saving_accounts, v) AS saving_accounts, risk FROM credit LEFT JOIN b ON p = 1)
 SELECT id, CAST(dense_rank() OVER (ORDER BY saving_accounts) - 1 AS INTEGER) AS saving_accounts,
@@ -110,11 +114,7 @@ def _(spark, sf):
 @case("x2_credit_explore")
 def _(spark, sf):
     rows = stage(credit_analysis.prepare(credit(Tables(spark, sf)), impute=["saving_accounts"]), "credit")
-    out = None
-    for name, table in credit_analysis.explore(rows).items():
-        row = table.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
-        out = row if out is None else out.unionByName(row)
-    return out
+    return all_rows(credit_analysis.explore(rows))
 
 
 @case("x2_anomaly_mean_loss", WINDOWS_SQL + """

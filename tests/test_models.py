@@ -1,8 +1,11 @@
+import json
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from panelyard.cases import load_cases
 from panelyard.catalogue import Catalogue
 from panelyard.functions import columns as C
 from panelyard.operators import forecast, metrics, models, outliers, panel, sequences, split
@@ -349,3 +352,24 @@ def test_stratified_guess_of_many_classes(spark):
     assert got.select("guess").distinct().count() > 1000
     none = metrics.stratified_guess(df.withColumn("y", F.lit(None).cast("int")), "y", "id")
     assert none.count() == none.where("guess is null").count() == 4000
+
+
+@pytest.mark.parametrize("name", ["l5_hist_boosting", "l6_light_boosting_regressor", "l6_light_boosting_classifier"])
+def test_boosted_queries_fit_all_rounds(spark, folder, monkeypatch, name):
+    class Fitted(Exception):
+        pass
+
+    def fit(self, df):
+        raise Fitted(self.build().getStages()[-1].getMaxIter())
+
+    monkeypatch.setattr(models.ModelSpec, "fit", fit)
+    with pytest.raises(Fitted, match="^100$"):
+        load_cases()[0][name](spark, folder)
+
+
+@pytest.mark.parametrize("name, table, columns", [
+    ("x2_retail_explore", "items_per_state", {"state_id", "unique_items"}),
+    ("x2_credit_explore", "contingency", {"column_name", "level", "good_risk", "n"})])
+def test_exploration_delivers_its_rows(spark, folder, name, table, columns):
+    rows = [json.loads(r.row) for r in load_cases()[0][name](spark, folder).collect() if r.name == table]
+    assert len(rows) > 1 and all(set(r) == columns for r in rows)
