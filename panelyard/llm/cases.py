@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelyard.llm import decontamination, jaccard, licenses, pieces, pivots, quality, secrets, sharding, substrings, toxicity, training
+from panelyard.llm import (decontamination, hosts, importance, jaccard, licenses, pieces, pivots, quality, ranked, secrets,
+                           sharding, substrings, toxicity, training)
 from panelyard.llm.license_texts import KNOWN
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -253,3 +254,112 @@ LEFT JOIN (SELECT good.vec_id, n FROM counted JOIN good ON good.r = ra) c ON c.v
 def op9_embedding_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     found = pivots.near_duplicates(table(spark, folder, "embeddings")).toDF("vec_id", "n_links", "component_id")
     return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+@case(r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+terms AS (
+  SELECT r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+tfs AS (SELECT r, doc_id, term, count(*) AS tf FROM terms GROUP BY ALL),
+sizes AS (SELECT r, count(*) AS n FROM terms GROUP BY r),
+totals AS (SELECT count(*) AS all_docs, CAST(sum(n) AS BIGINT) AS all_terms FROM sizes),
+dfs AS (SELECT term, count(*) AS df FROM tfs GROUP BY term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2e0 * all_docs + 2) / (2e0 * df + 1))) AS BIGINT) AS w FROM dfs, totals),
+norms AS (SELECT r, 75 + (25 * n * all_docs) // all_terms AS m FROM sizes, totals),
+asked AS (
+  SELECT row_number() OVER () AS q, item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+scores AS (
+  SELECT q, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN tfs USING (term) JOIN norms USING (r) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS n FROM scores WHERE score > 0)
+SELECT item_id, CAST(n AS INTEGER) AS rank, doc_id, score FROM ranked WHERE n <= 20
+""")
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    postings = ranked.index(table(spark, folder, "documents"))
+    found = ranked.search(postings, table(spark, folder, "benchmark"))
+    return found.select("item_id", "rank", F.col("id").alias("doc_id"), "score")
+
+
+_FEATURES = ("regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+             r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+
+
+@case(f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+words AS (SELECT r, unnest({_FEATURES}) AS word FROM docs),
+target AS (SELECT unnest({_FEATURES}) AS word FROM benchmark),
+every AS (SELECT word FROM words UNION SELECT word FROM target),
+crc AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, x: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) ORDER BY i) AS t
+  FROM (SELECT CAST(i AS BIGINT) AS i FROM range(256) r(i))),
+bytes AS (
+  SELECT word, list_transform(range(0, len(hex(encode(word))) // 2),
+    lambda i: CAST('0x' || substr(hex(encode(word)), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)) AS b FROM every),
+buckets AS (
+  SELECT word, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b),
+    lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1]))) % {importance.BUCKETS} AS bucket FROM bytes, crc),
+s AS (SELECT bucket, count(*) AS s FROM words JOIN buckets USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM target JOIN buckets USING (word) GROUP BY bucket),
+totals AS (SELECT (SELECT count(*) FROM words) AS all_s, (SELECT count(*) FROM target) AS all_t),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1e0) * (all_s + {importance.BUCKETS})
+    / ((coalesce(s, 0) + 1e0) * (all_t + {importance.BUCKETS})))) AS BIGINT) AS gain
+  FROM (SELECT DISTINCT bucket FROM buckets) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket), totals),
+weights AS (
+  SELECT r, count(*) AS n, CAST(sum(gain) AS BIGINT) AS w FROM words JOIN buckets USING (word) JOIN gains USING (bucket) GROUP BY r),
+scored AS (
+  SELECT r, doc_id, coalesce(n, 0) AS n_features, coalesce(w, 0) AS weight, coalesce(w, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' ||
+    substr(sha256('{importance.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5e0) / 4294967296e0))) AS BIGINT) AS score
+  FROM docs LEFT JOIN weights USING (r)),
+able AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n_able FROM scored
+  WHERE n_features >= {importance.LEAST_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= {importance.PERCENT} * n_able // 100 THEN place END AS rank
+FROM scored LEFT JOIN able USING (r)
+""")
+def op12_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    found = importance.resampled(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+_RULES_SQL = ", ".join(f"CASE WHEN {condition} THEN 1 ELSE 0 END AS f_{rule}" for rule, condition in hosts.RULES.items())
+
+
+@case(f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS text FROM documents),
+texts AS (
+  SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
+    list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM docs),
+runs AS (SELECT r, unnest(range(1, len(w) - 3)) AS i, w FROM texts WHERE len(w) >= 5),
+named AS (SELECT r, i, array_to_string(w[i:i+4], ' ') AS run FROM runs),
+again AS (SELECT r, i, count(*) OVER (PARTITION BY r, run) AS n FROM named),
+repeats AS (SELECT r, count(DISTINCT i + o) AS n FROM again, range(5) x(o) WHERE again.n > 1 GROUP BY r),
+counted AS (
+  SELECT t.r, doc_id, host, CAST(len(w) AS BIGINT) AS n_words,
+    CAST(coalesce(list_sum(list_transform(w, lambda x: len(x))), 0) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(lines) AS BIGINT) AS n_lines,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words
+  FROM texts t LEFT JOIN repeats p ON p.r = t.r),
+failed AS (SELECT *, {_RULES_SQL} FROM counted),
+by_rule AS (UNPIVOT (SELECT host, {", ".join(f"f_{rule}" for rule in hosts.RULES)} FROM failed WHERE host IS NOT NULL)
+  ON {", ".join(f"f_{rule}" for rule in hosts.RULES)} INTO NAME rule VALUE f),
+hosts AS (SELECT rule, host, CAST(count(*) AS DOUBLE) AS n, CAST(sum(f) AS DOUBLE) AS k FROM by_rule GROUP BY ALL),
+totals AS (SELECT rule, CAST(count(*) AS DOUBLE) AS "H", sum(n) AS "N", sum(n * n) AS "R", sum(k) AS "K", sum(k * k / n) AS "Q" FROM hosts GROUP BY rule),
+spread AS (SELECT rule, "K" / "N" AS mean, ("Q" - "K" * "K" / "N") / nullif("H" - 1, 0) AS among, ("K" - "Q") / nullif("N" - "H", 0) AS within,
+  ("N" - "R" / "N") / nullif("H" - 1, 0) AS size FROM totals),
+alike AS (SELECT rule, mean, (among - within) / nullif(among + (size - 1) * within, 0) AS a FROM spread),
+rates AS (
+  SELECT host, CASE WHEN a > 1e-9 THEN (k + mean * (1 - a) / a) / (n + (1 - a) / a) ELSE mean END AS rate FROM hosts JOIN alike USING (rule)),
+refused AS (SELECT host FROM rates GROUP BY host HAVING max(rate) > {hosts.HOST_LIMIT})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  {" OR ".join(f"f_{rule} = 1" for rule in hosts.BASE)} AS base_failed, host IS NOT NULL AND host IN (FROM refused) AS host_failed,
+  NOT ({" OR ".join(f"f_{rule} = 1" for rule in hosts.BASE)}) AND NOT (host IS NOT NULL AND host IN (FROM refused)) AS kept
+FROM failed
+""")
+def op13_host_rules(spark: SparkSession, folder: str) -> DataFrame:
+    found = hosts.judged(table(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                        "base_failed", "host_failed", "kept")
