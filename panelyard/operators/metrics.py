@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelyard.operators.profile import _match
-from panelyard.plans import exact_quantiles, hash_key, stage, with_row, with_running_total
+from panelyard.plans import hash_key, quantiles_of_table, stage, with_row, with_running_total
 
 REGRESSION = ["mae", "mse", "rmse", "nrmse", "r2", "bsl_r2"]
 
@@ -20,10 +20,11 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str, by: Sequence[
     """
     by = list(by)
     error = F.col(actual) - F.col(predicted)
+    df = stage(df.select(*by, *dict.fromkeys([actual, predicted])), "predictions")
     sums = df.groupBy(*by).agg(
         F.avg(F.abs(error)).alias("mae"), F.avg(error * error).alias("mse"),
         F.var_pop(actual).alias("__var"), F.count(error).alias("n"))
-    q = exact_quantiles(df, [predicted], [0.25, 0.75], by).drop("column")
+    q = quantiles_of_table(df, [predicted], [0.25, 0.75], by).drop("column")
     out = _match(sums, q, by) if by else with_row(sums, q)
     spread = F.col("q")[1] - F.col("q")[0]
     r2 = F.when(F.col("__var") > 0, 1 - F.try_divide(F.col("mse"), F.col("__var"))).otherwise(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.plans import attach, exact_quantiles, with_row
+from panelyard.plans import attach, exact_quantiles, quantiles_of_table, stage, with_row
 
 
 def distinct_per_group(df: DataFrame, keys: Sequence[str], col: str, name: str) -> DataFrame:
@@ -49,13 +49,14 @@ def null_counts(df: DataFrame) -> DataFrame:
 def describe(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Count, mean, sample std, min, quartiles, max per column (A8), optionally per group."""
     by = list(by)
+    df = stage(df.select(*by, *dict.fromkeys(c for c in cols if c not in by)), "values")
     moments = df.groupBy(*by).agg(*[
         F.struct(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
                  F.min(F.col(c).cast("double")).alias("min"),
                  F.max(F.col(c).cast("double")).alias("max")).alias(c) for c in cols])
     long = moments.select(*by, F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).alias("m")) for c in cols])))
-    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], by)
+    q = quantiles_of_table(df, cols, [0.25, 0.5, 0.75], by)
     joined = _match(long, q, [*by, "column"])
     return joined.select(
         *by, F.col("column").alias("column_name"), "m.count", "m.mean", "m.std", "m.min",
@@ -103,7 +104,8 @@ def shape_statistics(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def box_statistics(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), whis=1.5) -> DataFrame:
     """Quartiles, whiskers and fliers per column (A14), optionally per group."""
     by = list(by)
-    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], by).select(
+    df = stage(df.select(*by, *dict.fromkeys(c for c in cols if c not in by)), "values")
+    q = quantiles_of_table(df, cols, [0.25, 0.5, 0.75], by).select(
         *by, "column", F.col("q")[0].alias("q1"), F.col("q")[1].alias("med"),
         F.col("q")[2].alias("q3"))
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x"))

@@ -1,68 +1,99 @@
-"""Exact interpolated quantiles of groups of any size.
+"""Exact interpolated quantiles of groups of any size, by selection.
 
-Values are counted first (map-side, spread over all tasks); the counted values are then sorted by range
-and walked with distributed running totals. No task holds the values of a group, whatever their number.
+A mergeable rank sketch brackets every wanted rank in one scan. A second scan counts: a value inside a bracket by itself, the
+values between two brackets together. Running sums over what is left give exact ranks. Values are neither sorted nor
+shuffled as a whole: what moves is one sketch per group and task, and the few values inside brackets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelyard.plans.ordering import with_running_total
 from panelyard.plans.staging import stage
 
+#: Counted values of a group that may stand in brackets; the sketch is as fine as that asks for, within these limits.
+WALKED, LEAST_ACCURACY, MOST_ACCURACY = 1 << 20, 1000, 1_000_000
+#: A group of so many values is one bracket.
+SMALL = 4096
+#: Half the width of a bracket, in units of the sketch's error.
+REACH = 2.5
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    by: Sequence[str] = ()) -> DataFrame:
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Rows ``(*by, column, q)``: ``q`` lists the linear-interpolation quantiles at ``probs``.
 
-    Every group of the input has a row for each column; without any value its quantiles are
-    null. Without ``by`` the whole table is one group, an empty table too.
+    Every group of the input has a row for each column; without any value its quantiles are null. Without ``by`` the whole
+    table is one group, an empty table too. NaN is the largest value.
     """
+    return quantiles_of_table(stage(df.select(*by, *dict.fromkeys(c for c in cols if c not in by)), "values"), cols, probs, by)
+
+
+def quantiles_of_table(table: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """The same for a table that is cheap to read three times."""
     by, cols = list(by), list(cols)
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])
-    counted = df.select(*by, F.inline(pairs)).groupBy(*by, "column", "value").agg(F.count("*").alias("n"))
-    counted = stage(counted, "counted")
-    found = quantiles_of_counts(counted, "value", "n", probs, [*by, "column"])
-    if by:
-        return found
-    names = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in cols])).alias("column"))
-    empty = F.array(*[F.lit(None).cast("double") for _ in probs])
-    return names.join(found, "column", "left").select("column", F.coalesce("q", empty).alias("q"))
-
-
-def quantiles_of_counts(counted: DataFrame, value: str, count: str, probs: Sequence[float],
-                        by: Sequence[str]) -> DataFrame:
-    """Rows ``(*by, q)`` of a staged table of counted values; a value may have several rows.
-
-    A group with null values only has null quantiles. Without ``by`` there is one group, if any row.
-    """
-    by = list(by)
-    group = by or ["__all"]
-    rows = counted if by else counted.withColumn("__all", F.lit(0))
-    rows = rows.select(*group, F.col(value).cast("double").alias("__v"), F.col(count).alias("__n"))
-    sizes = rows.groupBy(*group).agg(
-        F.sum(F.when(F.col("__v").isNotNull(), F.col("__n"))).alias("__size"))
-    known = rows.filter(F.col("__v").isNotNull()).groupBy(*group, "__v").agg(F.sum("__n").alias("__n"))
-    walked = with_running_total(known, group, ["__v"], F.col("__n"), "__upto")
-    same = F.lit(True)
-    for key in group:
-        same = same & F.col(f"s.{key}").eqNullSafe(F.col(f"w.{key}"))
-    joined = sizes.alias("s").join(walked.alias("w"), same, "left").select(
-        "s.*", "w.__v", "w.__n", "w.__upto")
-
-    def at(rank):
-        covers = (F.col("__upto") - F.col("__n") <= rank) & (rank < F.col("__upto"))
-        return F.max(F.when(covers, F.col("__v")))
-
-    picks, values = [], []
-    for i, p in enumerate(probs):
+    rows = table.select(*by, *[F.col(c).cast("double").alias(f"__c{i}") for i, c in enumerate(cols)])
+    accuracy = min(MOST_ACCURACY, max(LEAST_ACCURACY, 4 * int(REACH + 1) * len(probs) * rows.count() // WALKED))
+    reach = REACH / accuracy
+    while True:
+        found = stage(_selected(rows, cols, probs, by, accuracy, reach), "quantiles")
+        if found.where("not sure").isEmpty():
+            return found.select(*by, "column", "q")
+        reach *= 32  # a sketch was worse than it promises
+
+
+def _selected(rows: DataFrame, cols: Sequence[str], probs: Sequence[float], by: list[str], accuracy: int, reach: float) -> DataFrame:
+    """(*by, column, q, sure): ``sure`` is false where a bracket missed its rank."""
+    places = [min(1.0, max(0.0, float(p) + side * reach)) for p in probs for side in (-1, 1)]
+
+    def sketch(c: str):
+        x = F.col(c)
+        whole = F.array(F.min(x), F.max(x))
+        bounds = F.percentile_approx(x, places, accuracy)
+        return F.struct(F.count(x).alias("n"), F.when(F.count(x) > SMALL, bounds).otherwise(whole).alias("bounds"))
+
+    names = [f"__c{i}" for i in range(len(cols))]
+    wide = rows.groupBy(*by).agg(*[sketch(c).alias(c) for c in names])
+    brackets = stage(wide.select(*by, F.inline(F.array(*[
+        F.struct(F.lit(i).alias("__i"), F.col(f"{c}.n").alias("__size"), F.col(f"{c}.bounds").alias("__bounds"))
+        for i, c in enumerate(names)]))), "brackets")
+
+    long = rows.select(*by, F.inline(F.array(*[
+        F.struct(F.lit(i).alias("__i"), F.col(c).alias("__v")) for i, c in enumerate(names)]))).where("__v is not null")
+    same = F.col("r.__i") == F.col("b.__i")
+    for key in by:
+        same = same & F.col(f"r.{key}").eqNullSafe(F.col(f"b.{key}"))
+    joined = long.alias("r").join(brackets.alias("b"), same).select("r.*", "__bounds")
+    inside = F.expr("exists(sequence(0, size(__bounds) - 1, 2), i -> __bounds[i] <= __v and __v <= __bounds[i + 1])")
+    # A value between brackets stands behind the last bound below it.
+    behind = F.array_max(F.filter("__bounds", lambda b: b < F.col("__v")))
+    counted = joined.select(*by, "__i", inside.alias("__own"), F.when(inside, F.col("__v")).otherwise(behind).alias("__at"))
+    counted = counted.groupBy(*by, "__i", "__own", "__at").agg(F.count("*").alias("__n"))
+
+    order = Window.partitionBy(*by, "__i").orderBy(F.asc_nulls_first("__at"), F.desc("__own"))
+    walked = counted.withColumn("__upto", F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    all_of_them = F.sum("__n").over(Window.partitionBy(*by, "__i"))
+    walked = walked.withColumn("__size", all_of_them)
+    picks, values, sure = [], [], F.lit(True)
+    for k, p in enumerate(probs):
         place = F.lit(float(p)) * (F.col("__size") - 1)
-        picks += [at(F.floor(place)).alias(f"__lo{i}"), at(F.ceil(place)).alias(f"__hi{i}"),
-                  F.max(place - F.floor(place)).alias(f"__f{i}")]
-        lo, hi, part = F.col(f"__lo{i}"), F.col(f"__hi{i}"), F.col(f"__f{i}")
+        for name, rank in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+            covers = (F.col("__upto") - F.col("__n") <= rank) & (rank < F.col("__upto"))
+            picks += [F.max(F.when(covers, F.col("__at"))).alias(f"__{name}{k}"),
+                      F.coalesce(F.bool_and(F.when(covers, F.col("__own"))), F.lit(False)).alias(f"__s{name}{k}")]
+            sure = sure & F.col(f"__s{name}{k}")
+        picks.append(F.max(place - F.floor(place)).alias(f"__f{k}"))
+        lo, hi, part = F.col(f"__lo{k}"), F.col(f"__hi{k}"), F.col(f"__f{k}")
         values.append(F.when(lo == hi, lo).otherwise((1 - part) * lo + part * hi))
-    return joined.groupBy(*group).agg(*picks).select(*by, F.array(*values).alias("q"))
+    picked = walked.groupBy(*by, "__i").agg(*picks).select(*by, "__i", F.array(*values).alias("q"), sure.alias("sure"))
+
+    same = F.col("b.__i") == F.col("p.__i")
+    for key in by:
+        same = same & F.col(f"b.{key}").eqNullSafe(F.col(f"p.{key}"))
+    none = F.array(*[F.lit(None).cast("double") for _ in probs])
+    column = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("b.__i") + 1)
+    return brackets.alias("b").join(picked.alias("p"), same, "left").select(
+        *[F.col(f"b.{k}") for k in by], column.alias("column"), F.coalesce("q", none).alias("q"),
+        F.coalesce("sure", F.col("__size") == 0).alias("sure"))

@@ -44,18 +44,6 @@ def stage(df: DataFrame, tag: str = "staged", partition_by: str | None = None) -
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Deal a small table over all cores before a step that is bound by Python work.
-
-    A table below one full wave of input splits may come from very few of them; moving it costs
-    little. A larger one has splits enough and stays where it is.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * (128 << 20) else df
-
-
 def release(spark: SparkSession) -> None:
     """Delete this application's staged tables; frames that read them are unusable afterwards."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))

@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +66,40 @@ def test_quantiles_of_nothing(spark):
     assert [tuple(r) for r in plans.exact_quantiles(empty, ["v"], [0.5]).collect()] == [("v", [None])]
 
 
+def interpolated(values, probs):
+    x = np.sort(np.asarray(values))
+    place = np.asarray(probs) * (len(x) - 1)
+    lo, hi = x[np.floor(place).astype(int)], x[np.ceil(place).astype(int)]
+    part = place - np.floor(place)
+    return [a if a == b else (1 - p) * a + p * b for a, b, p in zip(lo, hi, part)]
+
+
+def test_quantiles_by_selection(spark, monkeypatch):
+    """Brackets of large groups: ties, infinities, NaN, tiny groups beside large ones; a sketch that is worse than it says."""
+    rng = np.random.default_rng(4)
+    parts = {"big": rng.normal(size=60_000), "ties": rng.integers(0, 5, 30_000).astype(float), "odd": np.r_[rng.normal(size=9000), [np.inf] * 50],
+             "one": np.array([3.0]), "two": np.array([1.0, 2.0])}
+    pdf = pd.concat([pd.DataFrame({"k": k, "v": v, "w": v[::-1] ** 2}) for k, v in parts.items()])
+    df = spark.createDataFrame(pdf).repartition(7)
+    probs = [0.0, 0.001, 0.25, 0.5, 0.75, 0.999, 1.0]
+    for reach in (2.5, 1e-6):
+        monkeypatch.setattr("panelyard.plans.quantiles.REACH", reach)
+        for r in plans.exact_quantiles(df, ["v", "w"], probs, ["k"]).collect():
+            np.testing.assert_allclose(r.q, interpolated(pdf.loc[pdf.k == r.k, r.column], probs), rtol=1e-12)
+        whole = {r.column: r.q for r in plans.exact_quantiles(df, ["v", "w"], probs).collect()}
+        np.testing.assert_allclose(whole["v"], interpolated(pdf.v, probs), rtol=1e-12)
+    nan = spark.range(20_000).select(F.when(F.col("id") % 4 == 0, F.lit(float("nan"))).otherwise(F.col("id").cast("double")).alias("v"))
+    got = plans.exact_quantiles(nan, ["v"], [0.5, 0.9]).first().q
+    want = np.sort([i for i in range(20_000) if i % 4])
+    assert got[0] == pytest.approx((want[9999] + want[10000]) / 2, abs=0.5) and np.isnan(got[1])
+
+
+def test_quantiles_do_not_sort_the_values(spark):
+    df = spark.range(50_000).select(F.rand(3).alias("v"))
+    found = plans.quantiles._selected(df.select(F.col("v").alias("__c0")), ["v"], [0.5], [], 1000, 0.0025)
+    assert "rangepartitioning" not in found._jdf.queryExecution().toString()
+
+
 def test_hash_cuts_match_a_full_sort(spark):
     n = 5000
     df = spark.range(n).select(plans.hash_key("id", 9).alias("h"))
