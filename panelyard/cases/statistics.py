@@ -54,9 +54,14 @@ def _(spark, sf):
     return df.select("feature_name", "target_name", r("f_score", 5))
 
 
-@case("k3_f_classif_p_values")
+# With three classes the tail of F(2, m) is (1 + 2 F / m) ** (-m / 2).
+@case("k3_f_classif_p_values", "\nUNION ALL ".join(
+    f"""SELECT '{c}' AS feature_name, 'l_returnflag' AS target_name, round(f, 5) + 0e0 AS f_score,
+      round(exp(-m / 2 * ln(1 + 2 * f / m)), 6) + 0e0 AS p_value
+    FROM (SELECT {anova_sql(c, 'l_returnflag', 'lineitem')} AS f, (SELECT count(*) - 3e0 FROM lineitem) AS m)""" for c in FEATURES))
 def _(spark, sf):
-    return K.f_classif(Tables(spark, sf).lineitem, FEATURES, "l_returnflag")
+    df = K.f_classif(Tables(spark, sf).lineitem, FEATURES, "l_returnflag")
+    return df.select("feature_name", "target_name", r("f_score", 5), r("p_value"))
 
 
 @case("k4_f_regression", "\nUNION ALL ".join(
@@ -179,7 +184,7 @@ def _(spark, sf):
 @case("k10_seasonal_cycles_two_rounds", f"WITH {CYCLES_SQL} SELECT {CYCLE_COLS} FROM cycles")
 def _(spark, sf):
     """The same spectrum by the way for series that do not fit one task."""
-    df = K.seasonal_cycles(daily_mean(Tables(spark, sf)), "d", "sold", max_points=1)
+    df = K.seasonal_cycles(daily_mean(Tables(spark, sf)), "d", "sold", points=64)
     return df.select("k", r("period"), r("amplitude", 5), r("share", 7))
 
 

@@ -21,6 +21,7 @@ from panelyard.functions.columns import safe_corr
 from panelyard.functions.special import chi2_tail_udf, f_tail_udf
 from panelyard.operators.encode import standard_scale
 from panelyard.operators.prep import require_counts, require_numeric
+from panelyard.operators.profile import _match
 from panelyard.plans import (
     attach,
     exact_quantiles,
@@ -254,17 +255,16 @@ def categorical_relationship(df: DataFrame, target: str) -> DataFrame:
 def mutual_information(df: DataFrame, cols: Sequence[str], target: str | None = None) -> DataFrame:
     """Mutual information (nats) of discrete columns (K8): H(a) + H(b) - H(a, b).
 
-    The rows are merged to distinct tuples, then one grouping-sets pass counts every single
-    column and every needed pair.
+    One grouping-sets pass counts the cells of every single column and every needed pair. Cells are added up in the tasks
+    first, so what is shuffled grows with the cells and not with the rows, however many of them differ.
     """
     targets = [target] if target else list(cols)
     used = sorted({*cols, *targets})
     pairs = [p for p in combinations(used, 2)
              if (p[0] in cols and p[1] in targets) or (p[1] in cols and p[0] in targets)]
     sets = [(c,) for c in used] + pairs
-    merged = df.groupBy(*used).agg(F.count("*").alias("__w"))
-    counted = merged.groupingSets([[F.col(c) for c in s] for s in sets], *used).agg(
-        F.grouping_id().alias("__set"), F.sum("__w").alias("__n"))
+    counted = df.select(*used).groupingSets([[F.col(c) for c in s] for s in sets], *used).agg(
+        F.grouping_id().alias("__set"), F.count("*").alias("__n"))
     n = F.col("__n")
     sums = counted.groupBy("__set").agg(
         F.sum(n * F.log(n)).alias("nlogn"), F.sum("__n").alias("rows"))
@@ -313,102 +313,110 @@ def mixed_mutual_information(df: DataFrame, discrete: Sequence[str], continuous:
 
 # --- cycles ------------------------------------------------------------------------------------
 
-MAX_POINTS = 1 << 20
+#: Points that a task transforms at once; one short transform of a long series may have more, but never above twice the
+#: root of four times its points.
+POINTS = 1 << 12
 
 
-def seasonal_cycles(df: DataFrame, order: str, value: str, series: Sequence[str] = (),
-                    max_points: int = MAX_POINTS) -> DataFrame:
-    """Magnitude of the Fourier transform of regularly spaced series, without the zero frequency
-    (K10): rows (*series, k, period, amplitude, share).
+def _chirp(t: np.ndarray, n: int) -> np.ndarray:
+    """exp(i pi t^2 / n), the angle reduced first."""
+    return np.exp(1j * np.pi * (t * t % (2 * n)) / n)
+
 
-    Series up to ``max_points`` are transformed one per group. Longer ones are split into two
-    rounds of short transforms (N = A * B), so no task holds a whole series.
+class _Grid:
+    """How a series of ``n`` points is laid out: a power of two M >= 2 n - 1, as A times B.
+
+    A time is r + A s, a frequency q + B p; tasks take some of the r, then some of the q, then some of the r.
     """
-    series = list(series)
-    df = stage(df.select(*series, order, F.col(value).cast("double").alias(value)), "series")
-    sizes = df.groupBy(*series).agg(F.count("*").alias("n_points"))
-    longest = sizes.agg(F.max("n_points")).first()[0] or 0
-    if longest <= max_points:
-        return _one_round(df, order, value, series)
-    out = stage(_two_rounds(df, sizes, order, value, series), "cycles")
-    total = out.groupBy(*series).agg(F.sum("amplitude").alias("__total"))
-    out = attach(out, total, series) if series else with_row(out, total)
-    share = F.try_divide("amplitude", F.col("__total"))
-    return out.withColumn("share", share).drop("__total")
 
+    def __init__(self, n: int, points: int):
+        bits = (2 * n - 2).bit_length()
+        self.n, self.m = n, 1 << bits
+        self.a, self.b = 1 << bits // 2, 1 << bits - bits // 2
+        self.rows, self.columns = max(1, points // self.b), max(1, points // self.a)
 
-def _schema(df: DataFrame, cols: Sequence[str], tail: str) -> str:
-    kinds = dict(df.dtypes)
-    return ", ".join([*[f"`{c}` {kinds[c]}" for c in cols], tail])
+    def block(self, number: int, step: int, end: int) -> np.ndarray:
+        return np.arange(number * step, min(end, (number + 1) * step))
 
 
-def _one_round(df: DataFrame, order: str, value: str, series: list[str]) -> DataFrame:
-    def transform(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(order)[value].to_numpy(dtype=float)
-        k = np.arange(1, len(x) // 2 + 1)
-        power = np.abs(np.fft.rfft(x))[1:]
-        total = power.sum()
-        out = pd.DataFrame({"k": k, "period": len(x) / k, "amplitude": power,
-                            "share": power / total if total else None})
-        for c in series:
-            out[c] = pdf[c].iloc[0]
-        return out[[*series, "k", "period", "amplitude", "share"]]
+def seasonal_cycles(df: DataFrame, order: str, value: str, series: Sequence[str] = (), points: int = POINTS) -> DataFrame:
+    """Magnitude of the Fourier transform of regularly spaced series, without the zero frequency
+    (K10): rows (*series, k, period, amplitude, share).
 
-    schema = _schema(df, series, "k bigint, period double, amplitude double, share double")
-    return df.groupBy(*series).applyInPandas(transform, schema)
+    Chirp transform: with n k = (n^2 + k^2 - (k - n)^2) / 2 the sum over n is a convolution with a chirp, which is
+    taken as a circular one of a power of two, whatever the length. That one is done in three rounds of short transforms: over time,
+    over frequency and back in one task, over time again. No task holds a series. Null and NaN values make the
+    whole spectrum of their series NaN.
+    """
+    series = list(series)
+    rows = df.select(*series, order, F.col(value).cast("double").alias("__x"))
+    placed = with_series_position(rows, series, [order], "__t").drop(order)
+    placed = stage(placed, "placed")
+    sizes = placed.groupBy(*series).agg(F.count("*").alias("__n"), F.avg("__x").alias("__mean")).where("__n > 1")
+    placed = _match(placed, stage(sizes, "sizes"), series).where("__n > 1") if series else with_row(placed, sizes).where("__n > 1")
+    # The constant part adds to the zero frequency only; without it the others lose no digits to it.
+    placed = placed.withColumn("__x", F.coalesce(F.col("__x") - F.col("__mean"), F.lit(float("nan"))))
+    bits = F.length(F.bin(2 * F.col("__n") - 2))
+    a, b = (F.expr(f"shiftleft(1L, {e})") for e in ("__bits div 2", "__bits - __bits div 2"))
+    placed = placed.withColumn("__bits", bits).withColumn(
+        "__block", F.floor(F.pmod("__t", a) / F.greatest(F.lit(1), F.floor(F.lit(points) / b))).cast("bigint"))
 
+    kinds = dict(df.dtypes)
+    head = [f"`{c}` {kinds[c]}" for c in series]
+    between = ", ".join([*head, "__n bigint", "__block bigint", "__at bigint", "__part bigint", "__values binary"])
 
-def _two_rounds(df: DataFrame, sizes: DataFrame, order: str, value: str,
-                series: list[str]) -> DataFrame:
-    placed = with_series_position(df, series, [order], "t")
-        # Per series N = a * b with the largest divisor a <= sqrt(N); a prime N has a = 1.
-    divisor = F.array_max(F.filter(
-        F.sequence(F.lit(1), F.floor(F.sqrt("n_points")).cast("bigint")),
-        lambda i: F.col("n_points") % i == 0))
-    lengths = sizes.select(*series, "n_points", divisor.alias("a"))
-    placed = attach(placed, lengths, series) if series else with_row(placed, lengths)
-    placed = stage(placed.withColumn("r", F.col("t") % F.col("a")), "placed")
-    spread, prime = placed.filter("a > 1"), placed.filter("a = 1")
+    def out_of(pdf: pd.DataFrame, columns: dict) -> pd.DataFrame:
+        found = pd.DataFrame(columns)
+        for c in series:
+            found[c] = pdf[c].iloc[0]
+        return found
 
     def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, a, r = (int(pdf[c].iloc[0]) for c in ("n_points", "a", "r"))
-        y = np.fft.fft(pdf.sort_values("t")[value].to_numpy(dtype=float))
-        y = y * np.exp(-2j * np.pi * r * np.arange(len(y)) / n)
-        out = pd.DataFrame({"q": np.arange(len(y)), "re": y.real, "im": y.imag})
-        for c in [*series, "n_points", "a", "r"]:
-            out[c] = pdf[c].iloc[0]
-        return out[[*series, "n_points", "a", "r", "q", "re", "im"]]
+        grid = _Grid(int(pdf["__n"].iloc[0]), points)
+        r = grid.block(int(pdf["__block"].iloc[0]), grid.rows, grid.a)
+        t = pdf["__t"].to_numpy()
+        x = np.zeros((2, len(r), grid.b), complex)
+        x[0, t % grid.a - r[0], t // grid.a] = pdf["__x"].to_numpy() * np.conj(_chirp(t, grid.n))
+        at = r[:, None] + grid.a * np.arange(grid.b)
+        away = np.minimum(at, grid.m - at)
+        x[1] = np.where(away < grid.n, _chirp(away, grid.n), 0)
+        x = np.fft.fft(x, axis=2) * np.exp(-2j * np.pi * (r[:, None] * np.arange(grid.b)) / grid.m)
+        parts = range(-(-grid.b // grid.columns))
+        cut = [(i, p, x[:, k, p * grid.columns:(p + 1) * grid.columns].tobytes()) for k, i in enumerate(r.tolist()) for p in parts]
+        at, part, values = zip(*cut)
+        return out_of(pdf, {"__n": grid.n, "__block": part, "__at": at, "__part": 0, "__values": values})[names]
 
     def second(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("r")
-        n, a, q = (int(pdf[c].iloc[0]) for c in ("n_points", "a", "q"))
-        x = np.fft.fft(pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy())
-        k = q + (n // a) * np.arange(a)
-        keep = (k >= 1) & (k <= n // 2)
-        out = pd.DataFrame({"k": k[keep], "amplitude": np.abs(x)[keep]})
-        out["period"] = n / out["k"]
-        for c in series:
-            out[c] = pdf[c].iloc[0]
-        return out[[*series, "k", "period", "amplitude"]]
-
-    half = _schema(df, series, "n_points bigint, a bigint, r bigint, q bigint, re double, im double")
-    full = _schema(df, series, "k bigint, period double, amplitude double")
-    done = (spread.groupBy(*series, "r").applyInPandas(first, half)
-            .groupBy(*series, "q").applyInPandas(second, full))
-    return done.unionByName(direct_cycles(prime, "t", value, series))
-
-
-def direct_cycles(df: DataFrame, position: str, value: str, series: Sequence[str]) -> DataFrame:
-    """The transform as plain sums over (time, k). Quadratic, used for long series of prime
-    length; needs the 0-based ``position`` and ``n_points``."""
-    angle = 2 * F.pi() * ((F.col(position) * F.col("k")) % F.col("n_points")) / F.col("n_points")
-    spread = df.withColumn("k", F.explode(
-        F.sequence(F.lit(1).cast("bigint"), F.floor(F.col("n_points") / 2).cast("bigint"))))
-    sums = spread.groupBy(*series, "k", "n_points").agg(
-        F.sum(F.col(value) * F.cos(angle)).alias("re"),
-        F.sum(F.col(value) * F.sin(angle)).alias("im"))
-    return sums.select(*series, "k", (F.col("n_points") / F.col("k")).alias("period"),
-                       F.hypot("re", "im").alias("amplitude"))
+        pdf = pdf.sort_values("__at")
+        grid, block = _Grid(int(pdf["__n"].iloc[0]), points), int(pdf["__block"].iloc[0])
+        q = grid.block(block, grid.columns, grid.b)
+        x = np.frombuffer(b"".join(pdf["__values"]), complex).reshape(grid.a, 2, len(q))
+        x = np.fft.fft(x, axis=0)
+        y = np.fft.ifft(x[:, 0] * x[:, 1], axis=0) * np.exp(2j * np.pi * (np.arange(grid.a)[:, None] * q) / grid.m)
+        at = np.arange(grid.a)
+        return out_of(pdf, {"__n": grid.n, "__block": at // grid.rows, "__at": at, "__part": block,
+                            "__values": [row.tobytes() for row in y]})[names]
+
+    def third(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["__at", "__part"])
+        grid = _Grid(int(pdf["__n"].iloc[0]), points)
+        r = grid.block(int(pdf["__block"].iloc[0]), grid.rows, grid.a)
+        y = np.fft.ifft(np.frombuffer(b"".join(pdf["__values"]), complex).reshape(len(r), grid.b), axis=1)
+        k = r[:, None] + grid.a * np.arange(grid.b)
+        keep = (k >= 1) & (k <= grid.n // 2)
+        k = k[keep]
+        return out_of(pdf, {"k": k, "period": grid.n / k, "amplitude": np.abs(y[keep])})[[*series, "k", "period", "amplitude"]]
+
+    names = [*series, "__n", "__block", "__at", "__part", "__values"]
+    full = ", ".join([*head, "k bigint", "period double", "amplitude double"])
+    out = (placed.groupBy(*series, "__block").applyInPandas(first, between)
+           .groupBy(*series, "__block").applyInPandas(second, between)
+           .groupBy(*series, "__block").applyInPandas(third, full))
+    out = stage(out, "cycles")
+    total = out.groupBy(*series).agg(F.sum("amplitude").alias("__total"))
+    out = _match(out, stage(total, "totals"), series) if series else with_row(out, total)
+    share = F.try_divide("amplitude", F.col("__total"))
+    return out.withColumn("share", share).drop("__total")
 
 
 def top_cycles(cycles: DataFrame, n: int = 5) -> DataFrame:

@@ -124,13 +124,13 @@ def test_mixed_mutual_information(df, pdf):
     assert got[("x", "y")] == pytest.approx(mi(binned, pdf["y"]), abs=1e-10)
 
 
-@pytest.mark.parametrize("n", [2, 9, 64, 97, 360])
-def test_cycles_one_and_two_rounds(spark, n):
-    x = np.random.default_rng(n).normal(size=n) + np.sin(np.arange(n))
+@pytest.mark.parametrize("n", [2, 3, 9, 64, 97, 360, 4001])
+def test_cycles_of_any_length(spark, n):
+    x = np.random.default_rng(n).normal(size=n) + np.sin(np.arange(n)) + 1e6
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "d int, v double")
     want = np.abs(np.fft.rfft(x))[1:]
-    for limit in (K.MAX_POINTS, 1):
-        got = K.seasonal_cycles(df, "d", "v", max_points=limit).orderBy("k").toPandas()
+    for points in (K.POINTS, 1):
+        got = K.seasonal_cycles(df, "d", "v", points=points).orderBy("k").toPandas()
         np.testing.assert_allclose(got["amplitude"], want, atol=1e-8)
         np.testing.assert_allclose(got["period"], n / np.arange(1, n // 2 + 1))
         np.testing.assert_allclose(got["share"], want / want.sum(), atol=1e-8)
@@ -139,10 +139,29 @@ def test_cycles_one_and_two_rounds(spark, n):
 def test_cycles_of_many_series(spark):
     rows = [(s, i, float(np.cos(2 * np.pi * i / p))) for s, p in (("a", 4), ("b", 6)) for i in range(24)]
     df = spark.createDataFrame(rows, "s string, d int, v double")
-    for limit in (100, 1):
-        out = K.seasonal_cycles(df, "d", "v", ["s"], max_points=limit).toPandas()
-        best = out.loc[out.groupby("s")["amplitude"].idxmax()].set_index("s")["period"]
-        assert best.to_dict() == {"a": 4.0, "b": 6.0}
+    rows += [(None, i, float(i % 2)) for i in range(8)] + [("one", 1, 1.0)] + [("gap", i, None if i == 3 else 1.0) for i in range(7)]
+    df = df.unionByName(spark.createDataFrame(rows[48:], df.schema))
+    for points in (100, 1):
+        out = K.seasonal_cycles(df, "d", "v", ["s"], points=points).toPandas()
+        assert sorted(out.groupby("s", dropna=False).size()) == [3, 4, 12, 12]
+        assert out.loc[out.s == "gap", "amplitude"].isna().all()
+        out = out[out.s != "gap"]
+        best = out.loc[out.groupby("s", dropna=False)["amplitude"].idxmax()].set_index("s")["period"]
+        assert list(best) == [4.0, 6.0, 2.0]
+    assert K.seasonal_cycles(df.limit(0), "d", "v", ["s"]).count() == 0
+    assert K.seasonal_cycles(df.limit(0), "d", "v").count() == 0
+
+
+@pytest.mark.parametrize("n", [1_048_583, 2 * 524_309, 1 << 20])
+def test_cycles_of_long_series(spark, n):
+    """A prime, twice a prime and a power of two, above a million points."""
+    df = spark.range(n).select("id", (F.sin(F.col("id") * 0.37) * 3 + F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000).alias("v"))
+    x = df.orderBy("id").toPandas()["v"].to_numpy()
+    got = K.seasonal_cycles(df, "id", "v").orderBy("k").toPandas()
+    want = np.abs(np.fft.rfft(x))[1:]
+    np.testing.assert_allclose(got["amplitude"], want, atol=1e-9 * want.max())
+    grid = K._Grid(n, K.POINTS)
+    assert max(grid.rows * grid.b, grid.columns * grid.a, grid.a, grid.b) <= 4 * np.sqrt(n)
 
 
 def test_calendar_report(spark):
