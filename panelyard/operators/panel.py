@@ -31,6 +31,8 @@ ENCODINGS = {
     "cat_state": ("cat_id", "state_id"),
 }
 CHUNK = 1 << 16
+#: Rows of a block whose sum is kept; larger blocks are so many smaller ones.
+BLOCK = 8
 
 
 # --- building -------------------------------------------------------------------------------
@@ -77,11 +79,14 @@ def dense_panel(observed: DataFrame, days: DataFrame, series: str, attrs: Sequen
     ).join(days, day)
 
 
-def extend_horizon(panel: DataFrame, series: Sequence[str], attrs: Sequence[str],
+def extend_horizon(panel: DataFrame, observed: DataFrame, series: Sequence[str], attrs: Sequence[str],
                    start: int, steps: int, day: str = "d", value: str = "sold") -> DataFrame:
-    """Append ``steps`` future days with value 0 to every series."""
+    """Append ``steps`` future days with value 0 to every series.
+
+    The series come from ``observed``, the much smaller table that the panel was built from.
+    """
     future = (
-        panel.select(*series, *attrs)
+        observed.select(*series, *attrs)
         .distinct()
         .withColumn(day, F.explode(F.sequence(F.lit(start), F.lit(start + steps - 1))))
         .withColumn(value, F.lit(0.0))
@@ -118,28 +123,32 @@ def _add_frame_means(df: DataFrame, value: str, frames: dict[str, tuple[int, int
                      order) -> DataFrame:
     """Add, per name, the mean of ``n`` rows ending ``shift`` rows back, null below ``need`` values.
 
-    ``frames`` holds (n, shift, need). Sums over 1, 2, 4, ... rows come from each other by one
-    lag, and a frame is put together from those that its length is the sum of: the work grows
-    with the logarithm of the longest frame, nothing is subtracted, and a huge or infinite value
-    is seen by the frames that hold it and by no other.
+    ``frames`` holds (n, shift, need). Sums over blocks of 1, ``BLOCK``, ``BLOCK``**2, ... rows come
+    from each other by a few lags in one window pass per size, and a frame is put together from
+    blocks in a last pass. Nothing is subtracted, so a huge or infinite value is seen by the
+    frames that hold it and by no other.
     """
     w = _forward(keys, order)
     back = lambda name, k: F.coalesce(F.lag(name, k).over(w), F.lit(0)) if k else F.col(name)
+    add = lambda found: reduce(lambda p, q: p + q, found)
     df = df.withColumns({"__s1": F.coalesce(F.col(value).cast("double"), F.lit(0.0)),
                          "__c1": F.col(value).isNotNull().cast("int")})
     width = 1
-    while 2 * width <= max(n for n, _, _ in frames.values()):
-        df = df.withColumns({f"__{x}{2 * width}": F.col(f"__{x}{width}") + back(f"__{x}{width}", width)
+    while BLOCK * width <= max(n for n, _, _ in frames.values()):
+        df = df.withColumns({f"__{x}{BLOCK * width}": add([back(f"__{x}{width}", i * width) for i in range(BLOCK)])
                              for x in "sc"})
-        width *= 2
+        width *= BLOCK
     columns = {}
     for name, (n, shift, need) in frames.items():
-        parts, at = {"s": [], "c": []}, shift
-        for size in (1 << b for b in range(n.bit_length()) if n >> b & 1):
+        parts, at, size, left = {"s": [], "c": []}, shift, width, n
+        while left:
+            if size > left:
+                size //= BLOCK
+                continue
             for x, found in parts.items():
                 found.append(back(f"__{x}{size}", at))
-            at += size
-        total, count = (reduce(lambda p, q: p + q, found) for found in parts.values())
+            at, left = at + size, left - size
+        total, count = (add(found) for found in parts.values())
         columns[name] = F.when(count >= max(1, need), total / count)
     return df.withColumns(columns).drop(*[c for c in df.columns if c[:3] in ("__s", "__c") and c[3:].isdigit()])
 
