@@ -50,7 +50,8 @@ def _(spark, sf):
 
 @case("n1_isolation_forest")
 def _(spark, sf):
-    flagged = outliers.isolation_forest(housing(Tables(spark, sf)), KEY, [*HOUSE, "l_extendedprice"])
+    flagged = outliers.isolation_forest(housing(Tables(spark, sf)), KEY, [*HOUSE, "l_extendedprice"],
+                                        partitions=spark.sparkContext.defaultParallelism)
     return flagged.select(*KEY, "score", "outlier")
 
 

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from panelyard.operators.profile import describe
-from panelyard.plans import hash_key, spread_small
+from panelyard.plans import hash_key, stage
 
 EULER_GAMMA = 0.5772156649015329
 
@@ -26,25 +27,22 @@ def _path_norm(n) -> np.ndarray:
 
 def tree_samples(df: DataFrame, key, cols: Sequence[str], trees: int, sample: int,
                  seed: int) -> DataFrame:
-    """Rows (tree, *cols): ``sample`` rows for each tree.
+    """Rows (tree, *cols): for each tree the ``sample`` rows with the smallest hash of key and tree; all, if there are fewer.
 
-    With enough rows one draw of trees * sample rows is dealt out, a top-k by hash. A smaller
-    table is drawn from once per tree; it then has fewer rows than that draw.
+    Hashes above a bound cannot be among them, so a row is only sent to the trees where it may be one; what
+    each tree then ranks is little more than its sample.
     """
-    want = trees * sample
-    hashed = df.select(hash_key(key, seed).alias("__h"), *[F.col(c).cast("double") for c in cols])
-    rows = hashed.orderBy("__h").limit(want).toPandas()
-    parts = []
-    for t in range(trees):
-        if len(rows) == want:
-            part = rows.iloc[t::trees]
-        else:
-            rng = np.random.default_rng([seed, t])
-            part = rows.iloc[rng.permutation(len(rows))[:sample]]
-        parts.append(part[list(cols)].assign(tree=t))
-    table = pd.concat(parts)[["tree", *cols]]
-    return df.sparkSession.createDataFrame(
-        table, "tree int, " + ", ".join(f"`{c}` double" for c in cols))
+    hashed = df.select(hash_key(key, seed).alias("__h"), *[F.col(c).cast("double").alias(f"__c{i}") for i, c in enumerate(cols)])
+    share = (sample + 8 * math.sqrt(sample) + 8) / max(1, df.count())
+    draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64("__h", t).alias("at")))
+    if share < 1:
+        bound = F.lit(int(share * 2.0**64) - (1 << 63))
+        draws = F.filter(draws, lambda d: d["at"] < bound)
+    names = [f"__c{i}" for i in range(len(cols))]
+    dealt = hashed.select("__h", *names, F.explode(draws).alias("__d")).select("__d.tree", "__d.at", "__h", *names)
+    least = F.row_number().over(Window.partitionBy("tree").orderBy("at", "__h"))
+    chosen = dealt.withColumn("__place", least).where(F.col("__place") <= sample)
+    return chosen.select("tree", *[F.col(n).alias(c) for n, c in zip(names, cols)])
 
 
 def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
@@ -69,36 +67,38 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
     return nodes
 
 
-def fit_forest(df: DataFrame, key, cols: Sequence[str], trees=100, sample=256, seed=0) -> dict:
-    """Grow the trees in parallel, one group of at most ``sample`` rows per tree. The forest has
-    at most trees * 2 * sample nodes and is kept as arrays."""
+FOREST = "tree int, size int, features binary, cuts binary, lefts binary, rights binary, ends binary"
+
+
+def fit_forest(df: DataFrame, key, cols: Sequence[str], trees=100, sample=256, seed=0) -> DataFrame:
+    """A row for each tree, staged; the trees grow in parallel, from at most ``sample`` rows each.
+
+    ``size`` is the number of rows of the tree; the others list its nodes: feature (-1: a leaf), cut, children and, for a
+    leaf, the depth at which a row that ends there would be alone.
+    """
     cols = list(cols)
     depth_limit = int(np.ceil(np.log2(max(sample, 2))))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
-        nodes = _grow(pdf[cols].to_numpy(), np.random.default_rng([seed, 1, tree]), depth_limit)
-        out = pd.DataFrame(nodes, columns=["feature", "cut", "left", "right", "size", "depth"])
-        out.insert(0, "node", np.arange(len(nodes)))
-        out.insert(0, "tree", tree)
-        return out
+        rows = pdf[cols].sort_values(cols).to_numpy()
+        nodes = _grow(rows, np.random.default_rng([seed, 1, tree]), depth_limit)
+        feature, cut, left, right, size, depth = (np.array(x) for x in zip(*nodes))
+        ends = depth + _path_norm(size)
+        parts = [feature.astype(np.int32), cut.astype(float), left.astype(np.int32), right.astype(np.int32), ends.astype(float)]
+        return pd.DataFrame([(tree, len(pdf), *[p.tobytes() for p in parts])])
 
     samples = tree_samples(df, key, cols, trees, sample, seed)
-    nodes = samples.groupBy("tree").applyInPandas(
-        build, "tree int, node int, feature int, cut double, left int, right int, size int, "
-               "depth int").toPandas()
-    used = samples.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-    grown = []
-    for _, t in nodes.sort_values(["tree", "node"]).groupby("tree"):
-        end = t["depth"].to_numpy() + _path_norm(t["size"].to_numpy())
-        grown.append((t["feature"].to_numpy(), t["cut"].to_numpy(), t["left"].to_numpy(),
-                      t["right"].to_numpy(), end))
-    return {"cols": cols, "trees": grown, "norm": float(_path_norm(used))}
-
-
-def score_forest(df: DataFrame, forest: dict, name="score") -> DataFrame:
-    """Anomaly score 2 ** (-mean path / norm) of every row."""
-    shared = df.sparkSession.sparkContext.broadcast(forest)
+    return stage(samples.groupBy("tree").applyInPandas(build, FOREST), "forest")
+
+
+def score_forest(df: DataFrame, forest: DataFrame, cols: Sequence[str], name="score") -> DataFrame:
+    """Anomaly score 2 ** (-mean path / norm) of every row; the tasks get the trees, whose size is that of their samples."""
+    kinds = (np.int32, float, np.int32, np.int32, float)
+    rows = sorted(forest.collect(), key=lambda r: r.tree)
+    grown = [tuple(np.frombuffer(raw, kind) for raw, kind in zip(r[2:], kinds)) for r in rows]
+    shared = df.sparkSession.sparkContext.broadcast(
+        {"trees": grown, "norm": float(_path_norm(max((r["size"] for r in rows), default=0)))})
 
     @pandas_udf("double")
     def score(*series: pd.Series) -> pd.Series:
@@ -118,13 +118,17 @@ def score_forest(df: DataFrame, forest: dict, name="score") -> DataFrame:
         mean = total / max(len(model["trees"]), 1)
         return pd.Series(2.0 ** (-mean / (model["norm"] or 1.0)))
 
-    return df.withColumn(name, score(*[F.col(c).cast("double") for c in forest["cols"]]))
+    return df.withColumn(name, score(*[F.col(c).cast("double") for c in cols]))
 
 
 def isolation_forest(df: DataFrame, key, cols: Sequence[str], trees=100, sample=256,
-                     seed=0) -> DataFrame:
-    """Adds ``score`` and ``outlier`` (1 when the score is above 0.5)."""
-    scored = score_forest(spread_small(df), fit_forest(df, key, cols, trees, sample, seed))
+                     seed=0, partitions: int | None = None) -> DataFrame:
+    """Adds ``score`` and ``outlier`` (1 when the score is above 0.5).
+
+    Scoring is bound by the work of the tasks: ``partitions`` deals the rows out first, for tables that few tasks would read.
+    """
+    rows = df if partitions is None else df.repartition(partitions)
+    scored = score_forest(rows, fit_forest(df, key, cols, trees, sample, seed), cols)
     return scored.withColumn("outlier", (F.col("score") > 0.5).cast("int"))
 
 
