@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from panelyard.cases.base import PANEL_SQL, Tables, case, r, raw_sales, rsql, sales_panel
@@ -197,7 +198,7 @@ def _(spark, sf):
 
 
 @case("e1_category_codes", "WITH" + CREDIT_SQL + """, m AS (SELECT saving_accounts AS v,
-  CAST(row_number() OVER (ORDER BY saving_accounts) - 1 AS INTEGER) AS code
+  row_number() OVER (ORDER BY saving_accounts) - 1 AS code
   FROM (SELECT DISTINCT saving_accounts FROM credit WHERE saving_accounts IS NOT NULL))
 SELECT id, coalesce(code, -1) AS saving_accounts_code FROM credit LEFT JOIN m ON v = saving_accounts""")
 def _(spark, sf):
@@ -205,7 +206,7 @@ def _(spark, sf):
 
 
 @case("e1_category_mapping", """
-SELECT c_name, CAST(row_number() OVER (ORDER BY c_name) - 1 AS INTEGER) AS code
+SELECT c_name, row_number() OVER (ORDER BY c_name) - 1 AS code
 FROM (SELECT DISTINCT c_name FROM customer)""")
 def _(spark, sf):
     return encode.category_mapping(Tables(spark, sf).customer, "c_name")
@@ -292,13 +293,20 @@ def _(spark, sf):
         "event_id", "batch", r("value_scaled"))
 
 
-@case("e12_random_fourier")
-def _(spark, sf):
-    from pyspark.ml.functions import vector_to_array
+def fourier_sql() -> str:
+    """The projection with the seeded weights as literals."""
+    w, b = encode.fourier_weights(3, 100, 1.0, 0)
+    terms = [" + ".join(f"x{i} * CAST({w[i, j]!r} AS DOUBLE)" for i in range(3)) + f" + CAST({b[j]!r} AS DOUBLE)" for j in range(100)]
+    scaled = ", ".join(f"({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) AS x{i}" for i, c in enumerate(LINE[:3]))
+    values = ", ".join(f"round(sqrt(0.02e0) * cos({t}), 6) + 0e0" for t in terms)
+    return f"SELECT {', '.join(KEY)}, [{values}] AS rff FROM (SELECT {', '.join(KEY)}, {scaled} FROM lineitem)".replace("np.float64(", "(")
+
 
+@case("e12_random_fourier", fourier_sql())
+def _(spark, sf):
     df = encode.min_max_scale(Tables(spark, sf).lineitem, LINE[:3], "")
     out = encode.random_fourier(df, LINE[:3], 100, 1.0, 0)
-    return out.select(*KEY, vector_to_array("rff").alias("rff"))
+    return out.select(*KEY, F.transform(vector_to_array("rff"), lambda v: F.round(v, 6) + F.lit(0.0)).alias("rff"))
 
 
 @case("e13_constant_multiplier", "SELECT " + ", ".join(KEY) + ", l_quantity * 0.5 AS l_quantity, l_tax * 0.5 AS l_tax FROM lineitem")

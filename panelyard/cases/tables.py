@@ -14,24 +14,14 @@ from panelyard import sources
 ATTRS = ", ".join(SERIES_ATTRS)
 
 
-def monthly_wide(t: Tables):
-    """One row per series, one column d_1..d_m per month that occurs."""
-    sales = raw_sales(t).withColumn("month", F.trunc("dt", "month"))
-    months = panel.day_table(t.lineitem.select(
-        F.trunc(F.col("l_shipdate").cast("date"), "month").alias("month")), "month")
-    labels = list(range(1, months.count() + 1))
-    wide = reshape.widen(sales.join(months, "month"), ["id", *SERIES_ATTRS], "d", labels, "sold", "d_")
+def daily_wide(t: Tables):
+    """One row per series, one column d_1..d_n per day."""
+    days = day_list(t)
+    labels = list(range(1, days.count() + 1))
+    wide = reshape.widen(raw_sales(t).join(days, "dt"), ["id", *SERIES_ATTRS], "d", labels, "sold", "d_")
     return wide.fillna(0.0), [f"d_{i}" for i in labels]
 
 
-MONTHLY_SQL = PANEL_SQL + """,
-months AS (SELECT m, CAST(row_number() OVER (ORDER BY m) AS INTEGER) AS d
-  FROM (SELECT DISTINCT date_trunc('month', dt) AS m FROM days)),
-monthly AS (SELECT id, date_trunc('month', dt) AS m, sum(sold) AS sold FROM raw GROUP BY ALL),
-mlong AS (SELECT series.*, months.d, coalesce(monthly.sold, 0e0) AS sold
-  FROM series CROSS JOIN months LEFT JOIN monthly ON monthly.id = series.id AND monthly.m = months.m)
-"""
-
 PRICE_SQL = """
 price AS (SELECT item_id, store_id, CAST(isoyear(dt) * 100 + week(dt) AS INTEGER) AS week_key,
   round(avg(round(amount / sold))) AS sell_price FROM raw GROUP BY ALL)
@@ -110,24 +100,40 @@ def _(spark, sf):
                      "`Acct Bal` double, `Mkt Segment` string")
 
 
-@case("s3_panel_folder", f"WITH {MONTHLY_SQL}, {PRICE_SQL}, {CALENDAR_SQL}" + """
-SELECT 'sales' AS tab, count(*) AS n, round(sum(sold), 2) + 0e0 AS total FROM mlong
-UNION ALL SELECT 'prices', count(*), round(sum(sell_price), 2) + 0e0 FROM price
-UNION ALL SELECT 'calendar', count(*), round(sum(d) + 0e0, 2) FROM calendar""")
-def _(spark, sf):
+def _folder_sql(sales: str, keep: str = "true") -> str:
+    return f"""WITH {PANEL_SQL}, {PRICE_SQL}, {CALENDAR_SQL},
+kept AS (SELECT item_id, row_number() OVER (PARTITION BY cat_id ORDER BY md5(item_id || '|0'), item_id) AS p
+  FROM (SELECT DISTINCT cat_id, item_id FROM raw))
+SELECT 'sales' AS tab, id AS name, 'd_' || d AS d, sold AS value FROM ({sales}) WHERE {keep}
+UNION ALL SELECT 'prices', item_id || '|' || store_id, CAST(week_key AS VARCHAR), sell_price FROM price WHERE {keep}
+UNION ALL SELECT 'calendar', weekday, CAST(d AS VARCHAR), iso_week + 0e0 FROM calendar"""
+
+
+def _loaded_folder(spark, sf, **options):
     t = Tables(spark, sf)
     folder = new_path(spark, "folder")
-    for name, df in [("sales", monthly_wide(t)[0]), ("prices", prices(t)), ("calendar", calendar(t))]:
+    for name, df in [("sales", daily_wide(t)[0]), ("prices", prices(t)), ("calendar", calendar(t))]:
         df.write.option("header", True).csv(f"{folder}/{name}.csv")
     loaded = sources.load_panel_folder(spark, folder, "sales.csv", "prices.csv", "calendar.csv",
-                                       value_type="double")
-    measure = {"sales": "sold", "prices": "sell_price", "calendar": "d"}
-    out = None
-    for name, df in loaded.items():
-        row = df.agg(F.count("*").alias("n"), F.round(F.sum(F.col(measure[name]).cast("double")), 2)
-                     .alias("total")).select(F.lit(name).alias("tab"), "n", "total")
-        out = row if out is None else out.unionByName(row)
-    return out
+                                       value_type="double", **options)
+    row = lambda tab, name, d, value: loaded[tab].select(
+        F.lit(tab).alias("tab"), name.alias("name"), F.col(d).cast("string").alias("d"), F.col(value).cast("double").alias("value"))
+    return (row("sales", F.col("id"), "d", "sold").unionByName(row("prices", F.concat_ws("|", "item_id", "store_id"), "week_key", "sell_price"))
+            .unionByName(row("calendar", F.col("weekday"), "d", "iso_week")))
+
+
+@case("s3_panel_folder", _folder_sql("SELECT * FROM panel"))
+def _(spark, sf):
+    return _loaded_folder(spark, sf)
+
+
+@case("s3_panel_folder_trial", _folder_sql("""
+SELECT id, item_id, d, sold FROM panel
+UNION ALL SELECT id, item_id, CAST(last + i AS INTEGER), 0e0 FROM series CROSS JOIN (SELECT max(d) AS last FROM days) m
+  CROSS JOIN range(1, 29) h(i)""", "item_id IN (SELECT item_id FROM kept WHERE p <= 2)"))
+def _(spark, sf):
+    """Two items per category, and 28 empty days ahead."""
+    return _loaded_folder(spark, sf, horizon=28, keys_per_category=2)
 
 
 @case("s4_horizon_extension", f"WITH {PANEL_SQL}" + f"""
@@ -136,8 +142,9 @@ UNION ALL
 SELECT id, {ATTRS}, CAST(m.last + i AS INTEGER), 0e0
 FROM series CROSS JOIN (SELECT max(d) AS last FROM days) m CROSS JOIN range(1, 29) h(i)""")
 def _(spark, sf):
-    df, n = sales_panel(Tables(spark, sf))
-    return panel.extend_horizon(df, ["id"], SERIES_ATTRS, n + 1, 28)
+    t = Tables(spark, sf)
+    df, n = sales_panel(t)
+    return panel.extend_horizon(df, raw_sales(t), ["id"], SERIES_ATTRS, n + 1, 28)
 
 
 @case("s5_feature_store", f"WITH {PANEL_SQL} SELECT id, d, sold FROM panel")
@@ -215,9 +222,9 @@ def _(spark, sf):
     return Tables(spark, sf).orders.select("o_orderkey", C.flag("o_orderstatus", "F").alias("finished"))
 
 
-@case("p3_columns_by_pattern", f"WITH {MONTHLY_SQL} SELECT id, sum(sold) AS sold FROM mlong GROUP BY id")
+@case("p3_columns_by_pattern", f"WITH {PANEL_SQL} SELECT id, sum(sold) AS sold FROM panel GROUP BY id")
 def _(spark, sf):
-    wide, _ = monthly_wide(Tables(spark, sf))
+    wide, _ = daily_wide(Tables(spark, sf))
     days = C.names_matching(wide, r"d_\d+")
     total = F.aggregate(F.array(*days), F.lit(0.0), lambda a, v: a + v)
     return wide.select("id", total.alias("sold"))
@@ -302,12 +309,26 @@ def _(spark, sf):
         "column_name", "to_type")
 
 
-@case("p9_narrow", """
-SELECT CAST(p_partkey AS BIGINT) AS p_partkey, CAST(p_size AS BIGINT) AS p_size,
-  CAST(p_retailprice AS FLOAT) AS p_retailprice FROM part""")
+PART = {"p_partkey": _int_type, "p_name": _text_type, "p_brand": _text_type, "p_type": _text_type, "p_size": _int_type,
+        "p_retailprice": _float_type}
+
+
+def _stored_type(c: str) -> str:
+    """SQL for the type that a column of part is stored in: codes in the type that holds them, the 16-bit float as FLOAT."""
+    return f"""(SELECT CASE to_type WHEN 'float16' THEN 'float' WHEN 'category' THEN (SELECT CASE WHEN count(DISTINCT {c}) <= 128
+      THEN 'tinyint' WHEN count(DISTINCT {c}) <= 32768 THEN 'smallint' ELSE 'int' END FROM part) ELSE to_type END
+      FROM ({PART[c](c, "part")}))"""
+
+
+@case("p9_narrow", "SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, "
+      "CAST(p_retailprice AS FLOAT) AS p_retailprice, concat_ws(' ', " + ", ".join(f"'{c}', {_stored_type(c)}" for c in PART)
+      + ") AS stored FROM part")
 def _(spark, sf):
-    df = prep.narrow(Tables(spark, sf).part.select("p_partkey", "p_size", "p_retailprice"))
-    return df.select(F.col("p_partkey").cast("bigint"), F.col("p_size").cast("bigint"), "p_retailprice")
+    """All columns in their narrow types, with the values that the codes stand for."""
+    frame, dictionary = prep.encode_frame(Tables(spark, sf).part)
+    stored = " ".join(f"{c} {kind}" for c, kind in frame.dtypes)
+    out = prep.decode_frame(frame, dictionary).withColumn("stored", F.lit(stored))
+    return out.withColumns({c: F.col(c).cast("bigint") for c in ("p_partkey", "p_size")})
 
 
 @case("p10_input_checks", """
@@ -411,9 +432,9 @@ def _(spark, sf):
 # --- reshape ----------------------------------------------------------------------------------------
 
 
-@case("r1_melt", f"WITH {MONTHLY_SQL} SELECT id, {ATTRS}, 'd_' || d AS d, sold FROM mlong")
+@case("r1_melt", f"WITH {PANEL_SQL} SELECT id, {ATTRS}, 'd_' || d AS d, sold FROM panel")
 def _(spark, sf):
-    wide, days = monthly_wide(Tables(spark, sf))
+    wide, days = daily_wide(Tables(spark, sf))
     return reshape.melt(wide, ["id", *SERIES_ATTRS], days)
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelyard.plans import attach
+from panelyard.operators.encode import category_codes, category_dictionary
+from panelyard.plans import attach, stage
 
 # Type ranges used by the narrowing rule.
 INT_RANGES = [
@@ -104,9 +105,10 @@ def narrowing_plan(df: DataFrame) -> DataFrame:
     return wide.select(F.inline(F.array(*rows)))
 
 
-def narrow(df: DataFrame) -> DataFrame:
-    """Apply ``narrowing_plan``. Spark has no 16-bit float, so that bucket becomes FLOAT."""
-    plan = {r["column_name"]: r["to_type"] for r in narrowing_plan(df).collect()}
+def narrow(df: DataFrame, plan: Mapping[str, str] | None = None) -> DataFrame:
+    """Apply ``narrowing_plan``. Spark has no 16-bit float, so that bucket becomes FLOAT; ``encode_frame`` also
+    turns categories into codes."""
+    plan = plan or {r["column_name"]: r["to_type"] for r in narrowing_plan(df).collect()}
     out = {}
     for c, kind in plan.items():
         if kind in ("tinyint", "smallint", "int", "bigint", "float", "double"):
@@ -118,6 +120,37 @@ def narrow(df: DataFrame) -> DataFrame:
     return df.withColumns(out)
 
 
+def encode_frame(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``narrow`` with categories as codes (P9): the frame, and the dictionary (column, code, value) that decodes it.
+
+    Codes are positions in the sorted values, -1 for a missing one, in the smallest integer type that holds them.
+    """
+    plan = {r["column_name"]: r["to_type"] for r in narrowing_plan(df).collect()}
+    texts = [c for c, kind in plan.items() if kind == "category"]
+    frame = narrow(df, plan)
+    if not texts:
+        return frame, df.sparkSession.createDataFrame([], "column string, code bigint, value string")
+    coded = category_codes(frame, texts, "__code")
+    names = F.array(*[F.lit(c) for c in texts])
+    known = category_dictionary(frame, texts)
+    known = stage(known.select(F.element_at(names, F.col("__column") + 1).alias("column"), "code", F.col("__text").alias("value")), "codes")
+    last = {r["column"]: r["last"] for r in known.groupBy("column").agg(F.max("code").alias("last")).collect()}  # a row per column
+    for c in texts:
+        kind = next((name for name, _, high in INT_RANGES if last.get(c, 0) <= high), "bigint")
+        coded = coded.withColumn(c, F.col(f"{c}__code").cast(kind)).drop(f"{c}__code")
+    return coded.select(*df.columns), known
+
+
+def decode_frame(frame: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """The values of an encoded frame in place of its codes."""
+    coded = {r["column"] for r in dictionary.select("column").distinct().collect()}
+    out = frame
+    for c in [c for c in frame.columns if c in coded]:
+        mine = dictionary.where(F.col("column") == c).select(F.col("code").alias("__code"), F.col("value").alias("__value"))
+        out = out.join(mine, F.col(c) == F.col("__code"), "left").withColumn(c, F.col("__value")).drop("__code", "__value")
+    return out.select(*frame.columns)
+
+
 # --- checks -----------------------------------------------------------------------------------
 
 

@@ -98,6 +98,48 @@ def test_category_codes(spark):
     assert got == {1: 1, 2: -1, 3: 0, 4: 1}
 
 
+def test_codes_of_columns_of_every_kind(spark):
+    """One dictionary: numbers sort as numbers, texts as texts; codes past 2**31 fit."""
+    rows = [(i, None if i == 5 else (i * 7) % 11, f"v{(i * 3) % 13}", float((i * 5) % 4) - 1.5, i % 2 == 0, 9_007_199_254_740_993 + i % 2)
+            for i in range(40)]
+    df = spark.createDataFrame(rows, "i int, n int, t string, x double, b boolean, big long").withColumns({
+        "day": F.date_add(F.lit("2024-02-27").cast("date"), F.col("i") % 5), "at": F.timestamp_seconds(F.col("i") % 3 * 86400),
+        "m": (F.col("i") % 6).cast("decimal(9,2)")})
+    cols = ["n", "t", "x", "b", "big", "day", "at", "m"]
+    got = encode.category_codes(df, cols).toPandas()
+    assert dict(encode.category_codes(df, cols).dtypes)["t_code"] == "bigint"
+    pdf = df.toPandas()
+    for c in cols:
+        values = pdf[c]
+        places = {v: i for i, v in enumerate(sorted(values.dropna().unique()))}
+        assert [places.get(v, -1) for v in got.sort_values("i")[c]] == got.sort_values("i")[f"{c}_code"].tolist(), c
+    far = encode.category_codes(df, ["t"], first=1 << 31).agg(F.min("t_code"), F.max("t_code")).first()
+    assert tuple(far) == (1 << 31, (1 << 31) + 12)
+    one = encode.category_mapping(df, "n").orderBy("code").collect()
+    assert [(r.n, r.code) for r in one] == [(v, i) for i, v in enumerate(sorted({r[1] for r in rows if r[1] is not None}))]
+    assert encode.category_codes(df.limit(0), cols).count() == 0
+
+
+def test_encoded_frames_decode(spark):
+    rows = [(i, f"c{i % 3}" if i % 7 else None, f"unique {i}", i * 1e30) for i in range(60)]
+    df = spark.createDataFrame(rows, "i long, c string, u string, x double")
+    frame, dictionary = prep.encode_frame(df)
+    assert dict(frame.dtypes) == {"i": "smallint", "c": "tinyint", "u": "string", "x": "float"}
+    assert {(r["column"], r.code, r.value) for r in dictionary.collect()} == {("c", i, f"c{i}") for i in range(3)}
+    back = prep.decode_frame(frame, dictionary)
+    assert sorted((r.i, r.c or "", r.u) for r in back.collect()) == sorted((i, c or "", u) for i, c, u, _ in rows)
+    plain, none = prep.encode_frame(df.select("i"))
+    assert plain.columns == ["i"] and none.count() == 0
+    assert sorted(r.i for r in prep.decode_frame(plain, none).collect()) == list(range(60))
+
+
+def test_wide_tables_melt_in_one_plan(spark):
+    wide = spark.range(3).select("id", *[(F.col("id") * 1000 + i).alias(f"d_{i}") for i in range(1500)])
+    long = reshape.melt(wide, ["id"], wide.columns[1:])
+    assert long.count() == 4500 and long.where("sold <> id * 1000 + cast(substr(d, 3) as int)").count() == 0
+    assert long._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
+
+
 def test_median_imputation_second_step_sees_the_first(spark):
     rows = [("a", 1.0), ("a", None), ("a", 3.0), ("b", None), ("c", 10.0), ("c", 10.0)]
     df = spark.createDataFrame(rows, "id string, p double")
