@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelyard.cases.base import PANEL_SQL, SERIES_ATTRS, Tables, case, r, rsql, sales_panel
 from panelyard.cases.tables import credit
 from panelyard.functions import columns as C
-from panelyard.operators import encode, forecast, metrics, models, panel, prep, sampling, split
+from panelyard.operators import encode, forecast, metrics, models, panel, prep, sampling, split, trees
 from panelyard.plans import stage
 from panelyard.plans.staging import new_path
 from panelyard.runner import run
@@ -77,12 +77,48 @@ def _(spark, sf):
         "prediction", r("prediction", 3))
 
 
+def _search_sql(rows: str, folds: list[int], draws: list[dict], alpha: str, standardized: bool) -> str:
+    """Ridge fits of all draws and folds from their moments, by Cramer's rule; ``rows`` has x0, x1, x2, y and fold."""
+    x = range(3)
+    moments = [*[f"avg(x{i}) AS m{i}" for i in x], "avg(y) AS my", "var_pop(y) AS vy", *[f"covar_pop(x{i}, y) AS r{i}" for i in x],
+               *[f"covar_pop(x{i}, x{j}) AS c{i}{j}" for i in x for j in x]]
+    unit = [f"sqrt(c{i}{i} * n / (n - 1))" if standardized else "1e0" for i in x]
+    scaled = [*[f"{unit[i]} AS s{i}" for i in x], *[f"n * r{i} / {unit[i]} AS b{i}" for i in x],
+              *[f"n * c{i}{j} / ({unit[i]} * {unit[j]}){' + alpha' if i == j else ''} AS a{i}{j}" for i in x for j in x]]
+    matrix = [[f"a{i}{j}" for j in x] for i in x]
+    weights = [f"({_det([[f'b{i}' if k == j else matrix[i][k] for k in x] for i in x])}) / ({_det(matrix)}) / s{j} AS w{j}" for j in x]
+    left = lambda t: (f"({t}.vy - 2 * (" + " + ".join(f"w{i} * {t}.r{i}" for i in x) + ") + "
+                      + " + ".join(f"w{i} * w{j} * {t}.c{i}{j}" for i in x for j in x) + ")")
+    off = "(h.my - t.my - (" + " + ".join(f"w{i} * (h.m{i} - t.m{i})" for i in x) + "))"
+    values = ", ".join(f"({i}, '{str(d).replace(chr(39), 2 * chr(39))}', CAST({d[alpha]!r} AS DOUBLE))" for i, d in enumerate(draws))
+    r4 = lambda e: f"round({e}, 4)"
+    return f"""
+WITH rows AS ({rows}), folds AS (SELECT unnest({folds}) AS f),
+draws AS (SELECT * FROM (VALUES {values}) v(draw, params, alpha)),
+t AS (SELECT f, count(*) + 0e0 AS n, {", ".join(moments)} FROM rows JOIN folds ON fold <> f GROUP BY f),
+h AS (SELECT f, count(*) + 0e0 AS n, {", ".join(moments)} FROM rows JOIN folds ON fold = f GROUP BY f),
+a AS (SELECT draw, params, f, {", ".join(scaled)} FROM t CROSS JOIN draws),
+w AS (SELECT draw, params, f, {", ".join(weights)} FROM a),
+s AS (SELECT draw, params, f, 1 - {left("t")} / t.vy AS train, 1 - ({left("h")} + {off} * {off}) / h.vy AS val
+  FROM w JOIN t USING (f) JOIN h USING (f)),
+g AS (SELECT draw, params, list({r4("train")} ORDER BY f) AS train_scores, list({r4("val")} ORDER BY f) AS val_scores,
+  avg(train) AS mt, stddev_pop(train) AS st, avg(val) AS mv, stddev_pop(val) AS sv FROM s GROUP BY draw, params)
+SELECT CAST(draw AS INTEGER) AS draw, params, train_scores, val_scores, {r4("mt")} AS mean_train_score, {r4("st")} AS std_train_score,
+  {r4("mv")} AS mean_val_score, {r4("sv")} AS std_val_score, CAST(rank() OVER (ORDER BY mv DESC) AS INTEGER) AS rank FROM g"""
+
+
+_ROWS = "SELECT l_quantity AS x0, l_discount AS x1, l_tax AS x2, l_extendedprice AS y, {fold} AS fold FROM {of}"
+_BY_HASH = "ORDER BY md5(l_orderkey || '|' || l_partkey || '|' || l_suppkey || '|' || l_linenumber || '|0')"
+_ALPHA = "ridge__alpha"
+SEARCHED = {_ALPHA: "loguniform(1e-2, 1e3)"}, {_ALPHA: "uniform(0, 100)"}
+
+
 @case("l3_kernel_svc")
 def _(spark, sf):
     df = credit(Tables(spark, sf)).withColumn("good", C.flag("risk", "good").cast("double"))
     df = encode.category_codes(df, ["saving_accounts"])
     features = ["saving_accounts_code", "nation", "balance"]
-    spec = models.ModelSpec("svc", features, "good", ["standard_scaler"], {"svc__gamma": 0.5}, 0)
+    spec = models.ModelSpec("svc", features, "good", ["standard_scaler"], seed=0)
     return models.predict(spec.fit(df), df).select("id", "good", "prediction")
 
 
@@ -107,7 +143,8 @@ def _(spark, sf):
     docs = t.documents.select("doc_id", "lang", "source", "n_chars")
     docs = encode.category_codes(docs, ["lang", "source"])
     known = prep.align(docs, t.labels.select("doc_id", F.col("quality").cast("double").alias("quality")), ["doc_id"])
-    spec = models.ModelSpec("light_boosting_classifier", ["lang_code", "source_code", "n_chars"], "quality", seed=0)
+    spec = models.ModelSpec("light_boosting_classifier", ["lang_code", "source_code", "n_chars"], "quality", seed=0,
+                            categorical=["lang_code", "source_code"])
     return models.predict(spec.fit(known), docs).select("doc_id", "prediction")
 
 
@@ -124,19 +161,22 @@ def _(spark, sf):
     return out.withColumn("prediction", r("prediction", 3))
 
 
-@case("l9_random_search")
+@case("l9_random_search", _search_sql(_ROWS.format(fold=f"ntile(3) OVER ({_BY_HASH}) - 1", of="lineitem"), [0, 1, 2],
+                                      models.draw_params(SEARCHED[0], 5, 0), _ALPHA, True))
 def _(spark, sf):
     df = split.k_fold(housing(Tables(spark, sf)), KEY, 3, 0)
     spec = models.ModelSpec("ridge", HOUSE, "l_extendedprice", ["standard_scaler"],
-                            {"ridge__alpha": "loguniform(1e-2, 1e3)"}, 0)
+                            SEARCHED[0], 0)
     return models.random_search(df, spec, 5, seed=0)[0]
 
 
-@case("l9_random_search_predefined")
+@case("l9_random_search_predefined", _search_sql(_ROWS.format(fold="CAST(p > floor(0.7e0 * n) AS INTEGER)", of=f"""(
+  SELECT *, row_number() OVER ({_BY_HASH}) AS p, count(*) OVER () AS n FROM lineitem)
+  WHERE p <= n - ceil(0.5 * (n - floor(0.7e0 * n)))"""), [1], models.draw_params(SEARCHED[1], 5, 0), _ALPHA, False))
 def _(spark, sf):
     df = split.train_val_test(housing(Tables(spark, sf)), KEY, seed=0)
     rows = split.predefined_split(df.filter("split = 'train'"), df.filter("split = 'val'"))
-    spec = models.ModelSpec("ridge", HOUSE, "l_extendedprice", (), {"ridge__alpha": "uniform(0, 100)"}, 0)
+    spec = models.ModelSpec("ridge", HOUSE, "l_extendedprice", (), SEARCHED[1], 0)
     return models.random_search(rows, spec, 5, predefined=True, seed=0)[0]
 
 
@@ -222,6 +262,17 @@ def _(spark, sf):
     return forecast.expression_forecast(rows, said, n - 28, 28)
 
 
+@case("l12_forecast_boosted_expression")
+def _(spark, sf):
+    """Fitted boosted trees folded over the horizon in one job."""
+    rows, n = _history(Tables(spark, sf))
+    feats = panel.add_expanding_mean(panel.add_window_features(rows))
+    feats = feats.withColumn("sold_next_day", panel.lead_target("sold", ["id"]))
+    feats = feats.filter(F.col("d") < n - 28).select(*OWN, "sold_next_day").fillna(0.0)
+    fitted = models.ModelSpec("light_boosting_regressor", OWN, "sold_next_day", seed=0).fit(feats).stages[-1]
+    return forecast.expression_forecast(rows, trees.tree_expression(fitted, OWN), n - 28, 28)
+
+
 # --- scores -----------------------------------------------------------------------------------------
 
 

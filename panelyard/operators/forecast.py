@@ -99,15 +99,21 @@ def expression_forecast(panel: DataFrame, model: Callable[[dict[str, Column]], C
     """Recursive forecast by a model that is an expression of the series' own features.
 
     Such a model needs no job per day: the steps are folded over the state array, so the whole
-    horizon is one pass over the series rows. Same result as ``recursive_forecast``.
+    horizon is one pass over the series rows. Same result as ``recursive_forecast``. A model that reads its
+    features often (``trees.tree_expression``) names them as ``features``; they are then computed once a day.
     """
+    needs = getattr(model, "features", None)
     state = initial_state(panel, series, attrs, start_day, look_back, value, day)
     begin = F.struct(F.col("__hist").alias("h"), F.col("__sum").cast("double").alias("s"),
                      F.col("__count").alias("n"), F.col("__out").alias("o"))
 
     def one_day(acc: Column, _: Column) -> Column:
         features = History(acc["h"], acc["s"], acc["n"]).features(value)
-        said = F.array(clip_round(model(features).cast("double")))
+        if needs is None:
+            said = F.array(clip_round(model(features).cast("double")))
+        else:
+            row = F.array(F.struct(*[features[name].alias(name) for name in needs]))
+            said = F.transform(row, lambda f: clip_round(model({name: f[name] for name in needs}).cast("double")))
         # The prediction is computed once and bound by a one-element transform.
         return F.transform(said, lambda p: F.struct(
             F.when(F.size(acc["h"]) < look_back, F.concat(acc["h"], F.array(p)))

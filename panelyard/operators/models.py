@@ -6,10 +6,9 @@ import math
 import re
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
-import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LinearSVC
@@ -18,18 +17,18 @@ from pyspark.ml.feature import (
     MinMaxScaler,
     StandardScaler,
     VectorAssembler,
-    VectorIndexer,
 )
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+from pyspark.ml.param.shared import HasInputCol, HasInputCols, HasOutputCol, HasOutputCols
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
+from panelyard.operators import linear_search
+from panelyard.operators.encode import random_fourier
 from panelyard.operators.metrics import classification_metrics
 from panelyard.plans import stage
 
@@ -41,15 +40,15 @@ class Ridge(Estimator):
     alpha * std(y) / n there.
     """
 
-    def __init__(self, alpha: float = 1.0, featuresCol="features", labelCol="label"):
+    def __init__(self, alpha: float = 1.0, featuresCol="features", labelCol="label", fitIntercept=True):
         super().__init__()
-        self.alpha, self.features, self.label = alpha, featuresCol, labelCol
+        self.alpha, self.features, self.label, self.intercept = alpha, featuresCol, labelCol, fitIntercept
 
     def _fit(self, dataset: DataFrame):
         std, n = dataset.agg(F.stddev_pop(self.label), F.count(self.label)).first()
         return LinearRegression(
             featuresCol=self.features, labelCol=self.label, solver="normal", elasticNetParam=0.0,
-            standardization=False, regParam=self.alpha * (std or 0.0) / max(n, 1)).fit(dataset)
+            standardization=False, regParam=self.alpha * (std or 0.0) / max(n, 1), fitIntercept=self.intercept).fit(dataset)
 
 
 class FourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
@@ -69,78 +68,119 @@ class FourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReada
     def _transform(self, dataset: DataFrame) -> DataFrame:
         m, gamma, seed = (self.getOrDefault(p) for p in (self.n_components, self.gamma, self.seed))
 
-        @pandas_udf("array<double>")
-        def project(xs: pd.Series) -> pd.Series:
-            x = np.stack(xs.to_list()) if len(xs) else np.zeros((0, 1))
-            rng = np.random.default_rng(seed)
-            w = rng.normal(0.0, np.sqrt(2.0 * gamma), (x.shape[1], m))
-            z = np.sqrt(2.0 / m) * np.cos(x @ w + rng.uniform(0.0, 2.0 * np.pi, m))
-            return pd.Series(list(z))
+        return random_fourier(dataset, self.getInputCol(), m, gamma, seed, self.getOutputCol())
 
-        values = project(vector_to_array(F.col(self.getInputCol())))
-        return dataset.withColumn(self.getOutputCol(), array_to_vector(values))
+
+class Categories(Transformer, HasInputCols, HasOutputCols, DefaultParamsReadable, DefaultParamsWritable):
+    """Codes as nominal columns, which tree models split by subsets: column i has the codes below ``sizes[i]``.
+
+    Missing, negative and larger codes share one more value, so rows with values that the fit has not seen can be scored.
+    """
+
+    sizes = Param(Params._dummy(), "sizes", "", TypeConverters.toListInt)
+
+    @keyword_only
+    def __init__(self, *, inputCols=None, outputCols=None, sizes=None):
+        super().__init__()
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        for c, name, size in zip(self.getInputCols(), self.getOutputCols(), self.getOrDefault(self.sizes)):
+            code = F.when((F.col(c) >= 0) & (F.col(c) < size), F.col(c)).otherwise(F.lit(size)).cast("double")
+            dataset = dataset.withColumn(name, code).withMetadata(
+                name, {"ml_attr": {"type": "nominal", "name": name, "num_vals": size + 1}})
+        return dataset
 
 
 # --- model catalogue ---------------------------------------------------------------------------
-# Parameter names follow the usual ones of the single-machine models; each factory maps them.
+# Parameter names follow the usual ones of the single-machine models; each factory maps those it can honour
+# and refuses the others.
+
+#: MLlib grows no deeper trees.
+DEEPEST = 30
+
 
+class _Params(dict):
+    """Hyper-parameters of one step; ``done`` raises for those that nobody took."""
 
-def _linear(label, **p):
-    return [LinearRegression(labelCol=label, solver="normal", fitIntercept=p.get("fit_intercept", True))]
+    def __init__(self, step: str, given: Mapping[str, object]):
+        super().__init__(given)
+        self.step = step
 
+    def take(self, name: str, default, kind=float):
+        value = self.pop(name, default)
+        return None if value is None else kind(value)
 
-def _ridge(label, **p):
-    return [Ridge(float(p.get("alpha", 1.0)), labelCol=label)]
+    def depth(self, name: str, default: int | None) -> int:
+        """A depth; None (or -1) is the deepest that there is."""
+        depth = self.take(name, default, int)
+        if depth is None or depth == -1:
+            return DEEPEST
+        if not 0 <= depth <= DEEPEST:
+            raise ValueError(f"{self.step}: {name} must be between 0 and {DEEPEST}")
+        return depth
 
+    def done(self, stages: list) -> list:
+        if left := sorted(self):
+            raise ValueError(f"{self.step} has no parameters {left}")
+        return stages
 
-def _svc(label, **p):
+
+def _linear(label, p, context):
+    return [LinearRegression(labelCol=label, solver="normal", fitIntercept=p.take("fit_intercept", True, bool))]
+
+
+def _ridge(label, p, context):
+    return [Ridge(p.take("alpha", 1.0), labelCol=label, fitIntercept=p.take("fit_intercept", True, bool))]
+
+
+def _svc(label, p, context):
     """Kernel classifier: Fourier features for the RBF kernel, then a linear margin. C scales the
-    summed hinge loss, so the penalty per row is 1 / (C n), with n given as ``n_rows``."""
-    n = p.get("n_rows", 1000)
-    fourier = FourierFeatures(inputCol="features", outputCol="__rff",
-                              n_components=int(p.get("n_components", 100)),
-                              gamma=float(p.get("gamma", 1.0)), seed=int(p.get("seed", 0)))
-    return [fourier, LinearSVC(featuresCol="__rff", labelCol=label,
-                               regParam=1.0 / (float(p.get("C", 1.0)) * n))]
+    summed hinge loss, so the penalty per row is 1 / (C n). Without ``gamma`` it is 1 / (features x variance)."""
+    gamma = p.take("gamma", None)
+    fourier = FourierFeatures(inputCol="features", outputCol="__rff", n_components=p.take("n_components", 100, int),
+                              gamma=context["gamma"] if gamma is None else gamma, seed=p.take("seed", 0, int))
+    return [fourier, LinearSVC(featuresCol="__rff", labelCol=label, standardization=False, maxIter=p.take("max_iter", 100, int),
+                               tol=p.take("tol", 1e-6), regParam=1.0 / (p.take("C", 1.0) * context["n_rows"]))]
 
 
-def _forest(label, **p):
+def _forest(label, p, context):
     return [RandomForestRegressor(
-        labelCol=label, numTrees=int(p.get("n_estimators", 100)),
-        maxDepth=min(30, int(p.get("max_depth") or 30)), featureSubsetStrategy="all",
-        minInstancesPerNode=int(p.get("min_samples_leaf", 1)), seed=int(p.get("seed", 0)))]
+        labelCol=label, numTrees=p.take("n_estimators", 100, int), maxDepth=p.depth("max_depth", None),
+        featureSubsetStrategy=p.take("max_features", "all", str), subsamplingRate=p.take("max_samples", 1.0),
+        minInfoGain=p.take("min_impurity_decrease", 0.0), bootstrap=p.take("bootstrap", True, bool),
+        maxBins=max(p.take("max_bins", 32, int), context["categories"]),
+        minInstancesPerNode=p.take("min_samples_leaf", 1, int), seed=p.take("seed", 0, int))]
 
 
 def _leaves_to_depth(leaves: int) -> int:
-    return max(1, min(30, round(math.log2(max(leaves, 2)))))
+    return max(1, min(DEEPEST, round(math.log2(max(leaves, 2)))))
 
 
-def _boosting(label, **p):
+def _boosting(label, p, context):
+    leaves = _leaves_to_depth(p.take("max_leaf_nodes", 31, int))
     return [GBTRegressor(
-        labelCol=label, maxIter=int(p.get("max_iter", 100)), stepSize=float(p.get("learning_rate", 0.1)),
-        maxBins=int(p.get("max_bins", 256)), maxDepth=_leaves_to_depth(int(p.get("max_leaf_nodes", 31))),
-        minInstancesPerNode=int(p.get("min_samples_leaf", 20)), seed=int(p.get("seed", 0)))]
+        labelCol=label, maxIter=p.take("max_iter", 100, int), stepSize=p.take("learning_rate", 0.1),
+        maxBins=max(p.take("max_bins", 256, int), context["categories"]), maxDepth=min(leaves, p.depth("max_depth", None)),
+        minInstancesPerNode=p.take("min_samples_leaf", 20, int), seed=p.take("seed", 0, int))]
 
 
-def _light(classifier, label, **p):
-    # Integer codes with few values become categorical splits.
-    bins = int(p.get("max_bin", 255))
-    index = VectorIndexer(inputCol="features", outputCol="__indexed", handleInvalid="keep",
-                          maxCategories=int(p.get("max_categories", 32)))
+def _light(classifier, label, p, context):
+    """A column of categories needs as many bins as it has values; other columns have ``max_bin`` of them."""
+    leaves = _leaves_to_depth(p.take("num_leaves", 31, int))
     model = GBTClassifier if classifier else GBTRegressor
-    return [index, model(
-        featuresCol="__indexed", labelCol=label, maxIter=int(p.get("n_estimators", 100)),
-        stepSize=float(p.get("learning_rate", 0.1)), maxBins=max(bins, 64),
-        maxDepth=_leaves_to_depth(int(p.get("num_leaves", 31))),
-        minInstancesPerNode=int(p.get("min_child_samples", 20)), seed=int(p.get("seed", 0)))]
+    return [model(
+        labelCol=label, maxIter=p.take("n_estimators", 100, int), stepSize=p.take("learning_rate", 0.1),
+        maxBins=max(p.take("max_bin", 255, int), context["categories"]), maxDepth=min(leaves, p.depth("max_depth", None)),
+        subsamplingRate=p.take("subsample", 1.0), featureSubsetStrategy=p.take("colsample_bytree", "all", str),
+        minInfoGain=p.take("min_split_gain", 0.0), minInstancesPerNode=p.take("min_child_samples", 20, int),
+        seed=p.take("seed", 0, int))]
 
 
-def _scaled_linear(label, **p):
+def _scaled_linear(label, p, context):
     """Every feature times ``custom_parameter``, then a linear fit."""
-    width = int(p["n_features"])
-    factor = float(p.get("custom_parameter", 1.0))
-    product = ElementwiseProduct(scalingVec=Vectors.dense([factor] * width), inputCol="features",
-                                 outputCol="__product")
+    product = ElementwiseProduct(scalingVec=Vectors.dense([p.take("custom_parameter", 1.0)] * context["width"]),
+                                 inputCol="features", outputCol="__product")
     return [product, LinearRegression(featuresCol="__product", labelCol=label, solver="normal")]
 
 
@@ -150,24 +190,26 @@ MODELS = {
     "svc": (_svc, "classification"),
     "random_forest": (_forest, "regression"),
     "hist_boosting": (_boosting, "regression"),
-    "light_boosting_regressor": (lambda label, **p: _light(False, label, **p), "regression"),
-    "light_boosting_classifier": (lambda label, **p: _light(True, label, **p), "classification"),
+    "light_boosting_regressor": (lambda *a: _light(False, *a), "regression"),
+    "light_boosting_classifier": (lambda *a: _light(True, *a), "classification"),
     "scaled_linear": (_scaled_linear, "regression"),
 }
+TREES = ("random_forest", "hist_boosting", "light_boosting_regressor", "light_boosting_classifier")
+#: Models without a random choice, which take no seed.
+UNSEEDED = ("linear_regression", "ridge", "scaled_linear", "standard_scaler", "min_max_scaler")
 
 
-def _standard(name, src, dst, **p):
-    return StandardScaler(inputCol=src, outputCol=dst, withMean=p.get("with_mean", True),
-                          withStd=p.get("with_std", True))
+def _standard(src, dst, p):
+    return StandardScaler(inputCol=src, outputCol=dst, withMean=p.take("with_mean", True, bool), withStd=p.take("with_std", True, bool))
 
 
-def _min_max(name, src, dst, **p):
+def _min_max(src, dst, p):
     return MinMaxScaler(inputCol=src, outputCol=dst)
 
 
-def _rbf(name, src, dst, **p):
-    return FourierFeatures(inputCol=src, outputCol=dst, n_components=int(p.get("n_components", 100)),
-                           gamma=float(p.get("gamma", 1.0)), seed=int(p.get("seed", 0)))
+def _rbf(src, dst, p):
+    return FourierFeatures(inputCol=src, outputCol=dst, n_components=p.take("n_components", 100, int),
+                           gamma=p.take("gamma", 1.0), seed=p.take("seed", 0, int))
 
 
 TRANSFORMERS = {"standard_scaler": _standard, "min_max_scaler": _min_max, "rbf_sampler": _rbf}
@@ -175,7 +217,11 @@ TRANSFORMERS = {"standard_scaler": _standard, "min_max_scaler": _min_max, "rbf_s
 
 @dataclass
 class ModelSpec:
-    """Named transformers and a model with ``step__param`` hyper-parameters."""
+    """Named transformers and a model with ``step__param`` hyper-parameters.
+
+    ``categorical`` names the features that hold codes (E1); only tree models take them. A parameter that a step cannot
+    honour raises.
+    """
 
     model: str
     features: Sequence[str]
@@ -183,46 +229,72 @@ class ModelSpec:
     transformers: Sequence[str] = ()
     hparams: Mapping[str, object] = field(default_factory=dict)
     seed: int | None = None
+    categorical: Sequence[str] = ()
+
+    def __post_init__(self):
+        if self.categorical and (self.model not in TREES or self.transformers):
+            raise ValueError("categories are for tree models without transformers")
+        if missing := set(self.categorical) - set(self.features):
+            raise ValueError(f"categories that are no features: {sorted(missing)}")
+        steps = {self.model, *self.transformers}
+        if strange := sorted(k for k in self.hparams if k.split("__", 1)[0] not in steps):
+            raise ValueError(f"no step has the parameters {strange}")
 
     @property
     def kind(self) -> str:
         return MODELS[self.model][1]
 
-    def params_of(self, step: str) -> dict:
+    def params_of(self, step: str) -> _Params:
         out = {k.split("__", 1)[1]: v for k, v in self.hparams.items()
-               if k.split("__", 1)[0] == step and not isinstance(v, str)}
-        if self.seed is not None:
+               if k.split("__", 1)[0] == step and not (isinstance(v, str) and _DISTRIBUTION.match(v))}
+        if self.seed is not None and step not in UNSEEDED:
             out.setdefault("seed", self.seed)
-        return out
+        return _Params(step, out)
 
     def with_params(self, params: Mapping[str, object]) -> ModelSpec:
-        return ModelSpec(self.model, self.features, self.label, self.transformers,
-                         {**self.hparams, **params}, self.seed)
+        return replace(self, hparams={**self.hparams, **params})
 
-    def build(self, n_rows: int | None = None) -> Pipeline:
+    def build(self, n_rows: int | None = None, variance: float | None = None, sizes: Sequence[int] = ()) -> Pipeline:
+        """The unfitted pipeline. Kernel models need the number of rows and the variance of their features, categories
+        the number of their codes; ``fit`` finds them."""
         names = list(self.transformers)
         columns = ["__raw", *[f"__{n}" for n in names[:-1]], "features"] if names else ["features"]
-        stages = [
-            TRANSFORMERS[name](name, columns[i], columns[i + 1], **self.params_of(name))
-            for i, name in enumerate(names)]
+        stages = []
+        for i, name in enumerate(names):
+            p = self.params_of(name)
+            stages += p.done([TRANSFORMERS[name](columns[i], columns[i + 1], p)])
         width = len(self.features)
         if "rbf_sampler" in names:
-            width = int(self.params_of("rbf_sampler").get("n_components", 100))
-        first = VectorAssembler(inputCols=list(self.features), outputCol=columns[0],
-                                handleInvalid="keep" if self._trees() else "error")
-        params = self.params_of(self.model)
-        params.setdefault("n_features", width)
-        if n_rows is not None:
-            params.setdefault("n_rows", n_rows)
-        return Pipeline(stages=[first, *stages, *MODELS[self.model][0](self.label, **params)])
-
-    def _trees(self) -> bool:
-        return self.model in ("random_forest", "hist_boosting", "light_boosting_regressor",
-                              "light_boosting_classifier")
+            width = self.params_of("rbf_sampler").take("n_components", 100, int)
+        inputs = [f"__category_{c}" if c in self.categorical else c for c in self.features]
+        first = [VectorAssembler(inputCols=inputs, outputCol=columns[0], handleInvalid="keep" if self.model in TREES else "error")]
+        if self.categorical:
+            first.insert(0, Categories(inputCols=list(self.categorical), sizes=list(sizes),
+                                       outputCols=[f"__category_{c}" for c in self.categorical]))
+        context = {"width": width, "n_rows": n_rows or 1, "gamma": 1.0 / (width * variance) if variance else 1.0,
+                   "categories": max(sizes, default=0) + 1}
+        p = self.params_of(self.model)
+        return Pipeline(stages=[*first, *stages, *p.done(MODELS[self.model][0](self.label, p, context))])
+
+    def kernel_statistics(self, df: DataFrame) -> tuple[int, float | None]:
+        """Number of rows, and variance of all values of the features as the model sees them (None: there is none)."""
+        before = Pipeline(stages=self.build().getStages()[:-2])
+        rows = df.select(*self.features)
+        if rows.isEmpty():
+            return 0, None
+        seen = before.fit(rows).transform(rows)
+        stats = seen.select(Summarizer.metrics("count", "mean", "normL2").summary(F.col("features")).alias("s")).select("s.*").first()
+        mean = stats["mean"].toArray()
+        variance = (stats.normL2.toArray() ** 2).sum() / stats["count"] / len(mean) - mean.mean() ** 2
+        return stats["count"], variance if variance > 0 else None
 
     def fit(self, df: DataFrame) -> PipelineModel:
-        n_rows = df.count() if self.model == "svc" else None
-        return self.build(n_rows).fit(df)
+        if self.model == "svc":
+            return self.build(*self.kernel_statistics(df)).fit(df)
+        if self.categorical:
+            last = df.agg(*[F.max(c).alias(c) for c in self.categorical]).first()
+            return self.build(sizes=[max(0, int(-1 if v is None else v) + 1) for v in last]).fit(df)
+        return self.build().fit(df)
 
 
 def predict(model, df: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
@@ -265,23 +337,15 @@ def model_score(predictions: DataFrame, label: str, kind: str) -> float:
     return 1.0 - mse / var if var else 0.0
 
 
-def random_search(df: DataFrame, spec: ModelSpec, n_draws: int = 5, fold_col: str = "fold",
-                  predefined: bool = False, seed: int = 0, parallelism: int = 4):
-    """Random search over the ``step__param`` distributions given as text in the spec.
-
-    ``predefined`` means one split: fold 0 trains, fold 1 validates; otherwise every fold is
-    held out once. Returns (results frame, best parameters). The rows are staged once; the fits
-    are independent Spark jobs started from a few driver threads.
-    """
-    dists = {k: parse_distribution(v) for k, v in sorted(spec.hparams.items())
-             if isinstance(v, str) and _DISTRIBUTION.match(v)}
+def draw_params(hparams: Mapping[str, object], n_draws: int, seed: int) -> list[dict]:
+    """``n_draws`` values for each parameter that is given as the text of a distribution, in the order of their names."""
+    dists = {k: parse_distribution(v) for k, v in sorted(hparams.items()) if isinstance(v, str) and _DISTRIBUTION.match(v)}
     rng = np.random.default_rng(seed)
-    draws = [{k: draw(rng) for k, draw in dists.items()} for _ in range(n_draws)]
-    rows = stage(df.select(*spec.features, spec.label, fold_col), "search")
-    present = sorted(r[0] for r in rows.select(fold_col).distinct().collect())
-    folds = [1] if predefined else present
-    if not set(folds) <= set(present) or len(present) < 2:
-        raise ValueError("a search needs rows to train on and rows to validate on")
+    return [{k: draw(rng) for k, draw in dists.items()} for _ in range(n_draws)]
+
+
+def _scores_by_fits(rows: DataFrame, spec: ModelSpec, draws: list[dict], folds: list, fold_col: str, parallelism: int) -> list:
+    """(draw, fold, training score, validation score) by one fit for each."""
 
     def run(task):
         i, fold = task
@@ -291,9 +355,31 @@ def random_search(df: DataFrame, spec: ModelSpec, n_draws: int = 5, fold_col: st
         return i, fold, *[model_score(predict(model, part, [spec.label]), spec.label, spec.kind)
                           for part in (rest, held)]
 
-    tasks = [(i, fold) for i in range(n_draws) for fold in folds]
+    tasks = [(i, fold) for i in range(len(draws)) for fold in folds]
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        scores = list(pool.map(run, tasks))
+        return list(pool.map(run, tasks))
+
+
+def random_search(df: DataFrame, spec: ModelSpec, n_draws: int = 5, fold_col: str = "fold",
+                  predefined: bool = False, seed: int = 0, parallelism: int = 4):
+    """Random search over the ``step__param`` distributions given as text in the spec.
+
+    ``predefined`` means one split: fold 0 trains, fold 1 validates; otherwise every fold is
+    held out once. Returns (results frame, best parameters). Linear models on features as they are or scaled need one scan of
+    the rows, whatever the number of draws and folds (``linear_search``); others are fitted once for each, as independent Spark
+    jobs started from a few driver threads.
+    """
+    draws = draw_params(spec.hparams, n_draws, seed)
+    rows = stage(df.select(*spec.features, spec.label, fold_col), "search")
+    present = sorted(r[0] for r in rows.select(fold_col).distinct().collect())
+    folds = [1] if predefined else present
+    if not set(folds) <= set(present) or len(present) < 2:
+        raise ValueError("a search needs rows to train on and rows to validate on")
+    if linear_search.serves(spec.model, spec.transformers):
+        found = linear_search.fold_moments(rows, spec.features, spec.label, fold_col)
+        scores = [(i, fold, *linear_search.scores(found, spec.with_params(params), fold)) for i, params in enumerate(draws) for fold in folds]
+    else:
+        scores = _scores_by_fits(rows, spec, draws, folds, fold_col, parallelism)
     table = []
     for i, params in enumerate(draws):
         train = [s[2] for s in scores if s[0] == i]

@@ -12,7 +12,7 @@ from panelyard.analyses import credit, retail
 from panelyard.catalogue import Catalogue
 from panelyard.operators import encode, forecast, metrics, models, panel, sampling, split
 from panelyard.plans import stage
-from panelyard.sources import append_run, load_model, load_table, save_model, save_scores
+from panelyard.sources import append_run, load_features, load_model, load_table, save_features, save_model, save_scores
 
 
 def panel_parts(df: DataFrame, key=None, seed=0, *, train_end: int, val_end: int, day="d") -> DataFrame:
@@ -73,10 +73,12 @@ def run(spark: SparkSession, config: Mapping, catalogue: Catalogue | None = None
     Keys of ``config``: ``load`` and ``path`` (or pass ``data``); ``stages``: list of (name,
     keyword arguments) applied in turn; ``split``: (name, keyword arguments); ``key``;
     ``subsample``: (name, keyword arguments) for the training rows; ``model`` (None: no fit),
-    ``features``; ``label``; ``transformers``; ``hparams``; ``folds`` (``stratify``: the label they keep the
+    ``features``, ``categorical`` (those that are codes); ``label``; ``transformers``; ``hparams``; ``folds`` (``stratify``: the label they keep the
     shares of), ``draws``, ``search_rate``, ``search_key``; ``reload``: path of a saved model that replaces search
     and fit; ``predict``: a name or (name, keyword arguments); ``evaluate``: (name, keyword arguments);
-    ``kind``: regression or classification where no model says it; ``seed``; ``output`` folder; ``run_id``.
+    ``kind``: regression or classification where no model says it; ``seed``; ``output`` folder; ``run_id``;
+    ``save_features``: keep the rows after the stages in the feature store of ``output``; ``reload_features``: path of such a
+    store, which takes the place of load and stages.
 
     A search needs folds or validation rows.
     """
@@ -91,10 +93,17 @@ def run(spark: SparkSession, config: Mapping, catalogue: Catalogue | None = None
         return found, options
 
     seed = config.get("seed", 0)
-    df = data if data is not None else named(config["load"])[0](spark, config["path"])
-    for entry in config.get("stages", []):
-        function, options = named(entry)
-        df = function(df, **options)
+    if "reload_features" in config:
+        df = load_features(spark, config["reload_features"], day=config.get("day", "d"))
+    else:
+        df = data if data is not None else named(config["load"])[0](spark, config["path"])
+        for entry in config.get("stages", []):
+            function, options = named(entry)
+            df = function(df, **options)
+    if config.get("save_features"):
+        store = f"{config['output']}/features/{config.get('run_id', 'run')}"
+        save_features(df, store, day=config.get("day", "d"))
+        df = load_features(spark, store, day=config.get("day", "d"))
     function, options = named(config.get("split", "split_train_test"))
     df = stage(function(df, config.get("key"), seed=seed, **options), "split")
     train = df.filter(F.col("split") == "train")
@@ -105,7 +114,7 @@ def run(spark: SparkSession, config: Mapping, catalogue: Catalogue | None = None
     spec, model, results = None, None, None
     if config.get("model") is not None:
         spec = models.ModelSpec(config["model"], config["features"], config["label"],
-                                config.get("transformers", ()), config.get("hparams", {}), seed)
+                                config.get("transformers", ()), config.get("hparams", {}), seed, config.get("categorical", ()))
     if "reload" in config:
         model = load_model(config["reload"])
     elif spec is not None:

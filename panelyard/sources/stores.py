@@ -13,8 +13,11 @@ _BUCKET = "day_bucket"
 
 
 def save_features(df: DataFrame, path: str, day: str = "d", bucket_days: int = 365) -> None:
-    """Write features as parquet, partitioned by a day bucket so day filters prune files."""
-    bucket = F.floor(F.col(day) / bucket_days).cast("int")
+    """Write features as parquet, partitioned by a day bucket so day filters prune files.
+
+    A table without days is one bucket.
+    """
+    bucket = F.floor(F.col(day) / bucket_days).cast("int") if day in df.columns else F.lit(0)
     # Rebalancing splits large buckets over tasks and keeps small ones in one file each.
     placed = df.withColumn(_BUCKET, bucket).hint("rebalance", F.col(_BUCKET))
     placed.write.partitionBy(_BUCKET).mode("overwrite").parquet(path)
