@@ -64,7 +64,7 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
-MARKED = ("id long, n_words long, class long, other long, digest string, least array<long>, link array<long>, "
+MARKED = ("id long, mark long, n_words long, class long, other long, digest string, least array<long>, link array<long>, "
           "start array<int>, edges array<int>")
 
 
@@ -73,8 +73,8 @@ def marked(docs: DataFrame, id_col: str, text_col: str, k: int, seed: int) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(seed), set()
-        names = ["id", "n_words", "class", "other", "digest", "least", "link", "start", "edges"]
-        rows = Rows(pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("class", pa.int64()),
+        names = ["id", "mark", "n_words", "class", "other", "digest", "least", "link", "start", "edges"]
+        rows = Rows(pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("n_words", pa.int64()), ("class", pa.int64()),
                                ("other", pa.int64()), ("digest", pa.string())]))
         found: list[list] = [[], [], [], []]
 
@@ -86,12 +86,12 @@ def marked(docs: DataFrame, id_col: str, text_col: str, k: int, seed: int) -> Da
             return pa.RecordBatch.from_arrays([*rows.batch().columns, *lists], names=names)
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for key, text, mark in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 words = words_of(text.as_py())
                 joined = b" ".join(words)
                 name = hashlib.blake2b(joined, digest_size=16, salt=seed.to_bytes(8, "little")).digest()
                 low, high = np.frombuffer(name, np.int64).tolist()
-                rows.add(key, len(words), low, high, hashlib.sha256(joined).hexdigest(), size=160)
+                rows.add(key, mark, len(words), low, high, hashlib.sha256(joined).hexdigest(), size=160)
                 if len(words) < k or low in seen:
                     for part in found:
                         part.append(None)
@@ -106,19 +106,26 @@ def marked(docs: DataFrame, id_col: str, text_col: str, k: int, seed: int) -> Da
                     yield flush()
         yield flush()
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, MARKED)
+    return _texts(docs, id_col, text_col).mapInArrow(run, MARKED)
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, mark): id and mark, a hash of the text as it is, address a text, whether the id is null or repeated."""
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("mark"))
 
 
 def texts_with(docs: DataFrame, id_col: str, text_col: str, ranges: DataFrame) -> DataFrame:
-    """(id, text, and the columns of ``ranges``) of the rows whose id has a row in ``ranges``."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return texts.join(ranges, "id")
+    """(id, text, and the columns of ``ranges``) of the rows whose id and mark have a row in ``ranges``."""
+    texts, ranges = _texts(docs, id_col, text_col).alias("t"), ranges.alias("r")
+    same = F.col("t.id").eqNullSafe(F.col("r.id")) & (F.col("t.mark") == F.col("r.mark"))
+    return texts.join(ranges, same).select("t.id", "t.text", *[f"r.{c}" for c in ranges.columns if c not in ("id", "mark")])
 
 
 def open_edges(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int, seed: int) -> DataFrame:
     """(least, edge, class, at) of every edge of the wanted links.
 
-    ``wanted``: id, class, and lists start, edges, least of the links of one text.
+    ``wanted``: id, mark, class, and lists start, edges, least of the links of one text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +136,7 @@ def open_edges(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k
                 words = words_of(text.as_py())
                 digest = hashlib.blake2b(b" ".join(words), digest_size=16, salt=seed.to_bytes(8, "little")).digest()
                 if np.frombuffer(digest, np.int64)[0] != name.as_py():
-                    continue  # an id may stand for several texts
+                    continue  # another text of the same mark
                 start, edges, least = (x.values.to_numpy() for x in (start, edges, least))
                 at = np.repeat(start - (np.cumsum(edges) - edges), edges) + np.arange(edges.sum())
                 edge = Prefix(hashes.of(words)).runs(at.astype(np.int64), k)
@@ -180,7 +187,7 @@ class Repeats:
         while True:
             self.rows = stage(marked(docs, id_col, text_col, k, seed), "marked")
             self.classes = stage(self.rows.groupBy("class").agg(
-                F.min("id").alias("low_id"), F.count("*").alias("copies"), F.first("n_words").alias("n_words"),
+                F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("low"), F.count("*").alias("copies"), F.first("n_words").alias("n_words"),
                 F.min("other").alias("o1"), F.max("other").alias("o2")), "classes")
             if self.classes.where("o1 <> o2").isEmpty():
                 break
@@ -194,20 +201,23 @@ class Repeats:
             "x.least", "x.link", "class", "x.start", "x.edges")
         met = stage(keys_met_again(each, ["least"], ["link", "class", "start", "edges"], partitions_for(self.rows))
                     .distinct(), "links")
-        links_met = met.groupBy("least", "link").agg(F.count("*").alias("n"), F.min(F.struct("class", "start", "edges")).alias("one"))
+        # Tables of their own, here and below, so that the joins can split the rows of one key.
+        links_met = stage(met.groupBy("least", "link").agg(
+            F.count("*").alias("n"), F.min(F.struct("class", "start", "edges")).alias("one")), "met")
         kinds = links_met.groupBy("least").agg(F.count("*").alias("links"), F.min("n").alias("fewest")).where(
             "links > 1 and fewest = 1")
         # Links that share a minimizer with others, one of which occurs once: one occurrence of each, edge by edge.
         apart = stage(links_met.join(kinds.select("least"), "least", "left_semi").select(
             "least", "one.class", "one.start", "one.edges", (F.col("n") == 1).alias("alone")), "apart")
         wanted = apart.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("start", "edges", "least"))).alias("x"))
-        wanted = wanted.join(self.classes.select("class", "low_id"), "class").select(
-            F.col("low_id").alias("id"), "class", F.col("x.start").alias("start"), F.col("x.edges").alias("edges"),
-            F.col("x.least").alias("least")).where("id is not null")
-        edges = open_edges(self.docs, wanted, self.id_col, self.text_col, self.k, self.seed)
+        wanted = wanted.join(self.classes.select("class", "low"), "class").select(
+            "low.id", "low.mark", "class", F.col("x.start").alias("start"), F.col("x.edges").alias("edges"),
+            F.col("x.least").alias("least"))
+        # Written, as a range exchange reads its input twice.
+        edges = stage(open_edges(self.docs, wanted, self.id_col, self.text_col, self.k, self.seed), "open")
         again = stage(keys_met_again(edges, ["least", "edge"], ["class", "at"], partitions_for(self.rows))
                       .distinct(), "edges")
-        many = again.groupBy("least", "edge").agg(F.count("*").alias("n")).where("n > 1")
+        many = stage(again.groupBy("least", "edge").agg(F.count("*").alias("n")).where("n > 1"), "many")
         single = again.join(many.select("least", "edge"), ["least", "edge"], "left_semi")
         # Edges of links that occur as a whole more than once are there already.
         alone = apart.where("alone").select("least", "class", F.col("start").alias("s"), "edges")
@@ -236,9 +246,9 @@ class Repeats:
         spans = self.paths.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("start", "edges"))).alias("x"))
         info = self.classes.select("class", "copies").join(spans, "class", "left").select(
             "class", "copies", F.expr("x.start").alias("start"), F.expr("x.edges").alias("edges"))
-        rows = self.rows.select("id", "n_words", "class", "digest").join(info, "class", "left")
+        rows = self.rows.select("id", "mark", "n_words", "class", "digest").join(info, "class", "left")
         gone = f"n_words >= {k} and copies > 1"
-        cut = f"n_words >= {k} and copies = 1 and start is not null and id is not null"
+        cut = f"n_words >= {k} and copies = 1 and start is not null"
         empty = hashlib.sha256(b"").hexdigest()
         easy = rows.where(f"not ({cut})").select(
             "id", "n_words", F.expr(f"if({gone}, n_words, 0L)").alias("n_removed"),
@@ -253,7 +263,7 @@ class Repeats:
                     words = words_of(text.as_py())
                     digest = hashlib.blake2b(b" ".join(words), digest_size=16, salt=seed.to_bytes(8, "little")).digest()
                     if np.frombuffer(digest, np.int64)[0] != name.as_py():
-                        continue  # another text of the same id
+                        continue  # another text of the same mark
                     left = without(words, start.values.to_numpy(), edges.values.to_numpy(), k)
                     out.add(key.as_py(), len(words), len(words) - len(left), hashlib.sha256(b" ".join(left)).hexdigest(),
                             size=160)
@@ -261,7 +271,7 @@ class Repeats:
                     yield out.batch()
             yield out.batch()
 
-        hard = texts_with(self.docs, self.id_col, self.text_col, rows.where(cut).select("id", "class", "start", "edges"))
+        hard = texts_with(self.docs, self.id_col, self.text_col, rows.where(cut).select("id", "mark", "class", "start", "edges"))
         return easy.union(hard.select("id", "text", "class", "start", "edges").mapInArrow(
             run, "id long, n_words long, n_removed long, kept_sha256 string"))
 
@@ -279,8 +289,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 
     ``passages()`` lists them as compacted paths with the coordinates of every occurrence; ``kept()`` gives for
     every input row what remains without the words they cover. Words are runs without ASCII white space, taken as they are.
-    Null and empty texts and texts of fewer words hold no run and keep all words; rows with a null id count like others in what is
-    repeated, but a text whose rows all lack an id is only compared as a whole. Rows that repeat an id are rows
-    of their own. An empty table gives empty results; other columns are not read.
+    Null and empty texts and texts of fewer words hold no run and keep all words. Rows with a null id and rows that repeat an id
+    are rows of their own, like others. An empty table gives empty results; other columns are not read.
     """
     return Repeats(docs, id_col, text_col, k)
