@@ -3,7 +3,7 @@
 Features are the distinct runs of three to five characters of the lower-cased text, white space
 as one blank, hashed to 2**20 places. Place j counts as r_j if it occurs: the logarithm of the ratio of its
 (smoothed) shares among toxic and other texts. A logistic regression over these
-values is fitted by AdaGrad steps and interpolated towards the mean weight.
+values is fitted by AdaGrad steps.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from panelyard.llm.common import U, run_hashes
 
 WIDTH = 1 << 20
 SIZES = (3, 4, 5)
-#: Step, L2 strength, passes over the sample, share of the fitted weights in the interpolation.
-STEP, L2, PASSES, BETA = 0.1, 0.0, 4, 1.0
+#: Step, passes over the sample.
+STEP, PASSES = 0.1, 4
 
 
 class Features:
@@ -51,12 +51,11 @@ def learn(texts: list[str], y: np.ndarray) -> np.ndarray:
         for at, label in zip(rows, y):
             x = ratio[at]
             p = 1 / (1 + np.exp(-np.clip(w[at] @ x + bias, -500, 500)))
-            g = (p - label) * x + L2 * w[at]
+            g = (p - label) * x
             g2[at] += g * g
             w[at] -= STEP * g / np.sqrt(g2[at])
             bias_g2 += (p - label) ** 2
             bias -= STEP * (p - label) / np.sqrt(bias_g2)
-    w = BETA * w + (1 - BETA) * np.abs(w).mean()
     return np.r_[w * ratio, bias]
 
 
@@ -74,7 +73,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                     label_col: str = "toxic", learn_rows: Column | None = None, sample: int = training.SAMPLE) -> DataFrame:
     """(id, score): the probability of label 1 for every row of ``docs``, from its whole text alone.
 
-    The fit takes at most ``sample`` labelled rows, chosen by a hash of the id among those of
+    The fit takes at most ``sample`` different labelled (id, text) pairs, chosen by hash among those of
     ``learn_rows``. Null and empty texts are a blank and have no run: they score by the bias. Null, repeated and unlabelled ids
     are scored like any other row. Without rows of both labels all rows score the (smoothed) share of
     ones, 0.5 without any; an empty table gives an empty result. Other columns are not read.

@@ -13,10 +13,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from panelyard.plans import stage
+
 #: Labelled rows that a fit takes at most, and the tasks that share them.
 SAMPLE, SHARDS = 8_000, 4
 
@@ -28,24 +30,35 @@ def remainder(key: Column, of: int) -> Column:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int = SAMPLE,
                     learn: Column | None = None) -> DataFrame:
-    """(shard, id, text, label) of at most ``rows`` labelled ids, chosen and dealt by a hash of the id.
+    """(id, text, label, h) of at most ``rows`` different labelled (id, text) pairs, chosen by a hash of the id, then of both.
 
     Null ids, texts and labels are left out; an id with several labels counts as 1 if one of them is. ``learn``
-    restricts the label rows.
+    restricts the label rows. An id may have any number of rows: they are told apart by a hash of their text, and equal ones
+    are learnt from once.
     """
     known = labels if learn is None else labels.where(learn)
     known = known.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
     known = known.where("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
-    # ``rows`` is a parameter: the chosen ids cannot outgrow a broadcast.
+    # ``rows`` is a parameter: the chosen ids cannot outgrow a broadcast, nor can the chosen pairs.
     known = known.withColumn("h", F.xxhash64("id", F.lit(7)))
     # Hashes above a bound cannot be among the smallest ones: few rows are sorted, however many there are.
     share = (rows + 8 * math.sqrt(rows)) / max(1, known.count())
     if share < 1:
         known = known.where(F.col("h") < F.lit(int(share * 2.0**64) - (1 << 63)))
-    chosen = known.orderBy("h", "id").limit(rows)
+    chosen = stage(known.orderBy("h", "id").limit(rows), "labelled")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    return texts.join(F.broadcast(chosen), "id").select(F.pmod("h", F.lit(SHARDS)).cast("int").alias("shard"),
-                                                        "id", "text", "label", "h")
+    found = texts.join(F.broadcast(chosen), "id").withColumn("t", F.xxhash64("text", F.lit(11)))
+    pairs = found.select("id", "t", F.xxhash64("id", "t").alias("order")).distinct()
+    pairs = stage(pairs.orderBy("order", "id", "t").limit(rows).select("id", "t"), "labelled")
+    found = found.join(F.broadcast(pairs), ["id", "t"])
+    return found.groupBy("id", "t").agg(*[F.min(c).alias(c) for c in ("text", "label", "h")]).select("id", "text", "label", "h")
+
+
+def shard_names(spark: SparkSession, shards: int = SHARDS) -> list[int]:
+    """A number for each shard, such that ``shards`` hash partitions get one each."""
+    spread = spark.range(64 * shards).select(F.col("id").cast("int").alias("id"), F.pmod(
+        F.hash(F.col("id").cast("int")), F.lit(shards)).alias("p")).groupBy("p").agg(F.min("id").alias("id")).collect()
+    return [r.id for r in sorted(spread, key=lambda r: r.p)]
 
 
 def fit(sample: DataFrame, learn: Callable[[list[str], np.ndarray], np.ndarray | None], width: int) -> np.ndarray:
@@ -58,7 +71,10 @@ def fit(sample: DataFrame, learn: Callable[[list[str], np.ndarray], np.ndarray |
         made = None if w is None else w.astype(np.float32).tobytes()
         return pd.DataFrame({"shard": frame.shard[:1], "w": [made], "n": [len(y)], "ones": [int(y.sum())]})
 
-    parts = sample.groupBy("shard").applyInPandas(one, "shard int, w binary, n long, ones long").orderBy("shard").collect()
+    names = F.array(*[F.lit(n) for n in shard_names(sample.sparkSession)])
+    dealt = sample.withColumn("shard", F.get(names, F.pmod("h", F.lit(SHARDS)).cast("int"))).repartition(SHARDS, "shard")
+    parts = dealt.groupBy("shard").applyInPandas(one, "shard int, w binary, n long, ones long").collect()
+    parts.sort(key=lambda r: r.shard)
     weights = [np.frombuffer(p.w, np.float32).astype(np.float64) for p in parts if p.w is not None]
     if weights:
         return np.mean(weights, axis=0).astype(np.float32)
