@@ -176,7 +176,8 @@ base AS (SELECT * FROM spans WHERE kind < 3),
 runs AS (SELECT * FROM spans c WHERE kind = 3 AND NOT EXISTS (
   SELECT 1 FROM base b WHERE b.r = c.r AND b.a < c.z AND c.a < b.z)),
 sample AS (
-  SELECT text FROM documents WHERE text IS NOT NULL ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), text LIMIT {secrets.SAMPLE}),
+  SELECT min(text) AS text FROM documents WHERE text IS NOT NULL GROUP BY md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || text)
+  ORDER BY md5(min(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || text)) LIMIT {secrets.SAMPLE}),
 words AS (
   SELECT true AS random, unnest(list_filter(regexp_extract_all(text, {quoted(secrets.ASSIGN)}, 2),
     lambda x: len(x) >= {secrets.LEAST_VALUE})) AS run FROM sample

@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelyard.plans import stage
+
 #: The patterns, in the order in which kinds are listed; runs that fail the least length are dropped.
 ASSIGN = (r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -61,14 +63,20 @@ BASE = [
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, rows: int = SAMPLE) -> DataFrame:
-    """(random, run): runs of ``rows`` texts, those with the smallest MD5 of their id."""
-    texts = docs.select(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("h"),
-                        F.col(text_col).alias("text")).where("text is not null")
-    # Hashes above a bound cannot be among the smallest ones: few rows are sorted, however many there are.
-    share = (rows + 8 * math.sqrt(rows)) / max(1, docs.count())
-    if share < 1:
-        texts = texts.where(F.col("h") < F.lit(f"{int(share * (1 << 60)):015x}"))
-    chosen = texts.orderBy("h", "text").limit(rows)
+    """(random, run): runs of ``rows`` different texts, those with the smallest MD5 of id and text; all, if there are fewer."""
+    h = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.col(text_col)))
+    texts = docs.select(h.alias("h"), F.col(text_col).alias("text")).where("text is not null")
+    # Few hashes are sorted, however many there are: those below a bound, which grows while repeated rows leave too few.
+    share = (rows + 8 * math.sqrt(rows)) / max(1, texts.count())
+    while True:
+        bound = F.col("h") < F.lit(f"{int(share * (1 << 60)):015x}") if share < 1 else F.lit(True)
+        least = texts.where(bound).select("h").distinct().orderBy("h").limit(rows)
+        found = least.agg(F.count("*").alias("n"), F.max("h").alias("last")).first()
+        if found.n >= rows or share >= 1:
+            break
+        share *= 4
+    chosen = texts.where(F.col("h") <= F.lit(found.last)).groupBy("h").agg(F.min("text").alias("text"))
+    chosen = stage(chosen.select("text"), "sample")
     values = f"""concat(
         filter(regexp_extract_all(text, {_quoted(ASSIGN)}, 2), x -> length(x) >= {LEAST_VALUE}),
         filter(regexp_extract_all(text, {_quoted(ACCESS)}, 0), x -> length(x) >= {LEAST_ACCESS}),
