@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelyard.cases.base import PANEL_SQL, Tables, case, day_list, r, sales_panel
+from panelyard.cases.base import PANEL_SQL, Tables, case, day_list, r, rsql, sales_panel
 from panelyard.cases.summaries import LINE
 from panelyard.operators import association as K
 
@@ -214,14 +214,53 @@ def _(spark, sf):
     return K.calendar_report(day_list(Tables(spark, sf)), "dt", "d")
 
 
-@case("k12_pca_projection")
+def _axis_sql(source: str, name: str, width: int, squarings: int = 16) -> str:
+    """CTEs for the leading axis of the matrix in ``source`` (c00, c01, ...): its powers, squared again and again, tend to the projection
+    on it. ``name``: the axis v0, v1, ... with its largest weight positive, the eigenvalue l, and what is left of the matrix."""
+    x = range(width)
+    cell = lambda i, j: f"c{min(i, j)}{max(i, j)}"
+    upper = [(i, j) for i in x for j in x if i <= j]
+    steps, last = [], source
+    for k in range(squarings):
+        trace = " + ".join(cell(i, i) for i in x)
+        square = ", ".join("(" + " + ".join(f"{cell(i, m)} * {cell(m, j)}" for m in x) + f") / (({trace}) * ({trace})) AS c{i}{j}" for i, j in upper)
+        steps.append(f"{name}_{k} AS (SELECT {square} FROM {last})")
+        last = f"{name}_{k}"
+    biggest = f"greatest({', '.join(cell(i, i) for i in x)})"
+    column = lambda i: "CASE " + " ".join(f"WHEN {cell(j, j)} = {biggest} THEN {cell(i, j)}" for j in x) + " END"
+    steps.append(f"{name}_raw AS (SELECT {', '.join(f'{column(i)} AS w{i}' for i in x)} FROM {last})")
+    norm = "sqrt(" + " + ".join(f"w{i} * w{i}" for i in x) + ")"
+    top = f"greatest({', '.join(f'abs(w{i})' for i in x)})"
+    sign = f"CASE WHEN greatest({', '.join(f'w{i}' for i in x)}) = {top} THEN 1e0 ELSE -1e0 END"
+    steps.append(f"{name}_v AS (SELECT {', '.join(f'{sign} * w{i} / {norm} AS v{i}' for i in x)} FROM {name}_raw)")
+    value = " + ".join(f"v{i} * {cell(i, j)} * v{j}" for i in x for j in x)
+    steps.append(f"{name}_l AS (SELECT *, {value} AS l FROM {name}_v CROSS JOIN (SELECT {', '.join(f'c{i}{j}' for i, j in upper)} FROM {source}))")
+    left = ", ".join(f"c{i}{j} - l * v{i} * v{j} AS c{i}{j}" for i, j in upper)
+    steps.append(f"{name} AS (SELECT {', '.join(f'v{i}' for i in x)}, l, {left} FROM {name}_l)")
+    return ",\n".join(steps)
+
+
+def _pca_sql() -> str:
+    x = range(len(FEATURES))
+    corr = ", ".join(f"corr({FEATURES[i]}, {FEATURES[j]}) AS c{i}{j}" if i != j else f"1e0 AS c{i}{i}" for i in x for j in x if i <= j)
+    scaled = ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS z{i}" for i, c in enumerate(FEATURES))
+    return (f"WITH m AS (SELECT {corr} FROM lineitem),\n{_axis_sql('m', 'first', len(FEATURES))},\n{_axis_sql('first', 'second', len(FEATURES))},\n"
+            f"z AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, {scaled} FROM lineitem),\n"
+            "p AS (SELECT z.*, " + ", ".join(" + ".join(f"z{i} * {t}.v{i}" for i in x) + f" AS {n}" for t, n in (("a", "pc1"), ("b", "pc2")))
+            + ", a.l AS l1, b.l AS l2 FROM z CROSS JOIN first a CROSS JOIN second b)\n")
+
+
+@case("k12_pca_projection", _pca_sql() + f"SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, {rsql('pc1', 'pc1', 4)}, {rsql('pc2', 'pc2', 4)} FROM p")
 def _(spark, sf):
     df, _ = K.pca_projection(Tables(spark, sf).lineitem, FEATURES)
-    return df.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "pc1", "pc2")
+    return df.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", r("pc1", 4), r("pc2", 4))
 
 
-@case("k12_explained_variance")
+@case("k12_explained_variance", _pca_sql() + "SELECT " + ", ".join([
+    rsql("var_pop(pc1)", "var_pc1"), rsql("var_pop(pc2)", "var_pc2"), rsql(f"any_value(l1) / {len(FEATURES)}", "cumulative_1"),
+    rsql(f"any_value(l1 + l2) / {len(FEATURES)}", "cumulative_2")]) + " FROM p")
 def _(spark, sf):
     df, explained = K.pca_projection(Tables(spark, sf).lineitem, FEATURES)
-    return df.agg(F.var_pop("pc1").alias("var_pc1"), F.var_pop("pc2").alias("var_pc2"),
-                  *[F.lit(v).alias(f"cumulative_{i + 1}") for i, v in enumerate(explained)])
+    out = df.agg(F.var_pop("pc1").alias("var_pc1"), F.var_pop("pc2").alias("var_pc2"),
+                 *[F.lit(v).alias(f"cumulative_{i + 1}") for i, v in enumerate(explained)])
+    return out.select(*[r(c) for c in out.columns])

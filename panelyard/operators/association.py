@@ -463,13 +463,15 @@ def calendar_report(df: DataFrame, date_col: str, day_col: str) -> DataFrame:
 
 def pca_projection(df: DataFrame, cols: Sequence[str], k: int = 2) -> tuple[DataFrame, list[float]]:
     """Standardized columns on their first ``k`` principal components (K12), with the cumulative
-    explained variance."""
+    explained variance. The largest weight of a component is positive."""
     scaled = standard_scale(df, cols, "__z")
     assembled = VectorAssembler(
         inputCols=[f"{c}__z" for c in cols], outputCol="__vec").transform(scaled)
     model = PCA(k=k, inputCol="__vec", outputCol="__pc").fit(assembled)
+    axes = model.pc.toArray()
+    signs = [1.0 if axes[np.argmax(np.abs(axes[:, i])), i] > 0 else -1.0 for i in range(k)]
     pcs = vector_to_array("__pc")
-    out = model.transform(assembled).withColumns({f"pc{i + 1}": pcs[i] for i in range(k)})
+    out = model.transform(assembled).withColumns({f"pc{i + 1}": pcs[i] * F.lit(signs[i]) for i in range(k)})
     shares = [float(v) for v in model.explainedVariance]
     cumulative = [math.fsum(shares[: i + 1]) for i in range(len(shares))]
     return out.drop("__vec", "__pc", *[f"{c}__z" for c in cols]), cumulative
