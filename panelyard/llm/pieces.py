@@ -12,8 +12,10 @@ is put in front, so decoding gives back every text.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +27,15 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from panelyard.llm.common import Prefix, U, list_array, mix
 
-#: No piece goes across these runs: a word with the blank before it, line ends, further blanks. A run has 32 characters
-#: at most, so that the weights of its paths stay within the range of a double; a longer word is cut there.
-RUN = re.compile(r"\n| ?[^ \n]{1,31}| {1,31}(?= [^ \n])| {1,32}")
+#: No piece goes across these runs: a word with the blank before it, a line end, further blanks.
+RUN = re.compile(r"\n| ?[^ \n]+| +(?= [^ \n])| +")
 THETA = 0.5
-#: Runs and characters that are sampled at once; bits of a look-up.
-RUNS, CHARACTERS, TABLE_BITS = 400_000, 1 << 21, 20
+#: Runs and characters that are sampled at once; places of lattices that are kept for later; bits of a look-up.
+RUNS, CHARACTERS, PLACES, TABLE_BITS = 50_000, 1 << 18, 1 << 19, 20
 
 
 class Pieces:
-    """The pieces of a model: ``weight`` and id by text, ids of the byte pieces, bytes by id."""
+    """The pieces of a model: id and logarithm of the weight by text, ids of the byte pieces, bytes by id."""
 
     def __init__(self, model: bytes, theta: float = THETA):
         import sentencepiece
@@ -56,16 +57,17 @@ class Pieces:
                 raw = text.replace("▁", " ")
                 self.bytes.append(raw.encode())
                 if RUN.fullmatch(raw):  # a piece that went across runs would never fit
-                    self.of[raw] = (i, (1 / (rank[i] + 2.7)) ** theta)
+                    self.of[raw] = (i, -theta * math.log(rank[i] + 2.7))
             else:
                 self.bytes.append(b"")
         self.longest = max(map(len, self.of), default=1)
-        self.rare = (1 / (len(ranked) + 2.7)) ** theta
+        self.rare = -theta * math.log(len(ranked) + 2.7)  # of one byte
 
         # Pieces by hash, in tables of which each holds what the one before had no room for.
         texts = list(self.of)
-        codes = [np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(U) for t in texts]
-        self.hash = np.array([Prefix(c).runs(np.zeros(1, np.int64), len(c))[0] for c in codes], U)
+        size = np.array(list(map(len, texts)), np.int64)
+        codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(U)
+        self.hash = Prefix(codes).runs(np.cumsum(size) - size, size)
         self.number = np.array([self.of[t][0] for t in texts], np.int32)
         self.weight = np.array([self.of[t][1] for t in texts])
         self.tables, left = [], np.arange(len(texts))
@@ -87,25 +89,39 @@ class Pieces:
         return out
 
 
+def runs_of(text: str) -> Iterator[tuple[list[str], int]]:
+    """(runs, characters) of the text with a blank in front, some of them at a time; a long text is parted where a run ends."""
+    lo, text = 0, " " + text if text else ""
+    while lo < len(text):
+        hi = lo + CHARACTERS
+        # A blank between two words starts a run.
+        while 0 <= (hi := text.find(" ", hi)) and (text[hi - 1] in " \n" or text[hi + 1:hi + 2] in ("", " ", "\n")):
+            hi += 1
+        hi = len(text) if hi < 0 else hi
+        yield RUN.findall(text, lo, hi), hi - lo
+        lo = hi
+
+
 class Lattices:
     """The filtered lattices of runs, all at once.
 
     A node is a place in a run that some piece ends at, numbered by offset and run. Its entries, from ``first`` on, are these
     pieces: ``upto`` is the sum of a node's shares up to an entry, ``before`` the node that the piece starts
     from (-1: the start of the run), ``ids`` the piece, or minus the code point of a character that has none.
+    Sums of weights are kept as logarithms, so a run may be of any length.
     """
 
     def __init__(self, pieces: Pieces, runs: list[str]):
-        size = np.fromiter(map(len, runs), np.int64, len(runs))
+        size = np.fromiter(map(len, runs), np.int32, len(runs))
         codes = np.frombuffer("".join(runs).encode("utf-32-le"), np.uint32)
         ends = np.cumsum(size)
         n = len(codes)
-        offset = np.arange(n) - np.repeat(ends - size, size)
+        offset = np.arange(n, dtype=np.int32) - np.repeat(ends - size, size).astype(np.int32)
         levels = np.bincount(offset)
         # Few runs are long: sort the offsets as small numbers where they are small.
-        order = np.argsort(offset.astype(np.uint8 if len(levels) < 256 else np.int64), kind="stable")
-        node = np.empty(n, np.int64)
-        node[order] = np.arange(n)
+        order = np.argsort(offset.astype(np.uint8 if len(levels) < 256 else np.int32), kind="stable")
+        node = np.empty(n, np.int32)
+        node[order] = np.arange(n, dtype=np.int32)
         prefix = Prefix(codes.astype(U))
         found = []
         here = np.arange(n)
@@ -119,64 +135,87 @@ class Lattices:
                 code = codes[at].astype(np.int64)
                 size_ = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
                 ids = np.where(code < 0x80, np.array(pieces.byte)[np.minimum(code, 0x7F)], -code)
-                found.append((at, 1, ids.astype(np.int32), pieces.rare ** size_))
-        counts = np.zeros(n, np.int64)
+                found.append((at, 1, ids.astype(np.int32), pieces.rare * size_))
+        counts = np.zeros(n, np.int32)
         for at, *_ in found:
             counts[node[at]] += 1
-        first = np.cumsum(counts) - counts
+        first = np.cumsum(counts, dtype=np.int32) - counts
         total = int(counts.sum())
         free = first.copy()
-        self.before, self.ids, share = np.empty(total, np.int64), np.empty(total, np.int32), np.empty(total)
+        self.before, self.ids, share = np.empty(total, np.int32), np.empty(total, np.int32), np.empty(total)
         for at, length, ids, weight in found:
             place = free[node[at]]
             free[node[at]] += 1
             self.ids[place], share[place] = ids, weight
             inner = offset[at] >= length
             self.before[place] = np.where(inner, node[at - length * inner], -1)
-        reach = np.ones(n + 1)  # summed weight of the paths to a node; the last one is the start
-        lo = 0
+        reach = np.zeros(n + 1)  # logarithm of the summed weight of the paths to a node; the last one is the start
+        lo = entry = 0
         for width in levels.tolist():
-            part = slice(first[lo], first[lo] + int(counts[lo:lo + width].sum()))
-            share[part] *= reach[self.before[part]]
-            sums = np.add.reduceat(share[part], first[lo:lo + width] - first[lo])
-            share[part] /= np.repeat(sums, counts[lo:lo + width])
-            reach[lo:lo + width] = sums
-            lo += width
-        summed = np.cumsum(share)
-        self.upto = summed - np.repeat(np.r_[0.0, summed][first], counts)
-        self.upto[first + counts - 1] = 1.0
+            mine = counts[lo:lo + width]
+            part = slice(entry, entry + int(mine.sum()))
+            starts = first[lo:lo + width] - entry
+            logs = share[part] + reach[self.before[part]]
+            most = np.maximum.reduceat(logs, starts)
+            ways = np.exp(logs - np.repeat(most, mine))
+            sums = np.add.reduceat(ways, starts)
+            share[part] = ways / np.repeat(sums, mine)
+            reach[lo:lo + width] = most + np.log(sums)
+            lo, entry = lo + width, part.stop
+        # Added up entry by entry, so that a sum does not depend on the runs beside it.
+        self.upto, last = share, first + counts - 1
+        open_, at = np.arange(n), first.copy()
+        while len(open_ := open_[at[open_] < last[open_]]):
+            at[open_] += 1
+            self.upto[at[open_]] += self.upto[at[open_] - 1]
+        self.upto[last] = 1.0
         self.first = first
         self.ends = node[ends - 1]
 
 
 class Sampler:
-    """Samples segmentations of texts, many runs at once."""
+    """Samples segmentations of texts, many runs at once. The lattices of recent runs are kept, in bounded number."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
         self.utf8: dict[int, list[int]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.end: dict[str, int] = {}
+        self.first, self.before, self.ids, self.upto = (np.zeros(0, t) for t in (np.int32, np.int32, np.int32, np.float64))
+
+    def ends_of(self, runs: list[str]) -> np.ndarray:
+        """The last node of each run."""
+        if len(self.first) > PLACES:
+            self.forget()
+        new = [run for run in dict.fromkeys(runs) if run not in self.end]
+        if new:
+            made = Lattices(self.pieces, new)
+            nodes, entries = len(self.first), len(self.ids)
+            self.end.update(zip(new, (made.ends + nodes).tolist()))
+            self.first = np.concatenate([self.first, made.first + np.int32(entries)])
+            self.before = np.concatenate([self.before, np.where(made.before < 0, made.before, made.before + np.int32(nodes))])
+            self.ids, self.upto = np.concatenate([self.ids, made.ids]), np.concatenate([self.upto, made.upto])
+        return np.fromiter(map(self.end.__getitem__, runs), np.int32, len(runs))
 
     def sample(self, runs: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all runs, one after the other; number of ids of each run)."""
-        distinct = list(dict.fromkeys(runs))
-        number = dict(zip(distinct, range(len(distinct))))
-        which = np.fromiter(map(number.__getitem__, runs), np.int64, len(runs))
-        lattices = Lattices(self.pieces, distinct)
-        state = lattices.ends[which]
+        state = self.ends_of(runs)
         open_ = np.arange(len(runs))
         count = np.zeros(len(runs), np.int64)
         steps = []
         while len(open_):
             draw = mix(seeds[open_] + (U(len(steps)) * np.ones(1, U)) * U(0xD1B54A32D192ED03)) >> U(11)
             u = draw.astype(np.float64) * 2.0**-53
-            entry = lattices.first[state]
-            late = np.flatnonzero(u >= lattices.upto[entry])
+            entry = self.first[state]
+            late = np.flatnonzero(u >= self.upto[entry])
             while len(late):  # nodes have few entries
                 entry[late] += 1
-                late = late[u[late] >= lattices.upto[entry[late]]]
-            steps.append((open_, lattices.ids[entry]))
+                late = late[u[late] >= self.upto[entry[late]]]
+            steps.append((open_, self.ids[entry]))
             count[open_] += 1
-            state = lattices.before[entry]
+            state = self.before[entry]
             more = state >= 0
             open_, state = open_[more], state[more]
         ends = np.cumsum(count)
@@ -206,9 +245,11 @@ class Sampler:
     def encode(self, texts: list[str], keys: list) -> list[np.ndarray]:
         """Ids of each text under its key."""
         out: list[list[np.ndarray]] = [[] for _ in texts]
-        runs, seeds, owners = [], [], []
+        runs, seeds, owners, held = [], [], [], 0
 
         def flush() -> None:
+            nonlocal held
+            held = 0
             if not runs:
                 return
             ids, count = self.sample(runs, np.concatenate(seeds))
@@ -221,15 +262,14 @@ class Sampler:
             runs.clear(), seeds.clear(), owners.clear()
 
         for owner, (text, key) in enumerate(zip(texts, keys)):
-            mine = RUN.findall(" " + text) if text else []
             seed = U(xxhash.xxh3_64_intdigest(b"" if key is None else str(key).encode(), seed=0 if key is None else 1))
-            numbers = mix(seed + np.arange(len(mine), dtype=U) * U(0x9E3779B97F4A7C15))
-            for lo in range(0, len(mine), RUNS):
-                part = mine[lo:lo + RUNS]
+            at = 0
+            for part, size in runs_of(text):
                 runs += part
-                seeds.append(numbers[lo:lo + RUNS])
+                seeds.append(mix(seed + np.arange(at, at + len(part), dtype=U) * U(0x9E3779B97F4A7C15)))
                 owners.append((owner, len(part)))
-                if len(runs) >= RUNS:
+                at, held = at + len(part), held + size
+                if len(runs) >= RUNS or held >= CHARACTERS:
                     flush()
         flush()
         return [np.concatenate(p) if p else np.zeros(0, np.int32) for p in out]
@@ -247,6 +287,12 @@ def _packed(batches: Iterator[pa.RecordBatch], sizes) -> Iterator[pa.RecordBatch
         yield batch.slice(start)
 
 
+@cache
+def _loaded(model: bytes, theta: float) -> Pieces:
+    """The pieces of a model, once in a worker."""
+    return Pieces(model, theta)
+
+
 def model_bytes(path: str) -> bytes:
     with open(path, "rb") as file:
         return file.read()
@@ -283,7 +329,7 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(shared.value, theta)
+        pieces = _loaded(shared.value, theta)
         sampler, decoder = Sampler(pieces), Decoder(pieces)
         for batch in _packed(batches, lambda b: pc.binary_length(b.column(1))):
             texts = batch.column(1).to_pylist()
@@ -305,7 +351,7 @@ def decode(rows: DataFrame, model: bytes, ids_col: str = "ids", text_col: str =
     place = rows.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(Pieces(shared.value))
+        decoder = Decoder(_loaded(shared.value, THETA))
         for batch in _packed(batches, lambda b: pc.list_value_length(b.column(place))):
             ids = batch.column(place)
             texts = decoder.texts(ids.flatten().to_numpy(), pc.fill_null(pc.list_value_length(ids), 0).to_numpy())
