@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from panelyard.llm.common import Rows
 from panelyard.llm.license_texts import KNOWN
+from panelyard.plans import stage
 
 #: Spellings that count as equal, British or long form first.
 EQUAL_WORDS = {
@@ -86,8 +87,9 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"),
                        F.col(text_col).alias("text"))
     rows = rows.mapInArrow(units, "row long, id long, whole boolean, digest string, n_words long")
-    table = known.where("digest is not null and license is not null").groupBy("digest").agg(
-        F.min("license").alias("license"))
+    # Written, so that its size is known and a small table of licences moves in place of all lines.
+    table = stage(known.where("digest is not null and license is not null").groupBy("digest").agg(
+        F.min("license").alias("license")), "known")
     met = rows.join(table, "digest", "left").where("whole or license is not null")
     return met.groupBy("row").agg(
         F.max("id").alias("id"), F.max("n_words").alias("n_words"), F.max(F.when(F.col("whole"), F.col("digest"))).alias("digest"),
