@@ -28,7 +28,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hash of a word, remembered; forgets all words when it holds ``limit`` of them."""
 
-    def __init__(self, seed: int = 0, limit: int = 600_000):
+    def __init__(self, seed: int = 0, limit: int = 150_000):
         super().__init__()
         self.seed, self.limit = seed, limit
 
@@ -142,6 +142,14 @@ def keys_met_again(rows: DataFrame, keys: list[str], rest: list[str], partitions
     return spread.mapInArrow(stream, spread.schema)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores in front as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def partitions_for(df: DataFrame, share: float = 1.0) -> int:
     """As many partitions as the session shuffles into, and at least as many as cores."""
     spark = df.sparkSession

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelyard.llm.common import (U, Rows, WordHashes, keys_met_again, list_array, mix, partitions_for,
+from panelyard.llm.common import (U, Rows, WordHashes, free_name, keys_met_again, list_array, mix, partitions_for,
                                   run_hashes, signed)
 from panelyard.llm.components import components
 from panelyard.plans import stage
@@ -471,12 +471,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = near_duplicates(docs, id_col, text_col, size, percent).where("n > 0 and id is not null")
     found = stage(found, "found")
     # An id has one component, and is its smallest or goes with all its rows.
-    gone = found.where("id <> component").select(F.col("id").alias("__gone")).distinct()
-    twice = found.groupBy("id").agg(F.count("*").alias("m")).where("m > 1").select(F.col("id").alias("__twice"))
+    out, again = free_name(docs, "gone"), free_name(docs, "again")
+    gone = found.where("id <> component").select(F.col("id").alias(out)).distinct()
+    twice = found.groupBy("id").agg(F.count("*").alias("m")).where("m > 1").select(F.col("id").alias(again))
     worded = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False)) & F.col(id_col).isNotNull()
     key = F.col(id_col).cast("long")
-    left = docs.where(worded).join(gone, key == F.col("__gone"), "left_anti")
-    single = left.join(twice, key == F.col("__twice"), "left_anti")
-    several = left.join(twice, key == F.col("__twice"), "left_semi").groupBy(key.alias("__id")).agg(
+    left = docs.where(worded).join(gone, key == F.col(out), "left_anti")
+    single = left.join(twice, key == F.col(again), "left_anti")
+    several = left.join(twice, key == F.col(again), "left_semi").groupBy(key.alias(again)).agg(
         F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")).select("row.*")
     return docs.where(~worded).union(single).union(several)

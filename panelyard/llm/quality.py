@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelyard.llm import training
-from panelyard.llm.common import U, WordHashes, run_hashes
+from panelyard.llm.common import U, WordHashes, free_name, run_hashes
 
 WIDTH = 1 << 20
 #: Step, its offset, L1 and L2 strength, passes over the sample.
@@ -91,7 +91,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                    label_col: str = "quality", learn_rows: Column | None = None, sample: int = training.SAMPLE) -> DataFrame:
     """(id, score): the probability of label 1 for every row of ``docs``, from its whole text alone.
 
-    The fit takes at most ``sample`` labelled rows, chosen by a hash of the id among those of
+    The fit takes at most ``sample`` different labelled (id, text) pairs, chosen by hash among those of
     ``learn_rows``. Null and empty texts have no run and score by the bias. Null, repeated and unlabelled ids are scored
     like any other row. Without rows of both labels all rows score the (smoothed) share of ones, 0.5 without
     any; an empty table gives an empty result. Other columns are not read.
@@ -105,5 +105,6 @@ def good_texts(docs: DataFrame, labels: DataFrame, least: float, id_col: str = "
                label_col: str = "quality", learn_rows: Column | None = None, sample: int = training.SAMPLE) -> DataFrame:
     """The rows of ``docs``, as they are, whose quality score is ``least`` or more; else as ``quality_scores``."""
     rows = training.labelled_sample(docs, labels, id_col, text_col, label_col, sample, learn_rows)
-    scored = training.score(docs, training.fit(rows, learn, WIDTH), scorer, text_col, "__quality")
-    return scored.where(F.col("__quality") >= least).drop("__quality")
+    name = free_name(docs, "quality_score")
+    scored = training.score(docs, training.fit(rows, learn, WIDTH), scorer, text_col, name)
+    return scored.where(F.col(name) >= least).drop(name)

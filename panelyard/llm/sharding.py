@@ -16,6 +16,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelyard.llm.common import free_name
+
 #: Prime; over a hundred slots for each of the shards keeps their shares within one per cent.
 SLOTS = 4099
 
@@ -81,13 +83,17 @@ def place(df: DataFrame, key_col: str, shards: list[str], slots: int = SLOTS) ->
 
 
 def write_shards(df: DataFrame, key_col: str, shards: list[str], path: str, files: int = 1, slots: int = SLOTS) -> None:
-    """Write ``df`` below ``path``, a folder ``shard=...`` each, in about ``files`` files a shard."""
-    if "shard" in df.columns:
+    """Write ``df`` below ``path``, a folder ``shard=...`` each, in about ``files`` files a shard.
+
+    Rows with equal keys, null ones too, share a shard and a file; repeated rows are all written. An empty table writes no shard. A
+    column named shard is refused; other columns keep their names, whatever they are.
+    """
+    if "shard" in {c.lower() for c in df.columns}:
         raise ValueError("df has a column named shard")
-    table = F.broadcast(lookup_table(df.sparkSession, shards, slots).withColumnsRenamed(
-        {"slot": "__slot", "shard_no": "__shard_no"}))
+    slot, number = free_name(df, "slot"), free_name(df, "shard_no")
+    table = F.broadcast(lookup_table(df.sparkSession, shards, slots).withColumnsRenamed({"slot": slot, "shard_no": number}))
     names = F.array(*[F.lit(s) for s in shards])
-    rows = df.join(table, slot_of(F.col(key_col), slots) == F.col("__slot"))
-    rows = rows.withColumn("shard", F.element_at(names, F.col("__shard_no") + 1)).drop("__slot", "__shard_no")
+    rows = df.join(table, slot_of(F.col(key_col), slots) == F.col(slot))
+    rows = rows.withColumn("shard", F.element_at(names, F.col(number) + 1)).drop(slot, number)
     salt = F.pmod(F.xxhash64(F.col(key_col)), F.lit(files))
     rows.repartition(len(shards) * files, "shard", salt).write.partitionBy("shard").parquet(path)

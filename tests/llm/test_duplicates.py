@@ -127,9 +127,17 @@ def test_repeated_words_match_all_runs(spark, k):
     found = substrings.repeated(documents(spark, rows), k=k)
     got = Counter(tuple(r) for r in found.kept().collect())
     want = expected_kept(rows, k)
-    # A text that only rows without an id hold is compared as a whole, no further.
-    assert {x: n for x, n in got.items() if x[0] is not None} == {x: n for x, n in want.items() if x[0] is not None}
-    assert sum(got.values()) == len(rows)
+    assert got == want
+
+
+def test_repeated_words_of_rows_without_an_id(spark):
+    rng = random.Random(12)
+    passage = sentence(rng, 40, 10**6)
+    rows = [(i, f"{sentence(rng, 20, 10**6)} {passage} {sentence(rng, 25, 10**6)}") for i in (None, 2, None, 4, 4)]
+    rows += [(None, sentence(rng, 90, 10**6)), (4, sentence(rng, 90, 10**6))]
+    got = substrings.repeated(documents(spark, rows)).kept().collect()
+    assert Counter(tuple(r) for r in got) == expected_kept(rows, 35)
+    assert sorted(r.n_removed for r in got) == [0, 0, 40, 40, 40, 40, 40]
 
 
 def test_passages_are_paths(spark):
@@ -202,6 +210,66 @@ def test_vectors_match_all_pairs(spark):
     assert all(got[i] == (0, i) for i, _ in odd if i is not None) and got[None] == (0, None)
 
 
+def test_vectors_of_several_lengths(spark):
+    """Each length is an index of its own; none is left out, however rare."""
+    rng = np.random.default_rng(5)
+    rows, of = [], {}
+    for size, many in ((2, 3), (3, 40), (8, 200), (40, 6)):
+        base = rng.normal(size=(many, size))
+        base[1] = base[0]
+        base[2] = base[0] * 3
+        for x in base:
+            of[len(rows)] = x.astype(np.float32)
+            rows.append((len(rows), x.astype(np.float32).tolist(), 0))
+    got = {r.id: (r.n_links, r.component) for r in pivots.near_duplicates(vectors(spark, rows)).collect()}
+    groups, links = Groups(), Counter()
+    for i, x in of.items():
+        for j, z in of.items():
+            if i != j and len(x) == len(z) and x.astype(float) @ z / np.linalg.norm(x.astype(float)) / np.linalg.norm(z.astype(float)) >= 0.9:
+                links[i] += 1
+                groups.link(i, j)
+    found = sum(got[i][0] for i in of)
+    assert 0.95 * links.total() <= found <= links.total()
+    for first in (0, 3, 43, 243):
+        assert got[first][0] >= 2 and {got[first + k][1] for k in range(3)} == {first}
+
+
+def test_rounded_vectors_never_refuse_a_close_pair():
+    rng = np.random.default_rng(8)
+    for size in (1, 3, 64, 700):
+        x = pivots.unit(rng.normal(size=(200, size)) * rng.choice([1e-3, 1, 30], size=(1, size)))
+        y = pivots.unit(x + rng.normal(size=x.shape) * 0.45 * np.abs(x).mean())
+        both = np.concatenate([x, y])
+        rounded = pivots.Rounded.back(pivots.Rounded.of(both))
+        a, b = np.meshgrid(np.arange(400), np.arange(400))
+        may, cosine = rounded.may_reach(a.ravel(), b.ravel(), 0.9), np.einsum("ij,ij->i", both[a.ravel()], both[b.ravel()])
+        assert may[cosine >= 0.9].all() and not may[cosine < 0.85].any()
+
+
+@pytest.mark.parametrize("wide, need", [(4, 2), (9, 3), (1, 1)])
+def test_retrieved_pairs(monkeypatch, wide, need):
+    """By shared pivots counted one by one; each pair in the first list that it shares only, whatever the portions."""
+    rng = np.random.default_rng(wide)
+    near = np.sort(np.array([rng.choice(20, wide, replace=False) for _ in range(60)], np.int32), axis=1)
+    sets = [set(r) for r in near.tolist()]
+    for at_once in (1 << 21, 50):
+        monkeypatch.setattr(pivots, "AT_ONCE", at_once)
+        pairs = []
+        for pivot in range(20):
+            rows = np.flatnonzero((near == pivot).any(1))
+            if not len(rows):
+                continue
+            half = len(rows) // 2
+            for left, right in ((rows, rows), (rows[:half], rows[half:])):
+                found = [(a, b) for p, q in pivots.retrieved(near, pivot, need, left, right) for a, b in zip(p.tolist(), q.tolist())]
+                if left is rows:
+                    pairs += found
+                else:
+                    assert sorted(found) == sorted(x for x in ((a, b) for a in left for b in right)
+                                                   if len(sets[x[0]] & sets[x[1]]) >= need and min(sets[x[0]] & sets[x[1]]) == pivot)
+        assert sorted(pairs) == [(a, b) for a in range(60) for b in range(a + 1, 60) if len(sets[a] & sets[b]) >= need]
+
+
 def test_recall_at_the_threshold(spark):
     rng = np.random.default_rng(2)
     a = rng.normal(size=(1500, 64))

@@ -31,6 +31,16 @@ def test_licences_by_canonical_text(spark):
     assert {r.id: r.n_words for r in got}[8] == 40_000 and {r.id: r.n_words for r in got}[7] == 0
 
 
+def test_every_known_licence_in_another_dress(spark):
+    texts = [(name, text) for name, text in licenses.KNOWN if len(text) > 200]
+    assert len({name for name, _ in texts}) >= 12
+    assert len({licenses.canonical(t) for _, t in licenses.KNOWN}) == len(licenses.KNOWN)
+    dress = lambda t: "/*\n * Copyright (c) 2020 The Authors\n * " + t.upper().replace("\n", "\n * ").replace('"', "''").replace("LICENSE", "LICENCE") + "\n */"
+    docs = documents(spark, [(i, dress(t)) for i, (_, t) in enumerate(texts)])
+    got = {r.id: r.license for r in licenses.scan(docs, licenses.known_licenses(spark)).collect()}
+    assert got == {i: name for i, (name, _) in enumerate(texts)}
+
+
 def test_licences_of_nothing(spark, empty):
     known = licenses.known_licenses(spark)
     assert licenses.scan(empty, known).count() == 0
@@ -151,6 +161,87 @@ def test_classifiers_on_awkward_tables(spark, empty, scores):
     assert scores(empty, some).count() == 0
 
 
+def test_quality_weights_match_plain_updates():
+    """Follow-the-regularised-leader in plain loops over dictionaries."""
+    rng = random.Random(4)
+    texts = [sentence(rng, rng.randrange(1, 25), 30) + rng.choice([" BUY BUY $$", ".", ""]) for _ in range(40)] + [""]
+    y = np.array([int("BUY" not in t) for t in texts])
+    w = quality.learn(texts, y)
+    features = quality.Features()
+    z, n, bias, bias_n = {}, {}, 0.0, 0.0
+    weight = lambda j: 0.0 if abs(z.get(j, 0.0)) <= quality.L1 else -(z[j] - math.copysign(quality.L1, z[j])) / (
+        (quality.BETA + math.sqrt(n[j])) / quality.ALPHA + quality.L2)
+    for _ in range(quality.PASSES):
+        for text, label in zip(texts, y):
+            x = Counter()
+            for places in features(text):
+                for j in places.tolist():
+                    x[j] += quality.UNIT / len(places)
+            now = {j: weight(j) for j in x}
+            p = 1 / (1 + math.exp(-(sum(now[j] * v for j, v in x.items()) + bias)))
+            for j, v in x.items():
+                g = (p - label) * v
+                sigma = (math.sqrt(n.get(j, 0.0) + g * g) - math.sqrt(n.get(j, 0.0))) / quality.ALPHA
+                z[j] = z.get(j, 0.0) + g - sigma * now[j]
+                n[j] = n.get(j, 0.0) + g * g
+            bias_n += (p - label) ** 2
+            bias -= quality.ALPHA * (p - label) / (quality.BETA + math.sqrt(bias_n))
+    assert w[-1] == pytest.approx(bias, abs=1e-4)
+    assert set(np.flatnonzero(w[:-1])) <= set(z)
+    assert max(abs(w[j] - weight(j)) for j in z) < 1e-4
+
+
+def test_toxicity_weights_match_plain_updates():
+    """Distinct n-grams, log-count ratios and AdaGrad steps in plain loops over dictionaries."""
+    rng = random.Random(5)
+    texts = [sentence(rng, rng.randrange(1, 20), 30) + rng.choice([" Vile THING", "", "  x"]) for _ in range(30)]
+    y = np.array([int("Vile" in t) for t in texts])
+    w = toxicity.learn(texts, y)
+    places = []
+    for text in texts:
+        flat = " ".join(["", *text.lower().split(), ""])
+        chars = np.frombuffer(flat.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        places.append({int(h) % toxicity.WIDTH for k in toxicity.SIZES for h in common.run_hashes(chars, k, seed=10 * k)})
+    ones = int(y.sum())
+    seen = [Counter(j for p, label in zip(places, y) if label == kind for j in p) for kind in (0, 1)]
+    every = {j for p in places for j in p}
+    ratio = {j: math.log((seen[1][j] + 1) / (ones + 2)) - math.log((seen[0][j] + 1) / (len(y) - ones + 2)) for j in every}
+    v, g2 = Counter(), {j: 1e-8 for j in every}
+    bias, bias_g2 = math.log(ones / (len(y) - ones)), 1e-8
+    for _ in range(toxicity.PASSES):
+        for p, label in zip(places, y):
+            share = 1 / (1 + math.exp(-(sum(v[j] * ratio[j] for j in p) + bias)))
+            for j in p:
+                g = (share - label) * ratio[j]
+                g2[j] += g * g
+                v[j] -= toxicity.STEP * g / math.sqrt(g2[j])
+            bias_g2 += (share - label) ** 2
+            bias -= toxicity.STEP * (share - label) / math.sqrt(bias_g2)
+    assert w[-1] == pytest.approx(bias, abs=1e-6)
+    assert max(abs(w[j] - v[j] * ratio[j]) for j in every) < 1e-6 and set(np.flatnonzero(w[:-1])) <= every
+
+
+def test_samples_are_bounded_whatever_repeats(spark):
+    """Ids of many rows, rows without an id and rows without a text neither overfill a sample nor leave it empty."""
+    rows = [(i % 10, f"text {i} of an id") for i in range(3000)] + [(3, "same words")] * 500 + [(20 + i, f"own {i}") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80) if not 10 <= i < 20], "doc_id long, quality int")
+    docs = documents(spark, rows)
+    for most in (3, 50, 4000):
+        got = training.labelled_sample(docs, labels, "doc_id", "text", "quality", most).collect()
+        assert len({(r.id, r.text) for r in got}) == len(got) <= most and all(r.label == r.id % 2 for r in got)
+        assert len(got) == min(most, 3061)
+    some = training.labelled_sample(documents(spark, rows[3500:]), labels, "doc_id", "text", "quality", 10).collect()
+    assert len(some) == 10
+    assert len(set(training.shard_names(spark))) == training.SHARDS
+
+    found = [(None, f"password = abc{i:09d}xyz") for i in range(900)] + [(7, "password = aaaaaaaa1")] * 3000 + [(i, None) for i in range(6000)]
+    taken = secrets.training_sample(documents(spark, found, clashing=False), "doc_id", "text", 100).where("random")
+    assert taken.count() == 100
+    taken = secrets.training_sample(documents(spark, found, clashing=False), "doc_id", "text", 5000).where("random")
+    assert taken.count() == 901
+    assert secrets.training_sample(documents(spark, found[3900:], clashing=False), "doc_id", "text", 5).count() == 0
+
+
 def test_remainder_is_that_of_the_text(spark):
     import zlib
 
@@ -371,9 +462,9 @@ def test_cuts_are_drawn_by_weight(model, run):
         for end in range(1, len(rest) + 1):
             head = rest[:end]
             if head in p.of:
-                ids, weight = (p.of[head][0],), p.of[head][1]
+                ids, weight = (p.of[head][0],), math.exp(p.of[head][1])
             elif end == 1:
-                ids, weight = tuple(p.byte[b] for b in head.encode()), p.rare ** len(head.encode())
+                ids, weight = tuple(p.byte[b] for b in head.encode()), math.exp(p.rare * len(head.encode()))
             else:
                 continue
             for tail, w in paths(rest[end:]):
@@ -386,3 +477,22 @@ def test_cuts_are_drawn_by_weight(model, run):
     got = Counter(tuple(ids[e - c:e].tolist()) for e, c in zip(ends, count))
     assert set(got) <= set(weights)
     assert all(abs(got[k] / n - w / total) < 0.01 for k, w in weights.items())
+
+
+def test_long_runs_are_not_cut(model):
+    """Pieces go across any place of a run without blanks, however long; no weight underflows."""
+    p = pieces.Pieces(model)
+    sampler, run = pieces.Sampler(p), " " + "internationalisation" * 40
+    n = 200
+    ids, count = sampler.sample([run] * n, np.random.default_rng(1).integers(0, 2**63, n).astype(np.uint64))
+    ends = np.cumsum(count)
+    cuts = Counter()
+    for e, c in zip(ends, count):
+        sizes = [len(p.bytes[i]) for i in ids[e - c:e]]
+        assert sum(sizes) == len(run)
+        cuts.update(np.cumsum(sizes).tolist())
+    assert cuts[len(run)] == n and min(cuts[k] for k in (31, 32, 33)) < n
+    # The kept lattices are dropped when they are many, and nothing else changes.
+    one = sampler.encode([run, "a b"], [1, 2])
+    sampler.forget()
+    assert all((a == b).all() for a, b in zip(one, sampler.encode([run, "a b"], [1, 2])))
