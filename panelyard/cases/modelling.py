@@ -264,12 +264,14 @@ def _(spark, sf):
 
 @case("l12_forecast_boosted_expression")
 def _(spark, sf):
-    """Fitted boosted trees folded over the horizon in one job."""
+    """Twenty fitted boosted trees folded over the horizon in one job."""
     rows, n = _history(Tables(spark, sf))
     feats = panel.add_expanding_mean(panel.add_window_features(rows))
     feats = feats.withColumn("sold_next_day", panel.lead_target("sold", ["id"]))
     feats = feats.filter(F.col("d") < n - 28).select(*OWN, "sold_next_day").fillna(0.0)
-    fitted = models.ModelSpec("light_boosting_regressor", OWN, "sold_next_day", seed=0).fit(feats).stages[-1]
+    spec = models.ModelSpec("light_boosting_regressor", OWN, "sold_next_day", seed=0,
+                            hparams={"light_boosting_regressor__n_estimators": 20})
+    fitted = spec.fit(stage(feats, "features")).stages[-1]
     return forecast.expression_forecast(rows, trees.tree_expression(fitted, OWN), n - 28, 28)
 
 

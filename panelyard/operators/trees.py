@@ -36,11 +36,9 @@ def tree_expression(model: GBTRegressionModel | RandomForestRegressionModel, fea
         return F.when(goes_left, value_of(tree, here.leftChild, row)).otherwise(value_of(tree, here.rightChild, row))
 
     def predict(row: Mapping[str, Column]) -> Column:
-        known = {name: F.coalesce(row[name].cast("double"), F.lit(0.0)) for name in features}
-        total = F.lit(0.0)
-        for tree in range(len(weights)):
-            total = total + value_of(tree, 0, known)
-        return total
+        # The features are computed once and bound by a one-element transform; the nodes only read them.
+        known = F.array(F.struct(*[F.coalesce(row[name].cast("double"), F.lit(0.0)).alias(name) for name in features]))
+        trees = lambda f: F.array(*[value_of(tree, 0, {name: f[name] for name in features}) for tree in range(len(weights))])
+        return F.transform(known, lambda f: F.aggregate(trees(f), F.lit(0.0), lambda total, v: total + v))[0]
 
-    predict.features = list(features)
     return predict
