@@ -31,8 +31,8 @@ ENCODINGS = {
     "cat_state": ("cat_id", "state_id"),
 }
 CHUNK = 1 << 16
-#: Rows of a block whose sum is kept; larger blocks are so many smaller ones.
-BLOCK = 8
+#: A block is so many smaller ones. Two is the fastest on 2,500 days (8.6 s against 9.0 s with 4 and 10 to 12 s with 8).
+BLOCK = 2
 
 
 # --- building -------------------------------------------------------------------------------

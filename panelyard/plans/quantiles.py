@@ -8,6 +8,7 @@ shuffled as a whole: what moves is one sketch per group and task, and the few va
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,7 +51,7 @@ def _selected(rows: DataFrame, cols: Sequence[str], probs: Sequence[float], by:
 
     def sketch(c: str):
         x = F.col(c)
-        whole = F.array(F.min(x), F.max(x))
+        whole = F.array(*[F.min(x), F.max(x)] * len(probs))
         bounds = F.percentile_approx(x, places, accuracy)
         return F.struct(F.count(x).alias("n"), F.when(F.count(x) > SMALL, bounds).otherwise(whole).alias("bounds"))
 
@@ -66,9 +67,10 @@ def _selected(rows: DataFrame, cols: Sequence[str], probs: Sequence[float], by:
     for key in by:
         same = same & F.col(f"r.{key}").eqNullSafe(F.col(f"b.{key}"))
     joined = long.alias("r").join(brackets.alias("b"), same).select("r.*", "__bounds")
-    inside = F.expr("exists(sequence(0, size(__bounds) - 1, 2), i -> __bounds[i] <= __v and __v <= __bounds[i + 1])")
+    bounds, v = [F.col("__bounds")[i] for i in range(len(places))], F.col("__v")
+    inside = reduce(lambda p, q: p | q, [(lo <= v) & (v <= hi) for lo, hi in zip(bounds[::2], bounds[1::2])])
     # A value between brackets stands behind the last bound below it.
-    behind = F.array_max(F.filter("__bounds", lambda b: b < F.col("__v")))
+    behind = F.greatest(*[F.when(b < v, b) for b in bounds])
     counted = joined.select(*by, "__i", inside.alias("__own"), F.when(inside, F.col("__v")).otherwise(behind).alias("__at"))
     counted = counted.groupBy(*by, "__i", "__own", "__at").agg(F.count("*").alias("__n"))
 
