@@ -8,8 +8,8 @@ Seeds are ordered pairs of words, one or two places apart in the item and in the
 alignment with at most one error between them are such a seed, at its own position of the item; without an error it weighs 2, with one
 1. A score is twice the matches less the errors, so the seeds of an alignment weigh its score less 2 or more: a passage whose seeds
 weigh less holds no contamination. Each position left out takes 2 at most from that, so the commonest positions
-of an item are not looked up, as many as leave a weight to ask for. Which these are (counts over a sample of the texts) decides
-the work and never the result.
+of an item are not looked up, as many as leave a weight to ask for. Which these are (by counts over all items of the block) decides
+the work and never the result: every alignment that counts lies in a passage, and of equal ones the one that ends first is given.
 
 Items are joined block by block: a block of bounded size goes to all tasks, every text meets every block. More items
 mean more blocks, not larger ones.
@@ -26,13 +26,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm.common import U, Rows, WordHashes, mix, signed
+from panelyard.llm.common import U, Rows, WordHashes, mix
 
 LEAST_WORDS, GAPS = 3, (1, 2)
 MATCH, MISS, GAP = 2, -1, -1
 LEAST_SCORE = 0.5
-#: One text of so many is counted to tell common seeds from rare ones.
-SAMPLE = 16
 #: Characters of items in a block, about.
 BLOCK = 8 << 20
 #: Bytes of ASCII that separate words; dashes, quotes and the like beyond it.
@@ -72,7 +70,7 @@ class Seeds:
 
 
 def best_alignment(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
-    """(score, end in the passage) of the best local alignment, the first one of equal ones."""
+    """(score, end in the passage) of the best local alignment, of equal ones the one that ends first."""
     row = np.zeros(len(passage) + 1, np.int64)
     slope = np.arange(len(passage) + 1) * GAP
     best, end = 0, 0
@@ -81,7 +79,7 @@ def best_alignment(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
         row = np.r_[0, np.maximum(reach, 0)]
         row = np.maximum.accumulate(row - slope) + slope  # gaps along the passage
         at = int(row.argmax())
-        if row[at] > best:
+        if row[at] > best or row[at] == best and at < end:
             best, end = int(row[at]), at
     return best, end
 
@@ -106,23 +104,24 @@ def _counts_of(hashes: np.ndarray, seeds: np.ndarray, n: np.ndarray) -> np.ndarr
 class Items:
     """A block of items with their seeds, ready for look-up.
 
-    ``counts``: sorted seeds and how often they occur; without them all seeds are kept.
+    ``counts``: sorted seeds and how often they occur; without them the seeds of the items are counted.
     """
 
-    def __init__(self, ids: list[int], texts: list[str], counts: tuple[np.ndarray, np.ndarray] | None, least: float):
+    def __init__(self, ids: list[int], texts: list[str], counts: tuple[np.ndarray, np.ndarray] | None = None, least: float = LEAST_SCORE):
         hashes = WordHashes()
         self.ids, self.words, found, need, errors = [], [], [], [], []
-        for key, text in zip(ids, texts):
-            h = hashes.of(words_of(text))
+        words = [hashes.of(words_of(text)) for text in texts]
+        if counts is None:
+            pairs = [pair_hashes(h, gap) for h in words for gap in GAPS]
+            counts = np.unique(np.concatenate([np.zeros(0, U), *pairs]), return_counts=True)
+        for key, h in zip(ids, words):
             if len(h) < LEAST_WORDS:
                 continue
             score = int(np.ceil(MATCH * least * len(h) - 1e-9))
             weight, places = max(1, score - 2), len(h) - 1
-            kept = np.arange(places)
-            if counts is not None:
-                some = min(places, places - (weight - 1) // 2 + 1 + places // 8)
-                held = sum(np.r_[_counts_of(pair_hashes(h, g), *counts), np.zeros(g - 1, np.int64)] for g in GAPS)
-                kept = np.sort(np.argsort(held, kind="stable")[:some])
+            some = min(places, places - (weight - 1) // 2 + 1 + places // 8)
+            held = sum(np.r_[_counts_of(pair_hashes(h, g), *counts), np.zeros(g - 1, np.int64)] for g in GAPS)
+            kept = np.sort(np.argsort(held, kind="stable")[:some])
             for gap in GAPS:
                 at = kept[kept < len(h) - gap]
                 found.append((pair_hashes(h, gap)[at], np.full(len(at), len(self.ids)), at, np.full(len(at), gap == 1)))
@@ -189,30 +188,10 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[list]:
         yield items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).orderBy("id", "text").collect()
 
 
-def _item_blocks(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, least: float) -> Iterator:
-    """For each block, broadcast: the arguments of its ``Items``, with counts of its seeds in a sample of the texts."""
-    context = docs.sparkSession.sparkContext
-    texts = docs.select(F.col(text_col).alias("text")).where(f"text is not null and pmod(xxhash64(text), {SAMPLE}) = 0")
+def _item_blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator:
+    """Ids and texts of each block, broadcast."""
     for rows in _blocks(benchmark, item_col, item_text_col):
-        ids, item_texts = [r.id for r in rows], [r.text for r in rows]
-        every = context.broadcast((ids, item_texts))
-
-        def count(batches: Iterator[pa.RecordBatch], every=every) -> Iterator[pa.RecordBatch]:
-            seeds, hashes = Items(*every.value, None, least).seeds, WordHashes()
-            held = np.zeros(len(seeds.sorted), np.int64)
-            for batch in batches if len(held) else ():
-                for text in batch.column(0):
-                    h = hashes.of(words_of(text.as_py()))
-                    for gap in GAPS:
-                        held += np.bincount(seeds.places(pair_hashes(h, gap))[1], minlength=len(held))
-            at = np.flatnonzero(held)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(seeds.sorted[at])), pa.array(held[at])], names=["seed", "n"])
-
-        counts = texts.mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-        counts = counts.toArrow()  # seeds of one block
-        seeds, n = counts["seed"].to_numpy().view(U), counts["n"].to_numpy()
-        order = np.argsort(seeds)
-        yield context.broadcast((ids, item_texts, (seeds[order], n[order]), least))
+        yield docs.sparkSession.sparkContext.broadcast(([r.id for r in rows], [r.text for r in rows]))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -226,10 +205,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
     schema = "id long, item long, score double, start long, end long"
     out = docs.sparkSession.sql("SELECT 0L AS id, 0L AS item, 0D AS score, 0L AS start, 0L AS end").where("false")
-    for block in _item_blocks(docs, benchmark, text_col, item_col, item_text_col, least):
+    for block in _item_blocks(docs, benchmark, item_col, item_text_col):
 
         def match(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            items, hashes = Items(*block.value), WordHashes()
+            items, hashes = Items(*block.value, least=least), WordHashes()
             found = Rows(pa.schema([("id", pa.int64()), ("item", pa.int64()), ("score", pa.float64()),
                                     ("start", pa.int64()), ("end", pa.int64())]))
             for batch in batches:
@@ -247,10 +226,10 @@ def clean_texts(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", i
     """The rows of ``docs``, as they are, that align with no item; null and empty texts are clean. Else as ``contaminated``."""
     place = docs.columns.index(text_col)
     out = docs
-    for block in _item_blocks(docs, benchmark, text_col, item_col, item_text_col, least):
+    for block in _item_blocks(docs, benchmark, item_col, item_text_col):
 
         def keep(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            items, hashes = Items(*block.value), WordHashes()
+            items, hashes = Items(*block.value, least=least), WordHashes()
             for batch in batches:
                 yield batch.filter(pa.array([not (t.is_valid and items.hits(t.as_py(), hashes, least))
                                              for t in batch.column(place)], pa.bool_()))

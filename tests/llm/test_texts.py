@@ -333,6 +333,32 @@ def test_no_alignment_is_missed():
     assert found > 1000
 
 
+def test_seeds_left_out_change_no_place():
+    """Of equal alignments the one that ends first is given, whichever seeds are looked up and however passages merge."""
+    item = "a b c d e f"
+    hashes, pairs = common.WordHashes(), {}
+    for gap in decontamination.GAPS:
+        pairs[gap] = decontamination.pair_hashes(hashes.of(decontamination.words_of(item)), gap)
+    every = np.unique(np.concatenate(list(pairs.values())))
+    for doc, place in ("d e f x x a b c", (0, 3)), ("d e f " + "x " * 40 + "a b c", (0, 3)), ("x a b c x d e f", (1, 8)), ("a b c " * 2, (0, 3)):
+        for counts in (None, (every, np.arange(len(every))), (every, np.arange(len(every))[::-1])):
+            items = decontamination.Items([7], [item], counts, 0.5)
+            ((score, *at),) = items.hits(doc, hashes, 0.5).values()
+            assert tuple(at) == place and score >= 0.5
+
+
+def test_items_alone_choose_seeds(spark):
+    """Nothing hangs on which texts stand in the table: each text gets the rows that it gets alone."""
+    rng = random.Random(12)
+    items = [(i, sentence(rng, 15, 40)) for i in range(6)]
+    rows = [(i, f"{sentence(rng, 40, 40)} {edited(rng, items[i % 6][1], 0.1)} {sentence(rng, 40, 40)}") for i in range(24)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = decontamination.contaminated(documents(spark, rows), benchmark)
+    whole = Counter(map(tuple, found.collect()))
+    halves = [decontamination.contaminated(documents(spark, rows[k::2]), benchmark).collect() for k in (0, 1)]
+    assert Counter(map(tuple, halves[0] + halves[1])) == whole and len({i for i, *_ in whole}) == 24
+
+
 def test_blocks_of_items_change_nothing(spark, monkeypatch):
     rng = random.Random(9)
     items = [(i, sentence(rng, 20, 3000)) for i in range(9)]
