@@ -153,6 +153,14 @@ def _forest(label, p, context):
         minInstancesPerNode=p.take("min_samples_leaf", 1, int), seed=p.take("seed", 0, int))]
 
 
+def _leaf_rows(p, name, default, context):
+    """The least number of rows in a leaf, where a row of the table may stand for many (``ModelSpec.as_cells``)."""
+    least = p.take(name, default, int)
+    if context["weighted"] is None:
+        return {"minInstancesPerNode": least}
+    return {"weightCol": ROWS, "minWeightFractionPerNode": max(0.0, least - 0.5) / context["weighted"]}
+
+
 def _leaves_to_depth(leaves: int) -> int:
     return max(1, min(DEEPEST, round(math.log2(max(leaves, 2)))))
 
@@ -162,7 +170,7 @@ def _boosting(label, p, context):
     return [GBTRegressor(
         labelCol=label, maxIter=p.take("max_iter", 100, int), stepSize=p.take("learning_rate", 0.1),
         maxBins=max(p.take("max_bins", 256, int), context["categories"]), maxDepth=min(leaves, p.depth("max_depth", None)),
-        minInstancesPerNode=p.take("min_samples_leaf", 20, int), seed=p.take("seed", 0, int))]
+        **_leaf_rows(p, "min_samples_leaf", 20, context), seed=p.take("seed", 0, int))]
 
 
 def _light(classifier, label, p, context):
@@ -173,7 +181,7 @@ def _light(classifier, label, p, context):
         labelCol=label, maxIter=p.take("n_estimators", 100, int), stepSize=p.take("learning_rate", 0.1),
         maxBins=max(p.take("max_bin", 255, int), context["categories"]), maxDepth=min(leaves, p.depth("max_depth", None)),
         subsamplingRate=p.take("subsample", 1.0), featureSubsetStrategy=p.take("colsample_bytree", "all", str),
-        minInfoGain=p.take("min_split_gain", 0.0), minInstancesPerNode=p.take("min_child_samples", 20, int),
+        minInfoGain=p.take("min_split_gain", 0.0), **_leaf_rows(p, "min_child_samples", 20, context),
         seed=p.take("seed", 0, int))]
 
 
@@ -194,6 +202,10 @@ MODELS = {
     "light_boosting_classifier": (lambda *a: _light(True, *a), "classification"),
     "scaled_linear": (_scaled_linear, "regression"),
 }
+#: Models of squared loss that use all rows in every tree, with the names of their least rows in a leaf.
+WHOLE_TREES = {"hist_boosting": ("min_samples_leaf", 20), "light_boosting_regressor": ("min_child_samples", 20)}
+#: Rows that a cell stands for, and how many they must be on average.
+ROWS, LEAST_CELL = "__rows", 4
 TREES = ("random_forest", "hist_boosting", "light_boosting_regressor", "light_boosting_classifier")
 #: Models without a random choice, which take no seed.
 UNSEEDED = ("linear_regression", "ridge", "scaled_linear", "standard_scaler", "min_max_scaler")
@@ -254,9 +266,10 @@ class ModelSpec:
     def with_params(self, params: Mapping[str, object]) -> ModelSpec:
         return replace(self, hparams={**self.hparams, **params})
 
-    def build(self, n_rows: int | None = None, variance: float | None = None, sizes: Sequence[int] = ()) -> Pipeline:
+    def build(self, n_rows: int | None = None, variance: float | None = None, sizes: Sequence[int] = (),
+              weighted: int | None = None) -> Pipeline:
         """The unfitted pipeline. Kernel models need the number of rows and the variance of their features, categories
-        the number of their codes; ``fit`` finds them."""
+        the number of their codes, cells the number of rows they stand for (``weighted``); ``fit`` finds them."""
         names = list(self.transformers)
         columns = ["__raw", *[f"__{n}" for n in names[:-1]], "features"] if names else ["features"]
         stages = []
@@ -272,7 +285,7 @@ class ModelSpec:
             first.insert(0, Categories(inputCols=list(self.categorical), sizes=list(sizes),
                                        outputCols=[f"__category_{c}" for c in self.categorical]))
         context = {"width": width, "n_rows": n_rows or 1, "gamma": 1.0 / (width * variance) if variance else 1.0,
-                   "categories": max(sizes, default=0) + 1}
+                   "categories": max(sizes, default=0) + 1, "weighted": weighted}
         p = self.params_of(self.model)
         return Pipeline(stages=[*first, *stages, *p.done(MODELS[self.model][0](self.label, p, context))])
 
@@ -288,13 +301,33 @@ class ModelSpec:
         variance = (stats.normL2.toArray() ** 2).sum() / stats["count"] / len(mean) - mean.mean() ** 2
         return stats["count"], variance if variance > 0 else None
 
+    def as_cells(self, df: DataFrame) -> tuple[DataFrame, int | None]:
+        """Rows of equal features as one row with their mean label and their number, staged, and the number of all rows.
+
+        Trees of squared loss split such cells as they split the rows: what the labels vary within a cell is in both sides
+        of every comparison. Rows stay as they are (and the number is None) where cells are hardly fewer, where each tree
+        draws rows, where transformers count rows, or where no leaf could hold half of them.
+        """
+        if self.model not in WHOLE_TREES or self.transformers or float(self.params_of(self.model).get("subsample", 1.0)) < 1:
+            return df, None
+        name, default = WHOLE_TREES[self.model]
+        least = int(self.params_of(self.model).get(name, default))
+        about, rows = df.agg(F.approx_count_distinct(F.xxhash64(*self.features)), F.count("*")).first()
+        if about * LEAST_CELL > rows or 2 * least >= rows:
+            return df, None
+        known = F.count(self.label) == F.count("*")  # a missing label is an error, as it is in a row
+        cells = df.groupBy(*self.features).agg(F.when(known, F.avg(self.label)).alias(self.label), F.count("*").cast("double").alias(ROWS))
+        return stage(cells, "cells"), rows
+
     def fit(self, df: DataFrame) -> PipelineModel:
         if self.model == "svc":
             return self.build(*self.kernel_statistics(df)).fit(df)
+        df, weighted = self.as_cells(df)
+        sizes = ()
         if self.categorical:
             last = df.agg(*[F.max(c).alias(c) for c in self.categorical]).first()
-            return self.build(sizes=[max(0, int(-1 if v is None else v) + 1) for v in last]).fit(df)
-        return self.build().fit(df)
+            sizes = [max(0, int(-1 if v is None else v) + 1) for v in last]
+        return self.build(sizes=sizes, weighted=weighted).fit(df)
 
 
 def predict(model, df: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:

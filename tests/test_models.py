@@ -55,6 +55,29 @@ def test_trees_beat_the_mean(df, name):
     assert models.model_score(out, "y", "regression") > 0.4
 
 
+@pytest.mark.parametrize("name,leaf", [("hist_boosting", "min_samples_leaf"), ("light_boosting_regressor", "min_child_samples")])
+def test_boosting_on_cells_is_boosting_on_rows(spark, name, leaf):
+    """Few different features: the trees are grown from one row for each, with leaves of as many rows as asked for."""
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"a": rng.integers(0, 6, 900).astype(float), "b": rng.integers(0, 4, 900).astype(float)})
+    pdf["y"] = pdf["a"] * 3 - pdf["b"] ** 2 + rng.normal(size=900)
+    pdf.loc[:5, ["a", "b"]] = [[50.0, 9.0]] * 6  # a cell of fewer rows than a leaf has
+    df = spark.createDataFrame(pdf)
+    rounds = "max_iter" if name == "hist_boosting" else "n_estimators"
+    for least in (1, 6, 7, 40):
+        spec = models.ModelSpec(name, ["a", "b"], "y", hparams={f"{name}__{rounds}": 6, f"{name}__{leaf}": least}, seed=1)
+        cells, rows = spec.as_cells(df)
+        assert rows == 900 and cells.count() == 25 and cells.agg(F.sum(models.ROWS)).first()[0] == 900
+        fitted = spec.fit(df)
+        assert fitted.stages[-1].getWeightCol() == models.ROWS
+        got = models.predict(fitted, df).toPandas()
+        want = models.predict(spec.build().fit(df), df).toPandas()
+        np.testing.assert_allclose(got["prediction"], want["prediction"], rtol=1e-9)
+    assert spec.as_cells(df.withColumn("a", F.col("y")))[1] is None
+    drawn = models.ModelSpec("light_boosting_regressor", ["a", "b"], "y", hparams={"light_boosting_regressor__subsample": 0.5})
+    assert drawn.as_cells(df)[1] is None
+
+
 @pytest.mark.parametrize("name", ["svc", "light_boosting_classifier"])
 def test_classifiers(df, name):
     spec = models.ModelSpec(name, COLS, "good", ["standard_scaler"],
