@@ -38,6 +38,9 @@ def tree_samples(df: DataFrame, key, cols: Sequence[str], trees: int, sample: in
     if share < 1:
         bound = F.lit(int(share * 2.0**64) - (1 << 63))
         draws = F.filter(draws, lambda d: d["at"] < bound)
+        # Most rows are in no tree; one plain comparison drops them before the draws are listed.
+        first = [F.xxhash64("__h", F.lit(t)) for t in range(trees)]
+        hashed = hashed.where((F.least(*first) if trees > 1 else first[0]) < bound)
     names = [f"__c{i}" for i in range(len(cols))]
     dealt = hashed.select("__h", *names, F.explode(draws).alias("__d")).select("__d.tree", "__d.at", "__h", *names)
     least = F.row_number().over(Window.partitionBy("tree").orderBy("at", "__h"))
@@ -92,29 +95,38 @@ def fit_forest(df: DataFrame, key, cols: Sequence[str], trees=100, sample=256, s
     return stage(samples.groupBy("tree").applyInPandas(build, FOREST), "forest")
 
 
+def _levels(feature, cut, left, right, end) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """A tree as (features, cuts) of each level and the depths below the last one, where the children of place i are 2i and 2i + 1.
+
+    A leaf above the last level is the same leaf on both of its sides.
+    """
+    here, levels = np.zeros(1, np.int64), []
+    while (feature[here] >= 0).any():
+        leaf = feature[here] < 0
+        levels.append((np.where(leaf, 0, feature[here]).astype(np.int64), np.where(leaf, 0.0, cut[here])))
+        here = np.stack([np.where(leaf, here, left[here]), np.where(leaf, here, right[here])], axis=1).ravel()
+    return levels, end[here]
+
+
 def score_forest(df: DataFrame, forest: DataFrame, cols: Sequence[str], name="score") -> DataFrame:
     """Anomaly score 2 ** (-mean path / norm) of every row; the tasks get the trees, whose size is that of their samples."""
     kinds = (np.int32, float, np.int32, np.int32, float)
     rows = sorted(forest.collect(), key=lambda r: r.tree)
-    grown = [tuple(np.frombuffer(raw, kind) for raw, kind in zip(r[2:], kinds)) for r in rows]
+    grown = [_levels(*(np.frombuffer(raw, kind) for raw, kind in zip(r[2:], kinds))) for r in rows]
     shared = df.sparkSession.sparkContext.broadcast(
         {"trees": grown, "norm": float(_path_norm(max((r["size"] for r in rows), default=0)))})
 
     @pandas_udf("double")
     def score(*series: pd.Series) -> pd.Series:
-        x = np.column_stack([s.to_numpy(dtype=float) for s in series])
         model = shared.value
-        rows, total = np.arange(len(x)), np.zeros(len(x))
-        flat, width = x.ravel(), x.shape[1]
-        for feature, cut, left, right, end in model["trees"]:
-            at = np.zeros(len(x), dtype=np.int64)
-            open_rows = rows[feature[at] >= 0]
-            while len(open_rows):
-                node = at[open_rows]
-                goes_left = flat[open_rows * width + feature[node]] <= cut[node]
-                at[open_rows] = np.where(goes_left, left[node], right[node])
-                open_rows = open_rows[feature[at[open_rows]] >= 0]
-            total += end[at]
+        flat, rows = np.concatenate([s.to_numpy(dtype=float) for s in series]), np.arange(len(series[0]))
+        total = np.zeros(len(rows))
+        for levels, end in model["trees"]:
+            at = np.zeros(len(rows), np.int64)
+            for feature, cut in levels:
+                value = flat.take(feature.take(at) * len(rows) + rows)
+                at = 2 * at + ~(value <= cut.take(at))
+            total += end.take(at)
         mean = total / max(len(model["trees"]), 1)
         return pd.Series(2.0 ** (-mean / (model["norm"] or 1.0)))
 

@@ -370,6 +370,25 @@ def test_tree_samples_are_exact(spark, n):
     assert {r["count"] for r in every} == {n}
 
 
+def test_trees_by_levels_end_where_their_nodes_end(spark):
+    """Levels are the nodes of a tree from the root on, NaN goes right, and few rows are dealt to trees."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(200, 2))
+    feature, cut, left, right, size, depth = (np.array(v) for v in zip(*outliers._grow(x, rng, 8)))
+    levels, end = outliers._levels(feature, cut, left, right, depth + outliers._path_norm(size))
+    assert len(levels) <= 8 and len(end) == 2 ** len(levels)
+    for row in [*x, *rng.normal(size=(50, 2)) * 3, np.array([np.nan, 0.0]), np.array([np.inf, -np.inf])]:
+        node, at = 0, 0
+        while feature[node] >= 0:
+            node = left[node] if row[feature[node]] <= cut[node] else right[node]
+        for features, cuts in levels:
+            at = 2 * at + int(not row[features[at]] <= cuts[at])
+        assert end[at] == depth[node] + outliers._path_norm(size[node])
+    df = spark.range(50_000).select(F.col("id").alias("key"), F.col("id").cast("double").alias("a"))
+    plan = outliers.tree_samples(df, "key", ["a"], 20, 8, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in plan and "least(xxhash64" in plan
+
+
 def test_forest_on_constant_data(spark):
     df = spark.createDataFrame([(i, 1.0) for i in range(50)], "key int, a double")
     assert outliers.isolation_forest(df, "key", ["a"], trees=5).agg(F.countDistinct("score")).first()[0] == 1
