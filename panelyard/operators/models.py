@@ -204,6 +204,8 @@ MODELS = {
 }
 #: Models of squared loss that use all rows in every tree, with the names of their least rows in a leaf.
 WHOLE_TREES = {"hist_boosting": ("min_samples_leaf", 20), "light_boosting_regressor": ("min_child_samples", 20)}
+#: Rows of Fourier features in one task of a kernel fit, about.
+WIDENED = 1 << 16
 #: Rows that a cell stands for, and how many they must be on average.
 ROWS, LEAST_CELL = "__rows", 4
 TREES = ("random_forest", "hist_boosting", "light_boosting_regressor", "light_boosting_classifier")
@@ -319,9 +321,16 @@ class ModelSpec:
         cells = df.groupBy(*self.features).agg(F.when(known, F.avg(self.label)).alias(self.label), F.count("*").cast("double").alias(ROWS))
         return stage(cells, "cells"), rows
 
+    def dealt(self, df: DataFrame, rows: int) -> DataFrame:
+        """The columns of the fit, dealt out so that no task holds more than ``WIDENED`` rows, whatever files they come from:
+        a few columns become many components, and every step of the fit reads these."""
+        parts = -(-rows // WIDENED)
+        return df if parts <= 1 else df.select(*self.features, self.label).repartition(parts)
+
     def fit(self, df: DataFrame) -> PipelineModel:
         if self.model == "svc":
-            return self.build(*self.kernel_statistics(df)).fit(df)
+            rows, variance = self.kernel_statistics(df)
+            return self.build(rows, variance).fit(self.dealt(df, rows))
         df, weighted = self.as_cells(df)
         sizes = ()
         if self.categorical:

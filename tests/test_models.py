@@ -78,6 +78,18 @@ def test_boosting_on_cells_is_boosting_on_rows(spark, name, leaf):
     assert drawn.as_cells(df)[1] is None
 
 
+def test_kernel_fits_read_few_rows_a_task(df, monkeypatch):
+    """One file or partition of any size is dealt out before its rows become Fourier features; the fit stays the same."""
+    spec = models.ModelSpec("svc", COLS, "good", ["standard_scaler"], {"svc__max_iter": 10}, 1)
+    one, n = df.coalesce(1), df.count()
+    whole = spec.fit(one).stages[-1]
+    monkeypatch.setattr(models, "WIDENED", 100)
+    held = [len(part) for part in spec.dealt(one, n).rdd.glom().collect()]
+    assert sum(held) == n and len(held) == -(-n // 100) and max(held) <= 110
+    parts = spec.fit(one).stages[-1]
+    np.testing.assert_allclose(parts.coefficients.toArray(), whole.coefficients.toArray(), rtol=1e-3, atol=1e-4)
+
+
 @pytest.mark.parametrize("name", ["svc", "light_boosting_classifier"])
 def test_classifiers(df, name):
     spec = models.ModelSpec(name, COLS, "good", ["standard_scaler"],
