@@ -1,8 +1,10 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,6 +36,35 @@ def test_near_duplicates_match_all_pairs(spark, seed):
     assert Counter((r.id, r.n, r.component) for r in found) == expected_groups(rows)
 
 
+def test_pairs_of_a_large_group_are_listed_in_portions():
+    """Nine groups of 512 by 512 classes: 2.4 million pairs in one batch, listed 131,072 at a time."""
+    rng = np.random.default_rng(0)
+    size, groups = 512, 9
+    base = rng.integers(0, 2**63, (8, 8)).astype(np.uint64)
+    bits = base[rng.integers(0, 8, 2 * size)]
+    bits[:, 0] ^= np.uint64(1) << rng.integers(0, 64, 2 * size).astype(np.uint64)
+    at = rng.permutation(2 * size)
+    sketch = [bits[a].tobytes() for a in at]
+    n = np.full(2 * size, 60)
+    one = {"i": 0, "j": 0, "left": np.arange(2 * size) < size, "at": at, "comp": at + 1000, "n": n}
+    parts = [pa.table({"key": np.full(2 * size, g), **{c: np.broadcast_to(v, 2 * size) for c, v in one.items()}, "sketch": sketch})
+             for g in range(groups)]
+    batch = pa.concat_tables(parts).combine_chunks().to_batches()[0]
+    met = jaccard.Met(80)
+    tracemalloc.start()
+    met.compare(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = set()
+    for r in met.flush().to_pylist():
+        cells = np.unpackbits(np.frombuffer(r["bits"], np.uint8)).reshape(256, 256)
+        got |= {((r["bx"] << 8) + x, (r["by"] << 8) + y) for x, y in np.argwhere(cells).tolist()}
+    apart = np.bitwise_count(bits[at[:size], None] ^ bits[None, at[size:]]).sum(axis=2)
+    near = np.argwhere(apart * 180 <= 20 * 120)
+    assert got == {tuple(sorted((int(at[x]), int(at[size + y])))) for x, y in near.tolist()} and got
+    assert peak < 60e6
+
+
 def test_near_duplicates_over_all_edit_rates(spark):
     """Pairs on both sides of the threshold, in short and long sets."""
     rng = random.Random(5)
