@@ -56,7 +56,8 @@ SELECT {code_sql('id')}, {code_sql('item_id')}, {code_sql('state_id')}, {code_sq
 def _(spark, sf):
     rows, n = retail_rows(Tables(spark, sf))
     out = retail.features(rows, n - 28, n)
-    return out.select("id", "item_id", "state_id", "event_name_1", "d", "snap", "sold", "sold_lag_7", "sold_next_day")
+    codes = [F.col(c).cast("int").alias(c) for c in ("id", "item_id", "state_id", "event_name_1")]
+    return out.select(*codes, "d", "snap", "sold", "sold_lag_7", "sold_next_day")
 
 
 @case("x2_retail_forecast_and_score")
