@@ -9,7 +9,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-from pyspark import keyword_only
+from pyspark import SparkContext, keyword_only
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LinearSVC
 from pyspark.ml.feature import (
@@ -18,16 +18,16 @@ from pyspark.ml.feature import (
     StandardScaler,
     VectorAssembler,
 )
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasInputCols, HasOutputCol, HasOutputCols
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.operators import linear_search
+from panelyard.operators import bootstrap, linear_search
 from panelyard.operators.encode import random_fourier
 from panelyard.operators.metrics import classification_metrics
 from panelyard.plans import stage
@@ -145,12 +145,31 @@ def _svc(label, p, context):
 
 
 def _forest(label, p, context):
+    """A forest, or one tree of it where its rows are drawn already (``ModelSpec.grow_from_draws``)."""
+    sampling = {"numTrees": p.take("n_estimators", 100, int), "subsamplingRate": p.take("max_samples", 1.0),
+                "bootstrap": p.take("bootstrap", True, bool)}
+    subset, seed = p.take("max_features", "all", str), p.take("seed", 0, int)
+    if context["tree"] is not None:
+        if subset == "auto" and sampling["numTrees"] > 1:  # what it means in a forest
+            subset = "onethird"
+        sampling, seed = {"numTrees": 1, "subsamplingRate": 1.0, "bootstrap": False}, seed + context["tree"]
     return [RandomForestRegressor(
-        labelCol=label, numTrees=p.take("n_estimators", 100, int), maxDepth=p.depth("max_depth", None),
-        featureSubsetStrategy=p.take("max_features", "all", str), subsamplingRate=p.take("max_samples", 1.0),
-        minInfoGain=p.take("min_impurity_decrease", 0.0), bootstrap=p.take("bootstrap", True, bool),
-        maxBins=max(p.take("max_bins", 32, int), context["categories"]),
-        minInstancesPerNode=p.take("min_samples_leaf", 1, int), seed=p.take("seed", 0, int))]
+        labelCol=label, maxDepth=p.depth("max_depth", None), featureSubsetStrategy=subset, **sampling,
+        minInfoGain=p.take("min_impurity_decrease", 0.0), maxBins=max(p.take("max_bins", 32, int), context["categories"]),
+        **_leaf_rows(p, "min_samples_leaf", 1, context), seed=seed)]
+
+
+def _forest_of(forest: RandomForestRegressor, grown: Sequence[RandomForestRegressionModel]) -> RandomForestRegressionModel:
+    """Forests of one tree each as the one that ``forest`` describes, an MLlib model like any other."""
+    one = grown[0]._java_obj
+    jvm, gateway = SparkContext._active_spark_context._jvm, SparkContext._active_spark_context._gateway
+    trees = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, len(grown))
+    for i, model in enumerate(grown):
+        trees[i] = model._java_obj.trees()[0]
+    model = forest._copyValues(RandomForestRegressionModel(
+        jvm.org.apache.spark.ml.regression.RandomForestRegressionModel(forest.uid, trees, one.numFeatures())))
+    model._transfer_params_to_java()
+    return model
 
 
 def _leaf_rows(p, name, default, context):
@@ -208,6 +227,8 @@ WHOLE_TREES = {"hist_boosting": ("min_samples_leaf", 20), "light_boosting_regres
 WIDENED = 1 << 16
 #: Rows that a cell stands for, and how many they must be on average.
 ROWS, LEAST_CELL = "__rows", 4
+#: The number of the tree that drew a row, and trees of a forest that grow at a time.
+TREE, AT_A_TIME = "__tree", 8
 TREES = ("random_forest", "hist_boosting", "light_boosting_regressor", "light_boosting_classifier")
 #: Models without a random choice, which take no seed.
 UNSEEDED = ("linear_regression", "ridge", "scaled_linear", "standard_scaler", "min_max_scaler")
@@ -269,9 +290,10 @@ class ModelSpec:
         return replace(self, hparams={**self.hparams, **params})
 
     def build(self, n_rows: int | None = None, variance: float | None = None, sizes: Sequence[int] = (),
-              weighted: int | None = None) -> Pipeline:
+              weighted: int | None = None, tree: int | None = None) -> Pipeline:
         """The unfitted pipeline. Kernel models need the number of rows and the variance of their features, categories
-        the number of their codes, cells the number of rows they stand for (``weighted``); ``fit`` finds them."""
+        the number of their codes, cells the number of rows they stand for (``weighted``); ``fit`` finds them. With ``tree``
+        it is the one of this number in a forest."""
         names = list(self.transformers)
         columns = ["__raw", *[f"__{n}" for n in names[:-1]], "features"] if names else ["features"]
         stages = []
@@ -287,7 +309,7 @@ class ModelSpec:
             first.insert(0, Categories(inputCols=list(self.categorical), sizes=list(sizes),
                                        outputCols=[f"__category_{c}" for c in self.categorical]))
         context = {"width": width, "n_rows": n_rows or 1, "gamma": 1.0 / (width * variance) if variance else 1.0,
-                   "categories": max(sizes, default=0) + 1, "weighted": weighted}
+                   "categories": max(sizes, default=0) + 1, "weighted": weighted, "tree": tree}
         p = self.params_of(self.model)
         return Pipeline(stages=[*first, *stages, *p.done(MODELS[self.model][0](self.label, p, context))])
 
@@ -313,14 +335,50 @@ class ModelSpec:
         if self.model not in WHOLE_TREES or self.transformers or float(self.params_of(self.model).get("subsample", 1.0)) < 1:
             return df, None
         name, default = WHOLE_TREES[self.model]
-        least = int(self.params_of(self.model).get(name, default))
-        about, rows = df.agg(F.approx_count_distinct(F.xxhash64(*self.features)), F.count("*")).first()
-        if about * LEAST_CELL > rows or 2 * least >= rows:
+        about, rows = self.about_cells(df)
+        if about * LEAST_CELL > rows or 2 * int(self.params_of(self.model).get(name, default)) >= rows:
             return df, None
         known = F.count(self.label) == F.count("*")  # a missing label is an error, as it is in a row
         cells = df.groupBy(*self.features).agg(F.when(known, F.avg(self.label)).alias(self.label), F.count("*").cast("double").alias(ROWS))
         return stage(cells, "cells"), rows
 
+    def about_cells(self, df: DataFrame) -> tuple[int, int]:
+        """About how many different features there are, and the number of rows."""
+        return tuple(df.agg(F.approx_count_distinct(F.xxhash64(*self.features)), F.count("*")).first())
+
+    def draws(self, df: DataFrame) -> tuple[DataFrame, list[int]] | None:
+        """The rows that each tree of a forest draws, as cells of equal features (``bootstrap_cells``), and the number of draws of
+        each tree. A split of the cells is a split of the drawn rows, as in ``as_cells``.
+
+        None where features are vectors, where each tree takes rows without drawing them, where cells are hardly fewer than rows or more than a task can
+        hold for all trees, and where no leaf could hold half of the rows; such forests draw their rows in MLlib.
+        """
+        if self.model != "random_forest" or self.transformers:
+            return None
+        if any(isinstance(f.dataType, VectorUDT) for f in df.select(*self.features).schema):
+            return None
+        forest = self.build().getStages()[-1]
+        if not forest.getBootstrap():
+            return None
+        about, rows = self.about_cells(df)
+        trees = forest.getNumTrees()
+        if about * LEAST_CELL > rows or 2 * trees * about > bootstrap.HELD or 2 * forest.getMinInstancesPerNode() >= rows:
+            return None
+        drawn = bootstrap.bootstrap_cells(df, self.features, self.label, ROWS, trees, forest.getSubsamplingRate(), forest.getSeed(), TREE)
+        counts = {r[0]: int(r[1]) for r in drawn.groupBy(TREE).agg(F.sum(ROWS)).collect()}  # a row per tree
+        return (drawn, [counts[i] for i in range(trees)]) if len(counts) == trees else None
+
+    def grow_from_draws(self, drawn: DataFrame, counts: Sequence[int], sizes: Sequence[int]) -> PipelineModel:
+        """A forest whose trees are fitted one by one, a few at a time, each on its own draws."""
+
+        def grow(i: int) -> PipelineModel:
+            return self.build(sizes=sizes, weighted=counts[i], tree=i).fit(drawn.filter(F.col(TREE) == i))
+
+        with ThreadPoolExecutor(max_workers=AT_A_TIME) as pool:
+            grown = list(pool.map(grow, range(len(counts))))
+        forest = self.build(sizes=sizes).getStages()[-1]
+        return PipelineModel([*grown[0].stages[:-1], _forest_of(forest, [model.stages[-1] for model in grown])])
+
     def dealt(self, df: DataFrame, rows: int) -> DataFrame:
         """The columns of the fit, dealt out so that no task holds more than ``WIDENED`` rows, whatever files they come from:
         a few columns become many components, and every step of the fit reads these."""
@@ -331,11 +389,14 @@ class ModelSpec:
         if self.model == "svc":
             rows, variance = self.kernel_statistics(df)
             return self.build(rows, variance).fit(self.dealt(df, rows))
+        found = self.draws(df)
         df, weighted = self.as_cells(df)
         sizes = ()
         if self.categorical:
             last = df.agg(*[F.max(c).alias(c) for c in self.categorical]).first()
             sizes = [max(0, int(-1 if v is None else v) + 1) for v in last]
+        if found:
+            return self.grow_from_draws(*found, sizes)
         return self.build(sizes=sizes, weighted=weighted).fit(df)
 
 

@@ -1,4 +1,5 @@
 import json
+import math
 
 import numpy as np
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from panelyard.cases import load_cases
 from panelyard.catalogue import Catalogue
 from panelyard.functions import columns as C
-from panelyard.operators import forecast, metrics, models, outliers, panel, sequences, split, trees
+from panelyard.operators import bootstrap, forecast, metrics, models, outliers, panel, sequences, split, trees
 from panelyard.plans.staging import new_path
 from panelyard.runner import run
 from panelyard.streaming.scaling import scale_batches
@@ -78,6 +79,71 @@ def test_boosting_on_cells_is_boosting_on_rows(spark, name, leaf):
     assert drawn.as_cells(df)[1] is None
 
 
+def test_forest_on_drawn_cells_is_a_forest_on_drawn_rows(spark):
+    """Few different features: every tree draws its rows as sums per cell, and grows as it would from the rows one by one."""
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"a": rng.integers(0, 6, 3000).astype(float), "b": rng.integers(0, 4, 3000).astype(float), "key": np.arange(3000)})
+    pdf["y"] = pdf["a"] * 3 - pdf["b"] ** 2 + rng.normal(size=3000)
+    df = spark.createDataFrame(pdf).repartition(3)
+    hparams = {"random_forest__n_estimators": 30, "random_forest__max_depth": 4, "random_forest__min_samples_leaf": 40}
+    spec = models.ModelSpec("random_forest", ["a", "b"], "y", hparams=hparams, seed=1)
+    drawn, counts = spec.draws(df)
+    assert len(counts) == 30 and abs(sum(counts) / 30 - 3000) < 5 * (3000 / 30) ** 0.5 and len(set(counts)) > 10
+    cells = drawn.toPandas()
+    assert len(cells) == 30 * 24 and not cells.duplicated([models.TREE, "a", "b"]).any() and (cells[models.ROWS] % 1 == 0).all()
+    forest = spec.fit(df)
+    assert forest.stages[-1].getNumTrees == 30 and len(forest.stages[-1].trees) == 30
+    got = models.predict(forest, df, ["key"]).orderBy("key").toPandas()["prediction"]
+    each = []
+    for i in range(30):
+        rows = drawn.filter(F.col(models.TREE) == i).withColumn("again", F.explode(F.array_repeat(F.lit(1), F.col(models.ROWS).cast("int"))))
+        tree = spec.with_params({"random_forest__n_estimators": 1, "random_forest__bootstrap": False}).fit(rows)
+        each.append(models.predict(tree, df, ["key"]).orderBy("key").toPandas()["prediction"].to_numpy())
+    np.testing.assert_allclose(got, np.mean(each, axis=0), rtol=1e-9)
+    assert np.std(each, axis=0).mean() > 0.01
+    by_rows = models.predict(spec.build().fit(df), df, ["key"]).orderBy("key").toPandas()["prediction"]
+    assert np.abs(got - by_rows).mean() < 0.1
+    path = new_path(spark, "model")
+    forest.write().overwrite().save(path)
+    again = models.predict(PipelineModel.load(path), df, ["key"]).orderBy("key").toPandas()["prediction"]
+    np.testing.assert_allclose(again, got, rtol=1e-12)
+    assert spec.draws(df.withColumn("a", F.col("y"))) is None
+    assert spec.with_params({"random_forest__bootstrap": False}).draws(df) is None
+    for column in ("y", "a"):  # what MLlib refuses in a row it refuses in a cell, whether a tree has drawn it or not
+        with pytest.raises(Exception, match="MUST NOT be"):
+            spec.fit(df.withColumn(column, F.when(F.col("key") != 7, F.col(column))))
+
+
+def test_bootstrap_numbers_are_poisson_numbers(monkeypatch):
+    """Frequencies, and sums per cell and sample that are those of the rows whatever the portions."""
+    for rate in (1.0, 0.3):
+        drawn = bootstrap.Poisson(rate, [3, 0]).draw(4000, 200)
+        want = [math.exp(-rate) * rate ** k / math.factorial(k) for k in range(6)]
+        np.testing.assert_allclose(np.bincount(drawn.ravel(), minlength=6)[:6] / drawn.size, want, atol=0.002)
+        assert abs(np.corrcoef(drawn[:, 0], drawn[:, 1])[0, 1]) < 0.08
+    monkeypatch.setattr(bootstrap, "AT_ONCE", 7)
+    monkeypatch.setattr(bootstrap, "HANDED", 20)
+    rng = np.random.default_rng(0)
+    x, y = rng.integers(0, 3, (100, 2)).astype(float), rng.normal(size=100)
+    x[:4, 0] = -0.0
+    sums = bootstrap.Sums(2, 5)
+    sums.add(x[:60], y[:60], bootstrap.Poisson(1.0, [1, 2]))
+    sums.add(x[60:], y[60:], bootstrap.Poisson(1.0, [1, 3]))
+    times, total = np.zeros((3, 3, 5)), np.zeros((3, 3, 5))
+    for part, source in ((slice(0, 60), bootstrap.Poisson(1.0, [1, 2])), (slice(60, 100), bootstrap.Poisson(1.0, [1, 3]))):
+        slots = pd.Series(list(map(tuple, x[part] + 0.0))).map({tuple(np.frombuffer(k)): i for k, i in sums.slots.items()})
+        order = np.argsort(slots.to_numpy(), kind="stable")
+        for at in range(0, len(order), 7):
+            for row, drawn in zip(order[at:at + 7], source.draw(len(order[at:at + 7]), 5).astype(float)):
+                a, b = x[part][row].astype(int)
+                times[a, b] += drawn
+                total[a, b] += drawn * y[part][row]
+    out = pd.concat(sums.frames(["sample", "a", "b", "times", "label"]))
+    where = tuple(out[c].astype(int) for c in ("a", "b", "sample"))
+    assert len(out) == (times > 0).sum() and (out["times"] == times[where]).all()
+    np.testing.assert_allclose(out["label"], total[where], atol=1e-12)
+
+
 def test_kernel_fits_read_few_rows_a_task(df, monkeypatch):
     """One file or partition of any size is dealt out before its rows become Fourier features; the fit stays the same."""
     spec = models.ModelSpec("svc", COLS, "good", ["standard_scaler"], {"svc__max_iter": 10}, 1)
